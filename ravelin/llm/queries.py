@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, secrets
+from . import exact_dedup, line_dedup, pii, secrets, sequences, simhash, toxicity
 from .common import table
 
 
+def op1_toxicity(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_secret_scan(spark, sf_dir):
     return secrets.digest(table(spark, sf_dir, "documents"))
 
@@ -14,10 +18,32 @@ def op3_line_dedup(spark, sf_dir):
     return line_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op4_best_fit_packing(spark, sf_dir):
+    return sequences.linear_grouping(table(spark, sf_dir, "documents"))
+
+
+def op5_simhash_near_dedup(spark, sf_dir):
+    return simhash.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_line_dedup, op7_exact_dedup)}
+def op8_token_output(spark, sf_dir):
+    return sequences.packed_digest(table(spark, sf_dir, "documents"))
+
+
+def op9_pii(spark, sf_dir):
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_toxicity, op2_secret_scan, op3_line_dedup, op4_best_fit_packing, op5_simhash_near_dedup,
+        op7_exact_dedup, op8_token_output, op9_pii,
+    )
+}
 
 ORACLES = {"op7_exact_dedup": exact_dedup.ORACLE}
