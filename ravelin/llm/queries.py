@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, pii, secrets, sequences, simhash, toxicity
+from . import decontamination, exact_dedup, line_dedup, pii, secrets, sequences, simhash, suffix_dedup, toxicity
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op5_simhash_near_dedup(spark, sf_dir):
     return simhash.digest(table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark, sf_dir):
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -38,11 +42,15 @@ def op9_pii(spark, sf_dir):
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_secret_scan, op3_line_dedup, op4_best_fit_packing, op5_simhash_near_dedup,
-        op7_exact_dedup, op8_token_output, op9_pii,
+        op6_decontamination, op7_exact_dedup, op8_token_output, op9_pii, op10_suffix_dedup,
     )
 }
 

@@ -34,7 +34,7 @@ SMALL_SHARE = 8
 #: Most groups of equal cardinality; fewer for few pieces, as each may leave one part-filled bin.
 GROUPS = 96
 #: Broadcast limit for counts by task and length (24 bytes each).
-BROADCAST_COUNTS = 1_000_000
+BROADCAST_COUNTS = 250_000
 
 
 def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, keep_ids: bool) -> DataFrame:
