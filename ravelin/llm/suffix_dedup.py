@@ -13,8 +13,10 @@ sampled positions that no string of LENGTH bytes can do without:
     2 * LENGTH bytes; the position's second rank is its range's content. In the order of (first, second) rank,
     all but the first position of a pair repeat an earlier range whole. A first position whose
     first rank has one second rank only is new and leaves.
-  - rank pairs at offset LENGTH / 2, for the windows of the ranges that are left: all windows
-    whose two halves have equal ranks are equal, and all but the first go.
+  - ranks of LENGTH bytes, for the windows of the ranges that are left. These share their first
+    rank, so Spark sorts the ranges by it and a task ranks the windows of one such group after
+    the other. Groups of more than GROUP ranges are not held in a task: their windows are
+    sorted by Spark themselves, by the rank pair of their halves (offset LENGTH / 2).
 
 Equal ranges within a batch are merged before the shuffle, so a passage that a third of the
 documents share meets in one task once for each batch, not for each document. Ranks are hashes
@@ -37,12 +39,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import materialize, text_or_empty
+from .common import materialize, release, text_or_empty
 
 LENGTH = 100
 SEED = 32
 #: Bytes that are hashed at a time; positions in a block take 20 bits.
 BLOCK = (1 << 20) - 1
+#: Ranges with one first rank that a task may hold, and how many it ranks together at least.
+GROUP, TOGETHER = 50_000, 20_000
 #: place = ((part << 40 | start) << 8 | windows) << 1 | whether it is known to repeat
 PART_BITS, START_BITS = 14, 40
 NULL_ID = np.iinfo(np.int64).min
@@ -183,27 +187,91 @@ def _sampled(batches):
         )
 
 
-def _halves(batches):
-    """id, part, text, places -> rank pairs (left, right) of each window of the ranges, with id and place."""
+def _texts_of(batches):
+    """id, part, text, ranges(first, place) -> first, id, place, text of each range."""
     for batch in batches:
-        ids, part = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
-        for k, (text, places) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-            data = np.frombuffer(text.as_py().encode(), np.uint8)
-            place = np.asarray(places.values)
+        ids = batch.column(0)
+        for k, (text, ranges_) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+            data = text.as_py().encode()
+            place = ranges_.values.field("place").to_numpy()
             at, n = place >> 9 & ((1 << START_BITS) - 1), place >> 1 & 255
-            for low in range(0, len(data), BLOCK - 4 * LENGTH):
-                inside = (at >= low) & (at < low + BLOCK - 4 * LENGTH)
-                if not inside.any():
-                    continue
-                a, m = at[inside] - low, n[inside]
-                begin = np.repeat(a - np.append(0, np.cumsum(m)[:-1]), m) + np.arange(m.sum())
-                half = Rolling(data[low : low + BLOCK], 0).fixed(LENGTH // 2)
-                place_of = (part[k] << START_BITS | (begin + low)) << 9 | 2
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(half[begin].view(np.int64)), pa.array(half[begin + LENGTH // 2].view(np.int64)),
-                     pa.array(np.full(len(begin), ids[k])), pa.array(place_of)],
-                    names=["left", "right", "id", "place"],
-                )
+            parts = [data[a : a + m + LENGTH - 1] for a, m in zip(at.tolist(), n.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [ranges_.values.field("first"), pa.array(np.full(len(parts), ids[k].as_py())), pa.array(place), pa.array(parts, pa.binary())],
+                names=["first", "id", "place", "text"],
+            )
+
+
+def _window_ranks(texts: list[bytes], n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent ranks of the n LENGTH-byte windows of each text, in order."""
+    left, right, begin = [], [], 0
+    while begin < len(texts):
+        size, end = 0, begin
+        while end < len(texts) and size + len(texts[end]) <= BLOCK:
+            size += len(texts[end])
+            end += 1
+        data = np.frombuffer(b"".join(texts[begin:end]), np.uint8)
+        m = n[begin:end]
+        starts = np.append(0, np.cumsum(m[:-1] + LENGTH - 1))
+        at = np.repeat(starts - np.append(0, np.cumsum(m[:-1])), m) + np.arange(m.sum())
+        left.append(Rolling(data, 0).fixed(LENGTH)[at])
+        right.append(Rolling(data, 1).fixed(LENGTH)[at])
+        begin = end
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _repeats(ids: np.ndarray, place: np.ndarray, texts: list[bytes]):
+    """(id, place) of runs of windows that equal an earlier window of these ranges."""
+    n = place >> 1 & 255
+    left, right = _window_ranks(texts, n)
+    row = np.repeat(np.arange(len(n)), n)
+    start = (place >> 9)[row] + np.arange(len(row)) - np.repeat(np.append(0, np.cumsum(n[:-1])), n)
+    own = ids[row]
+    order = np.lexsort((start, own, right, left))
+    same = (left[order][1:] == left[order][:-1]) & (right[order][1:] == right[order][:-1])
+    lead = np.maximum.accumulate(np.where(np.append(True, ~same), np.arange(len(order)), 0))
+    again = np.zeros(len(order), bool)
+    again[order] = (own[order] != own[order][lead]) | (start[order] != start[order][lead])
+    # Neighbouring windows of one range go out as one run.
+    edge = np.flatnonzero(again & ~np.append(False, again[:-1] & (row[1:] == row[:-1])))
+    stop = np.flatnonzero(again & ~np.append(again[1:] & (row[1:] == row[:-1]), False)) + 1
+    return own[edge], start[edge] << 9 | (stop - edge) << 1
+
+
+def _ranked_groups(batches):
+    """first, id, place, text sorted by first -> id, place of repeated windows, whole groups at a time."""
+    held: list[tuple] = []
+
+    def emit(first, ids, place, texts):
+        own, found = _repeats(ids, place, texts)
+        return pa.RecordBatch.from_arrays([pa.array(own), pa.array(found)], names=["id", "place"])
+
+    for batch in batches:
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(3).to_pylist()))
+        if sum(len(x[0]) for x in held) < TOGETHER:
+            continue
+        first, ids, place = (np.concatenate([x[i] for x in held]) for i in range(3))
+        texts = [t for x in held for t in x[3]]
+        cut = int(np.searchsorted(first, first[-1]))  # the last group may go on in the next batch
+        if cut:
+            yield emit(first[:cut], ids[:cut], place[:cut], texts[:cut])
+        held = [(first[cut:], ids[cut:], place[cut:], texts[cut:])]
+    if held and sum(len(x[0]) for x in held):
+        yield emit(*(np.concatenate([x[i] for x in held]) for i in range(3)), [t for x in held for t in x[3]])
+
+
+def _halves(batches):
+    """first, id, place, text -> rank pairs (left, right) of each window of the ranges, with id and place."""
+    for batch in batches:
+        ids, place, texts = batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(3).to_pylist()
+        for k in range(len(texts)):
+            half = Rolling(np.frombuffer(texts[k], np.uint8), 0).fixed(LENGTH // 2).view(np.int64)
+            n = int(place[k] >> 1 & 255)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(half[:n]), pa.array(half[LENGTH // 2 : LENGTH // 2 + n]), pa.array(np.full(n, ids[k])),
+                 pa.array(((place[k] >> 9) + np.arange(n)) << 9 | 2)],
+                names=["left", "right", "id", "place"],
+            )
 
 
 def _taken(text: bytes, places: np.ndarray) -> tuple[bytes, int, int]:
@@ -237,35 +305,56 @@ def with_parts(docs: DataFrame) -> DataFrame:
 
 def removed_places(parts: DataFrame) -> DataFrame:
     """id, place: windows (runs of them) that repeat earlier ones. id is doc_id, nulls as the smallest number."""
-    sampled = parts.mapInArrow(_sampled, "first long, second long, id long, place long")
+    spark = parts.sparkSession
     position = F.struct("id", "place")
     known = F.col("place").bitwiseAND(F.lit(1)) == 1
-    ranked = (
-        sampled.withColumn("lead", F.min(position).over(Window.partitionBy("first", "second")))
-        .withColumn("a", F.min("second").over(Window.partitionBy("first")))
-        .withColumn("b", F.max("second").over(Window.partitionBy("first")))
+    group = Window.partitionBy("first")
+    ranked = materialize(
+        parts.mapInArrow(_sampled, "first long, second long, id long, place long")
+        .withColumn("lead", F.min(position).over(Window.partitionBy("first", "second")))
         .withColumn("again", known | (position > F.col("lead")))
-        .where("again or a <> b")
-        .select("id", "place", "again")
+        .withColumn("open", (F.min("second").over(group) != F.max("second").over(group)) & ~F.col("again"))
+        .withColumn("n_open", F.count_if("open").over(group))
+        .where("again OR open")
+        .select(F.when(F.col("open"), F.col("first")).alias("first"), "id", "place", F.when(F.col("open"), F.col("n_open") > GROUP).alias("large")),
+        "suffix-ranks",
     )
-    ranked = materialize(ranked, "suffix-ranks")
+    release(spark)
+    again = ranked.where("large IS NULL").select("id", "place")
 
     place_part = F.shiftright("place", 9 + START_BITS)
     open_ranges = (
-        ranked.where("not again")
+        ranked.where("large IS NOT NULL")
         .groupBy(F.col("id").alias("__id"), place_part.alias("__part"))
-        .agg(F.collect_set("place").alias("places"))
+        .agg(F.collect_set(F.struct("first", "place")).alias("ranges"))
     )
-    windows = (
+    texts = materialize(
         parts.select(F.coalesce("doc_id", F.lit(int(NULL_ID))).alias("id"), "part", "text")
         .join(open_ranges, (F.col("id") == F.col("__id")) & (F.col("part") == F.col("__part")))
-        .select("id", "part", "text", "places")
+        .select("id", "part", "text", "ranges")
+        .mapInArrow(_texts_of, "first long, id long, place long, text binary"),
+        "suffix-texts",
+    )
+    release(spark)
+    large = ranked.where("large").select("first").distinct()
+    by_group = (
+        texts.join(large, "first", "left_anti")
+        .repartition("first")
+        .sortWithinPartitions("first")
+        .select("first", "id", "place", "text")
+        .mapInArrow(_ranked_groups, "id long, place long")
+    )
+    by_window = (
+        texts.join(large, "first", "left_semi")
+        .select("first", "id", "place", "text")
         .mapInArrow(_halves, "left long, right long, id long, place long")
         .withColumn("lead", F.min(position).over(Window.partitionBy("left", "right")))
         .where(position > F.col("lead"))
         .select("id", "place")
     )
-    return ranked.where("again").select("id", "place").union(windows)
+    out = materialize(again.union(by_group).union(by_window), "suffix-repeats")
+    release(spark)
+    return out
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
