@@ -233,6 +233,16 @@ def batch_type(kind: str) -> pa.DataType:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, edits: float = EDITS) -> DataFrame:
-    """docs without the rows whose doc_id holds an item."""
-    hit = contamination(docs, items, edits).select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["__hit"]), "left_anti")
+    """docs without the rows that hold an item. Rows are judged where they are; nothing is shuffled."""
+    ship(docs.sparkSession)
+    at = docs.columns.index("text")
+    out = docs
+    for block in _blocks(items):
+
+        def clean(batches, block=block):
+            searcher = Searcher(block, edits)
+            for batch in batches:
+                yield batch.filter(pa.array([not searcher.find(t.as_py() or "") for t in batch.column(at)], pa.bool_()))
+
+        out = out.mapInArrow(clean, docs.schema)
+    return out

@@ -294,3 +294,19 @@ def score(docs: DataFrame, lexicon: Lexicon, weights: np.ndarray) -> DataFrame:
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(docs, *fit(docs, labels))
+
+
+def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs without the rows that are predicted toxic."""
+    lexicon, weights = fit(docs, labels)
+    ship(docs.sparkSession)
+    parts = (lexicon.words, lexicon.stems, lexicon.threats)
+    at = docs.columns.index("text")
+
+    def passed(batches):
+        lexicon = Lexicon(*parts)
+        for batch in batches:
+            x = np.array([lexicon.features(t or "") for t in batch.column(at).to_pylist()]).reshape(-1, len(weights) - 1)
+            yield batch.filter(pa.array(x @ weights[:-1] + weights[-1] < 0))
+
+    return docs.mapInArrow(passed, docs.schema)
