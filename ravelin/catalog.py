@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .queries import contexts, retrieval, tables, texts
+
+MODULES = (retrieval, texts, tables, contexts)
+QUERIES = {name: f for m in MODULES for name, f in m.register.queries.items()}
+ORACLES = {name: sql for m in MODULES for name, sql in m.register.oracles.items()}

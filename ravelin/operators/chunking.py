@@ -1,0 +1,491 @@
+"""Structure-aware chunking: a text's blocks, their splitting, packing and overlap.
+
+Everything is local to a row: one mapInPandas stage turns documents into chunks and nothing
+is shuffled. The functions below it are plain Python over one text, so they can be tested
+and used without Spark.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field, replace
+from html.parser import HTMLParser
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..shipping import ship
+
+TOKEN = re.compile(r"[\w\-_/]+|[^\s\w]")
+WORD = re.compile(r"[\w\-_/]+")
+
+
+def count_tokens(text: str) -> int:
+    return len(TOKEN.findall(text))
+
+
+@dataclass(frozen=True)
+class ChunkConfig:
+    max_tokens: int = 600
+    min_tokens: int = 350
+    overlap: int = 100
+    #: keep, split or skip blocks longer than max_tokens.
+    oversize: str = "split"
+    #: Blocks longer than this are split whatever the policy.
+    hard_limit: int = 1200
+    #: semantic closes a chunk also where neighbouring blocks differ; simple only fills up.
+    packing: str = "semantic"
+    similarity: float = 0.15
+    tokens: Callable[[str], int] = count_tokens
+
+
+PRODUCTION = ChunkConfig(max_tokens=300, min_tokens=150, overlap=50, hard_limit=600)
+
+# Lines of a code block, items of a list and rows of a table that stay together;
+# overlap added within one heading path and between lists.
+CODE_LINES, LIST_ITEMS, TABLE_ROWS = 20, 15, 20
+SAME_PATH_OVERLAP, LIST_OVERLAP = 60, 120
+# Endings after which a sentence goes on.
+ABBREVIATIONS = tuple("т.е. т.д. т.п. т.к. др. пр. см. рис. табл. стр. гл. п. пп. ст. г. гг. в. вв. н.э. руб. коп. тыс. млн. млрд. мин. сек. ч. д. к. ул. пер. пл. обл. им. проф. акад. доц. к.т.н. д.т.н. с. т.".split())
+
+
+@dataclass(frozen=True)
+class Block:
+    type: str
+    text: str
+    depth: int = 0
+    is_atomic: bool = False
+    start_line: int = 0
+    end_line: int = 0
+
+
+# ---------------------------------------------------------------- blocks
+
+HEADING = re.compile(r"^\s{0,3}(#{1,6})\s+\S")
+BULLET = re.compile(r"^\s*[-*+]\s+")
+NUMBER = re.compile(r"^\s*\d+[.)]\s+")
+TABLE_ROW = re.compile(r"^\s*\|.*\|\s*$")
+FENCE = re.compile(r"^\s*(```|~~~)")
+ADMONITION = re.compile(r"^\s*:::")
+ATOMIC = {"code_block", "table", "list"}
+
+
+def line_type(line: str) -> str:
+    if HEADING.match(line):
+        return "heading"
+    if BULLET.match(line):
+        return "bullets"
+    if NUMBER.match(line):
+        return "numbers"
+    if TABLE_ROW.match(line):
+        return "table"
+    if line.lstrip().startswith(">"):
+        return "blockquote"
+    return "paragraph"
+
+
+def markdown_blocks(text: str) -> list[Block]:
+    """Blocks in order. Lines of one type run together and blank lines stay with the block they
+    follow; a heading always opens a block; a list ends where bullets turn to numbers. A code
+    fence that is never closed is kept to the end, an admonition that is never closed is lost."""
+    blocks: list[Block] = []
+    lines: list[str] = []
+    kind, begin = "", 0
+
+    def close(end: int) -> None:
+        nonlocal lines
+        body = "\n".join(lines).strip("\n")
+        if body.strip():
+            name = "list" if kind in ("bullets", "numbers") else kind
+            depth = len(HEADING.match(body)[1]) if kind == "heading" else 0
+            blocks.append(Block(name, body, depth, name in ATOMIC, begin, end))
+        lines = []
+
+    inside, mark = "", ""
+    rows = text.split("\n")
+    for i, line in enumerate(rows):
+        if inside == "code_block":
+            lines.append(line)
+            if line.strip().startswith(mark):
+                close(i)
+                inside = kind = ""
+            continue
+        if inside == "admonition":
+            lines.append(line)
+            if line.strip() == ":::":
+                close(i)
+                inside = kind = ""
+            continue
+        opens = "code_block" if FENCE.match(line) else "admonition" if ADMONITION.match(line) else ""
+        if opens:
+            close(i - 1)
+            inside = kind = opens
+            mark, begin, lines = line.strip()[:3], i, [line]
+            continue
+        if not line.strip():
+            if lines:
+                lines.append(line)
+            continue
+        found = line_type(line)
+        continues = kind in ("bullets", "numbers") and found == "paragraph" and line[:1] in " \t" and lines and lines[-1].strip()
+        if found != kind and not continues or found == "heading":
+            close(i - 1)
+            kind, begin = found, i
+        lines.append(line)
+    if inside != "admonition":
+        close(len(rows) - 1)
+    return blocks
+
+
+class _Elements(HTMLParser):
+    TYPES = {"p": "paragraph", "pre": "code_block", "ul": "list", "ol": "list", "table": "table", "blockquote": "blockquote"} | {f"h{n}": "heading" for n in range(1, 7)}
+
+    def __init__(self):
+        super().__init__()
+        self.blocks: list[Block] = []
+        self.open: list[str] = []
+        self.parts: list[str] = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.TYPES and not self.open:
+            self.open, self.parts = [tag], []
+        elif self.open and tag == self.open[0]:
+            self.open.append(tag)
+        elif self.open and tag in ("li", "tr"):
+            self.parts.append("\n- " if tag == "li" else "\n")
+
+    def handle_endtag(self, tag):
+        if self.open and tag == self.open[0]:
+            self.open.pop()
+            if not self.open:
+                kind = self.TYPES[tag]
+                body = "".join(self.parts).strip()
+                if body:
+                    depth = int(tag[1]) if kind == "heading" else 0
+                    self.blocks.append(Block(kind, "#" * depth + " " * (depth > 0) + body, depth, kind in ATOMIC))
+
+    def handle_data(self, data):
+        if self.open:
+            self.parts.append(data)
+
+
+def html_blocks(text: str) -> list[Block]:
+    """One block for each top-level element; text without elements is split at blank lines."""
+    parser = _Elements()
+    parser.feed(text)
+    if parser.blocks:
+        return parser.blocks
+    plain = re.sub(r"<[^>]+>", "", text)
+    return [Block("paragraph", p.strip()) for p in re.split(r"\n\s*\n", plain) if p.strip()]
+
+
+def blocks_of(text: str, fmt: str) -> list[Block]:
+    return markdown_blocks(text) if fmt == "markdown" else html_blocks(text)
+
+
+# ---------------------------------------------------------------- splitting
+
+
+def sentences(text: str) -> list[str]:
+    """Split behind . ! ? and white space, except after an abbreviation (by its letters alone)."""
+    out, start = [], 0
+    for m in re.finditer(r"[.!?]+\s+", text):
+        if text[start : m.end()].rstrip().endswith(ABBREVIATIONS):
+            continue
+        out.append(text[start : m.end()].strip())
+        start = m.end()
+    if text[start:].strip():
+        out.append(text[start:].strip())
+    return out
+
+
+def _fill(parts: list[str], cfg: ChunkConfig, joint: str) -> list[str]:
+    """Parts joined until they reach max_tokens; the test comes after a part is added."""
+    out, held = [], []
+    for part in parts:
+        held.append(part)
+        if cfg.tokens(joint.join(held)) >= cfg.max_tokens:
+            out.append(joint.join(held))
+            held = []
+    if held:
+        out.append(joint.join(held))
+    return out
+
+
+def _by_count(lines: list[str], n: int, starts: re.Pattern | None = None) -> list[str]:
+    out, held, seen = [], [], 0
+    for line in lines:
+        fresh = starts is None or bool(starts.match(line))
+        if fresh and seen == n:
+            out.append("\n".join(held))
+            held, seen = [], 0
+        held.append(line)
+        seen += fresh
+    return out + (["\n".join(held)] if held else [])
+
+
+def _hard(text: str, cfg: ChunkConfig) -> list[str]:
+    spans = [m.span() for m in TOKEN.finditer(text)]
+    return [text[spans[i][0] : spans[min(i + cfg.max_tokens, len(spans)) - 1][1]] for i in range(0, len(spans), cfg.max_tokens)]
+
+
+def split_block(block: Block, cfg: ChunkConfig) -> list[Block]:
+    text = block.text
+    if block.type == "code_block":
+        lines = text.split("\n")
+        fenced = len(lines) > 1 and FENCE.match(lines[0])
+        head, tail = (lines[0], lines[0].strip()[:3]) if fenced else ("", "")
+        body = lines[1 : -1 if lines[-1].strip().startswith(tail) else None] if fenced else lines
+        parts: list[str] = []
+        held: list[str] = []
+        for line in body:
+            soft = not line.strip() or line.lstrip().startswith(("#", "//"))
+            if held and (len(held) >= CODE_LINES and soft or len(held) >= 2 * CODE_LINES):
+                parts.append("\n".join(held))
+                held = []
+            held.append(line)
+        if held:
+            parts.append("\n".join(held))
+        parts = [x for p in parts for x in (_hard(p, cfg) if cfg.tokens(p) > cfg.hard_limit else [p])]
+        parts = [f"{head}\n{p}\n{tail}" for p in parts] if fenced else parts
+    elif block.type == "list":
+        parts = _by_count(text.split("\n"), LIST_ITEMS, re.compile(r"^\s*(?:[-*+]|\d+[.)])\s+"))
+    elif block.type == "table":
+        lines = text.split("\n")
+        top = lines[:2] if len(lines) > 2 and re.fullmatch(r"[\s|:\-]+", lines[1]) else lines[:1]
+        parts = ["\n".join([*top, p]) for p in _by_count(lines[len(top) :], TABLE_ROWS)] or [text]
+    elif block.type == "paragraph":
+        paragraphs = [p.strip() for p in re.split(r"\n\s*\n", text) if p.strip()]
+        parts = _fill(paragraphs, cfg, "\n\n") if len(paragraphs) > 1 else _fill(sentences(text), cfg, " ")
+    else:
+        parts = _fill(sentences(text), cfg, " ")
+    return [replace(block, text=p) for p in parts if p.strip()]
+
+
+def sized(blocks: list[Block], cfg: ChunkConfig) -> Iterator[Block]:
+    for b in blocks:
+        n = cfg.tokens(b.text)
+        if n > cfg.hard_limit or n > cfg.max_tokens and cfg.oversize == "split":
+            yield from split_block(b, cfg)
+        elif n <= cfg.max_tokens or cfg.oversize == "keep":
+            yield b
+
+
+# ---------------------------------------------------------------- packing
+
+
+def similarity(a: str, b: str) -> float:
+    x, y = (set(WORD.findall(t.lower())) for t in (a, b))
+    return len(x & y) / len(x | y) if x | y else 0.0
+
+
+def pack(blocks: list[Block], cfg: ChunkConfig) -> list[list[Block]]:
+    groups: list[list[Block]] = []
+    held: list[Block] = []
+    size = 0
+
+    def close() -> None:
+        nonlocal held, size
+        if held:
+            groups.append(held)
+        held, size = [], 0
+
+    for i, b in enumerate(blocks):
+        n = cfg.tokens(b.text)
+        if cfg.packing == "semantic":
+            following = blocks[i + 1] if i + 1 < len(blocks) else None
+            if b.type == "heading" and b.depth <= 2 and size >= cfg.min_tokens or held and size + n > cfg.max_tokens:
+                close()
+            elif held and following and size >= cfg.min_tokens and similarity(b.text, following.text) < cfg.similarity:
+                close()  # before this block is added
+        elif held and size + n > cfg.max_tokens:
+            close()
+        held.append(b)
+        size += n
+    close()
+    return groups
+
+
+def heading_paths(groups: list[list[Block]]) -> list[list[str]]:
+    """The headings over each group once its own are in."""
+    path: list[str] = []
+    out = []
+    for group in groups:
+        for b in group:
+            if b.type == "heading":
+                path = [*path[: b.depth - 1], b.text.lstrip("#").strip()]
+        out.append(list(path))
+    return out
+
+
+def overlap_size(before: list[Block], group: list[Block], path_before: list[str], path: list[str], cfg: ChunkConfig) -> int:
+    if path_before[:1] != path[:1]:
+        return 0
+    if path_before == path:
+        return cfg.overlap + SAME_PATH_OVERLAP
+    if before[-1].type == "list" and group[0].type == "list":
+        return cfg.overlap + LIST_OVERLAP
+    return cfg.overlap
+
+
+def overlap_text(group: list[Block], most: int, cfg: ChunkConfig) -> str:
+    """The tail of a group: whole blocks first, then part of the next one; headings are passed over."""
+    taken: list[str] = []
+    left = most
+    for b in reversed(group):
+        if b.type == "heading":
+            continue
+        n = cfg.tokens(b.text)
+        if n <= left:
+            taken.insert(0, b.text)
+            left -= n
+            continue
+        part = ""
+        if b.type == "code_block":
+            lines = b.text.split("\n")
+            if len(lines) > 2 and FENCE.match(lines[0]) and FENCE.match(lines[-1]):
+                body: list[str] = []
+                for line in reversed(lines[1:-1]):
+                    if cfg.tokens("\n".join([lines[0], line, *body, lines[-1]])) > left:
+                        break
+                    body.insert(0, line)
+                part = "\n".join([lines[0], *body, lines[-1]]) if body else ""
+        elif b.type in ("list", "table"):
+            body = []
+            for line in reversed(b.text.split("\n")):
+                if cfg.tokens("\n".join([line, *body])) > left:
+                    break
+                body.insert(0, line)
+            part = "\n".join(body)
+        elif left > 0:
+            spans = [m.span() for m in TOKEN.finditer(b.text)]
+            part = b.text[spans[-left][0] :] if len(spans) >= left else b.text
+        if part.strip():
+            taken.insert(0, part)
+        break
+    return "\n\n".join(taken)
+
+
+@dataclass
+class Chunk:
+    text: str
+    chunk_index: int
+    total_chunks: int
+    heading_path: list[str] = field(default_factory=list)
+    content_type: str = "paragraph"
+
+
+def chunk_text(text: str, fmt: str = "markdown", cfg: ChunkConfig = ChunkConfig()) -> list[Chunk]:
+    blocks = list(sized(blocks_of(text, fmt), cfg))
+    groups = pack(blocks, cfg)
+    paths = heading_paths(groups)
+    out = []
+    for i, (group, path) in enumerate(zip(groups, paths, strict=True)):
+        body = "\n\n".join(b.text for b in group)
+        if i:
+            most = overlap_size(groups[i - 1], group, paths[i - 1], path, cfg)
+            lead = overlap_text(groups[i - 1], most, cfg) if most else ""
+            body = f"{lead}\n\n{body}" if lead else body
+        if path and not body.startswith("#"):
+            body = f"{'#' * min(len(path), 6)} {path[-1]}\n\n{body}"
+        kinds = [b.type for b in group if b.type != "heading"] or ["heading"]
+        out.append(Chunk(body, i, len(groups), path, max(dict.fromkeys(kinds), key=kinds.count)))
+    return out
+
+
+# ---------------------------------------------------------------- other splitters
+
+
+def word_windows(text: str, size: int, overlap: int) -> list[str]:
+    w = text.split()
+    step = max(1, size - overlap)
+    return [" ".join(w[i : i + size]) for i in range(0, max(1, len(w) - overlap), step)] if w else []
+
+
+def adaptive(text: str, short: int = 300, medium: int = 800) -> list[str]:
+    """Short texts whole; medium ones by merged paragraphs and word windows of 500 with 100
+    overlap; long ones by headings first, then windows of 300 with 60."""
+    n = int(len(text.split()) * 1.3)
+    if n < short:
+        return [text] if text.strip() else []
+    if n < medium:
+        merged: list[str] = []
+        for p in (x.strip() for x in re.split(r"\n\s*\n", text)):
+            if p and merged and count_tokens(merged[-1]) < 50:
+                merged[-1] += "\n\n" + p
+            elif p:
+                merged.append(p)
+        return [w for p in merged for w in word_windows(p, 500, 100)]
+    parts = re.split(r"(?m)^(?=#{1,6} )", text)
+    return [w for p in parts if p.strip() for w in word_windows(p, 300, 60)]
+
+
+def split_message(text: str, most: int = 4096) -> list[str]:
+    """Parts of at most most characters: at blank lines, then at line ends, then anywhere."""
+    out: list[str] = []
+    for joint, pieces in (("\n\n", text.split("\n\n")),):
+        for piece in pieces:
+            rows = [piece] if len(piece) <= most else [x[i : i + most] for x in piece.split("\n") for i in range(0, max(1, len(x)), most)]
+            for k, row in enumerate(rows):
+                glue = joint if k == 0 else "\n"
+                if out and len(out[-1]) + len(glue) + len(row) <= most:
+                    out[-1] += glue + row
+                else:
+                    out.append(row)
+    return [x for x in out if x]
+
+
+# ---------------------------------------------------------------- over tables
+
+CHUNK_SCHEMA = "chunk_id string, chunk_index int, total_chunks int, text string, heading_path array<string>, content_type string, n_tokens int, status string"
+
+
+def chunk_documents(docs: DataFrame, key: str = "doc_id", fmt: str = "markdown", cfg: ChunkConfig = PRODUCTION) -> DataFrame:
+    """docs(key, text[, format]) -> chunks. Empty texts have none; a text that yields none, or
+    fails, is one chunk with status whole or fallback."""
+    ship(docs.sparkSession)
+    has_format = "format" in docs.columns
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            formats = pdf["format"] if has_format else [fmt] * len(pdf)
+            for ident, text, kind in zip(pdf[key], pdf["text"], formats, strict=True):
+                if not text or not text.strip():
+                    continue
+                status = "ok"
+                try:
+                    chunks = chunk_text(text, kind, cfg)
+                except Exception:  # a bad row must not fail the batch
+                    chunks, status = [], "fallback"
+                if not chunks:
+                    chunks, status = [Chunk(text, 0, 1)], status if status == "fallback" else "whole"
+                stem = hashlib.sha1(str(ident).encode()).hexdigest()
+                rows += [
+                    (ident, f"{stem}#{c.chunk_index}", c.chunk_index, c.total_chunks, c.text, c.heading_path, c.content_type, cfg.tokens(c.text), status)
+                    for c in chunks
+                ]
+            yield pd.DataFrame(rows, columns=[key, *(x.split()[0] for x in CHUNK_SCHEMA.split(", "))])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, "text", *(["format"] if has_format else [])).mapInPandas(run, f"{key} {kind}, {CHUNK_SCHEMA}")
+
+
+def document_blocks(docs: DataFrame, key: str = "doc_id", fmt: str = "markdown") -> DataFrame:
+    """docs -> one row for each block."""
+    ship(docs.sparkSession)
+
+    def run(batches):
+        for pdf in batches:
+            rows = [
+                (ident, i, b.type, b.depth, b.is_atomic, count_tokens(b.text), b.text)
+                for ident, text in zip(pdf[key], pdf["text"], strict=True)
+                for i, b in enumerate(blocks_of(text or "", fmt))
+            ]
+            yield pd.DataFrame(rows, columns=[key, "block", "type", "depth", "is_atomic", "n_tokens", "text"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, F.col("text")).mapInPandas(run, f"{key} {kind}, block int, type string, depth int, is_atomic boolean, n_tokens int, text string")
