@@ -1,9 +1,10 @@
-"""Column expressions over text: tokens, clean-up, detection. All stay in the JVM."""
+"""Column expressions over text: tokens, clean-up, detection. All but frontmatter_json stay in the JVM."""
 
 from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -192,6 +193,47 @@ def sanitize(text: Column) -> Column:
     return strip(F.regexp_replace(F.substring(out, 1, MESSAGE_MOST), rf"{SPACE}+", " "))
 
 
+def is_safe(text: Column) -> Column:
+    """No blocked pattern in the raw text; null and empty texts are safe."""
+    found = reduce(lambda a, b: a | b, [text.rlike(p) for p in BLOCKED])
+    return text.isNull() | (text == "") | ~found
+
+
+def headers(html: Column) -> Column:
+    """Texts of the first three heading levels, tags taken off."""
+    found = F.regexp_extract_all(html, F.lit(r"(?is)<h[1-3][^>]*>(.*?)</h[1-3]>"), F.lit(1))
+    return F.transform(found, lambda h: F.trim(F.regexp_replace(h, "<[^>]+>", "")))
+
+
+def frontmatter(text: Column) -> Column:
+    """map of the top-level scalars of a YAML head; nested values are left to frontmatter_json."""
+    head = F.regexp_extract(text, r"(?s)\A---\n(.*?)\n---\n", 1)
+    lines = F.regexp_extract_all(head, F.lit(r"(?m)^([A-Za-z_][\w-]*):[ \t]*(\S.*)$"), F.lit(0))
+    key = lambda x: F.regexp_extract(x, r"^([A-Za-z_][\w-]*):", 1)
+    value = lambda x: F.regexp_replace(F.regexp_replace(x, r"^[A-Za-z_][\w-]*:\s*", ""), r"^[\"']|[\"']\s*$|\s+$", "")
+    return F.map_from_entries(F.transform(lines, lambda x: F.struct(key(x).alias("key"), value(x).alias("value"))))
+
+
+def frontmatter_json(text: Column) -> Column:
+    """The whole YAML head as JSON; null where there is none or it cannot be read."""
+    @F.pandas_udf("string")
+    def read(heads: pd.Series) -> pd.Series:
+        import json
+
+        import yaml
+
+        def one(head):
+            try:
+                data = yaml.safe_load(head) if head else None
+            except yaml.YAMLError:
+                return None
+            return json.dumps(data, ensure_ascii=False, default=str, sort_keys=True) if isinstance(data, dict) else None
+
+        return heads.map(one)
+
+    return read(F.regexp_extract(text, r"(?s)\A---\n(.*?)\n---\n", 1))
+
+
 def l2_normalize(v: Column) -> Column:
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm)).otherwise(F.transform(v, lambda x: x.cast("double")))

@@ -423,6 +423,20 @@ def adaptive(text: str, short: int = 300, medium: int = 800) -> list[str]:
     return [w for p in parts if p.strip() for w in word_windows(p, 300, 60)]
 
 
+def by_characters(text: str, most: int = 2400, overlap: int = 480) -> list[str]:
+    """Parts closed at a heading once they are longer than most, or where they reach it; the next part begins with the tail."""
+    out, held = [], ""
+    for line in text.splitlines(True):
+        if len(held) > most and line.lstrip().startswith(("# ", "## ", "### ")):
+            out.append(held.strip())
+            held = held[-overlap:]
+        held += line
+        if len(held) >= most:
+            out.append(held.strip())
+            held = held[-overlap:]
+    return [p for p in (*out, held.strip()) if p]
+
+
 def split_message(text: str, most: int = 4096) -> list[str]:
     """Parts of at most most characters: at blank lines, then at line ends, then anywhere."""
     out: list[str] = []

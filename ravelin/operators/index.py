@@ -121,11 +121,31 @@ def top_directory_metadata(files: DataFrame, extra: DataFrame) -> DataFrame:
     return joined.select("rel_path", F.map_concat(own, extra_new, rest).alias("meta"))
 
 
-def chunk_size(page_type: Column, size: int = 800) -> Column:
-    """Chunk size by page type."""
+def chunk_size(page_type: Column, complexity: Column | None = None, size: int = 800) -> Column:
+    """Chunk size by page type; for other types by complexity, if it is known."""
+    rest = F.lit(size)
+    if complexity is not None:
+        rest = F.when(complexity > 0.8, min(int(size * 0.9), 800)).when(complexity < 0.3, min(int(size * 1.3), 1000)).otherwise(size)
     return (
         F.when(page_type == "api", min(int(size * 1.5), 1200))
         .when(page_type == "guide", min(int(size * 1.2), 1000))
         .when(page_type == "faq", min(int(size * 0.8), 600))
-        .otherwise(size)
+        .otherwise(rest)
+    )
+
+
+def scroll(chunks: DataFrame, doc_id) -> DataFrame:
+    """All chunks of one document in order; the filter reaches the scan."""
+    return chunks.where(F.col("doc_id") == doc_id).orderBy("chunk_index")
+
+
+def quality_check(chunks: DataFrame, group: str) -> DataFrame:
+    """Lengths, share of texts with Cyrillic letters, and of rows with a title."""
+    n = F.count(F.lit(1))
+    return chunks.groupBy(group).agg(
+        n.alias("n"),
+        F.min(F.length("text")).alias("shortest"),
+        F.max(F.length("text")).alias("longest"),
+        F.round(F.count_if(F.lower("text").rlike("[а-яё]")) / n, 6).alias("cyrillic"),
+        F.round(F.count_if(F.length(F.trim(F.coalesce("title", F.lit("")))) > 0) / n, 6).alias("titled"),
     )

@@ -130,6 +130,38 @@ def circuit(events: DataFrame, failures: int, pause: float) -> DataFrame:
     )
 
 
+def cache_replay(lookups: DataFrame, ttl: float) -> DataFrame:
+    """lookups(event_id, key, ts) with hit: whether the key was stored within ttl seconds before. A
+    miss stores it; a hit does not renew it, so each answer depends on those before."""
+    ship(lookups.sparkSession)
+
+    def replay(batches):
+        key, stored = None, None
+        for pdf in batches:
+            hits = []
+            for k, ts in zip(pdf["key"], pdf["at"], strict=True):
+                if k != key:
+                    key, stored = k, None
+                hit = stored is not None and ts - stored < ttl
+                hits.append(hit)
+                if not hit:
+                    stored = ts
+            yield pd.DataFrame({"event_id": pdf["event_id"], "hit": hits})
+
+    timed = lookups.select("event_id", F.col("key").cast("string").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
+    return timed.repartition("key").sortWithinPartitions("key", "at", "event_id").mapInPandas(replay, "event_id long, hit boolean")
+
+
+def stage_shares(timings: DataFrame) -> DataFrame:
+    """timings(stage, seconds, docs, chunks) -> seconds, share of all, documents and chunks a second by stage."""
+    total = F.sum("seconds").over(Window.partitionBy())
+    each = timings.groupBy("stage").agg(F.sum("seconds").alias("seconds"), F.sum("docs").alias("docs"), F.sum("chunks").alias("chunks"))
+    return each.select(
+        "stage", F.round("seconds", 6).alias("seconds"), F.round(F.col("seconds") / total, 6).alias("share"),
+        F.round(F.col("docs") / F.col("seconds"), 4).alias("docs_s"), F.round(F.col("chunks") / F.col("seconds"), 4).alias("chunks_s"),
+    )
+
+
 def sessions(events: DataFrame, gap: str) -> DataFrame:
     return (
         events.groupBy("user_id", F.session_window("ts", gap).alias("w"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from ..functions.text import any_of, strip
+from ..functions.text import any_of, sanitize, strip
 
 
 def query_type(text: Column) -> Column:
@@ -89,6 +89,32 @@ def list_intent(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), " ", "  ").rlike(LIST_INTENT)
 
 
+# Allowed channels, longest chat id.
+CHANNELS, CHAT_ID_MOST = ("telegram", "web", "api"), 100
+
+
+def validate(requests: DataFrame, blocked: DataFrame | None = None) -> DataFrame:
+    """requests(user_id, channel, chat_id, message) with is_valid, error (the first that applies),
+    message cleaned, and whether cleaning changed it."""
+    if blocked is not None:
+        flags = blocked.select("user_id", F.lit(True).alias("__blocked")).distinct()
+        requests = requests.join(flags, "user_id", "left")
+    else:
+        requests = requests.withColumn("__blocked", F.lit(None).cast("boolean"))
+    chat, message = F.col("chat_id").cast("string"), F.coalesce("message", F.lit(""))
+    bad_chat = (F.length(chat) > CHAT_ID_MOST) | chat.rlike("[<>\"']")
+    error = (
+        F.when(F.col("__blocked"), "blocked")
+        .when(~F.coalesce(F.col("channel").isin(*CHANNELS), F.lit(False)), "channel")
+        .when(F.coalesce(bad_chat, F.lit(False)), "chat_id")
+        .when(strip(message) == "", "empty")
+        .otherwise("")
+    )
+    clean = F.when(error == "", sanitize(message)).otherwise(message)
+    out = requests.withColumns({"error": error, "is_valid": error == "", "cleaned": (error == "") & (clean != message), "message": clean})
+    return out.drop("__blocked")
+
+
 # ---------------------------------------------------------------- themes
 
 

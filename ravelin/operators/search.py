@@ -125,9 +125,9 @@ def with_fallback(filtered: DataFrame, unfiltered: DataFrame) -> DataFrame:
     return filtered.withColumn("fallback", F.lit(False)).unionByName(empty.select(*names).withColumn("fallback", F.lit(True)))
 
 
-def search_weights() -> tuple[Column, Column]:
-    """Dense and sparse weight by the metadata columns is_api, is_complex, prefer_dense."""
-    dense = F.when(F.col("is_api"), 0.7).when(F.col("is_complex"), 0.3).when(F.col("prefer_dense"), 0.4).otherwise(0.5)
+def search_weights(page_type: Column, complexity: Column, density: Column) -> tuple[Column, Column]:
+    """(dense, sparse) weights by metadata: exact matching for API pages, meaning for complex or dense ones."""
+    dense = F.when(page_type == "api", 0.3).when(complexity > 0.7, 0.7).when(density > 0.6, 0.6).otherwise(0.5)
     return dense, F.round(1 - dense, 1)
 
 

@@ -343,3 +343,61 @@ def rate_limit(spark, d):
 def circuit_breaker(spark, d):
     e = _events(spark, d).select("event_id", F.concat(F.lit("s"), F.col("user_id") % 3).alias("service"), "ts", (F.col("event_type") != "error").alias("ok"))
     return ops.circuit(e, *C.BREAKERS["llm"])
+
+
+REQUEST = """(SELECT event_id, user_id, CASE event_id % 4 WHEN 0 THEN 'telegram' WHEN 1 THEN 'web' WHEN 2 THEN 'api' ELSE 'mail' END AS channel,
+ CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '<' || user_id::VARCHAR ELSE user_id::VARCHAR END AS chat_id,
+ CASE WHEN event_id % 7 = 0 THEN ' ' WHEN event_id % 7 = 1 THEN '<b>' || event_type ELSE event_type END AS message FROM events)"""
+
+
+@register(f"""WITH b AS (SELECT DISTINCT user_id FROM events WHERE value > 99.5), r AS (SELECT e.*, b.user_id IS NOT NULL AS blocked FROM {REQUEST} e LEFT JOIN b USING (user_id)),
+c AS (SELECT *, CASE WHEN blocked THEN 'blocked' WHEN channel = 'mail' THEN 'channel' WHEN chat_id LIKE '<%' THEN 'chat_id' WHEN trim(message) = '' THEN 'empty' ELSE '' END AS error FROM r)
+SELECT event_id, error, error = '' AS is_valid, error = '' AND contains(message, '<') AS cleaned, CASE WHEN error = '' THEN replace(replace(message, '<', '&lt;'), '>', '&gt;') ELSE message END AS message FROM c""")
+def request_validation(spark, d):
+    from ..operators import query
+
+    e = _events(spark, d)
+    requests = e.select(
+        "event_id", "user_id",
+        F.expr("CASE event_id % 4 WHEN 0 THEN 'telegram' WHEN 1 THEN 'web' WHEN 2 THEN 'api' ELSE 'mail' END").alias("channel"),
+        F.expr("CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '<' || cast(user_id as string) ELSE cast(user_id as string) END").alias("chat_id"),
+        F.expr("CASE WHEN event_id % 7 = 0 THEN ' ' WHEN event_id % 7 = 1 THEN '<b>' || event_type ELSE event_type END").alias("message"),
+    )
+    return query.validate(requests, e.where("value > 99.5")).select("event_id", "error", "is_valid", "cleaned", "message")
+
+
+@register("""WITH t AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'api' ELSE 'other' END AS page_type, page_id % 11 / 10e0 AS complexity, page_id % 7 / 6e0 AS density FROM pages)
+SELECT page_id, CASE WHEN page_type = 'api' THEN 0.3e0 WHEN complexity > 0.7 THEN 0.7e0 WHEN density > 0.6 THEN 0.6e0 ELSE 0.5e0 END AS dense_weight,
+CASE WHEN page_type = 'api' THEN 0.7e0 WHEN complexity > 0.7 THEN 0.3e0 WHEN density > 0.6 THEN 0.4e0 ELSE 0.5e0 END AS sparse_weight,
+CASE WHEN page_type = 'api' THEN 1200 WHEN complexity > 0.8 THEN 720 WHEN complexity < 0.3 THEN 1000 ELSE 800 END::INT AS chunk_size FROM t""")
+def metadata_strategy(spark, d):
+    p = table(spark, d, "pages").select(
+        "page_id", F.when(F.col("page_id") % 3 == 0, "api").otherwise("other").alias("page_type"),
+        (F.col("page_id") % 11 / 10.0).alias("complexity"), (F.col("page_id") % 7 / 6.0).alias("density"),
+    )
+    dense, sparse = search.search_weights(F.col("page_type"), F.col("complexity"), F.col("density"))
+    return p.select("page_id", dense.alias("dense_weight"), sparse.alias("sparse_weight"), index.chunk_size(F.col("page_type"), F.col("complexity")).alias("chunk_size"))
+
+
+@register("""SELECT lang, count(*) AS n, min(length(text))::INT AS shortest, max(length(text))::INT AS longest,
+round(count(*) FILTER (regexp_matches(lower(text), '[а-яё]')) / count(*)::DOUBLE, 6)::DOUBLE AS cyrillic,
+round(count(*) FILTER (doc_id % 3 <> 0) / count(*)::DOUBLE, 6)::DOUBLE AS titled FROM documents GROUP BY lang""")
+def index_quality(spark, d):
+    docs = _docs(spark, d).withColumn("title", F.when(F.col("doc_id") % 3 != 0, "t"))
+    return index.quality_check(docs, "lang")
+
+
+@register("""WITH t AS (SELECT event_type AS stage, sum(value) AS seconds, sum(user_id)::DOUBLE AS docs, count(*)::DOUBLE AS chunks FROM events GROUP BY 1)
+SELECT stage, round(seconds, 6)::DOUBLE AS seconds, round(seconds / sum(seconds) OVER (), 6)::DOUBLE AS share, round(docs / seconds, 4)::DOUBLE AS docs_s, round(chunks / seconds, 4)::DOUBLE AS chunks_s FROM t""")
+def stage_shares(spark, d):
+    return ops.stage_shares(_events(spark, d).select(F.col("event_type").alias("stage"), F.col("value").alias("seconds"), F.col("user_id").alias("docs"), F.lit(1).alias("chunks")))
+
+
+@register()
+def cache_replay(spark, d):
+    return ops.cache_replay(_events(spark, d).withColumnRenamed("user_id", "key"), 3600)
+
+
+@register()
+def sampled_interactions(spark, d):
+    return quality.sampled(_interactions(spark, d), 0.5)

@@ -231,3 +231,28 @@ def jaccard_pairs(spark, d):
     t = table(spark, d, "conversations").withColumn("a", search.word_set(F.col("text")))
     t = t.withColumn("b", F.lead("a").over(Window.partitionBy("conv_id").orderBy("turn"))).where("b IS NOT NULL")
     return t.select("conv_id", "turn", F.round(search.jaccard(F.col("a"), F.col("b")), 9).alias("jaccard"))
+
+
+@register(f"""SELECT page_id, array_to_string(list_transform(regexp_extract_all(html, '(?is)<h[1-3][^>]*>(.*?)</h[1-3]>', 1), lambda h: trim(regexp_replace(h, '<[^>]+>', '', 'g'))), '|') AS headers FROM pages""")
+def html_headers(spark, d):
+    return _pages(spark, d).select("page_id", F.array_join(T.headers(F.col("html")), "|").alias("headers"))
+
+
+@register("""SELECT doc_id, 'Doc ' || doc_id::VARCHAR AS title, source AS category, text AS body FROM documents""")
+def frontmatter(spark, d):
+    head = F.concat(F.lit("---\ntitle: \"Doc "), F.col("doc_id"), F.lit("\"\ncategory: "), "source", F.lit("\ntags:\n  - a\n---\n"), "text")
+    docs = _docs(spark, d).select("doc_id", head.alias("text"))
+    m = T.frontmatter(F.col("text"))
+    return docs.select("doc_id", F.try_element_at(m, F.lit("title")).alias("title"), F.try_element_at(m, F.lit("category")).alias("category"), T.strip_frontmatter(F.col("text")).alias("body"))
+
+
+@register(f"""SELECT doc_id, length(text)::INT AS content_length, len({words('text')})::INT AS word_count,
+CASE WHEN regexp_matches(lower(text), '[а-яё]') THEN 'ru' WHEN regexp_matches(lower(text), '[a-z]') THEN 'en' ELSE 'unknown' END AS language,
+coalesce(nullif(regexp_extract('# Head ' || source || chr(10) || text, '(?m)^\\s*#\\s+(.+?)\\s*$', 1), ''), 'none') AS title FROM documents""".replace("\\\\", "\\"))
+def document_metadata(spark, d):
+    t = F.col("text")
+    headed = F.concat(F.lit("# Head "), "source", F.lit("\n"), t)
+    return _docs(spark, d).select(
+        "doc_id", F.length(t).alias("content_length"), F.size(T.words(t)).alias("word_count"), T.language(t).alias("language"),
+        F.coalesce(F.nullif(F.regexp_extract(headed, r"(?m)^\s*#\s+(.+?)\s*$", 1), F.lit("")), F.lit("none")).alias("title"),
+    )

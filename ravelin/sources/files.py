@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import json
 import re
 from collections.abc import Callable
 from html.parser import HTMLParser
@@ -76,10 +77,23 @@ def documentation(spark: SparkSession, root: str, site_base: str, prefix: str =
     return out.orderBy("rel_path").limit(max_pages) if max_pages else out
 
 
+def _single_byte(data: bytes) -> str:
+    try:
+        return data.decode("cp1251")
+    except UnicodeDecodeError:
+        return data.decode("latin-1")
+
+
 def decoded(content: Column) -> Column:
-    """UTF-8, else Windows-1251, else Latin-1."""
+    """UTF-8, else Windows-1251, else Latin-1 (the JVM functions know UTF-8 only)."""
+    ship(SparkSession.active())
+
+    @F.pandas_udf("string")
+    def other(column: pd.Series) -> pd.Series:
+        return column.map(_single_byte, na_action="ignore")
+
     utf8 = F.try_validate_utf8(content.cast("string"))
-    return F.coalesce(utf8, F.expr("decode(content, 'windows-1251')"), F.expr("decode(content, 'iso-8859-1')"))
+    return F.coalesce(utf8, other(F.when(utf8.isNull(), content)))
 
 
 @register("local")
@@ -96,11 +110,24 @@ def local_folder(spark: SparkSession, root: str, glob: str = "*.{md,txt,html,htm
 
 
 def category_labels(spark: SparkSession, root: str) -> DataFrame:
-    """dir, label from the _category_.json files of a documentation tree."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "_category_.json").option("multiLine", True).schema("label string").json(root)
-    base = re.sub(r"^\w+:/*", "/", root).rstrip("/")
-    folder = F.regexp_replace(F.regexp_replace(F.input_file_name(), r"^\w+:/*", "/"), "/_category_[.]json$", "")
-    return files.select(F.regexp_replace(folder, "^" + re.escape(base) + "/?", "").alias("dir"), "label").where("label IS NOT NULL")
+    """dir, label from the _category_.json files of a documentation tree. Spark's readers pass over
+    names with a leading underscore, so these few files are listed and read through the file system."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    base, rows = fs.makeQualified(top).toUri().getPath().rstrip("/"), []
+    files = fs.listFiles(top, True)
+    while files.hasNext():
+        path = files.next().getPath()
+        if path.getName() == "_category_.json":
+            stream = fs.open(path)
+            try:
+                label = json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")).get("label")
+            finally:
+                stream.close()
+            if label:
+                rows.append((path.getParent().toUri().getPath()[len(base) :].strip("/"), label))
+    return spark.createDataFrame(rows, "dir string, label string")
 
 
 # ---------------------------------------------------------------- web pages

@@ -34,8 +34,9 @@ def deduplicated(stream: DataFrame, key: str, late: str = "10 minutes") -> DataF
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def limited(stream: DataFrame, limits=C.LIMITS) -> DataFrame:
-    """stream(event_id, user_id, ts) with ok. State: a user's accepted times of the longest window."""
+def limited(stream: DataFrame, limits=C.LIMITS, late: str = "10 minutes") -> DataFrame:
+    """stream(event_id, user_id, ts) with ok. State: a user's accepted times of the longest window;
+    it goes once the watermark has passed that window, and events later than the watermark are left out."""
     ship(stream.sparkSession)
     longest = max(s for _, s in limits)
 
@@ -47,12 +48,12 @@ def limited(stream: DataFrame, limits=C.LIMITS) -> DataFrame:
         rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
         ok = [limiter.offer(t) for t in rows["at"]]
         state.update((list(limiter.accepted),))
-        state.setTimeoutDuration(longest * 1000)
+        state.setTimeoutTimestamp(int((max(rows["at"].max(), state.getCurrentWatermarkMs() / 1000) + longest) * 1000) + 1)
         yield pd.DataFrame({"event_id": rows["event_id"], "user_id": key[0], "ok": ok})
 
-    timed = stream.select("event_id", "user_id", (F.unix_micros("ts") / 1e6).alias("at"))
+    timed = stream.withWatermark("ts", late).select("event_id", "user_id", "ts", (F.unix_micros("ts") / 1e6).alias("at"))
     return timed.groupBy("user_id").applyInPandasWithState(
-        step, "event_id long, user_id long, ok boolean", "accepted array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout
+        step, "event_id long, user_id long, ok boolean", "accepted array<double>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
