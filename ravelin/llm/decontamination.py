@@ -8,7 +8,7 @@ overlapping bands of 2 * (k + 1) diagonals, a band below the bound is dropped, a
 are verified by an alignment that moves within the band and k diagonals on either side, where its
 ends may lie.
 
-q is 16 for items long enough for a useful bound, else 8. A bitmap over hashed q-grams, of a
+q is 16 where an item's length and edits leave a useful bound, else 8. A bitmap over hashed q-grams, of a
 size that follows the items alone, passes over the rest of a text at a few operations a byte.
 
 The items travel to every task. They are a reference set, not corpus data; should they exceed
@@ -34,7 +34,7 @@ from ..shipping import ship
 from .common import text_or_empty
 
 #: Edits allowed, as a share of an item's bytes.
-EDITS = 0.05
+EDITS = 0.08
 LONG_Q, SHORT_Q = 16, 8
 #: Bytes of items that are searched for together.
 BLOCK_BYTES = 32 << 20

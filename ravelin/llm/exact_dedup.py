@@ -97,6 +97,8 @@ def exact_groups(docs: DataFrame) -> DataFrame:
         .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .where("group_size > 1")
     )
+    # Written first, so that both sides of the join are plain exchanges and a hot recipe can be split.
+    groups = materialize(groups, "recipe-groups")
     return recipes.join(groups, ["recipe", key], "left").select(
         "doc_id",
         F.coalesce("keep_id", "doc_id").alias("keep_id"),

@@ -54,4 +54,4 @@ QUERIES = {
     )
 }
 
-ORACLES = {"op7_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op2_secret_scan": secrets.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE}

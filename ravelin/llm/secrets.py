@@ -165,10 +165,37 @@ def _joined(spans: str) -> Column:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
+    def count(kind: int) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
+
+    counts = [count(k) for k in range(3)]
     return scan(docs).select(
         "doc_id",
         *counts,
         F.sha2(_joined("base"), 256).alias("base_sha256"),
         _joined("spans").alias("spans"),
     )
+
+
+def _oracle() -> str:
+    def spans(kind: int, pattern: str, extra: str) -> str:
+        p = pattern.replace("'", "''")
+        return f"""SELECT doc_id, {kind} AS kind, m[i] AS found, (coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS start
+FROM (SELECT *, unnest(generate_series(1, len(m))) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{p}') AS m, regexp_split_to_array(t, '{p}') AS g FROM d WHERE regexp_matches(t, '{p}'))){extra}"""
+
+    assign = ASSIGN.replace("'", "''")
+    bits = f"log2({WINDOW}) - list_sum(list_transform(list_distinct(string_split(w, '')), lambda y: len(list_filter(string_split(w, ''), lambda x: x = y)) * log2(len(list_filter(string_split(w, ''), lambda x: x = y))))) / {WINDOW}"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+base AS (SELECT * FROM ({spans(0, ASSIGN, "")}) WHERE length(regexp_extract(found, '{assign}', 1)) >= 8
+UNION ALL {spans(1, ACCESS, "")} UNION ALL {spans(2, HEX, "")}),
+candidates AS (SELECT * FROM ({spans(3, CANDIDATE, "")}) WHERE {" AND ".join(f"NOT regexp_matches(found, '{p}')" for p in ALLOWED)}),
+free AS (SELECT * FROM candidates c WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = c.doc_id AND b.start < c.start + length(c.found) AND c.start < b.start + length(b.found))),
+windows AS (SELECT doc_id, start, found, substring(found, i, {WINDOW}) AS w FROM (SELECT *, unnest(generate_series(1, length(found) - {WINDOW - 1})) AS i FROM free)),
+entropy AS (SELECT DISTINCT doc_id, 3 AS kind, found, start FROM windows WHERE ({bits}) >= CASE WHEN regexp_matches(w, '^[0-9a-f]+$') THEN {HEX_BITS} ELSE {BASE64_BITS} END),
+spans AS (SELECT *, ['assign', 'access', 'hex', 'entropy'][kind + 1] || ':' || start || ':' || (start + length(found)) AS s FROM (SELECT * FROM base UNION ALL SELECT * FROM entropy))
+SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+sha256(coalesce(string_agg(s, ',' ORDER BY start, kind) FILTER (kind < 3), '')) AS base_sha256, coalesce(string_agg(s, ',' ORDER BY start, kind), '') AS spans
+FROM d LEFT JOIN spans USING (doc_id) GROUP BY d.doc_id"""
+
+
+ORACLE = _oracle()
