@@ -51,7 +51,8 @@ def test_equal_hashes_are_told_apart_by_bytes(documents, monkeypatch):
 
 
 def test_chunks_lose_nothing(spark):
-    text = "".join(random.Random(1).choice("abcdefgh jkmnzé") for _ in range(30_000))
+    rng = random.Random(1)
+    text = "".join(rng.choice("abcdefgh jkmnzé") for _ in range(30_000))
     df = spark.createDataFrame([(text,)], "t string").select(exact_dedup.chunks_of(F.col("t")).alias("c"))
     chunks = df.first().c
     assert "".join(chunks) == text

@@ -70,7 +70,7 @@ def test_configurations_meet_demand_at_the_lower_bound():
     assert np.allclose(sum(a * x for a, x in solution), demand)
     assert all(a @ sizes <= 100 for a, _ in solution)
     assert sum(x for _, x in solution) >= sizes @ demand / 100 - 1e-9
-    assert sum(x for _, x in solution) <= 26
+    assert sum(x for _, x in solution) <= 28  # the sum of sizes is 27.1 bins
 
 
 TEXTS = [

@@ -49,7 +49,8 @@ def test_long_document_in_blocks(documents, monkeypatch):
 def test_repeat_edges(edge, none, documents):
     assert S.digest(none).count() == 0
     assert S.digest(edge).count() == edge.count()
-    same = "".join(random.Random(1).choice("abcdef") for _ in range(300))
+    rng = random.Random(1)
+    same = "".join(rng.choice("abcdef") for _ in range(300))
     # Rows with equal id and text are one document; different texts of one id are its parts.
     got = sorted((r.doc_id, r.n_removed) for r in S.digest(documents([(1, same), (1, same), (2, same)])).collect())
     assert got == [(1, 0), (1, 0), (2, 300)]
