@@ -1,15 +1,24 @@
-"""Removal of repeated multi-line chunks (DataFrame functions only).
-
-A text is split at line feeds. A rolling hash over the hashes of the last three lines chooses
-the chunk ends, so a line that is put in or taken out shifts the cuts of its neighbourhood
-only. Chunks of two or more lines that occur again in any document are removed, all but the
-first occurrence in (doc_id, position) order. Hashes only choose what is compared: a chunk is
-removed because its bytes equal those of an earlier one.
-
-Defined cases: a null text stays null and has no chunks; an empty text is one empty line and
-stays; rows that repeat a doc_id are one document (what is first in one is first in all);
-a null doc_id comes before all others; other columns are carried or ignored; an empty table
-gives an empty result. Single lines are never removed, however often they occur.
+"""Removal of repeated passages of lines (DataFrame functions only).
+
+passage_dedup() is what the query and the pipeline use. A text is split at line feeds, and each
+two neighbouring lines are a pair. A pair that stood earlier, in (doc_id, text, line) order, is
+removed, so a passage of two or more lines that stood earlier goes whole whatever its neighbours
+are. Passages are found without choosing cuts, so none is missed. A pair that overlaps the first
+one of its kind (a line said three times) stays, and the first place of any line always stays.
+
+line_dedup() removes whole chunks only. A rolling hash over the hashes of the last three lines
+chooses the chunk ends; chunks of two or more lines that occur again in any document are removed,
+all but the first occurrence in (doc_id, position) order. A shared passage that is not cut alike
+in both places stays.
+
+In both, hashes only choose what is compared: lines are removed because their bytes equal those
+of earlier ones.
+
+Defined cases: a null text stays null and has no lines; an empty text is one empty line and
+stays; rows that repeat a doc_id are one document (what is first in one is first in all), in
+passage_dedup() if their texts are equal too, other texts of one id being apart; a null doc_id
+comes before all others; other columns are carried or ignored; an empty table gives an empty
+result. A line whose neighbours both differ is never removed, however often it occurs.
 """
 
 from __future__ import annotations
@@ -95,16 +104,40 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     )
 
 
-def line_dedup(docs: DataFrame) -> DataFrame:
-    """docs with the repeated chunks taken out of text, and __removed, their number."""
-    names = docs.columns
-    gone = (
-        repeated_chunks(docs)
-        .groupBy("doc_id")
-        .agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("__gone"))
-        .withColumnRenamed("doc_id", "__id")
+def line_pairs(docs: DataFrame) -> DataFrame:
+    """doc_id, text_h (a hash of the text), start, h, pair: each two neighbouring lines of every text."""
+    lines = docs.select("doc_id", F.xxhash64("text").alias("text_h"), F.split("text", "\n", -1).alias("lines"))
+    n = F.greatest(F.size("lines") - 1, F.lit(0))
+    both = F.arrays_zip(F.slice("lines", F.lit(1), n).alias("a"), F.slice("lines", F.lit(2), n).alias("b"))
+    # Pairs and not lines go through the generator: no row carries its whole text.
+    return lines.select("doc_id", "text_h", F.posexplode(both).alias("start", "p")).select(
+        "doc_id", "text_h", "start", F.xxhash64("p.a", "p.b").alias("h"), F.concat_ws("\n", "p.a", "p.b").alias("pair")
     )
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]), "left").drop("__id")
+
+
+def repeated_pairs(docs: DataFrame) -> DataFrame:
+    """doc_id, text_h, start of every pair of lines to remove."""
+    pairs = line_pairs(docs)
+    keys = materialize(pairs.groupBy("h").count().where("count > 1").select("h"), "pair-keys")
+    keys = small_or_plain(keys, keys.count(), BROADCAST_KEYS)
+    likely = pairs.join(keys, "h", "left_semi")
+    classes = materialize(
+        likely.groupBy("h", "pair")
+        .agg(F.min(F.struct("doc_id", "text_h", "start")).alias("first"), F.count(F.lit(1)).alias("n"))
+        .where("n > 1")
+        .select("h", "pair", "first"),
+        "pair-classes",
+    )
+    here = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_h") == F.col("first.text_h"))
+    return (
+        likely.join(classes, ["h", "pair"])
+        .where(~here | (F.col("start") - F.col("first.start") >= 2))
+        .select("doc_id", "text_h", "start")
+    )
+
+
+def _cut_out(joined: DataFrame, names: list[str]) -> DataFrame:
+    """joined without the (start, end) line ranges of __gone in text, and __removed, their number."""
     # The lines go through a generator so that they are split once and not in the lambda below.
     lines = F.when(F.col("__gone").isNotNull(), F.split("text", "\n", -1))
     split = joined.select("*", F.explode(F.array(lines)).alias("__lines"))
@@ -121,9 +154,35 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     )
 
 
+def passage_dedup(docs: DataFrame) -> DataFrame:
+    """docs with the repeated passages taken out of text, and __removed, the number of line ranges taken."""
+    starts = repeated_pairs(docs).groupBy("doc_id", "text_h").agg(F.sort_array(F.collect_set("start")).alias("s"))
+    # Pairs that overlap or touch are one range.
+    begins = F.filter("s", lambda x, k: (k == 0) | (x - F.get("s", k - 1) > 2))
+    ends = F.transform(F.filter("s", lambda x, k: (k == F.size("s") - 1) | (F.get("s", k + 1) - x > 2)), lambda x: x + 2)
+    gone = starts.select(
+        F.col("doc_id").alias("__id"),
+        F.col("text_h").alias("__text_h"),
+        F.arrays_zip(begins.alias("start"), ends.alias("end")).alias("__gone"),
+    )
+    same = docs["doc_id"].eqNullSafe(gone["__id"]) & (F.xxhash64(docs["text"]) == gone["__text_h"])
+    return _cut_out(docs.join(gone, same, "left"), docs.columns)
+
+
+def line_dedup(docs: DataFrame) -> DataFrame:
+    """docs with the repeated chunks taken out of text, and __removed, their number."""
+    gone = (
+        repeated_chunks(docs)
+        .groupBy("doc_id")
+        .agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("__gone"))
+        .withColumnRenamed("doc_id", "__id")
+    )
+    return _cut_out(docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]), "left"), docs.columns)
+
+
 def digest(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_removed, n_lines_kept, kept_sha256."""
-    out = line_dedup(docs.select("doc_id", "text"))
+    out = passage_dedup(docs.select("doc_id", "text"))
     return out.select(
         "doc_id",
         F.col("__removed").alias("n_removed"),

@@ -119,3 +119,60 @@ def test_lines_edges(edge, none):
     assert out.count() == edge.count()
     assert line_dedup.digest(none).count() == 0
     assert line_dedup.digest(edge).count() == edge.count()
+
+
+def brute_passages(pairs):
+    first, out = {}, []
+    for i, t in sorted(pairs, key=lambda p: (p[0] is not None, p[0])):
+        lines, gone = t.split("\n"), set()
+        for k, pair in enumerate(zip(lines, lines[1:])):
+            d, at = first.setdefault(pair, (i, k))
+            if d != i or k - at >= 2:
+                gone |= {k, k + 1}
+        runs = sum(k - 1 not in gone for k in gone)
+        out.append((i, "\n".join(x for k, x in enumerate(lines) if k not in gone), runs))
+    return out
+
+
+def passages_of(docs):
+    return sorted((r.doc_id, r.text, r["__removed"]) for r in line_dedup.passage_dedup(docs).collect())
+
+
+def test_passages_between_different_neighbours(documents):
+    """Shared passages of 2 to 9 lines go whole, whatever stands around them."""
+    pairs, want = [], []
+    for n in range(2, 10):
+        for copy in range(3):
+            i = n * 10 + copy
+            own = [f"own {i} {k}" for k in range(6)]
+            shared = [f"shared {n} {k}" for k in range(n)]
+            pairs.append((i, "\n".join([*own[: copy + 1], *shared, *own[copy + 1 :]])))
+            want.append(pairs[-1] + (0,) if copy == 0 else (i, "\n".join(own), 1))
+    assert passages_of(documents(pairs)) == want
+    digest = {r.doc_id: (r.n_removed, r.n_lines_kept) for r in line_dedup.digest(documents(pairs)).collect()}
+    assert digest == {i: (n, t.count("\n") + 1) for i, t, n in want}
+
+
+def test_passages_against_brute_force(documents, monkeypatch):
+    rng = random.Random(8)
+    blocks = [[f"line {b} {k}" for k in range(rng.randint(1, 9))] for b in range(12)]
+    pairs = [(1, "\n".join(["again"] * 50)), (2, "x\n" + "\n".join(["again"] * 30) + "\ny"), (3, "z\nz\nz"), (4, "a\nb\na\nb\na"), (5, "")]
+    for i in range(10, 70):
+        lines = [x for _ in range(rng.randint(0, 5)) for x in rng.choice(blocks)]
+        lines.insert(rng.randint(0, len(lines)), f"own {i}")
+        pairs.append((i, "\n".join(lines)))
+    want = sorted(brute_passages(pairs))
+    assert want[:4] == [(1, "again\nagain", 1), (2, "x\ny", 1), (3, "z\nz\nz", 0), (4, "a\nb", 1)]
+    assert passages_of(documents(pairs)) == want
+    # Equal hashes are told apart by bytes.
+    real = F.xxhash64
+    monkeypatch.setattr(line_dedup.F, "xxhash64", lambda *c: real(*c) % 3 if len(c) == 2 else real(*c))
+    assert passages_of(documents(pairs)) == want
+
+
+def test_passages_of_rows_with_one_id(documents):
+    same = "p\nq\nr"
+    got = sorted(r.text for r in line_dedup.passage_dedup(documents([(1, same), (1, same), (1, "own\n" + same)])).collect())
+    assert got in (["own", same, same], ["", "", "own\n" + same])
+    got = sorted(r.text for r in line_dedup.passage_dedup(documents([(None, same), (None, "u\nv\nw"), (3, "s\n" + same)])).collect())
+    assert got == sorted([same, "u\nv\nw", "s"])
