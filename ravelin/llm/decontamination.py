@@ -1,6 +1,6 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
-Texts and items are compared as UTF-8 bytes, ASCII letters lower-cased and white space
+Texts and items are compared as UTF-8 bytes, letters of all scripts case-folded and white space
 collapsed. An item of m bytes counts as found where a stretch of a text is within
 k = EDITS * m edits of it. Such a stretch shares at least m - q + 1 - k*q q-grams with the
 item, all of them on k + 1 neighbouring diagonals. So shared q-grams are counted in
@@ -44,7 +44,7 @@ _SPACES = re.compile(rb"[\x20\x09-\x0d]+")
 
 
 def normalise(text: str) -> bytes:
-    return _SPACES.sub(b" ", text.encode().lower()).strip(b" ")
+    return _SPACES.sub(b" ", text.casefold().encode()).strip(b" ")
 
 
 def _grams(data: np.ndarray, q: int) -> np.ndarray:

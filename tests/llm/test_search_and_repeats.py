@@ -123,3 +123,12 @@ def test_search_edges(edge, none, spark):
     out = D.decontaminate(edge, items)
     assert out.columns == edge.columns and out.count() == edge.count() - 1
     assert D.contamination(none, items).count() == 0
+
+
+def test_capitals_of_all_scripts_cost_no_edits(documents, spark):
+    items = [(1, "l'été dernier, élève à l'école dédiée, où été préféré"), (2, "съешь ещё этих мягких французских булок"),
+             (3, "ξεσκεπάζω την ψυχοφθόρα βδελυγμία της οδός"), (4, "die größte straße heißt schloßstraße")]
+    docs = documents([(i, f"avant {t.upper()} après") for i, t in items])
+    items = spark.createDataFrame(items, "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id, r.edits) for r in D.contamination(docs, items).collect()) == [(i, i, 0) for i in range(1, 5)]
+    assert D.decontaminate(docs, items).count() == 0
