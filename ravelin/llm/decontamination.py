@@ -8,14 +8,15 @@ overlapping bands of 2 * (k + 1) diagonals, a band below the bound is dropped, a
 are verified by an alignment that moves within the band and k diagonals on either side, where its
 ends may lie.
 
-q is 16 where an item's length and edits leave a useful bound, else 8. A bitmap over hashed q-grams, of a
+q is 16 where an item's length and edits leave a useful bound, else the largest of 8, 4, 2 and 1
+that leaves any bound. A bitmap over hashed q-grams, of a
 size that follows the items alone, passes over the rest of a text at a few operations a byte.
 
 The items travel to every task. They are a reference set, not corpus data; should they exceed
 BLOCK_BYTES they are taken in blocks of that size, each against all texts.
 
-Defined cases: null and empty texts match nothing; items whose bound allows no match (under 8
-bytes after normalisation) match nothing; equal items are reported each; repeated rows are
+Defined cases: null and empty texts match nothing, and so do null and empty items; items
+too short for an edit are found where they stand exactly, however short; equal items are reported each; repeated rows are
 reported each; a null doc_id or item_id is carried; other columns are ignored by contamination()
 and kept by decontaminate(); empty tables give empty or unchanged results.
 """
@@ -36,6 +37,8 @@ from .common import text_or_empty
 #: Edits allowed, as a share of an item's bytes.
 EDITS = 0.08
 LONG_Q, SHORT_Q = 16, 8
+#: For items whose bound fails at SHORT_Q; at q = 1 it holds for any item longer than its edits.
+LEAST_QS = (4, 2, 1)
 #: Bytes of items that are searched for together.
 BLOCK_BYTES = 32 << 20
 #: Bytes of a text that are filtered at a time.
@@ -48,10 +51,15 @@ def normalise(text: str) -> bytes:
 
 
 def _grams(data: np.ndarray, q: int) -> np.ndarray:
-    """A 64-bit code for each q-gram (q is 8 or 16)."""
+    """A 64-bit code for each q-gram (q is 16, 8 or less)."""
     n = len(data) - q + 1
     if n <= 0:
         return np.empty(0, np.uint64)
+    if q < 8:
+        code = np.zeros(n, np.uint64)
+        for j in range(q):
+            code |= data[j : j + n].astype(np.uint64) << np.uint64(8 * j)
+        return code * np.uint64(0xD6E8FEB86659FD93)
     words = np.lib.stride_tricks.sliding_window_view(data, 8)
     code = np.ascontiguousarray(words).view("<u8").ravel().astype(np.uint64, copy=False)
     if q == 16:
@@ -153,11 +161,12 @@ def banded_distance(item: bytes, text: bytes, low: int, high: int, most: int) ->
 
 class Searcher:
     def __init__(self, items: list[tuple[int, bytes]], edits: float = EDITS):
-        by_q: dict[int, list[tuple[int, bytes]]] = {LONG_Q: [], SHORT_Q: []}
+        bounds = ((LONG_Q, 16), (SHORT_Q, 1), *((q, 1) for q in LEAST_QS))
+        by_q: dict[int, list[tuple[int, bytes]]] = {q: [] for q, _ in bounds}
         for ident, text in items:
             m = len(text)
             k = int(m * edits)
-            q = next((q for q, least in ((LONG_Q, 16), (SHORT_Q, 1)) if m - q + 1 - k * q >= least), None)
+            q = next((q for q, least in bounds if m - q + 1 - k * q >= least), None)
             if q:
                 by_q[q].append((ident, text))
         self.indexes = [QGramIndex(q, found, edits) for q, found in by_q.items() if found]

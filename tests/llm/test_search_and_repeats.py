@@ -132,3 +132,17 @@ def test_capitals_of_all_scripts_cost_no_edits(documents, spark):
     items = spark.createDataFrame(items, "item_id long, text string")
     assert sorted((r.doc_id, r.item_id, r.edits) for r in D.contamination(docs, items).collect()) == [(i, i, 0) for i in range(1, 5)]
     assert D.decontaminate(docs, items).count() == 0
+
+
+def test_short_items_are_found():
+    """Items of every length from one byte on, exact and, where the budget has an edit, edited."""
+    rng = random.Random(6)
+    for m in range(1, 40):
+        item = "".join(rng.choice("abcdefghijklm") for _ in range(m)).encode()
+        k = int(m * D.EDITS)
+        search = D.Searcher([(1, item)])
+        for edits in range(k + 1):
+            text = f"0123 {edited(rng, item.decode(), edits)} 4567"
+            assert [(x[0], x[1]) for x in search.find(text)] == [(1, distance(item, text.encode()))], (m, edits)
+        assert search.find("0123 456789") == []
+    assert D.Searcher([(1, b"")]).find("text") == []
