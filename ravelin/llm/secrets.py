@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import fold_or, text_or_empty
 
 # Patterns of the base kinds in their order; failing matches are dropped after
 # matching where a shorter pattern could match elsewhere (assign), else the length is in the pattern.
@@ -148,7 +148,8 @@ def scan(docs: DataFrame) -> DataFrame:
     suspicious = F.filter(
         "__candidates",
         lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        & ~s["found"].rlike("|".join(ALLOWED[2:]))
+        # One by one: joined, the (?i) of a pattern would reach into those behind it.
+        & ~fold_or([s["found"].rlike(p) for p in ALLOWED[2:]])
         & (
             (window_entropy(s["found"], HEX_CLASS) >= HEX_BITS)
             | (window_entropy(s["found"], BASE64_CLASS) >= BASE64_BITS)

@@ -55,6 +55,13 @@ def test_secrets_match_patterns(documents):
     assert extra(6) == ["d41d8cd98f00b204e980"]
 
 
+def test_allow_patterns_keep_their_own_case(documents):
+    found = ["QwErTyUiOpAsDfGhJkLzXcVb9", "KqWzRtYpLmNbVcXaSdFgHjEu/TyQo12"]
+    allowed = ["qwertyuiopasdfghjklzxcvb9", "123E4567-E89B-12D3-A456-426614174000", "EXAMPLEZk3vQ9xT1mB7rL5p"]
+    got = {r.doc_id: r.spans for r in secrets.digest(documents(list(enumerate(found + allowed)))).collect()}
+    assert got == {i: f"entropy:0:{len(t)}" if t in found else "" for i, t in enumerate(found + allowed)}
+
+
 def test_entropy_by_incremental_counts(spark):
     rng = random.Random(2)
     words = ["".join(rng.choice("abcdef0123456789XYZ+/") for _ in range(rng.randint(0, 60))) for _ in range(40)] + ["a" * 50, ""]
