@@ -18,16 +18,26 @@ SPACES = r"[\x20\x09-\x0D]+"
 _written: list[tuple[SparkSession, str]] = []
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, lengthened until no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the session names none
-    (tests on one machine) is a temporary one chosen."""
+    """The folder that driver and executors share. Only where the session names none and all
+    runs on one machine (tests) is a temporary one chosen; a cluster must name one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     own = os.path.join(tempfile.gettempdir(), "ravelin-shared")
     spark.conf.set("spark.checkpoint.dir", own)
     return own
@@ -40,7 +50,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/ravelin-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._ravelin_path = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialize() wrote, once everything read from them is written itself."""
+    for df in tables:
+        entry = (df.sparkSession, df._ravelin_path)
+        if entry in _written:
+            _written.remove(entry)
+            _delete(*entry)
 
 
 def release(spark: SparkSession) -> None:
@@ -50,14 +71,16 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def drop_materialized() -> None:
     """Delete what materialize() wrote; also runs when the driver ends."""
     while _written:
-        spark, path = _written.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(*_written.pop())
         except Exception:  # the session may be gone by then
             return
 
@@ -75,5 +98,5 @@ def fold_or(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, columns)
 
 
-def text_or_empty(column: str = "text") -> Column:
-    return F.coalesce(F.col(column), F.lit(""))
+def text_or_empty(column: str | Column = "text") -> Column:
+    return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _compressed(parents: DataFrame) -> DataFrame:
@@ -13,9 +13,10 @@ def _compressed(parents: DataFrame) -> DataFrame:
     while True:
         ahead = parents.select(F.col("node").alias("root"), F.col("root").alias("far"))
         moved = materialize(parents.join(ahead, "root").select("node", F.col("far").alias("root"), (F.col("far") != F.col("root")).alias("moved")), "roots")
-        parents = moved.select("node", "root")
+        discard(parents)
+        parents = moved
         if not moved.where("moved").limit(1).count():
-            return parents
+            return moved
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -37,9 +38,14 @@ def connected_components(links: DataFrame) -> DataFrame:
         roots = _compressed(materialize(hooked.select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "hooked"))
         maps.append(roots)
         ends = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        left = drawn(left.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(ends, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+        redrawn = drawn(left.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(ends, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+        discard(left)
+        left = redrawn
     out = maps[0]
     for later in maps[1:]:
         step = later.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        out = materialize(out.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "roots")
-    return out
+        whole = materialize(out.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "roots")
+        discard(out, later)
+        out = whole
+    discard(left)
+    return out.select("node", "root")

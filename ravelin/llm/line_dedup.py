@@ -12,13 +12,12 @@ all but the first occurrence in (doc_id, position) order. A shared passage that
 in both places stays.
 
 In both, hashes only choose what is compared: lines are removed because their bytes equal those
-of earlier ones.
+of earlier ones. Cuts go back to their row by doc_id and a hash of its text.
 
 Defined cases: a null text stays null and has no lines; an empty text is one empty line and
-stays; rows that repeat a doc_id are one document (what is first in one is first in all), in
-passage_dedup() if their texts are equal too, other texts of one id being apart; a null doc_id
-comes before all others; other columns are carried or ignored; an empty table gives an empty
-result. A line whose neighbours both differ is never removed, however often it occurs.
+stays; rows that repeat a doc_id and its text are one document (what is first in one is first in all),
+other texts of one id are documents of their own; a null doc_id comes before all others; other
+columns, whatever their names, are carried; an empty table gives an empty result. A line whose neighbours both differ is never removed, however often it occurs.
 """
 
 from __future__ import annotations
@@ -26,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_or_plain
+from .common import free_name, materialize, small_or_plain
 
 #: A chunk ends where the rolling hash is divisible by this: chunks have so many lines on average.
 MEAN_LINES = 3
@@ -39,8 +38,8 @@ BROADCAST_KEYS = 500_000
 
 
 def _bounded(docs: DataFrame) -> DataFrame:
-    """doc_id, lines, cuts: cuts are (start, end) line numbers, end exclusive."""
-    lines = docs.select("doc_id", F.split("text", "\n", -1).alias("lines"))
+    """doc_id, text_h (a hash of the text), lines, cuts: cuts are (start, end) line numbers, end exclusive."""
+    lines = docs.select("doc_id", F.xxhash64("text").alias("text_h"), F.split("text", "\n", -1).alias("lines"))
     hashes = lines.withColumn("h", F.transform("lines", lambda x: F.xxhash64(x) % F.lit(2**31 - 1)))
     shifted = hashes.withColumn(
         "roll",
@@ -53,6 +52,7 @@ def _bounded(docs: DataFrame) -> DataFrame:
     )
     ends = shifted.select(
         "doc_id",
+        "text_h",
         "lines",
         F.array_distinct(
             F.concat(
@@ -63,6 +63,7 @@ def _bounded(docs: DataFrame) -> DataFrame:
     )
     return ends.select(
         "doc_id",
+        "text_h",
         "lines",
         F.arrays_zip(
             F.slice(F.concat(F.array(F.lit(0)), F.col("ends")), F.lit(1), F.size("ends")).alias("start"),
@@ -72,12 +73,13 @@ def _bounded(docs: DataFrame) -> DataFrame:
 
 
 def line_chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, start, end (line numbers, end exclusive), chunk: the chunks of every text."""
+    """doc_id, text_h, start, end (line numbers, end exclusive), chunk: the chunks of every text."""
     return (
         _bounded(docs)
-        .select("doc_id", "lines", F.explode_outer("cuts").alias("cut"))
+        .select("doc_id", "text_h", "lines", F.explode_outer("cuts").alias("cut"))
         .select(
             "doc_id",
+            "text_h",
             F.col("cut.start").alias("start"),
             F.col("cut.end").alias("end"),
             F.array_join(F.slice("lines", F.col("cut.start") + 1, F.col("cut.end") - F.col("cut.start")), "\n").alias("chunk"),
@@ -86,21 +88,23 @@ def line_chunks(docs: DataFrame) -> DataFrame:
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, start, end of every chunk occurrence to remove."""
+    """doc_id, text_h, start, end of every chunk occurrence to remove."""
     multi = line_chunks(docs).where("end - start > 1").withColumn("h", F.xxhash64("chunk"))
     keys = materialize(multi.groupBy("h").count().where("count > 1").select("h"), "line-keys")
     keys = small_or_plain(keys, keys.count(), BROADCAST_KEYS)
     likely = multi.join(keys, "h", "left_semi")
-    classes = (
+    # Written first, so that both sides of the join are plain exchanges and a hot chunk can be split.
+    classes = materialize(
         likely.groupBy("h", "chunk")
-        .agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n"))
+        .agg(F.min(F.struct("doc_id", "text_h", "start")).alias("first"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
-        .select("h", "chunk", "first")
+        .select("h", "chunk", "first"),
+        "line-classes",
     )
     return (
         likely.join(classes, ["h", "chunk"])
-        .where(~F.struct("doc_id", "start").eqNullSafe(F.col("first")))
-        .select("doc_id", "start", "end")
+        .where(~F.struct("doc_id", "text_h", "start").eqNullSafe(F.col("first")))
+        .select("doc_id", "text_h", "start", "end")
     )
 
 
@@ -136,56 +140,55 @@ def repeated_pairs(docs: DataFrame) -> DataFrame:
     )
 
 
-def _cut_out(joined: DataFrame, names: list[str]) -> DataFrame:
-    """joined without the (start, end) line ranges of __gone in text, and __removed, their number."""
+def _without(docs: DataFrame, gone: DataFrame, same, count: str | None) -> DataFrame:
+    """docs without the line ranges of gone(.., gone: array of (start, end)) in text; count names a
+    column for the number of ranges, if wanted."""
+    cuts = gone["gone"]
+    lines, number = free_name(docs, "lines"), free_name(docs, "gone")
     # The lines go through a generator so that they are split once and not in the lambda below.
-    lines = F.when(F.col("__gone").isNotNull(), F.split("text", "\n", -1))
-    split = joined.select("*", F.explode(F.array(lines)).alias("__lines"))
-    stays = F.arrays_zip(
-        F.concat(F.array(F.lit(0)), F.col("__gone.end")).alias("start"),
-        F.concat(F.col("__gone.start"), F.array(F.size("__lines"))).alias("end"),
-    )
-    kept = F.array_join(
-        F.flatten(F.transform(stays, lambda r: F.slice("__lines", r["start"] + 1, r["end"] - r["start"]))), "\n"
+    split = docs.join(gone, same, "left").select(
+        *[docs[c] for c in docs.columns], cuts.alias(number), F.explode(F.array(F.when(cuts.isNotNull(), F.split(docs["text"], "\n", -1)))).alias(lines)
     )
-    return split.select(
-        *[F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept).alias(c) if c == "text" else F.col(c) for c in names],
-        F.coalesce(F.when(F.col("__gone").isNotNull(), F.size("__gone")), F.lit(0)).cast("long").alias("__removed"),
+    stays = F.arrays_zip(
+        F.concat(F.array(F.lit(0)), F.col(f"{number}.end")).alias("start"),
+        F.concat(F.col(f"{number}.start"), F.array(F.size(lines))).alias("end"),
     )
+    kept = F.array_join(F.flatten(F.transform(stays, lambda r: F.slice(lines, r["start"] + 1, r["end"] - r["start"]))), "\n")
+    text = F.when(F.col(number).isNull(), F.col("text")).otherwise(kept)
+    removed = F.coalesce(F.when(F.col(number).isNotNull(), F.size(number)), F.lit(0)).cast("long")
+    return split.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], *([removed.alias(count)] if count else []))
 
 
-def passage_dedup(docs: DataFrame) -> DataFrame:
-    """docs with the repeated passages taken out of text, and __removed, the number of line ranges taken."""
+def passage_dedup(docs: DataFrame, count: str | None = None) -> DataFrame:
+    """docs with the repeated passages taken out of text; count names a column for the number of line ranges taken."""
     starts = repeated_pairs(docs).groupBy("doc_id", "text_h").agg(F.sort_array(F.collect_set("start")).alias("s"))
     # Pairs that overlap or touch are one range.
     begins = F.filter("s", lambda x, k: (k == 0) | (x - F.get("s", k - 1) > 2))
     ends = F.transform(F.filter("s", lambda x, k: (k == F.size("s") - 1) | (F.get("s", k + 1) - x > 2)), lambda x: x + 2)
     gone = starts.select(
-        F.col("doc_id").alias("__id"),
-        F.col("text_h").alias("__text_h"),
-        F.arrays_zip(begins.alias("start"), ends.alias("end")).alias("__gone"),
+        F.col("doc_id").alias("id"), "text_h", F.arrays_zip(begins.alias("start"), ends.alias("end")).alias("gone")
     )
-    same = docs["doc_id"].eqNullSafe(gone["__id"]) & (F.xxhash64(docs["text"]) == gone["__text_h"])
-    return _cut_out(docs.join(gone, same, "left"), docs.columns)
+    same = docs["doc_id"].eqNullSafe(gone["id"]) & (F.xxhash64(docs["text"]) == gone["text_h"])
+    return _without(docs, gone, same, count)
 
 
-def line_dedup(docs: DataFrame) -> DataFrame:
-    """docs with the repeated chunks taken out of text, and __removed, their number."""
+def line_dedup(docs: DataFrame, count: str | None = None) -> DataFrame:
+    """docs with the repeated chunks taken out of text; count names a column for their number."""
     gone = (
         repeated_chunks(docs)
-        .groupBy("doc_id")
-        .agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("__gone"))
-        .withColumnRenamed("doc_id", "__id")
+        .groupBy(F.col("doc_id").alias("id"), "text_h")
+        .agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("gone"))
     )
-    return _cut_out(docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]), "left"), docs.columns)
+    same = docs["doc_id"].eqNullSafe(gone["id"]) & (F.xxhash64(docs["text"]) == gone["text_h"])
+    return _without(docs, gone, same, count)
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_removed, n_lines_kept, kept_sha256."""
-    out = passage_dedup(docs.select("doc_id", "text"))
+    out = passage_dedup(docs.select("doc_id", "text"), count="n_removed")
     return out.select(
         "doc_id",
-        F.col("__removed").alias("n_removed"),
+        "n_removed",
         F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long").alias("n_lines_kept"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
     )

@@ -9,7 +9,8 @@ def documents(spark):
 
     def make(rows, **more):
         df = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], SCHEMA)
-        for name in ("h", "pos", "first", "node", "key", "__n", "recipe", "chunk", "score", "w", "base", "spans"):
+        for name in ("h", "pos", "first", "node", "key", "__n", "recipe", "chunk", "score", "w", "base", "spans",
+                     "__gone", "__removed", "__id", "__lines", "__text_h", "__words", "gone", "lines", "start", "text_h", "id", "place", "family"):
             df = df.withColumn(name, df["lang"])
         return df
 

@@ -107,14 +107,14 @@ def test_lines_against_brute_force(documents):
         lines = [x for _ in range(rng.randint(0, 4)) for x in rng.choice(blocks)]
         lines.insert(rng.randint(0, len(lines)), f"own {i}")
         pairs.append((i, "\n".join(lines)))
-    got = sorted((r.doc_id, r.text, r["__removed"]) for r in line_dedup.line_dedup(documents(pairs)).collect())
+    got = sorted((r.doc_id, r.text, r.n) for r in line_dedup.line_dedup(documents(pairs), count="n").collect())
     assert got == sorted(brute_lines(pairs))
     assert any(g[2] for g in got)
 
 
 def test_lines_edges(edge, none):
     out = line_dedup.line_dedup(edge)
-    assert out.columns == [*edge.columns, "__removed"]
+    assert out.columns == edge.columns
     assert {r.doc_id: r.text for r in out.collect() if r.doc_id in (1, 2, 3)} == {1: None, 2: "", 3: "a"}
     assert out.count() == edge.count()
     assert line_dedup.digest(none).count() == 0
@@ -135,7 +135,7 @@ def brute_passages(pairs):
 
 
 def passages_of(docs):
-    return sorted((r.doc_id, r.text, r["__removed"]) for r in line_dedup.passage_dedup(docs).collect())
+    return sorted((r.doc_id, r.text, r.n_ranges) for r in line_dedup.passage_dedup(docs, count="n_ranges").collect())
 
 
 def test_passages_between_different_neighbours(documents):
@@ -170,6 +170,16 @@ def test_passages_against_brute_force(documents, monkeypatch):
     assert passages_of(documents(pairs)) == want
 
 
+def test_lines_of_rows_with_one_id(documents):
+    """Cuts of one row stay out of another with its id."""
+    unique = "\n".join(f"own line {i}" for i in range(40))
+    block = "\n".join(f"shared {i}" for i in range(30))
+    pairs = [(1, block), (2, block), (2, unique)]
+    for dedup in (line_dedup.line_dedup, line_dedup.passage_dedup):
+        out = dedup(documents(pairs)).collect()
+        assert unique in [r.text for r in out] and len(out) == 3 and block not in [r.text for r in out if r.doc_id == 2]
+
+
 def test_passages_of_rows_with_one_id(documents):
     same = "p\nq\nr"
     got = sorted(r.text for r in line_dedup.passage_dedup(documents([(1, same), (1, same), (1, "own\n" + same)])).collect())

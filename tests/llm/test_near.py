@@ -146,6 +146,40 @@ def test_near_groups_against_brute_force(documents):
     assert kept == {i for i, k in got.items() if i == k}
 
 
+def test_large_families_go_by_pivots(documents, monkeypatch):
+    """Buckets and families beyond a block: pivots, and cells for what they leave, change nothing."""
+    pairs = list(enumerate(make_texts(random.Random(9), 80)))
+    plain = {r.doc_id: r.keep_id for r in near_dedup.near_groups(documents(pairs)).collect()}
+    for block, pivots in ((2, 1), (3, 3), (2, 0)):
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
+        monkeypatch.setattr(near_dedup, "PIVOTS", pivots)
+        assert {r.doc_id: r.keep_id for r in near_dedup.near_groups(documents(pairs)).collect()} == plain
+    monkeypatch.setattr(near_dedup, "BLOCK", 1000)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 100)
+    assert {r.doc_id: r.keep_id for r in near_dedup.near_groups(documents(pairs)).collect()} == plain
+
+
+def test_trees_hold_no_pair_lists():
+    """4,000 like nodes of 500 shingles: memory stays far below that of their eight million pairs."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    prints = np.tile(rng.integers(0, 1 << 62, (1, near_dedup.WORDS), np.int64).view(np.uint64), (4000, 1))
+    prints ^= np.uint64(1) << rng.integers(0, 64, prints.shape).astype(np.uint64)
+    sets = [np.sort(rng.choice(520, 500, replace=False)) for _ in range(4000)]
+    tracemalloc.start()
+    label = near_dedup.trees(prints, np.zeros(4000, np.int64), lambda i, j: near_dedup.shared(sets[i], sets[j]) >= 0.8 * 520)
+    assert len(set(label.tolist())) == 1 and tracemalloc.get_traced_memory()[1] < 64 << 20
+    tracemalloc.stop()
+
+
+def test_rows_of_one_id_are_kept_apart(documents):
+    long = " ".join(f"w{i}" for i in range(40))
+    pairs = [(1, long), (7, long + " more"), (7, "a text that no other row is near to at all"), (8, long), (8, long), (9, None)]
+    kept = sorted(((r.doc_id, r.text) for r in near_dedup.keep_one(documents(pairs, )).collect()), key=str)
+    assert kept == sorted([(1, long), (7, pairs[2][1]), (9, None)], key=str)
+
+
 def test_near_edges(edge, none):
     out = near_dedup.keep_one(edge)
     assert out.columns == edge.columns
