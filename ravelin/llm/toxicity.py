@@ -1,14 +1,18 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A clause is read by a composition of transducers: the lexicon turns words into insults and
-threats with weights, further ones mark what stands under a negation, inside reported speech,
-and aimed at a target. The heaviest path says how each insult or threat of the clause counts;
-a document is scored by what its matched clauses add up to, not by single words.
-
-What is learned, and from what: the lexicon's words and stems with their weights, and the
-weights of the marked clauses (logistic regression). Both come from a bounded sample of the
-labelled rows outside the held-out fold: FIT_TOXIC toxic and FIT_CLEAN others, the first by a
-hash of doc_id. labels, lang, source and doc_id are no inputs of a score.
+A clause is read by a composition of transducers: one turns words into insults and one into
+threats, with weights (a threat weighs more behind a word of intent), one finds the targets,
+and further ones mark what stands under a negation, inside reported speech, and aimed at a
+target. The heaviest path says what the clause amounts to; a document is scored by its matched
+clauses: for insults and threats, what those of each reading add up to, and the heaviest
+clause. An insult without a target is a clause of its own reading (plain), since an epithet
+alone can be one; what it weighs is learned like the rest.
+
+What is learned, and from what: the insult machine's words and stems with their weights, at
+most MAX_ENTRIES, and the weights of the readings (logistic regression). Both come from a
+bounded sample of the labelled rows outside the held-out fold: FIT_TOXIC toxic and FIT_CLEAN
+others, the first by a hash of doc_id; their texts stay on the executors. labels, lang, source
+and doc_id are no inputs of a score.
 
 Defined cases: a null or empty text has no clause and gets the intercept's score; every row is
 scored by itself, so repeated rows score alike; a null doc_id is not held out; labels that
@@ -21,6 +25,8 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
+from functools import reduce
 
 import ahocorasick
 import numpy as np
@@ -29,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import text_or_empty
+from .common import discard, materialize, text_or_empty
 from .transducers import Transducer
 
 FOLDS, HELD_OUT = 5, 0
@@ -44,29 +50,74 @@ MIN_ROWS, MIN_ODDS, MIN_RATIO, MAX_ENTRIES = 3, 2.5, 16.0, 2_000
 INSULTS = "idiot moron stupid loser scum trash worthless pathetic disgusting clown dumb filthy vermin coward dummkopf abschaum versager imbécile ordure crétin imbécil basura escoria"
 THREATS = "kill hurt destroy crush beat strangle burn töten umbringen vernichten tuer détruire matar destruir"
 TARGETS = "you your yours they them he him she her du dich dir ihr euch sie tu te toi vous ils eux tú usted ustedes ellos"
+INTENTS = "will shall gonna going i'll we'll werde werden wirst vais va allons voy vamos"
 NEGATIONS = "not no never nobody isn't aren't wasn't don't doesn't nicht kein keine nie niemals pas jamais aucun nunca jamás tampoco"
 REPORTS = "said says claimed called quoted wrote reported sagte sagt schrieb nannte dit disait appelé écrit dijo dice escribió llamó"
 SEED_WEIGHT = 1.5
 
 CLAUSE = re.compile(r"[^.!?;:\n]+")
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[\"“”«»„]")
-#: Tokens under a negation, and from a target to what is aimed at it.
-NEGATION_REACH, TARGET_REACH = 3, 4
+#: Tokens under a negation, behind a word of intent, and from a target to what is aimed at it.
+NEGATION_REACH, INTENT_REACH, TARGET_REACH = 3, 4, 4
 QUOTES = set("\"“”«»„")
 
 
 # ---------------------------------------------------------------- the grammar
 
 
+# Symbols are (kind, marks, value). Words come in as ("word", {}, word); hits leave as
+# ("insult" or "threat", marks, weight).
+HITS = ("insult", "threat")
+PLAIN_MARK: frozenset = frozenset()
+
+
+def insults(weight: Callable[[str], float]) -> Transducer:
+    """Words with a weight become insults."""
+
+    def arcs(state, symbol):
+        kind, mark, word = symbol
+        w = weight(word) if kind == "word" else 0.0
+        yield (("insult", mark, w) if w > 0 else symbol), 0.0, state
+
+    return Transducer(0, arcs)
+
+
+def threats_of(weights: dict[str, float]) -> Transducer:
+    """State: tokens still under a word of intent. Words with a weight become threats, half as heavy again under intent."""
+    intents = frozenset(INTENTS.split())
+
+    def arcs(left, symbol):
+        kind, mark, word = symbol
+        if kind == "word" and word in intents:
+            yield symbol, 0.0, INTENT_REACH
+        elif kind == "word" and word in weights:
+            yield ("threat", mark, weights[word] * (1.5 if left else 1.0)), 0.0, max(0, left - 1)
+        else:
+            yield symbol, 0.0, max(0, left - 1)
+
+    return Transducer(0, arcs)
+
+
+def targets() -> Transducer:
+    """Words for whom something is aimed at."""
+    words = frozenset(TARGETS.split())
+
+    def arcs(state, symbol):
+        yield (("target", symbol[1], symbol[2]) if symbol[0] == "word" and symbol[2] in words else symbol), 0.0, state
+
+    return Transducer(0, arcs)
+
+
 def negation() -> Transducer:
     """State: tokens still under a negation. Hits in reach are marked."""
+    words = frozenset(NEGATIONS.split())
 
     def arcs(left, symbol):
-        kind, mark, w = symbol
-        if kind == "neg":
+        kind, mark, value = symbol
+        if kind == "word" and value in words:
             yield symbol, 0.0, NEGATION_REACH
-        elif kind == "hit" and left:
-            yield ("hit", mark | {"negated"}, w), 0.0, left - 1
+        elif kind in HITS and left:
+            yield (kind, mark | {"negated"}, value), 0.0, left - 1
         else:
             yield symbol, 0.0, max(0, left - 1)
 
@@ -75,15 +126,16 @@ def negation() -> Transducer:
 
 def reported() -> Transducer:
     """State: inside reported speech. A reporting verb opens it up to the clause's end, a quote toggles it."""
+    words = frozenset(REPORTS.split())
 
     def arcs(inside, symbol):
-        kind, mark, w = symbol
-        if kind == "report":
+        kind, mark, value = symbol
+        if kind == "word" and value in words:
             yield symbol, 0.0, True
-        elif kind == "quote":
+        elif kind == "word" and value in QUOTES:
             yield symbol, 0.0, not inside
-        elif kind == "hit" and inside:
-            yield ("hit", mark | {"reported"}, w), 0.0, inside
+        elif kind in HITS and inside:
+            yield (kind, mark | {"reported"}, value), 0.0, inside
         else:
             yield symbol, 0.0, inside
 
@@ -97,38 +149,40 @@ def aimed() -> Transducer:
 
     def arcs(state, symbol):
         since, due = state
-        kind, mark, w = symbol
+        kind, mark, value = symbol
         if due == 1 and kind != "target":
             return
         later = 0 if kind == "target" else max(0, due - 1)
         since = 0 if kind == "target" else min(since + 1, TARGET_REACH + 1)
-        if kind != "hit":
+        if kind not in HITS:
             yield symbol, 0.0, (since, later)
         elif since <= TARGET_REACH:
-            yield ("hit", mark | {"aimed"}, w), 0.5, (since, later)
+            yield (kind, mark | {"aimed"}, value), 0.5, (since, later)
         else:
             yield symbol, 0.0, (since, later)
-            yield ("hit", mark | {"aimed"}, w), 0.5, (since, min(later, TARGET_REACH) if later else TARGET_REACH)
+            yield (kind, mark | {"aimed"}, value), 0.5, (since, min(later, TARGET_REACH) if later else TARGET_REACH)
 
     return Transducer((TARGET_REACH + 1, 0), arcs, lambda s: float("-inf") if s[1] else 0.0)
 
 
-GRAMMAR = negation() @ reported() @ aimed()
-#: What a hit can amount to; one feature each.
+#: What a hit can amount to.
 READINGS = ("plain", "aimed", "negated", "reported")
+#: For each kind of hit and reading the weight of its clauses, then all weight, and the heaviest clause.
+FEATURES = len(HITS) * len(READINGS) + 2
 
 
 def reading(mark: frozenset) -> str:
     return next((r for r in ("negated", "reported", "aimed") if r in mark), "plain")
 
 
-class Lexicon:
-    """Words and stems with weights; finds the clauses that can match and turns them into symbols."""
+class Grammar:
+    """The composed machine over its words and stems; finds the clauses that can match and reads them."""
 
     def __init__(self, words: dict[str, float], stems: dict[str, float], threats: dict[str, float]):
         self.words, self.stems, self.threats = words, stems, threats
         self.lengths = sorted({len(s) for s in stems}, reverse=True)
-        self.classes = {w: k for k, ws in (("neg", NEGATIONS), ("report", REPORTS), ("target", TARGETS)) for w in ws.split()}
+        self.parts = threats_of(threats), insults(self.weight), targets(), negation(), reported(), aimed()
+        self.machine = reduce(Transducer.__matmul__, self.parts)
         self.automaton = ahocorasick.Automaton()
         for entry in (*words, *stems, *threats):
             self.automaton.add_word(entry, len(entry))
@@ -136,12 +190,8 @@ class Lexicon:
             self.automaton.make_automaton()
 
     def weight(self, word: str) -> float:
-        return max(
-            self.words.get(word, 0.0),
-            self.threats.get(word, 0.0),
-            *(self.stems.get(word[:n], 0.0) for n in self.lengths if len(word) >= n),
-            0.0,
-        )
+        """Of an insult."""
+        return max(self.words.get(word, 0.0), *(self.stems.get(word[:n], 0.0) for n in self.lengths if len(word) >= n), 0.0)
 
     def hit_places(self, low: str) -> list[int]:
         """Where an entry begins a word."""
@@ -154,39 +204,28 @@ class Lexicon:
                 out.append(at)
         return out
 
-    def symbols(self, clause: str) -> list[tuple[str, frozenset, float]]:
-        out = []
-        for word in WORD.findall(clause):
-            if word in QUOTES:
-                out.append(("quote", frozenset(), 0.0))
-                continue
-            w = self.weight(word)
-            if w > 0:
-                out.append(("hit", frozenset(), w))
-            else:
-                out.append((self.classes.get(word, "word"), frozenset(), 0.0))
-        return out
+    def read(self, clause: str) -> list[tuple[str, frozenset, float]]:
+        """The hits of the heaviest path."""
+        words = [("word", PLAIN_MARK, w) for w in WORD.findall(clause)]
+        return [x for x in self.machine.best_path(words)[1] if x[0] in HITS]
 
     def features(self, text: str) -> list[float]:
-        """For each reading the summed lexical weights and (last) the log of all weight, and the heaviest hit."""
         low = text.lower()
-        places = self.hit_places(low)
-        total = dict.fromkeys(READINGS, 0.0)
-        heaviest, done = 0.0, -1
-        for at in sorted(places):
+        total = {(k, r): 0.0 for k in HITS for r in READINGS}
+        heaviest, done = 0.0, 0
+        for at in sorted(self.hit_places(low)):
             if at < done:
                 continue
-            begin = max(low.rfind(c, 0, at) for c in ".!?;:\n") + 1
-            m = CLAUSE.match(low, begin)
-            done = m.end()
-            symbols = self.symbols(m[0])
-            if not any(s[0] == "hit" for s in symbols):
-                continue
-            for kind, mark, w in GRAMMAR.best_path(symbols)[1]:
-                if kind == "hit":
-                    total[reading(mark)] += w
-                    heaviest = max(heaviest, w)
-        return [*(math.log1p(total[r]) for r in READINGS), math.log1p(sum(total.values())), heaviest]
+            begin = max(done, 1 + max(low.rfind(c, done, at) for c in ".!?;:\n"))
+            clause = CLAUSE.match(low, begin)
+            done = clause.end()
+            live = 0.0
+            for kind, mark, w in self.read(clause[0]):
+                r = reading(mark)
+                total[kind, r] += w
+                live += w if r in ("plain", "aimed") else 0.0
+            heaviest = max(heaviest, live)
+        return [*map(math.log1p, total.values()), math.log1p(sum(total.values())), math.log1p(heaviest)]
 
 
 # ---------------------------------------------------------------- fitting
@@ -257,38 +296,58 @@ def seeds() -> tuple[dict[str, float], dict[str, float]]:
     return dict.fromkeys(INSULTS.split(), SEED_WEIGHT), dict.fromkeys(THREATS.split(), SEED_WEIGHT)
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray]:
-    insults, threats = seeds()
-    rows = fit_rows(docs, labels)
-    sample = rows.toArrow()  # bounded: FIT_TOXIC + FIT_CLEAN texts
-    y = np.array(sample.column("toxic").to_pylist(), float)
-    n_toxic, n_clean = int(y.sum()), int(len(y) - y.sum())
-    if not n_toxic or not n_clean:
-        return Lexicon(insults, {}, threats), np.array([0.5, 1.0, 0.0, 0.0, 1.0, 0.5, -2.5])
-    words, stems = learn_entries(rows, n_toxic, n_clean)
-    lexicon = Lexicon({**insults, **words}, stems, threats)
-    x = np.array([lexicon.features(t) for t in sample.column("text").to_pylist()])
-    return lexicon, logistic(x, y)
+def _read(parts, column: int, keep):
+    """A task's function: features of the texts in a column, handed to keep(batch, features)."""
+
+    def run(batches):
+        grammar = Grammar(*parts)
+        for batch in batches:
+            yield keep(batch, np.array([grammar.features(t or "") for t in batch.column(column).to_pylist()]).reshape(-1, FEATURES))
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[tuple, np.ndarray]:
+    """The parts of the grammar, and the weights of its features with (last) the intercept."""
+    ship(docs.sparkSession)
+    insult, threat = seeds()
+    rows = materialize(fit_rows(docs, labels), "toxicity-sample")
+    counts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(counts) < 2:
+        weights = np.zeros(FEATURES + 1)
+        weights[:2], weights[4:6], weights[-3:] = (0.5, 1.0), (0.5, 1.0), (1.0, 0.5, -2.5)
+        return (insult, {}, threat), weights
+    words, stems = learn_entries(rows, counts[1], counts[0])
+    parts = ({**{w: x for w, x in words.items() if w not in threat}, **{w: max(x, words.get(w, 0.0)) for w, x in insult.items()}}, stems, threat)
+
+    def keep(batch, x):
+        return pa.RecordBatch.from_arrays([batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], names=["toxic", "x"])
+
+    # A row of FEATURES numbers for each of the FIT_TOXIC + FIT_CLEAN texts at most.
+    found = rows.select("text", "toxic").mapInArrow(_read(parts, 0, keep), "toxic int, x array<double>").toArrow()
+    x, y = np.array(found.column("x").to_pylist()), np.array(found.column("toxic").to_pylist(), float)
+    discard(rows)
+    order = np.lexsort((*x.T, y))  # sums do not depend on the order of tasks
+    return parts, logistic(x[order], y[order])
+
 
+def _probability(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
 
-def score(docs: DataFrame, lexicon: Lexicon, weights: np.ndarray) -> DataFrame:
+
+def score(docs: DataFrame, parts: tuple, weights: np.ndarray) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs."""
     ship(docs.sparkSession)
-    parts = (lexicon.words, lexicon.stems, lexicon.threats)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def scored(batches):
-        lexicon = Lexicon(*parts)
-        for batch in batches:
-            x = np.array([lexicon.features(t) for t in batch.column(2).to_pylist()]).reshape(-1, len(weights) - 1)
-            p = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32))],
-                names=["doc_id", "held_out", "score", "predicted"],
-            )
-
-    return docs.select("doc_id", held_out_fold().alias("held_out"), text_or_empty().alias("text")).mapInArrow(
-        scored, f"doc_id {kind}, held_out boolean, score double, predicted int"
+    def keep(batch, x):
+        p = _probability(x, weights)
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"]
+        )
+
+    return docs.select("doc_id", held_out_fold().alias("held_out"), "text").mapInArrow(
+        _read(parts, 2, keep), f"doc_id {kind}, held_out boolean, score double, predicted int"
     )
 
 
@@ -298,15 +357,6 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows that are predicted toxic."""
-    lexicon, weights = fit(docs, labels)
-    ship(docs.sparkSession)
-    parts = (lexicon.words, lexicon.stems, lexicon.threats)
+    parts, weights = fit(docs, labels)
     at = docs.columns.index("text")
-
-    def passed(batches):
-        lexicon = Lexicon(*parts)
-        for batch in batches:
-            x = np.array([lexicon.features(t or "") for t in batch.column(at).to_pylist()]).reshape(-1, len(weights) - 1)
-            yield batch.filter(pa.array(x @ weights[:-1] + weights[-1] < 0))
-
-    return docs.mapInArrow(passed, docs.schema)
+    return docs.mapInArrow(_read(parts, at, lambda batch, x: batch.filter(pa.array(_probability(x, weights) < 0.5))), docs.schema)

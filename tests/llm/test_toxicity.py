@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 from ravelin.llm import toxicity as X
@@ -39,10 +40,13 @@ def test_labels_of_the_held_out_fold_do_not_matter(documents, spark):
     assert run(labels) == run(flipped)
 
 
-def marks(text):
+def grammar():
     insults, threats = X.seeds()
-    lexicon = X.Lexicon(insults, {}, threats)
-    return [X.reading(m) for k, m, _ in X.GRAMMAR.best_path(lexicon.symbols(text.lower()))[1] if k == "hit"]
+    return X.Grammar(insults, {}, threats)
+
+
+def marks(text):
+    return [X.reading(m) for _, m, _ in grammar().read(text.lower())]
 
 
 def test_readings():
@@ -56,17 +60,43 @@ def test_readings():
     assert marks("clean words only") == []
 
 
-def test_composition_is_one_machine():
-    """The composed machine's best path is the best of all paths of the parts, run one after the other."""
-    insults, threats = X.seeds()
-    lexicon = X.Lexicon(insults, {}, threats)
-    for text in ("not you idiot said the clown you saw", "you will hurt me", "said you not kill"):
-        symbols = lexicon.symbols(text)
-        weight, out = X.GRAMMAR.best_path(symbols)
-        first = X.negation().best_path(symbols)
-        second = X.reported().best_path(first[1])
-        third = X.aimed().best_path(second[1])
-        assert abs(weight - (first[0] + second[0] + third[0])) < 1e-12 and out == third[1]
+def test_insults_and_threats_are_told_apart():
+    read = lambda t: [(k, X.reading(m), w) for k, m, w in grammar().read(t)]
+    assert read("you idiot") == [("insult", "aimed", 1.5)]
+    assert read("somebody may hurt the old clown") == [("threat", "plain", 1.5), ("insult", "plain", 1.5)]
+    assert read("i will hurt you") == [("threat", "aimed", 2.25)]
+    assert read("he said i will kill a moron") == [("threat", "reported", 2.25), ("insult", "reported", 1.5)]
+
+
+def all_paths(machine, symbols):
+    """(weight, output) of every path, without dynamic programming."""
+    paths = [(0.0, [], machine.start)]
+    for s in symbols:
+        paths = [(w + v, [*out, o], to) for w, out, state in paths for o, v, to in machine.arcs(state, s)]
+    return [(w + machine.final(state), out) for w, out, state in paths]
+
+
+def test_best_path_is_the_best_of_all():
+    """Of the composed machine, and of its parts run one after the other on all outputs."""
+    g, rng = grammar(), random.Random(4)
+    words = "you idiot hurt not said will clown \" the a them scum kill".split()
+    for _ in range(300):
+        symbols = [("word", X.PLAIN_MARK, rng.choice(words)) for _ in range(rng.randint(0, 9))]
+        weight, out = g.machine.best_path(symbols)
+        paths = all_paths(g.machine, symbols)
+        assert abs(weight - max(w for w, _ in paths)) < 1e-12 and (weight, out) in paths
+        chained = [(0.0, symbols)]
+        for part in g.parts:
+            chained = [(w + v, o) for w, s in chained for v, o in all_paths(part, s)]
+        assert abs(weight - max(w for w, _ in chained)) < 1e-12
+
+
+def test_long_text_without_clause_marks():
+    g = grammar()
+    begin = time.perf_counter()
+    g.features("idiots of the town " * 20_000)  # "idiots" is no entry but begins like one
+    g.features("the idiot went. " * 20_000)
+    assert time.perf_counter() - begin < 30
 
 
 def test_edges(edge, none, spark):
