@@ -25,7 +25,9 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left
 from functools import cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -37,18 +39,18 @@ from .common import text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 
-# The base patterns.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# The base patterns. E-mail and IP are taken apart, since as one pattern each they
+# would read a long run of their characters again from every place in it.
+LOCAL_BACKWARDS = re.compile(r"[A-Za-z0-9._%+-]*")
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: No email leaves such a run, so only runs with an @ are searched.
-EMAIL_RUN = re.compile(r"[A-Za-z0-9._%+-]*@[A-Za-z0-9._%+@-]*")
 
 EXAMPLES = 400
 EPOCHS = 6
-#: Most tokens of an entity.
-SPAN_TOKENS = 16
+#: Most tokens, and characters, of an entity.
+SPAN_TOKENS, SPAN_CHARS = 16, 254
 #: Log-odds that an added segment must reach.
 MARGIN = 3.0
 #: Characters of context on either side of a digit group or an @.
@@ -69,15 +71,37 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def emails(text: str):
+    """Leftmost matches: an @, all that can stand before it (back to the last match), and a domain behind it."""
+    done, at = 0, text.find("@")
+    while at >= 0:
+        local = LOCAL_BACKWARDS.match(text[done:at][::-1]).end()
+        domain = DOMAIN.match(text, at + 1) if local else None
+        if domain:
+            yield at - local, domain.end()
+        done = domain.end() if domain else at + 1
+        at = text.find("@", done)
+
+
+def ips(text: str):
+    """Leftmost matches: of a dotted chain of numbers four at a time, those of octets."""
+    for m in DOTTED.finditer(text):
+        if m[0].count(".") < 3:
+            continue
+        at, parts = m.start(), m[0].split(".")
+        for k in range(0, len(parts) - 3, 4):
+            four = parts[k : k + 4]
+            end = at + sum(map(len, four)) + 3
+            if all(int(p[-4:]) <= 255 and len(p.lstrip("0")) < 4 for p in four):
+                yield at, end
+            at = end + 1
+
+
 def fixed_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the base matches, in order."""
-    out = []
-    if "@" in text:
-        for run in EMAIL_RUN.finditer(text):
-            out += [(m.start(), 0, m.end()) for m in EMAIL.finditer(text, run.start(), run.end())]
-    for m in IP.finditer(text) if "." in text else ():
-        if all(int(p[-4:]) <= 255 and len(p.lstrip("0")) < 4 for p in m[0].split(".")):
-            out.append((m.start(), 1, m.end()))
+    out = [(a, 0, e) for a, e in emails(text)]
+    if "." in text:
+        out += [(a, 1, e) for a, e in ips(text)]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 14:
             d = _digits(m[0])
@@ -163,7 +187,7 @@ def candidates(text: str, a: int, b: int) -> tuple[list[re.Match], list[tuple[in
         digits, at = 0, False
         for j in range(i, min(len(tokens), i + SPAN_TOKENS)):
             part = tokens[j][0]
-            if "\n" in part or not part.isascii():
+            if "\n" in part or not part.isascii() or tokens[j].end() - t.start() > SPAN_CHARS:
                 break
             if part[0].isdigit():
                 digits += len(part)
@@ -317,11 +341,14 @@ def trained(examples: int = EXAMPLES, epochs: int = EPOCHS, seed: int = 7) -> di
 
 def all_spans(text: str, field: SemiMarkov, fixed: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     out = list(fixed)
+    starts = [x[0] for x in fixed]
+    reach = list(accumulate((x[2] for x in fixed), max))  # furthest end of the fixed spans so far
     for a, b in windows(text):
         tokens, spans = candidates(text, a, b)
         for i, j, kind, score in field.best(len(tokens), spans):
             s, e = tokens[i].start(), tokens[j - 1].end()
-            if score >= MARGIN and all(e <= x[0] or x[2] <= s for x in fixed):
+            before = bisect_left(starts, e)  # fixed spans that begin before its end
+            if score >= MARGIN and not (before and reach[before - 1] > s):
                 out.append((s, kind, e))
     out.sort()
     return out

@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -153,3 +154,55 @@ def test_best_segmentation_is_the_best_of_all():
 def test_pii_edges(edge, none):
     assert pii.digest(edge).count() == edge.count()
     assert pii.digest(none).count() == 0
+
+
+LONG = {
+    "pairs": "password=abcdefgh1 ", "runs": "Zk3vQ9xT1mB7rL5pW2yH8cN4 ", "path": "abc/", "dashes": "a-----", "mixed": "token: Zk3vQ9xT1mB7rL5p.q, ",
+    "digits": "7", "dotted": "1.", "letters": "abc", "ats": "a@", "locals": "a.b+", "plus": "+1 ", "cards": "4111 1111 1111 1111, ", "mails": "a.b@c.de ",
+}
+
+
+def test_long_texts_take_time_in_proportion(documents, spark):
+    """Long texts of what patterns match over and over: nothing grows with the square."""
+    field = pii.SemiMarkov(pii.trained())
+
+    def seconds(f):
+        begin = time.perf_counter()
+        f()
+        return time.perf_counter() - begin
+
+    for name, unit in LONG.items():
+        text = unit * (1_000_000 // len(unit)) + " x@"
+        assert seconds(lambda t=text: pii.fixed_spans(t)) < 20, name
+        assert seconds(lambda t=text[:10_000]: pii.all_spans(t, field, pii.fixed_spans(t))) < 30, name
+    count = lambda size: secrets.digest(documents([(i, u * (size // len(u))) for i, u in enumerate(LONG.values())])).selectExpr("sum(length(spans))").first()
+    count(1_000)
+    one, two = seconds(lambda: count(150_000)), seconds(lambda: count(300_000))
+    assert two < 3.5 * one + 2
+
+
+def test_runs_beside_base_spans(documents):
+    """A run that a base span overlaps from either side, or from within, is no candidate; its neighbours are."""
+    run = "Zk3vQ9xT1mB7rL5pW2yH8cN4"
+    texts = [f"{run} password={run} {run}", f"{run}password=abcdefgh1 {run}", f"{run}0123456789abcdef0123456789abcdef {run}", f"token: x.{run}, {run}"]
+    got = {r.doc_id: [x.split(":")[0] for x in r.spans.split(",")] for r in secrets.digest(documents(list(enumerate(texts)))).collect()}
+    assert got == {0: ["entropy", "assign", "entropy"], 1: ["assign", "entropy"], 2: ["hex", "entropy"], 3: ["assign", "entropy"]}
+
+
+def test_paths_are_allowed_as_by_the_plain_pattern():
+    """The form without a repeated group says the same as the pattern."""
+    rng = random.Random(3)
+    plain, path, broken = re.compile(secrets.ALLOWED[-1]), re.compile(secrets.PATH), re.compile(secrets.BROKEN_PATH)
+    for _ in range(20_000):
+        s = "".join(rng.choice("ab/_-=+1B") for _ in range(rng.randint(0, 9)))
+        assert bool(plain.search(s)) == bool(path.search(s) and not broken.search(s)), s
+
+
+def test_emails_and_ips_are_those_of_the_patterns():
+    rng = random.Random(5)
+    email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    for _ in range(5_000):
+        t = "".join(rng.choice("a@.1 -_") for _ in range(rng.randint(0, 40)))
+        assert list(pii.emails(t)) == [m.span() for m in email.finditer(t)], t
+        t = "".join(rng.choice("12.. ") for _ in range(rng.randint(0, 40)))
+        assert list(pii.ips(t)) == [m.span() for m in ip.finditer(t) if all(int(x) <= 255 for x in m[0].split("."))], t
