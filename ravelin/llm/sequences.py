@@ -58,6 +58,8 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, keep_id
                     length.append(len(part))
                     crc.append(zlib.crc32(part.tobytes()))
                     if keep_ids:
+                        if part.max() > np.iinfo(np.uint16).max:
+                            raise ValueError(f"{vocabulary} has ids of more than 16 bits")
                         data.append(part.astype("<u2").tobytes())
             sizes = np.array(length, np.int64)
             order = np.argsort(sizes, kind="stable")

@@ -32,8 +32,9 @@ class WordBpe:
     The library's model merges within words that end in a marker. The same merges run several
     times faster in a byte-pair engine when each word is given with a space behind it and the
     space takes the marker's place (no word holds one). That way is taken for texts of ASCII
-    and Latin letters, where lower-casing and splitting are plain; all others go through the
-    library. A test holds both to the same ids.
+    and Latin letters, where lower-casing and splitting are plain; all others, and those that spell
+    one of the vocabulary's added tokens, go through the library with its defaults. A test holds
+    both to the same ids.
     """
 
     PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-įıĲ-ɏ]*")
@@ -41,10 +42,9 @@ class WordBpe:
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        special = {t["content"] for t in spec["added_tokens"]}
+        self.added = special = {t["content"] for t in spec["added_tokens"]}
         byte, ranks = _byte_of(), {}
         for entry, rank in spec["model"]["vocab"].items():
             if entry not in special:
@@ -53,7 +53,7 @@ class WordBpe:
         self.engine = tiktoken.Encoding("words", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> np.ndarray:
-        if not self.PLAIN.fullmatch(text):
+        if any(a in text for a in self.added) or not self.PLAIN.fullmatch(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
         words = self.WORDS.findall(text.lower())
         if not words:
@@ -62,7 +62,7 @@ class WordBpe:
 
 
 class ByteBpe:
-    """The byte vocabulary's ids."""
+    """The byte vocabulary's ids. It has no added tokens: a text that spells one is plain text."""
 
     def __init__(self, path: str):
         with open(path, "rb") as f:

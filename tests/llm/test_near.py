@@ -148,9 +148,9 @@ def test_near_groups_against_brute_force(documents):
 
 def test_large_families_go_by_pivots(documents, monkeypatch):
     """Buckets and families beyond a block: pivots, and cells for what they leave, change nothing."""
-    pairs = list(enumerate(make_texts(random.Random(9), 80)))
+    pairs = list(enumerate(make_texts(random.Random(9), 20)))
     plain = {r.doc_id: r.keep_id for r in near_dedup.near_groups(documents(pairs)).collect()}
-    for block, pivots in ((2, 1), (3, 3), (2, 0)):
+    for block, pivots in ((2, 1), (3, 0)):
         monkeypatch.setattr(near_dedup, "BLOCK", block)
         monkeypatch.setattr(near_dedup, "PIVOTS", pivots)
         assert {r.doc_id: r.keep_id for r in near_dedup.near_groups(documents(pairs)).collect()} == plain

@@ -74,13 +74,12 @@ def test_configurations_meet_demand_at_the_lower_bound():
 
 
 TEXTS = [
-    "Hello, World's it'll don't 12345 ß Éa", '"quoted" -- a_b-c', "İstanbul ΣΑΣ 漢字 é", "  ", "", "<|endoftext|> x", "a\x1cb\x85c ½²", "x" * 5000, "ÀÉ×÷ŁŐ ıİ",
+    "Hello, World's it'll don't 12345 ß Éa", '"quoted" -- a_b-c', "İstanbul ΣΑΣ 漢字 é", "  ", "", "<|endoftext|> x", "a <|endoftext|> b", "é<|startoftext|>漢<|ENDOFTEXT|>", "a\x1cb\x85c ½²", "x" * 5000, "ÀÉ×÷ŁŐ ıİ",
 ]
 
 
 def test_word_ids_are_the_librarys():
     library = Tokenizer.from_file(public_tokenizers.path(tokens.WORD_BPE))
-    library.encode_special_tokens = True
     rng = random.Random(6)
     alphabet = "abcdefghijklmnopqrstuvwxyz" * 3 + "ABCDEÉéüßñ0123456789 .,;'\"!?-_()\n\t      "
     texts = TEXTS + ["".join(rng.choice(alphabet) for _ in range(400)) for _ in range(200)]
