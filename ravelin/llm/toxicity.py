@@ -5,7 +5,7 @@ threats, with weights (a threat weighs more behind a word of intent), one finds
 and further ones mark what stands under a negation, inside reported speech, and aimed at a
 target. The heaviest path says what the clause amounts to; a document is scored by its matched
 clauses: for insults and threats, what those of each reading add up to, and the heaviest
-clause. An insult without a target is a clause of its own reading (plain), since an epithet
+clause, which weighs as much as its heaviest hit that is neither negated nor reported. An insult without a target is a clause of its own reading (plain), since an epithet
 alone can be one; what it weighs is learned like the rest.
 
 What is learned, and from what: the insult machine's words and stems with their weights, at
@@ -223,9 +223,9 @@ class Grammar:
             for kind, mark, w in self.read(clause[0]):
                 r = reading(mark)
                 total[kind, r] += w
-                live += w if r in ("plain", "aimed") else 0.0
+                live = max(live, w if r in ("plain", "aimed") else 0.0)
             heaviest = max(heaviest, live)
-        return [*map(math.log1p, total.values()), math.log1p(sum(total.values())), math.log1p(heaviest)]
+        return [*map(math.log1p, total.values()), math.log1p(sum(total.values())), heaviest]
 
 
 # ---------------------------------------------------------------- fitting
