@@ -15,17 +15,25 @@ sampled positions that no string of LENGTH bytes can do without:
     first rank has one second rank only is new and leaves.
   - ranks of LENGTH bytes, for the windows of the ranges that are left. These share their first
     rank, so Spark sorts the ranges by it and a task ranks the windows of one such group after
-    the other. Groups of more than GROUP ranges are not held in a task: their windows are
-    sorted by Spark themselves, by the rank pair of their halves (offset LENGTH / 2).
+    the other. Groups of more than GROUP ranges are not held in a task: their windows get rank
+    pairs of their own, whose first position is found by an aggregate and joined back.
 
-Equal ranges within a batch are merged before the shuffle, so a passage that a third of the
-documents share meets in one task once for each batch, not for each document. Ranks are hashes
-of content; strings are taken as equal when two independent 64-bit ranks are.
+Hot ranks are kept out of single tasks in two ways. Equal ranges within a batch are merged
+before the shuffle, so a passage that a third of the documents share meets in one task once for
+each batch, not for each document. And first ranks with many different ranges (HOT) are known
+beforehand from a sample of rows, which decides on the layout only: their ranges meet by both
+ranks, and what is left of them goes the way of groups beyond GROUP.
+
+Ranks are hashes of content; strings are taken as equal when two independent 64-bit ranks are.
+
+Documents are numbered in the order of doc_id. Whole numbers serve as they are; where doc_id is
+of another type, or different texts share one, rows are numbered by a sort of (doc_id, hash of text).
 
 Defined cases: null and empty texts have no bytes; rows with equal doc_id and text are one
-document (neither repeats the other); texts that share a doc_id but differ are its parts, in
-the order of their hashes; a null doc_id is smaller than any other; columns other than doc_id
-and text are ignored; an empty table gives an empty result.
+document (neither repeats the other); texts that share a doc_id but differ are documents of
+their own, in the order of their hashes; a null doc_id is smaller than any other; doc_id may be
+of any type that sorts; columns other than doc_id and text are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -37,9 +45,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..shipping import ship
-from .common import materialize, release, text_or_empty
+from .common import discard, materialize, release, small_or_plain, text_or_empty
 
 LENGTH = 100
 SEED = 32
@@ -47,8 +56,12 @@ SEED = 32
 BLOCK = (1 << 20) - 1
 #: Ranges with one first rank that a task may hold, and how many it ranks together at least.
 GROUP, TOGETHER = 50_000, 20_000
-#: place = ((part << 40 | start) << 8 | windows) << 1 | whether it is known to repeat
-PART_BITS, START_BITS = 14, 40
+#: First ranks with so many ranges are hot, judged by that many rows and seen so often in them.
+HOT, SAMPLE_ROWS, SEEN = 2_000, 50_000, 8
+#: place = (start << 8 | windows) << 2 | whether its first rank is hot << 1 | whether it is known to repeat
+WINDOW_BITS, FLAG_BITS = 8, 2
+#: Broadcast limit for the numbers of documents (24 bytes and the doc_id each).
+BROADCAST_NUMBERS = 200_000
 NULL_ID = np.iinfo(np.int64).min
 
 
@@ -68,6 +81,18 @@ def _constants(which: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return table, powers(base), powers(inverse)
 
 
+def _place(start, n):
+    return (start << WINDOW_BITS | n) << FLAG_BITS
+
+
+def _start(place):
+    return place >> WINDOW_BITS + FLAG_BITS
+
+
+def _windows(place):
+    return place >> FLAG_BITS & (1 << WINDOW_BITS) - 1
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(31))
     h = h * np.uint64(0x9E3779B97F4A7C15)
@@ -154,47 +179,61 @@ def blocks(texts: list[bytes]):
         yield flush()
 
 
-def _ids(column: pa.Array) -> np.ndarray:
-    return column.cast(pa.int64()).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
+def _sampled(hot: np.ndarray):
+    """A task's function: id, text -> first, second, id, place of every owned range. Ranges that repeat
+    one of the same batch are marked and leave the rank they would meet under; those of a hot
+    first rank (hot is sorted) are marked and meet under both ranks."""
 
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            texts = [t.encode() for t in batch.column(1).to_pylist()]
+            found = []
+            for docs, offsets, data, starts, ends in blocks(texts):
+                doc, at, n, first, second = ranges(data, starts, ends)
+                found.append((docs[doc], at + offsets[doc], n, first, second))
+            if not found:
+                continue
+            doc, at, n, first, second = (np.concatenate(x) for x in zip(*found, strict=True))
+            own, place = ids[doc], _place(at, n)
+            order = np.lexsort((place, own, second, first))
+            doc, place, own, first, second = (x[order] for x in (doc, place, own, first, second))
+            again = np.zeros(len(order), bool)
+            same = (first[1:] == first[:-1]) & (second[1:] == second[:-1])
+            # Later than the first of its run, not merely beside an equal position of a repeated row.
+            lead = np.maximum.accumulate(np.where(np.append(True, ~same), np.arange(len(order)), 0))
+            again[1:] = same[...] & ((own != own[lead]) | (place != place[lead]))[1:]
+            if len(hot):
+                row = np.minimum(np.searchsorted(hot, first), len(hot) - 1)
+                many = hot[row] == first
+                place = place | many.astype(np.int64) << 1
+                first = np.where(many, _mix((first ^ _mix(second.view(np.uint64)).view(np.int64)).view(np.uint64)).view(np.int64), first)
+            place = place | again
+            spread = _mix((own ^ place).view(np.uint64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.where(again, spread, first)), pa.array(second), pa.array(own), pa.array(place)],
+                names=["first", "second", "id", "place"],
+            )
 
-def _sampled(batches):
-    """doc_id, part, text -> first, second, id, place of every owned range; ranges that repeat one
-    of the same batch are marked and leave the rank they would meet under."""
-    for batch in batches:
-        ids, part = _ids(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-        texts = [t.encode() for t in batch.column(2).to_pylist()]
-        found = []
-        for docs, offsets, data, starts, ends in blocks(texts):
-            doc, at, n, first, second = ranges(data, starts, ends)
-            found.append((docs[doc], at + offsets[doc], n, first, second))
-        if not found:
-            continue
-        doc, at, n, first, second = (np.concatenate(x) for x in zip(*found, strict=True))
-        own, place = ids[doc], (part[doc] << START_BITS | at) << 9 | n << 1
-        order = np.lexsort((place, own, second, first))
-        doc, place, own, first, second = (x[order] for x in (doc, place, own, first, second))
-        again = np.zeros(len(order), bool)
-        same = (first[1:] == first[:-1]) & (second[1:] == second[:-1])
-        # Later than the first of its run, not merely beside an equal position of a repeated row.
-        lead = np.maximum.accumulate(np.where(np.append(True, ~same), np.arange(len(order)), 0))
-        again[1:] = same[...] & ((own != own[lead]) | (place != place[lead]))[1:]
-        place = place | again
-        spread = _mix((own ^ place).view(np.uint64)).view(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.where(again, spread, first)), pa.array(second), pa.array(own), pa.array(place)],
-            names=["first", "second", "id", "place"],
-        )
+    return run
+
+
+def hot_ranks(rows: DataFrame, n_rows: int) -> np.ndarray:
+    """First ranks with many different ranges, in order: at most one for SEEN ranges of the sampled rows."""
+    share = min(1.0, SAMPLE_ROWS / max(1, n_rows))
+    seen = rows.sample(share, seed=1).mapInArrow(_sampled(np.empty(0, np.int64)), "first long, second long, id long, place long")
+    many = seen.groupBy("first").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(SEEN, HOT * share)).select("first").toArrow()
+    return np.sort(many.column("first").to_numpy())
 
 
 def _texts_of(batches):
-    """id, part, text, ranges(first, place) -> first, id, place, text of each range."""
+    """id, text, ranges(first, place) -> first, id, place, text of each range."""
     for batch in batches:
         ids = batch.column(0)
-        for k, (text, ranges_) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+        for k, (text, ranges_) in enumerate(zip(batch.column(1), batch.column(2), strict=True)):
             data = text.as_py().encode()
             place = ranges_.values.field("place").to_numpy()
-            at, n = place >> 9 & ((1 << START_BITS) - 1), place >> 1 & 255
+            at, n = _start(place), _windows(place)
             parts = [data[a : a + m + LENGTH - 1] for a, m in zip(at.tolist(), n.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [ranges_.values.field("first"), pa.array(np.full(len(parts), ids[k].as_py())), pa.array(place), pa.array(parts, pa.binary())],
@@ -222,10 +261,10 @@ def _window_ranks(texts: list[bytes], n: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def _repeats(ids: np.ndarray, place: np.ndarray, texts: list[bytes]):
     """(id, place) of runs of windows that equal an earlier window of these ranges."""
-    n = place >> 1 & 255
+    n = _windows(place)
     left, right = _window_ranks(texts, n)
     row = np.repeat(np.arange(len(n)), n)
-    start = (place >> 9)[row] + np.arange(len(row)) - np.repeat(np.append(0, np.cumsum(n[:-1])), n)
+    start = _start(place)[row] + np.arange(len(row)) - np.repeat(np.append(0, np.cumsum(n[:-1])), n)
     own = ids[row]
     order = np.lexsort((start, own, right, left))
     same = (left[order][1:] == left[order][:-1]) & (right[order][1:] == right[order][:-1])
@@ -235,7 +274,7 @@ def _repeats(ids: np.ndarray, place: np.ndarray, texts: list[bytes]):
     # Neighbouring windows of one range go out as one run.
     edge = np.flatnonzero(again & ~np.append(False, again[:-1] & (row[1:] == row[:-1])))
     stop = np.flatnonzero(again & ~np.append(again[1:] & (row[1:] == row[:-1]), False)) + 1
-    return own[edge], start[edge] << 9 | (stop - edge) << 1
+    return own[edge], _place(start[edge], stop - edge)
 
 
 def _ranked_groups(batches):
@@ -260,23 +299,22 @@ def _ranked_groups(batches):
         yield emit(*(np.concatenate([x[i] for x in held]) for i in range(3)), [t for x in held for t in x[3]])
 
 
-def _halves(batches):
-    """first, id, place, text -> rank pairs (left, right) of each window of the ranges, with id and place."""
+def _each_window(batches):
+    """first, id, place, text -> rank pair (left, right) of each window of the ranges, with id and place."""
     for batch in batches:
-        ids, place, texts = batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(3).to_pylist()
-        for k in range(len(texts)):
-            half = Rolling(np.frombuffer(texts[k], np.uint8), 0).fixed(LENGTH // 2).view(np.int64)
-            n = int(place[k] >> 1 & 255)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(half[:n]), pa.array(half[LENGTH // 2 : LENGTH // 2 + n]), pa.array(np.full(n, ids[k])),
-                 pa.array(((place[k] >> 9) + np.arange(n)) << 9 | 2)],
-                names=["left", "right", "id", "place"],
-            )
+        ids, place = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+        n = _windows(place)
+        left, right = _window_ranks(batch.column(3).to_pylist(), n)
+        nth = np.arange(n.sum()) - np.repeat(np.append(0, np.cumsum(n[:-1])), n)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(left.view(np.int64)), pa.array(right.view(np.int64)), pa.array(np.repeat(ids, n)), pa.array(_place(np.repeat(_start(place), n) + nth, 1))],
+            names=["left", "right", "id", "place"],
+        )
 
 
 def _taken(text: bytes, places: np.ndarray) -> tuple[bytes, int, int]:
     """What is left of text, the bytes removed, and the maximal removed runs."""
-    at, n = places >> 9 & ((1 << START_BITS) - 1), places >> 1 & 255
+    at, n = _start(places), _windows(places)
     order = np.argsort(at, kind="stable")
     at, end = at[order], np.maximum.accumulate((at + n + (LENGTH - 1))[order])
     head = np.flatnonzero(np.append(True, at[1:] > end[:-1]))
@@ -285,74 +323,74 @@ def _taken(text: bytes, places: np.ndarray) -> tuple[bytes, int, int]:
     return left, len(text) - len(left), len(start)
 
 
-def with_parts(docs: DataFrame) -> DataFrame:
-    """doc_id, part, text: part numbers the different texts of one doc_id; nearly always 0."""
+def numbered(docs: DataFrame) -> DataFrame:
+    """doc_id, id, text: id numbers documents in the order of doc_id."""
     base = docs.select("doc_id", text_or_empty().alias("text"))
-    prints = base.select("doc_id", F.xxhash64("text").alias("print"))
-    shared = prints.groupBy("doc_id").agg(F.min("print").alias("a"), F.max("print").alias("b")).where("a <> b")
-    if not shared.limit(1).count():
-        return base.select("doc_id", F.lit(0).alias("part"), "text")
-    numbered = (
-        prints.join(shared.select(F.col("doc_id").alias("__id")), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-        .distinct()
-        .withColumn("part", F.row_number().over(Window.partitionBy("doc_id").orderBy("print")) - 1)
-        .toDF("__id", "__print", "__part")
+    if isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        plain = base.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NULL_ID))).alias("id"), "text")
+        prints = plain.select("id", F.xxhash64("text", F.col("doc_id").isNull()).alias("print"))
+        if not prints.groupBy("id").agg(F.min("print").alias("a"), F.max("print").alias("b")).where("a <> b").limit(1).count():
+            return plain
+    prints = base.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__print")).distinct()
+    # A sort over both columns, so that no doc_id is too common for a task; rows are numbered within and across its parts.
+    numbers = materialize(
+        prints.orderBy(F.col("__id").asc_nulls_first(), "__print").select("__id", "__print", F.monotonically_increasing_id().alias("id")), "suffix-numbers"
     )
-    return base.join(
-        numbered, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__print")), "left"
-    ).select("doc_id", F.coalesce("__part", F.lit(0)).alias("part"), "text")
+    numbers = small_or_plain(numbers, numbers.count(), BROADCAST_NUMBERS)
+    return base.join(numbers, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__print"))).select("doc_id", "id", "text")
 
 
-def removed_places(parts: DataFrame) -> DataFrame:
-    """id, place: windows (runs of them) that repeat earlier ones. id is doc_id, nulls as the smallest number."""
-    spark = parts.sparkSession
+def removed_places(docs: DataFrame) -> DataFrame:
+    """docs(id, text) -> id, place: windows (runs of them) that repeat earlier ones."""
+    spark, rows = docs.sparkSession, docs.select("id", "text")
+    hot = hot_ranks(rows, rows.count())
     position = F.struct("id", "place")
-    known = F.col("place").bitwiseAND(F.lit(1)) == 1
+    flag = lambda bit: F.col("place").bitwiseAND(F.lit(bit)) > 0
     group = Window.partitionBy("first")
     ranked = materialize(
-        parts.mapInArrow(_sampled, "first long, second long, id long, place long")
+        rows.mapInArrow(_sampled(hot), "first long, second long, id long, place long")
         .withColumn("lead", F.min(position).over(Window.partitionBy("first", "second")))
-        .withColumn("again", known | (position > F.col("lead")))
-        .withColumn("open", (F.min("second").over(group) != F.max("second").over(group)) & ~F.col("again"))
+        .withColumn("again", flag(1) | (position > F.col("lead")))
+        .withColumn("open", (flag(2) | (F.min("second").over(group) != F.max("second").over(group))) & ~F.col("again"))
         .withColumn("n_open", F.count_if("open").over(group))
         .where("again OR open")
-        .select(F.when(F.col("open"), F.col("first")).alias("first"), "id", "place", F.when(F.col("open"), F.col("n_open") > GROUP).alias("large")),
+        .select(F.when(F.col("open"), F.col("first")).alias("first"), "id", "place", F.when(F.col("open"), flag(2) | (F.col("n_open") > GROUP)).alias("large")),
         "suffix-ranks",
     )
     release(spark)
     again = ranked.where("large IS NULL").select("id", "place")
-
-    place_part = F.shiftright("place", 9 + START_BITS)
     open_ranges = (
         ranked.where("large IS NOT NULL")
-        .groupBy(F.col("id").alias("__id"), place_part.alias("__part"))
+        .groupBy(F.col("id").alias("__id"))
         .agg(F.collect_set(F.struct("first", "place")).alias("ranges"))
     )
     texts = materialize(
-        parts.select(F.coalesce("doc_id", F.lit(int(NULL_ID))).alias("id"), "part", "text")
-        .join(open_ranges, (F.col("id") == F.col("__id")) & (F.col("part") == F.col("__part")))
-        .select("id", "part", "text", "ranges")
-        .mapInArrow(_texts_of, "first long, id long, place long, text binary"),
+        rows.join(open_ranges, F.col("id") == F.col("__id")).select("id", "text", "ranges").mapInArrow(_texts_of, "first long, id long, place long, text binary"),
         "suffix-texts",
     )
     release(spark)
     large = ranked.where("large").select("first").distinct()
-    by_group = (
+    out = again.union(
         texts.join(large, "first", "left_anti")
         .repartition("first")
         .sortWithinPartitions("first")
         .select("first", "id", "place", "text")
         .mapInArrow(_ranked_groups, "id long, place long")
     )
-    by_window = (
-        texts.join(large, "first", "left_semi")
-        .select("first", "id", "place", "text")
-        .mapInArrow(_halves, "left long, right long, id long, place long")
-        .withColumn("lead", F.min(position).over(Window.partitionBy("left", "right")))
-        .where(position > F.col("lead"))
-        .select("id", "place")
-    )
-    out = materialize(again.union(by_group).union(by_window), "suffix-repeats")
+    spent = ()
+    if ranked.where("large").limit(1).count():
+        windows = materialize(
+            texts.join(large, "first", "left_semi").select("first", "id", "place", "text").mapInArrow(_each_window, "left long, right long, id long, place long"),
+            "suffix-windows",
+        )
+        # Written first, so that both sides of the join are plain exchanges and a hot window can be split.
+        leads = materialize(
+            windows.groupBy("left", "right").agg(F.min(position).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "suffix-leads"
+        )
+        spent = (windows, leads)
+        out = out.union(windows.join(leads, ["left", "right"]).where(position > F.col("lead")).select("id", "place"))
+    out = materialize(out, "suffix-repeats")
+    discard(ranked, texts, *spent)
     release(spark)
     return out
 
@@ -360,15 +398,9 @@ def removed_places(parts: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, kept (binary), n_bytes, n_removed, n_spans for every row of docs."""
     ship(docs.sparkSession)
-    parts = with_parts(docs)
-    gone = (
-        removed_places(parts)
-        .groupBy(F.col("id").alias("__id"), F.shiftright("place", 9 + START_BITS).alias("__part"))
-        .agg(F.collect_set("place").alias("places"))
-    )
-    joined = parts.join(
-        gone, (F.coalesce("doc_id", F.lit(int(NULL_ID))) == F.col("__id")) & (F.col("part") == F.col("__part")), "left"
-    ).select("doc_id", "text", "places")
+    rows = numbered(docs)
+    gone = removed_places(rows).groupBy(F.col("id").alias("__id")).agg(F.collect_set("place").alias("places"))
+    joined = rows.join(gone, F.col("id") == F.col("__id"), "left").select("doc_id", "text", "places")
 
     def take(batches):
         for batch in batches:

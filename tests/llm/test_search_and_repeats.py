@@ -29,9 +29,12 @@ def repetitive(rng):
     return pairs + [(100, "ab" * 400), (101, "ab" * 90 + "c"), (102, "a" * 99), (103, "a" * 100), (104, "a" * 101), (105, "")]
 
 
-@pytest.mark.parametrize("group", [50_000, 2])
-def test_removal_is_exact(documents, monkeypatch, group):
+@pytest.mark.parametrize("group, hot", [(50_000, 2_000), (2, 2_000), (50_000, 2)])
+def test_removal_is_exact(documents, monkeypatch, group, hot):
+    """As it is, with groups ranked by their windows, and with hot ranks known from the sample."""
     monkeypatch.setattr(S, "GROUP", group)
+    monkeypatch.setattr(S, "HOT", hot)
+    monkeypatch.setattr(S, "SEEN", min(hot, S.SEEN))
     monkeypatch.setattr(S, "TOGETHER", 10)
     pairs = repetitive(random.Random(group))
     assert run(documents(pairs)) == brute(pairs)
@@ -46,6 +49,18 @@ def test_long_document_in_blocks(documents, monkeypatch):
     assert run(documents(pairs)) == brute(pairs)
 
 
+def test_ids_of_other_types_and_shared_ids(spark):
+    """Names as ids, and one null id over thousands of different texts, in the order of their numbers."""
+    pairs = repetitive(random.Random(5))
+    named = spark.createDataFrame([(f"n{i:04d}", t) for i, t in pairs], "doc_id string, text string")
+    assert {int(i[1:]): x for i, x in run(named).items()} == brute(pairs)
+    rng = random.Random(6)
+    same = "".join(rng.choice("abcdef") for _ in range(300))
+    rows = [(None, f"{i} {'' if i % 100 else same}") for i in range(20_000)] + [(3, same)]
+    got = [(r.doc_id, r.n_removed) for r in S.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(got) == len(rows) and sum(n >= 300 for _, n in got) == 200 and (3, 300) in got
+
+
 def test_repeat_edges(edge, none, documents):
     assert S.digest(none).count() == 0
     assert S.digest(edge).count() == edge.count()
@@ -99,9 +114,8 @@ def test_search_against_edit_distance(documents, spark):
         for i, x in items:
             item = D.normalise(x or "")
             k = int(len(item) * D.EDITS)
-            searchable = any(len(item) - q + 1 - k * q >= least for q, least in ((D.LONG_Q, 16), (D.SHORT_Q, 1)))
-            e = distance(item, D.normalise(t)) if searchable else k + 1
-            if e <= k:
+            e = distance(item, D.normalise(t))
+            if item and e <= k:
                 want[d, i] = e
     assert got == want and len(want) > 10
 
