@@ -3,7 +3,7 @@
 Every normalised text is cut where its own characters say so; its recipe is the ordered list
 of chunk identifiers. An identifier is a 64-bit hash that has been verified: the bytes of all
 chunks under a hash are compared, for those documents whose recipe occurs more than once, and
-a hash that stands for two byte strings is told apart by the bytes themselves. Documents are
+documents with a hash that stands for two byte strings are told apart by their bytes. Documents are
 equal when their verified lists are equal, so only chunks of likely copies move, once, merged
 on the map side, and long unique documents never leave their scan task.
 
@@ -73,33 +73,29 @@ def exact_groups(docs: DataFrame) -> DataFrame:
         .groupBy("id", "chunk")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    ambiguous = [r["id"] for r in moved.groupBy("id").count().where("count > 1").select("id").collect()]
-    key = "ids"
-    if ambiguous:
-        # Two byte strings met in 64 bits: for these few hashes the identifier carries the bytes.
-        told = F.transform(
-            chunks_of(F.col("norm")),
-            lambda c: F.struct(F.xxhash64(c).alias("id"), F.when(F.xxhash64(c).isin(ambiguous), c).alias("bytes")),
-        )
-        recipes = base.select(
-            "doc_id",
-            told.alias("told"),
-            F.sha2("norm", 256).alias("text_sha256"),
-            F.xxhash64(
-                F.transform(chunks_of(F.col("norm")), lambda c: F.xxhash64(c)), F.octet_length("norm").cast("long")
-            ).alias("recipe"),
-        )
-        key = "told"
+    ambiguous = materialize(moved.groupBy("id").count().where("count > 1").select("id"), "ambiguous-ids")
+    if ambiguous.limit(1).count():
+        # Two byte strings met in 64 bits. Documents with such a chunk are told apart by their bytes.
+        unsure = recipes.join(likely, "recipe", "left_semi").select("recipe", F.explode("ids").alias("id")).join(ambiguous, "id", "left_semi")
+        unsure = materialize(unsure.select("recipe", F.lit(True).alias("unsure")).distinct(), "unsure-recipes")
+        ids = F.transform(chunks_of(F.col("norm")), lambda c: F.xxhash64(c))
+        size = F.octet_length("norm").cast("long")
+        again = base.select("doc_id", "norm", ids.alias("ids"), F.sha2("norm", 256).alias("text_sha256"), F.xxhash64(ids, size).alias("recipe"))
+        recipes = again.join(unsure, "recipe", "left").withColumn("bytes", F.when(F.col("unsure"), F.col("norm"))).drop("unsure", "norm")
+    else:
+        recipes = recipes.withColumn("bytes", F.lit(None).cast("string"))
 
     groups = (
         recipes.join(likely, "recipe", "left_semi")
-        .groupBy("recipe", key)
+        .groupBy("recipe", "ids", "bytes")
         .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .where("group_size > 1")
     )
     # Written first, so that both sides of the join are plain exchanges and a hot recipe can be split.
-    groups = materialize(groups, "recipe-groups")
-    return recipes.join(groups, ["recipe", key], "left").select(
+    groups = materialize(groups, "recipe-groups").alias("g")
+    r = recipes.alias("r")
+    same = (F.col("r.recipe") == F.col("g.recipe")) & (F.col("r.ids") == F.col("g.ids")) & F.col("r.bytes").eqNullSafe(F.col("g.bytes"))
+    return r.join(groups, same, "left").select(
         "doc_id",
         F.coalesce("keep_id", "doc_id").alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
