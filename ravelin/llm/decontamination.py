@@ -39,8 +39,9 @@ EDITS = 0.08
 LONG_Q, SHORT_Q = 16, 8
 #: For items whose bound fails at SHORT_Q; at q = 1 it holds for any item longer than its edits.
 LEAST_QS = (4, 2, 1)
-#: Bytes of items that are searched for together.
-BLOCK_BYTES = 32 << 20
+#: Bytes of items that are searched for together: an index takes some 100 times as much of a worker's
+#: memory at most (a bitmap of 64 cells for a q-gram, and 48 bytes).
+BLOCK_BYTES = 2 << 20
 #: Bytes of a text that are filtered at a time.
 STRETCH = 1 << 20
 _SPACES = re.compile(rb"[\x20\x09-\x0d]+")
