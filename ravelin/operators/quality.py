@@ -27,10 +27,9 @@ def _if(condition: Column, value: float) -> Column:
     return F.when(condition, F.lit(value)).otherwise(F.lit(0.0))
 
 
-def answer_relevancy(query: Column, response: Column) -> Column:
-    low, n = F.lower(response), F.length(response)
-    asked = _without_stops(_set(query))
-    shared = F.size(F.array_intersect(asked, _set(response)))
+def answer_relevancy(response: Column, low: Column, own: Column, asked: Column) -> Column:
+    n = F.length(response)
+    shared = F.size(F.array_intersect(asked, own))
     s = F.lit(0.3) + F.when(n > 100, 0.2).when(n > 50, 0.1).otherwise(0.0)
     s = s + F.when(F.size(asked) > 0, F.least(F.lit(0.4), shared / F.size(asked) * F.lit(0.8))).otherwise(0.0)
     s = s - _if(any_of(low, C.EVASIVE), 0.2)
@@ -40,18 +39,17 @@ def answer_relevancy(query: Column, response: Column) -> Column:
 CALENDAR = r"(^|[^\p{L}\p{N}_])(" + "|".join(C.CALENDAR) + r")([^\p{L}\p{N}_]|$)"
 
 
-def faithfulness(response: Column, contexts: Column) -> Column:
-    low, own = F.lower(response), _set(response)
-    sets = F.transform(contexts, _set)
-    total = F.aggregate(sets, F.lit(0), lambda a, s: a + F.size(s))
-    matched = F.aggregate(sets, F.lit(0), lambda a, s: a + F.size(F.array_intersect(s, own)))
+def faithfulness(response: Column, low: Column, own: Column, split: Column) -> Column:
+    """low and own: the response in lower case and its words; split: of each context its length and words."""
+    total = F.aggregate(split, F.lit(0), lambda a, c: a + F.size(F.array_distinct(c["words"])))
+    matched = F.aggregate(split, F.lit(0), lambda a, c: a + F.size(F.array_intersect(c["words"], own)))
 
-    def quoted(ctx: Column) -> Column:
-        w = words(F.lower(ctx))
+    def quoted(c: Column) -> Column:
+        w = c["words"]
         starts = F.when(F.size(w) >= 5, F.sequence(F.lit(1), F.size(w) - 4)).otherwise(F.array().cast("array<int>"))
-        return (F.length(ctx) > 10) & F.exists(starts, lambda i: F.contains(low, F.array_join(F.slice(w, i, 5), " ")))
+        return (c["n"] > 10) & F.exists(starts, lambda i: F.contains(low, F.array_join(F.slice(w, i, 5), " ")))
 
-    used = F.size(F.filter(contexts, quoted))
+    used = F.size(F.filter(split, quoted))
     s = F.lit(0.3) + _if(F.length(response) > 100, 0.1)
     s = s + F.when(total > 0, F.least(F.lit(0.4), matched / total * F.lit(2.0))).otherwise(0.0)
     s = s + F.when(used > 0, F.least(F.lit(0.2), used * F.lit(0.1))).otherwise(0.0)
@@ -59,28 +57,37 @@ def faithfulness(response: Column, contexts: Column) -> Column:
     return F.when(F.length(response) < 20, F.lit(0.1)).otherwise(F.round(_clamp(s), DIGITS))
 
 
-def context_precision(query: Column, contexts: Column) -> Column:
-    n, asked = F.size(contexts), _without_stops(_set(query))
+def context_precision(asked: Column, split: Column) -> Column:
+    """asked: the query's words without stop words; split as above."""
+    n = F.size(split)
 
-    def likeness(ctx: Column) -> Column:
-        c = _without_stops(_set(ctx))
-        return F.size(F.array_intersect(asked, c)) / F.size(F.array_union(asked, c))
+    def likeness(c: Column) -> Column:
+        both = F.size(F.array_intersect(asked, c["words"]))
+        return both / (F.size(asked) + F.size(_without_stops(c["words"])) - both)
 
-    each = F.transform(contexts, likeness)
+    each = F.transform(split, likeness)
     base = F.lit(0.4) + F.when(n >= 5, 0.2).when(n >= 3, 0.15).otherwise(0.1)
     mean = F.aggregate(each, F.lit(0.0), lambda a, x: a + x) / n
     relevant = F.size(F.filter(each, lambda x: x > 0.1))
     s = base + F.least(F.lit(0.3), mean * F.lit(3.0)) + F.when(relevant > 0, F.least(F.lit(0.1), relevant / n * F.lit(0.2))).otherwise(0.0)
-    return F.when(contexts.isNull() | (n == 0), F.lit(0.0)).when(F.size(asked) == 0, F.round(base, DIGITS)).otherwise(
+    return F.when(split.isNull() | (n == 0), F.lit(0.0)).when(F.size(asked) == 0, F.round(base, DIGITS)).otherwise(
         F.round(F.least(F.lit(1.0), s), DIGITS)
     )
 
 
 def score(interactions: DataFrame) -> DataFrame:
     """interactions(query, response, contexts) with the three scores and their mean."""
-    q, r, c = F.col("query"), F.col("response"), F.col("contexts")
-    out = interactions.withColumns(
-        {"faithfulness": faithfulness(r, c), "context_precision": context_precision(q, c), "answer_relevancy": answer_relevancy(q, r)}
+    names = interactions.columns
+    each = F.transform("contexts", lambda c: F.struct(F.length(c).alias("n"), words(F.lower(c)).alias("words")))
+    once = F.struct(F.lower("response").alias("low"), _set(F.col("response")).alias("own"), _without_stops(_set(F.col("query"))).alias("asked"), each.alias("split"))
+    # Behind a generator texts are split once; as plain expressions they would be again wherever they are used.
+    held = interactions.select(*names, F.explode(F.array(once)).alias("__once"))
+    low, own, asked, split = (F.col(f"__once.{c}") for c in ("low", "own", "asked", "split"))
+    out = held.select(
+        *names,
+        faithfulness(F.col("response"), low, own, split).alias("faithfulness"),
+        context_precision(asked, split).alias("context_precision"),
+        answer_relevancy(F.col("response"), low, own, asked).alias("answer_relevancy"),
     )
     return out.withColumn("overall", F.round((F.col("faithfulness") + F.col("context_precision") + F.col("answer_relevancy")) / 3, DIGITS))
 
