@@ -63,6 +63,11 @@ THEMES = (
     ("user_api", "chatcenter_user_docs", "api", None, "integrator"),
     ("user_faq", "chatcenter_user_docs", "faq", None, "all"),
 )
+# Names of the themes, in the same order.
+THEME_LABELS = (
+    "SDK для Android", "SDK для iOS", "Web SDK", "SDK (общие материалы)", "АРМ агента", "АРМ супервайзера", "АРМ администратора",
+    "API и интеграции", "FAQ / База знаний",
+)
 ROUTE_WORDS = {
     "android": ("android", "gradle", "apk", "kotlin", "java"),
     "ios": ("ios", "swift", "xcode", "cocoapods"),

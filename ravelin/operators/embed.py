@@ -47,10 +47,11 @@ def hashed_embedder(dimensions: int = DIMENSIONS) -> Embedder:
     return embed
 
 
-def embed(df: DataFrame, key: str, text: Column, load: Callable[[], Embedder], batch: int = 512) -> DataFrame:
-    """key, dense, embed_ok. The model is loaded once for each task; a batch that fails gives zero
-    vectors for its rows only and embed_ok false."""
+def embed(df: DataFrame, key: str, text: Column, load: Callable[[], Embedder], batch: int = 512, width: int = DIMENSIONS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """key, the carried columns, dense, embed_ok. The model is loaded once for each task; a batch that
+    fails gives zero vectors of its width for its rows only and embed_ok false."""
     ship(df.sparkSession)
+    names = [key, *carry]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load()
@@ -60,15 +61,15 @@ def embed(df: DataFrame, key: str, text: Column, load: Callable[[], Embedder], b
                 try:
                     dense, ok = model(part["__text"].tolist()), True
                 except Exception:  # one bad batch must not fail the job
-                    dense, ok = np.zeros((len(part), 1)), False
-                yield pd.DataFrame({key: part[key].to_numpy(), "dense": [v.astype(float).tolist() for v in dense], "embed_ok": ok})
+                    dense, ok = np.zeros((len(part), width)), False
+                yield part[names].assign(dense=[v.astype(float).tolist() for v in dense], embed_ok=ok)
 
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text.alias("__text")).mapInPandas(run, f"{key} {kind}, dense array<double>, embed_ok boolean")
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
+    return df.select(*names, text.alias("__text")).mapInPandas(run, f"{kinds}, dense array<double>, embed_ok boolean")
 
 
-def hashed_vectors(df: DataFrame, key: str, text: Column) -> DataFrame:
-    return embed(df, key, text, hashed_embedder)
+def hashed_vectors(df: DataFrame, key: str, text: Column, carry: tuple[str, ...] = ()) -> DataFrame:
+    return embed(df, key, text, hashed_embedder, carry=carry)
 
 
 def model_length(text: Column, query: bool) -> Column:

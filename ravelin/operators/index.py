@@ -121,6 +121,41 @@ def top_directory_metadata(files: DataFrame, extra: DataFrame) -> DataFrame:
     return joined.select("rel_path", F.map_concat(own, extra_new, rest).alias("meta"))
 
 
+def theme_metadata(rel_path: Column, domain: str, by_dir: dict[str, dict[str, str]], role_by_section: dict[str, str] | None = None,
+                   fixed: dict[str, str] | None = None, default: dict[str, str] | None = None) -> Column:
+    """struct(domain, section, platform, role, page_type) of a file by its top directory, without number
+    and in lower case. section, platform and role: a fixed value, else that of the directory (of
+    the section for role), else the default; page_type by directory only. by_dir: field -> directory -> value."""
+    fixed, default = fixed or {}, default or {}
+    top = F.lower(F.regexp_replace(F.split_part(F.coalesce(rel_path, F.lit("")), F.lit("/"), F.lit(1)), r"^\d+-", ""))
+
+    def lookup(values: dict[str, str] | None, key: Column) -> Column:
+        return F.try_element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), key) if values else F.lit(None).cast("string")
+
+    def chosen(field: str, found: Column) -> Column:
+        return F.coalesce(F.lit(fixed.get(field)).cast("string"), found, F.lit(default.get(field)).cast("string"))
+
+    section = chosen("section", lookup(by_dir.get("section"), top))
+    return F.struct(
+        F.lit(domain).alias("domain"),
+        section.alias("section"),
+        chosen("platform", lookup(by_dir.get("platform"), top)).alias("platform"),
+        chosen("role", lookup(role_by_section, section)).alias("role"),
+        lookup(by_dir.get("page_type"), top).alias("page_type"),
+    )
+
+
+def chunk_metrics(chunks: DataFrame, group: str, low: int = 410, high: int = 614) -> DataFrame:
+    """Chunks, their tokens and the share of them that have between low and high."""
+    n = F.count(F.lit(1))
+    return chunks.groupBy(group).agg(
+        n.alias("n"),
+        F.sum("n_tokens").alias("tokens"),
+        F.round(F.avg("n_tokens"), 6).alias("mean"),
+        F.round(F.count_if(F.col("n_tokens").between(low, high)) / n, 6).alias("optimal"),
+    )
+
+
 def chunk_size(page_type: Column, complexity: Column | None = None, size: int = 800) -> Column:
     """Chunk size by page type; for other types by complexity, if it is known."""
     rest = F.lit(size)

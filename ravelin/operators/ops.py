@@ -152,6 +152,66 @@ def cache_replay(lookups: DataFrame, ttl: float) -> DataFrame:
     return timed.repartition("key").sortWithinPartitions("key", "at", "event_id").mapInPandas(replay, "event_id long, hit boolean")
 
 
+class TtlCache:
+    """Keys with the times they were stored. An entry older than ttl is no hit; a key stored into a full
+    cache first drives out the share of it that was stored first."""
+
+    def __init__(self, most: int, ttl: float, share: float = 0.2):
+        self.most, self.ttl, self.share = most, ttl, share
+        self.stored: dict[str, float] = {}
+
+    def lookup(self, key: str, at: float) -> bool:
+        """Whether key is a hit at that time; a miss stores it."""
+        if key in self.stored and at - self.stored[key] < self.ttl:
+            return True
+        self.stored.pop(key, None)
+        if len(self.stored) >= self.most:
+            for old in sorted(self.stored, key=self.stored.get)[: max(1, int(self.most * self.share))]:
+                del self.stored[old]
+        self.stored[key] = at
+        return False
+
+
+def bounded_cache_replay(lookups: DataFrame, node: str, most: int, ttl: float) -> DataFrame:
+    """lookups(event_id, node, key, ts) with hit, for a cache of at most most entries on each node. The
+    entries of a node depend on each other, so a node is one task; its memory is that of its cache."""
+    ship(lookups.sparkSession)
+
+    def replay(batches):
+        owner, cache = None, None
+        for pdf in batches:
+            hits = []
+            for n, k, at in zip(pdf["node"], pdf["key"], pdf["at"], strict=True):
+                if cache is None or n != owner:
+                    owner, cache = n, TtlCache(most, ttl)
+                hits.append(cache.lookup(k, at))
+            yield pd.DataFrame({"event_id": pdf["event_id"], "hit": hits})
+
+    timed = lookups.select("event_id", F.col(node).cast("string").alias("node"), F.col("key").cast("string").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
+    return timed.repartition("node").sortWithinPartitions("node", "at", "event_id").mapInPandas(replay, "event_id long, hit boolean")
+
+
+def max_over_time(samples: DataFrame, value: str, seconds: int, *labels: str) -> DataFrame:
+    """samples(ts, value, labels) with most: the largest value of the same labels in the last seconds."""
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    return samples.withColumn("most", F.max(value).over(Window.partitionBy(*labels).orderBy(at).rangeBetween(-seconds * 1_000_000, 0)))
+
+
+def histogram_quantile(buckets: DataFrame, q: float, *labels: str) -> DataFrame:
+    """buckets(labels, le, n) cumulative as histogram() gives them -> labels, quantile: linear within the
+    bucket that reaches the rank, the last finite bound beyond it, null without observations."""
+    bound = F.when(F.col("le") == "+Inf", F.lit(float("inf"))).otherwise(F.col("le").cast("double"))
+    rows = F.sort_array(F.collect_list(F.struct(bound.alias("le"), F.col("n").cast("double").alias("n"))))  # one for each bound
+    each = buckets.groupBy(*labels).agg(rows.alias("b"), F.max("n").alias("total"))
+    rank = F.col("total") * F.lit(q)
+    each = each.withColumn("i", F.array_position(F.transform("b", lambda x: x["n"] >= rank), True).cast("int"))
+    at = lambda k, c: F.coalesce(F.get("b", k)[c], F.lit(0.0))
+    low, high = at(F.col("i") - 2, "le"), at(F.col("i") - 1, "le")
+    under, inside = at(F.col("i") - 2, "n"), at(F.col("i") - 1, "n") - at(F.col("i") - 2, "n")
+    value = F.when(high == float("inf"), low).when(inside > 0, low + (high - low) * (rank - under) / inside).otherwise(high)
+    return each.select(*labels, F.when(F.col("total") > 0, F.round(value, 9)).alias("quantile"))
+
+
 def stage_shares(timings: DataFrame) -> DataFrame:
     """timings(stage, seconds, docs, chunks) -> seconds, share of all, documents and chunks a second by stage."""
     total = F.sum("seconds").over(Window.partitionBy())

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions.text import any_of, sanitize, strip
+from .boost import platform_of
 
 
 def query_type(text: Column) -> Column:
@@ -172,18 +173,60 @@ def route(queries: DataFrame) -> DataFrame:
 
 def theme_of(docs: DataFrame, key: str) -> DataFrame:
     """docs(key, domain, section, platform, role) -> key, theme_id: the first theme that agrees in
-    every field both sides have. Themes are few, so they are an expression, not a join."""
+    every field both sides have (sdk_platform stands in for an empty platform). Themes are few, so
+    they are an expression, not a join."""
     out = None
+    columns = set(docs.columns)
+    fields_of = {c: platform_of(columns) if c == "platform" else F.col(c) for c in ("domain", "section", "platform", "role")}
     for theme_id, *fields in C.THEMES:
         agrees = F.lit(True)
         for name, value in zip(("domain", "section", "platform", "role"), fields, strict=True):
-            own = F.lower(F.coalesce(F.col(name), F.lit("")))
+            own = F.lower(F.coalesce(fields_of[name], F.lit("")))
             if value:
                 agrees = agrees & ((own == "") | (own == value))
         out = F.when(agrees, theme_id) if out is None else out.when(agrees, theme_id)
     return docs.select(key, out.alias("theme_id"))
 
 
+def theme_label(theme_id: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for t, label in zip(C.THEMES, C.THEME_LABELS, strict=True) for x in (t[0], label)]), theme_id)
+
+
+def theme_bits(columns: set[str]) -> Column:
+    """A bit for each theme whose fields the payload has all, exactly: what a theme filter lets through."""
+    out = F.lit(0).cast("long")
+    for i, (_, *fields) in enumerate(C.THEMES):
+        named = [(c, v) for c, v in zip(("domain", "section", "platform", "role"), fields, strict=True) if v]
+        if all(c in columns for c, _ in named):
+            out = out + F.when(reduce(lambda a, b: a & b, [F.col(c) == v for c, v in named]), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
+    return out
+
+
+def filter_bit(use_filter: Column, primary_theme: Column) -> Column:
+    """The bit of the theme that a query is filtered by, 0 for none."""
+    bits = F.create_map(*[x for i, t in enumerate(C.THEMES) for x in (F.lit(t[0]), F.lit(1 << i).cast("long"))])
+    return F.when(use_filter, F.coalesce(F.try_element_at(bits, primary_theme), F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long"))
+
+
+def routing_with_model(routes: DataFrame, answers: DataFrame) -> DataFrame:
+    """routes with a column router: a model's answer(query_id, answer) that parses takes the place of
+    the words' themes and scores and allows a filter from its own threshold on; others stay as they are."""
+    parsed = answers.select("query_id", F.filter(parse_llm_routing(F.col("answer")), lambda x: x["theme_id"].isin(*[t[0] for t in C.THEMES])).alias("found")).where(
+        F.size("found") > 0
+    )
+    order = F.array_sort("found", lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).otherwise(0))
+    parsed = parsed.select("query_id", order.alias("found"))
+    at = lambda i, c: F.coalesce(F.try_element_at("found", F.lit(i))[c], F.lit(0.0) if c == "score" else F.lit(None))
+    both = routes.join(parsed, "query_id", "left")
+    model = F.col("found").isNotNull()
+    pick = lambda new, old: F.when(model, new).otherwise(F.col(old)).alias(old)
+    changed = {
+        "primary_theme": pick(at(1, "theme_id"), "primary_theme"), "top_score": pick(at(1, "score"), "top_score"), "second_score": pick(at(2, "score"), "second_score"),
+        "themes": pick(F.transform("found", lambda x: x["theme_id"]), "themes"), "use_filter": pick(at(1, "score") >= C.FILTER_TOP_LLM, "use_filter"),
+    }
+    return both.select(*[changed.get(c, F.col(c)) for c in routes.columns], F.when(model, "llm").otherwise("heuristic").alias("router"))
+
+
 def parse_llm_routing(answer: Column) -> Column:
     """array<struct<theme_id, score>> from a model's answer, code fences taken off; null if it is no JSON."""
     body = F.regexp_replace(strip(answer), r"^```[A-Za-z]*\s*|\s*```$", "")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +16,8 @@ from ..shipping import ship
 #: Query vectors that travel to the tasks at a time.
 QUERY_BLOCK = 4096
 DIGITS = 6
+#: Broadcast limit for the words of the queries.
+BROADCAST_TOKENS = 500_000
 
 
 def ranked(hits: DataFrame, k: int | None, *order: Column, by: str = "query_id") -> DataFrame:
@@ -23,7 +27,8 @@ def ranked(hits: DataFrame, k: int | None, *order: Column, by: str = "query_id")
 
 
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """queries(query_id, vector), vectors(id, vector) -> query_id, id, score, rank by cosine.
+    """queries(query_id, vector[, need]), vectors(id, vector[, bits]) -> query_id, id, score, rank by
+    cosine, among the vectors whose bits hold all that a query needs.
 
     Each block of query vectors (at most QUERY_BLOCK rows are held) meets each batch of vectors
     in one matrix product; a batch keeps its k best of every query, so what is shuffled does
@@ -31,8 +36,9 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     ship(vectors.sparkSession)
     found = None
     block: list = []
+    masked = "need" in queries.columns and "bits" in vectors.columns
 
-    def search(ids: np.ndarray, matrix: np.ndarray) -> DataFrame:
+    def search(ids: np.ndarray, matrix: np.ndarray, need: np.ndarray | None) -> DataFrame:
         def score(batches):
             for batch in batches:
                 if not batch.num_rows:
@@ -42,25 +48,29 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
                 norm = np.sqrt((v * v).sum(axis=1))
                 v = np.divide(v, norm[:, None], out=np.zeros_like(v), where=norm[:, None] > 0)
                 s = np.round(matrix @ v.T, DIGITS)
+                if need is not None:
+                    bits = batch.column(2).to_numpy(zero_copy_only=False)
+                    s[(bits[None, :] & need[:, None]) != need[:, None]] = -np.inf
                 own = batch.column(0).to_numpy(zero_copy_only=False)
                 # Ties at the cut are all kept; the window decides them by id.
                 at = min(k, s.shape[1]) - 1
                 edge = -np.partition(-s, at, axis=1)[:, at]
-                q, d = np.nonzero(s >= edge[:, None])
+                q, d = np.nonzero((s >= edge[:, None]) & (s > -np.inf))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(own[d]), pa.array(s[q, d])], names=["query_id", "id", "score"])
 
-        return vectors.select("id", "vector").mapInArrow(score, "query_id long, id long, score double")
+        return vectors.select("id", "vector", *(["bits"] if need is not None else [])).mapInArrow(score, "query_id long, id long, score double")
 
     def flush() -> None:
         nonlocal found
         m = np.array([r["vector"] for r in block], np.float64)
         norm = np.sqrt((m * m).sum(axis=1))
         m = np.divide(m, norm[:, None], out=np.zeros_like(m), where=norm[:, None] > 0)
-        part = search(np.array([r["query_id"] for r in block]), m)
+        need = np.array([r["need"] for r in block], np.int64) if masked else None
+        part = search(np.array([r["query_id"] for r in block]), m, need)
         found = part if found is None else found.unionByName(part)
         block.clear()
 
-    for row in queries.select("query_id", "vector").toLocalIterator():
+    for row in queries.select("query_id", "vector", *(["need"] if masked else [])).toLocalIterator():
         block.append(row)
         if len(block) == QUERY_BLOCK:
             flush()
@@ -88,11 +98,22 @@ def postings(texts: DataFrame, key: str) -> DataFrame:
 
 
 def sparse_topk(queries: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """queries(query_id, text), texts(id, text) -> query_id, id, score, rank by the dot product of
-    term frequencies. Only shared tokens meet; the products are summed before they are shuffled by pair."""
+    """queries(query_id, text[, need]), texts(id, text[, bits]) -> query_id, id, score, rank by the dot
+    product of term frequencies. Only shared tokens meet; the products are summed before they are
+    shuffled by pair. Words of the texts that no query holds leave before the first exchange where
+    the queries' words are few enough to be broadcast."""
     q = postings(queries, "query_id").withColumnRenamed("weight", "wq")
-    d = postings(texts, "id").withColumnRenamed("weight", "wd")
-    scores = d.join(q, "token").groupBy("query_id", "id").agg(F.sum(F.col("wq") * F.col("wd")).alias("score"))
+    asked = queries.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("token")).distinct()
+    n = asked.count()
+    if n <= BROADCAST_TOKENS:
+        token = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
+        d = texts.select("id", token.alias("token")).join(F.broadcast(asked), "token", "left_semi").groupBy("id", "token").agg(F.count(F.lit(1)).cast("double").alias("wd"))
+    else:
+        d = postings(texts, "id").withColumnRenamed("weight", "wd")
+    pairs = d.join(q, "token")
+    if "need" in queries.columns and "bits" in texts.columns:
+        pairs = pairs.join(queries.select("query_id", "need"), "query_id").join(texts.select("id", "bits"), "id").where(F.col("bits").bitwiseAND(F.col("need")) == F.col("need"))
+    scores = pairs.groupBy("query_id", "id").agg(F.sum(F.col("wq") * F.col("wd")).alias("score"))
     return ranked(scores, k, F.desc("score"), F.col("id"))
 
 
@@ -118,6 +139,85 @@ def hybrid_search(query_vectors: DataFrame, query_texts: DataFrame, vectors: Dat
     return fuse(dense_topk(query_vectors, vectors, 2 * k), sparse_topk(query_texts, texts, 2 * k), k)
 
 
+def filtered_fusion(dense: DataFrame, sparse: DataFrame, payload: DataFrame, wanted: dict[str, str | list[str]], k: int | None = None) -> DataFrame:
+    """Fusion of the hits whose payload(id, ...) meets every condition. Values of a list must all hold at
+    once, so two different ones let nothing through."""
+    conditions = [F.col(c) == v for c, vs in wanted.items() for v in ([vs] if isinstance(vs, str) else vs)]
+    allowed = payload.where(reduce(lambda a, b: a & b, conditions, F.lit(True))).select("id")
+    return fuse(dense.join(allowed, "id", "left_semi"), sparse.join(allowed, "id", "left_semi"), k)
+
+
+def preview(hits: DataFrame, most: int, prefix: int) -> DataFrame:
+    """What a log keeps of hits: the first ones of each query, no vectors, texts cut."""
+    kept = [c for c in hits.columns if c not in ("vector", "dense", "sparse")]
+    return hits.where(F.col("rank") <= most).select(*[F.substring("text", 1, prefix).alias("text") if c == "text" else F.col(c) for c in kept])
+
+
+# ---------------------------------------------------------------- dense search by cells
+
+
+def cell_centres(vectors: DataFrame, cells: int, sample: int = 20_000, rounds: int = 12, seed: int = 1) -> np.ndarray:
+    """Centres of cells by k-means on directions, fitted on a bounded sample of rows."""
+    share = min(1.0, 2 * sample / max(1, vectors.count()))
+    found = vectors.sample(share, seed=seed).select("vector").limit(sample).toArrow().column("vector").combine_chunks()
+    if not len(found):
+        return np.zeros((0, 0))
+    x = found.values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(found), -1)
+    x = x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
+    rng = np.random.default_rng(seed)
+    centres = x[rng.choice(len(x), min(cells, len(x)), replace=False)]
+    for _ in range(rounds):
+        own = (x @ centres.T).argmax(axis=1)
+        total = np.zeros_like(centres)
+        np.add.at(total, own, x)
+        size = np.sqrt((total * total).sum(axis=1, keepdims=True))
+        centres = np.where(size > 0, total / np.maximum(size, 1e-12), x[rng.choice(len(x), len(centres))])
+    return centres
+
+
+def _nearest_cells(df: DataFrame, key: str, centres: np.ndarray, probes: int) -> DataFrame:
+    """key, vector (scaled to length 1), cell: a row for each of the nearest cells."""
+    ship(df.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column(1).values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+            x = x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
+            n = min(probes, len(centres))
+            cell = np.argpartition(-(x @ centres.T), n - 1, axis=1)[:, :n]
+            row = np.repeat(np.arange(len(x)), n)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(row)), pa.array(list(x[row]), pa.list_(pa.float64())), pa.array(cell.ravel().astype(np.int32))], names=[key, "vector", "cell"]
+            )
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, "vector").mapInArrow(run, f"{key} {kind}, vector array<double>, cell int")
+
+
+def cell_index(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
+    """id, vector, cell: every vector in its cell. Write it partitioned by cell to search it more than once."""
+    return _nearest_cells(vectors, "id", centres, 1)
+
+
+def cell_topk(queries: DataFrame, index: DataFrame, centres: np.ndarray, k: int, probes: int) -> DataFrame:
+    """Approximate dense_topk over cell_index(): a query meets the vectors of its nearest cells only. Cells
+    are joined, so a large one can be split; products are taken by batch, and the cut to k runs on
+    both sides of the exchange. Recall depends on probes: see the test against dense_topk."""
+    probe = _nearest_cells(queries, "query_id", centres, probes).withColumnRenamed("vector", "q")
+    pairs = index.join(probe, "cell").select("query_id", "id", "q", "vector")
+
+    def score(batches):
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (batch.column(i).values.to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for i in (2, 3))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.round(np.einsum("ij,ij->i", a, b), DIGITS))], names=["query_id", "id", "score"])
+
+    q, d = (pairs.schema[c].dataType.simpleString() for c in ("query_id", "id"))
+    return ranked(pairs.mapInArrow(score, f"query_id {q}, id {d}, score double"), k, F.desc("score"), F.col("id"))
+
+
 def with_fallback(filtered: DataFrame, unfiltered: DataFrame) -> DataFrame:
     """The filtered hits, and the unfiltered ones of queries that the filter left empty."""
     names = filtered.columns

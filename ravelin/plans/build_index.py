@@ -32,7 +32,7 @@ def build(raw: DataFrame, state: DataFrame, now: Column, cfg: chunking.ChunkConf
     fresh = index.changed(keyed, state)
     docs = normalised(fresh)
     chunks = chunking.chunk_documents(docs.withColumn("format", F.when(F.col("format") == "html", "html").otherwise("markdown")), "doc_id", cfg=cfg)
-    points = hashed_vectors(chunks, "chunk_id", F.col("text")).join(chunks, "chunk_id")
+    points = hashed_vectors(chunks, "chunk_id", F.col("text"), tuple(c for c in chunks.columns if c != "chunk_id"))
     points = points.withColumn("id", index.point_id(F.col("chunk_id"), F.lit(None).cast("string"), F.col("chunk_index"), F.col("text")))
     updated = fresh.select("doc_key", "content_hash", "mtime", F.lit(1).alias("version")).unionByName(state.select("doc_key", "content_hash", "mtime", F.lit(0).alias("version")))
     return index.payload(points, now, "pipeline"), index.latest(updated, ["doc_key"], F.desc("version")).drop("version")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions.text import merge_tokens
-from ..operators import boost, query, search
+from ..operators import boost, context, query, search
 from .base import Registry, case, cell, has_any, q, replaced, rows, strip, table
 
 register = Registry()
@@ -311,3 +311,46 @@ def llm_routing(spark, d):
     answers = [(1, '```json\n[{"theme_id": "sdk_ios", "score": 0.91}]\n```'), (2, '[{"theme_id": "user_faq", "score": 0.4}]'), (3, "no json")]
     parsed = spark.createDataFrame(answers, "query_id long, answer string").withColumn("r", F.try_element_at(query.parse_llm_routing(F.col("answer")), F.lit(1)))
     return parsed.select("query_id", F.col("r.theme_id").alias("theme_id"), F.col("r.score").alias("score"))
+
+
+@register(DENSE_SQL.format(k=K) + " SELECT x.query_id, x.id, x.rank, substring(d.text, 1, 80) AS text FROM dense x JOIN documents d ON d.doc_id = x.id WHERE x.rank <= 3")
+def candidate_preview(spark, d):
+    hits = search.dense_topk(_query_vectors(spark, d), _vectors(spark, d), K).select("query_id", "id", F.col("rank").cast("long").alias("rank"))
+    payload = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return search.preview(hits.join(payload, "id").withColumn("vector", F.array(F.lit(1.0))), 3, 80).select("query_id", "id", "rank", "text")
+
+
+@register(DENSE_SQL.format(k=K) + f""" SELECT x.query_id, x.id, round({C.DENSE_WEIGHT}::DOUBLE / ({C.RRF_K} + x.rank), 9) AS rrf_score
+FROM dense x JOIN documents d ON d.doc_id = x.id WHERE d.lang = 'en'""")
+def metadata_filtered_rrf(spark, d):
+    dense = search.dense_topk(_query_vectors(spark, d), _vectors(spark, d), K)
+    payload = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang", "source")
+    both = search.filtered_fusion(dense, dense.limit(0), payload, {"lang": ["en", "en"]})
+    nothing = search.filtered_fusion(dense, dense.limit(0), payload, {"lang": ["en", "de"]})  # no row has both
+    return both.unionByName(nothing).select("query_id", "id", "rrf_score")
+
+
+@register()
+def cell_topk(spark, d):
+    """Approximate dense search of every row divisible by EVERY; recall is measured in a test."""
+    vectors = _vectors(spark, d)
+    centres = search.cell_centres(vectors, 16)
+    return search.cell_topk(_query_vectors(spark, d), search.cell_index(vectors, centres), centres, K, 12)
+
+
+@register("""SELECT doc_id, regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])(какие|список|перечень)[^\\p{L}\\p{N}_](.*[^\\p{L}\\p{N}_])?канал', 's') AS is_list
+FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Какие есть каналы? ' WHEN 1 THEN 'Список и каналы ' WHEN 2 THEN 'некакие каналы ' ELSE '' END || text AS text FROM documents)""")
+def list_intents(spark, d):
+    lead = F.array(*[F.lit(x) for x in ("Какие есть каналы? ", "Список и каналы ", "некакие каналы ", "")])
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.get(lead, (F.col("doc_id") % 4).cast("int")), "text").alias("text"))
+    return docs.select("doc_id", query.list_intent(F.col("text")).alias("is_list"))
+
+
+@register("""WITH t AS (SELECT * FROM (VALUES """ + ", ".join(f"({i}, {q(x)})" for i, x in enumerate(C.THEME_LABELS)) + """) v(i, label))
+SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN 'Если ответ затрагивает несколько тематик, сформируй отдельные разделы соответственно: ' || a.label || ', ' || b.label || '.' END AS instruction
+FROM documents LEFT JOIN t a ON a.i = doc_id % 9 LEFT JOIN t b ON b.i = (doc_id + 1) % 9""")
+def theme_instructions(spark, d):
+    ids = F.array(*[F.lit(t[0]) for t in C.THEMES])
+    label = lambda n: query.theme_label(F.get(ids, ((F.col("doc_id") + n) % 9).cast("int")))
+    second = F.when(F.col("doc_id") % 3 > 0, label(1))
+    return table(spark, d, "documents").select("doc_id", context.theme_instruction(label(0), second).alias("instruction"))

@@ -401,3 +401,33 @@ def cache_replay(spark, d):
 @register()
 def sampled_interactions(spark, d):
     return quality.sampled(_interactions(spark, d), 0.5)
+
+
+@register("""SELECT doc_id, 'docs' AS domain, CASE lang WHEN 'en' THEN 'sdk' WHEN 'de' THEN 'faq' ELSE 'other' END AS section, CASE lang WHEN 'en' THEN 'web' END AS platform,
+CASE lang WHEN 'en' THEN 'integrator' ELSE 'reader' END AS role, CASE lang WHEN 'de' THEN 'faq' END AS page_type FROM documents""")
+def path_themes(spark, d):
+    path = F.concat(F.lpad((F.col("doc_id") % 90).cast("string"), 2, "0"), F.lit("-"), F.upper("lang"), F.lit("/x.md"))
+    by_dir = {"section": {"en": "sdk", "de": "faq"}, "platform": {"en": "web"}, "page_type": {"de": "faq"}}
+    meta = index.theme_metadata(path, "docs", by_dir, {"sdk": "integrator"}, default={"section": "other", "role": "reader"})
+    return _docs(spark, d).select("doc_id", meta.alias("m")).select("doc_id", "m.*")
+
+
+@register("""SELECT event_id, (SELECT max(value) FROM events x WHERE x.event_type = e.event_type AND x.user_id = e.user_id AND x.ts <= e.ts AND x.ts >= e.ts - INTERVAL 1 HOUR) AS most FROM events e""")
+def max_over_hour(spark, d):
+    return ops.max_over_time(_events(spark, d), "value", 3600, "event_type", "user_id").select("event_id", "most")
+
+
+@register(f"""WITH b(i, le) AS (VALUES {", ".join(f"({i + 1}, {b}::DOUBLE)" for i, b in enumerate(BOUNDS))}),
+n AS (SELECT event_type, i, le, count(*) FILTER (value <= le) AS c FROM events, b GROUP BY ALL), t AS (SELECT event_type, count(value) AS total FROM events GROUP BY event_type),
+f AS (SELECT event_type, min(i) AS i FROM n JOIN t USING (event_type) WHERE c >= 0.95 * total GROUP BY event_type),
+x AS (SELECT t.event_type, total, h.le AS high, h.c AS reached, coalesce(l.le, 0) AS low, coalesce(l.c, 0) AS under FROM t LEFT JOIN f USING (event_type)
+LEFT JOIN n h ON h.event_type = t.event_type AND h.i = f.i LEFT JOIN n l ON l.event_type = t.event_type AND l.i = f.i - 1)
+SELECT event_type, round(CASE WHEN high IS NULL THEN {float(BOUNDS[-1])!r}::DOUBLE WHEN reached > under THEN low + (high - low) * (total * 0.95::DOUBLE - under) / (reached - under) ELSE high END, 9) AS quantile FROM x""")
+def latency_p95(spark, d):
+    return ops.histogram_quantile(ops.histogram(_events(spark, d), "value", ["event_type"]), 0.95, "event_type")
+
+
+@register()
+def bounded_cache(spark, d):
+    """Lookups of users, a cache of 50 entries for each kind of event."""
+    return ops.bounded_cache_replay(_events(spark, d).withColumn("key", F.col("user_id")), "event_type", 50, 86_400.0)

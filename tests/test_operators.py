@@ -57,7 +57,7 @@ def test_query_types(spark):
 
 
 def test_rewriting_and_parts(spark):
-    assert one(spark, query.rewrite(F.col("t")), t="журнал рн и арм") == "жуRelease Notesал Release Notes и АРМ" or True
+    assert one(spark, query.rewrite(F.col("t")), t="журнал рн и арм") == "жуRelease Notesал Release Notes и АРМ"
     assert one(spark, query.rewrite(F.col("t")), t="рн") == "Release Notes"
     assert one(spark, query.decompose(F.col("t")), t="a и b и  и c и d") == ["a", "b", "c"]
     assert one(spark, query.decompose(F.col("t")), t="a") == []
@@ -124,7 +124,7 @@ def test_merged_window_stands_at_its_best_hit(spark):
     hits = spark.createDataFrame([(1, "a", 3, 2), (1, "b", 0, 1), (1, "a", 2, 3)], "query_id long, doc_id string, chunk_index int, rank int")
     chunks = spark.createDataFrame([("a", i, f"a{i}", text_of(5)) for i in range(4)] + [("b", 0, "b0", "t")], "doc_id string, chunk_index int, chunk_id string, text string")
     out = context.auto_merge(hits, chunks, 10).orderBy("rank").collect()
-    assert [(r.doc_id, r.merged_chunk_indices) for r in out] == [("b", [0]), ("a", [1, 2]), ("a", [3])] or [r.doc_id for r in out][0] == "b"
+    assert [(r.doc_id, r.merged_chunk_indices) for r in out] == [("b", [0]), ("a", [3]), ("a", [1, 2])]
 
 
 def test_attention_order(spark):
@@ -211,7 +211,7 @@ def test_rate_limit_equals_replay(spark):
 
 
 def test_unicode_words(spark):
-    assert one(spark, T.token_count(F.col("t")), t="Привет, мир_x-1! naïve") == 6 or one(spark, T.token_count(F.col("t")), t="Привет, мир") == 3
+    assert one(spark, T.token_count(F.col("t")), t="Привет, мир_x-1! naïve") == 5  # Привет | , | мир_x-1 | ! | naïve
     assert one(spark, T.strip(F.col("t")), t="  x  ") == "x"
 
 
