@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
-import os
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..written import discard, drop_materialized, materialize, shared_dir  # noqa: F401
+
 #: ASCII white space, as the contracts spell it.
 SPACES = r"[\x20\x09-\x0D]+"
 
-_written: list[tuple[SparkSession, str]] = []
-
 
 def free_name(df: DataFrame, name: str) -> str:
     """name, lengthened until no column of df is called so."""
@@ -30,40 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the session names none and all
-    runs on one machine (tests) is a temporary one chosen; a cluster must name one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    own = os.path.join(tempfile.gettempdir(), "ravelin-shared")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back. The plan above it
-    starts from files, so a lost executor costs a re-read and no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ravelin-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
-    back = spark.read.schema(df.schema).parquet(path)
-    back._ravelin_path = path
-    return back
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables that materialize() wrote, once everything read from them is written itself."""
-    for df in tables:
-        entry = (df.sparkSession, df._ravelin_path)
-        if entry in _written:
-            _written.remove(entry)
-            _delete(*entry)
-
-
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps. It does so when the driver's garbage
     is collected, which a quiet driver may put off while executors' disks fill."""
@@ -71,23 +33,6 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def drop_materialized() -> None:
-    """Delete what materialize() wrote; also runs when the driver ends."""
-    while _written:
-        try:
-            _delete(*_written.pop())
-        except Exception:  # the session may be gone by then
-            return
-
-
-atexit.register(drop_materialized)
-
-
 def small_or_plain(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """Mark df for broadcast only if its counted rows are within limit; beyond that the join
     shuffles both sides."""
