@@ -146,6 +146,21 @@ def test_near_groups_against_brute_force(documents):
     assert kept == {i for i, k in got.items() if i == k}
 
 
+def test_short_texts_against_brute_force(documents):
+    """Eight and nine words, similarity 0.8 and no more: every group is found, also behind a passage that many share."""
+    rng = random.Random(13)
+    texts = []
+    for k in range(400):
+        own = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([8, 8, 8, 3, 5, 9, 10, 15]))]
+        if k % 8 == 0:
+            own = "a line that is in many of them".split() + own[:7]
+        texts += [" ".join(own), " ".join(own + [f"x{k}"] if k % 2 else [f"x{k}", *own])]
+    pairs = list(enumerate(texts))
+    want = brute_groups(pairs, 5, 0.8)
+    got = {r.doc_id: r.keep_id for r in near_dedup.near_groups(documents(pairs)).collect()}
+    assert got == want and sum(i != k for i, k in want.items()) > 200
+
+
 def test_large_families_go_by_pivots(documents, monkeypatch):
     """Buckets and families beyond a block: pivots, and cells for what they leave, change nothing."""
     pairs = list(enumerate(make_texts(random.Random(9), 20)))
