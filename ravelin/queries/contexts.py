@@ -98,10 +98,10 @@ def sources_list(spark, d):
     return context.sources(hits.join(asked, "query_id").withColumns({"url": url, "title": F.substring("text", 1, 40)}))
 
 
-@register(DENSE + """SELECT query_id, string_agg('### T' || x.id::VARCHAR || chr(10) || 'https://host/' || d.source || chr(10) || substring(d.text, 1, 200), chr(10) || chr(10) ORDER BY x.rank) AS context
+@register(DENSE + """SELECT query_id, string_agg('### T' || x.id::VARCHAR || chr(10) || 'https://host/' || d.source || chr(10) || d.text, chr(10) || chr(10) ORDER BY x.rank) AS context
 FROM dense x JOIN documents d ON d.doc_id = x.id GROUP BY query_id""")
 def context_block(spark, d):
-    docs = _docs(spark, d).select(F.col("doc_id").alias("id"), F.substring("text", 1, 200).alias("text"), F.concat(F.lit("https://host/"), "source").alias("url"))
+    docs = _docs(spark, d).select(F.col("doc_id").alias("id"), "text", F.concat(F.lit("https://host/"), "source").alias("url"))
     rows = _hits(spark, d).join(docs, "id").withColumns({"title": F.concat(F.lit("T"), F.col("id")), "theme_label": F.lit(None).cast("string"), "position": F.col("rank")})
     return context.context_block(rows)
 

@@ -116,35 +116,35 @@ def text_clean(spark, d):
     )
 
 
-VARIED = "CASE doc_id % 6 WHEN 0 THEN '' WHEN 1 THEN '12 34 !!' WHEN 2 THEN '!!! ... ??? ---' WHEN 3 THEN substring(text, 1, 5) WHEN 4 THEN text ELSE 'Пример ' || text END"
+#: Texts beside those of the table, so that every answer occurs; their ids are negative.
+CASES = ("", "12 34 !!", "!!! ... ??? ---", "abcde", "Пример")
+CASES_SQL = " UNION ALL ".join(f"SELECT {-k - 1} AS doc_id, '{c}' AS text" for k, c in enumerate(CASES))
 
 
-def _varied():
-    return F.expr(VARIED)
+def _with_cases(spark, d):
+    return _docs(spark, d).select("doc_id", "text").unionByName(spark.createDataFrame([(-k - 1, c) for k, c in enumerate(CASES)], "doc_id long, text string"))
 
 
-
-
-@register(rf"""WITH v AS (SELECT doc_id, {VARIED} AS text FROM documents), c AS (SELECT *, {CLEAN} AS clean FROM v)
+@register(rf"""WITH v AS (SELECT doc_id, text FROM documents UNION ALL {CASES_SQL}), c AS (SELECT *, {CLEAN} AS clean FROM v)
 SELECT doc_id, CASE WHEN {strip('text')} = '' THEN 'empty' WHEN length(clean) < 10 THEN 'short' WHEN NOT regexp_matches(lower(clean), '[а-яёa-z]') THEN 'no letters'
 WHEN regexp_matches(clean, '\A[^\s\p{{L}}\p{{N}}_]+\z') THEN 'symbols only' ELSE '' END AS reason,
 CASE WHEN regexp_matches(lower(text), '[а-яё]') THEN 'ru' WHEN regexp_matches(lower(text), '[a-z]') THEN 'en' ELSE 'unknown' END AS language FROM c""")
 def quality_gate(spark, d):
-    return _docs(spark, d).select("doc_id", _varied().alias("text")).select("doc_id", T.quality_reason(F.col("text")).alias("reason"), T.language(F.col("text")).alias("language"))
+    return _with_cases(spark, d).select("doc_id", T.quality_reason(F.col("text")).alias("reason"), T.language(F.col("text")).alias("language"))
 
 
-KINDS = "CASE doc_id % 6 WHEN 0 THEN '' WHEN 1 THEN 'Title: x' || chr(10) || text WHEN 2 THEN '<html>' || text WHEN 3 THEN '# a' || chr(10) || '**b**' || chr(10) || text WHEN 4 THEN '<div class=\"theme-doc-markdown\">' || text ELSE text END"
+KINDS = "CASE doc_id % 6 WHEN 1 THEN 'Title: x' || chr(10) || text WHEN 2 THEN '<html>' || text WHEN 3 THEN '# a' || chr(10) || '**b**' || chr(10) || text WHEN 4 THEN '<div class=\"theme-doc-markdown\">' || text ELSE text END"
 MARKED = f"len(list_filter(string_split(text, chr(10))[1:10], lambda x: starts_with({strip('x')}, '#') OR starts_with({strip('x')}, '*')))"
 
 
-@register(f"""WITH v AS (SELECT doc_id, {KINDS} AS text FROM documents)
+@register(f"""WITH d AS (SELECT doc_id, text FROM documents UNION ALL {CASES_SQL}), v AS (SELECT doc_id, {KINDS} AS text FROM d)
 SELECT doc_id, CASE WHEN {strip('text')} = '' THEN 'empty' WHEN starts_with(text, 'Title:') OR {has_any('text', ('URL Source:', 'Markdown Content:'))} THEN 'reader'
 WHEN {has_any('text', ('theme-doc-breadcrumbs', 'theme-doc-markdown', 'theme-doc-sidebar'))} THEN 'html_site'
 WHEN {has_any(f"lower({strip('text')})", ('<html', '<!doctype'))} THEN 'html_generic' WHEN {MARKED} >= 2 THEN 'markdown' ELSE 'text' END AS content_type,
 CASE WHEN doc_id % 10 = 7 THEN 'markdown' WHEN starts_with(lower(text), '<html') OR starts_with(lower(text), '<!doctype') THEN 'html'
 WHEN starts_with(text, '#') OR contains(text, '```') THEN 'markdown' ELSE 'text' END AS format FROM v""")
 def content_type(spark, d):
-    v = _docs(spark, d).select("doc_id", F.expr(KINDS).alias("text"))
+    v = _with_cases(spark, d).select("doc_id", F.expr(KINDS).alias("text"))
     uri = F.when(F.col("doc_id") % 10 == 7, "a/b.mdx").otherwise("a/b")
     return v.select("doc_id", T.detect_content_type(F.col("text")).alias("content_type"), T.detect_format(uri, F.col("text")).alias("format"))
 
