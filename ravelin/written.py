@@ -37,12 +37,29 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def bucketed(df: DataFrame, name: str, by: list[str], buckets: int | None = None, sort: list[str] | None = None) -> DataFrame:
+    """Write df as a table of the catalog, bucketed and sorted by the columns by (sorted by sort if
+    given), and read it back: one file a bucket, in the shared folder. Tables with the same
+    buckets are joined on by, and aggregated over more than by, without an exchange."""
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ident = uuid.uuid4().hex
+    path, table = f"{shared_dir(spark)}/ravelin-{name}-{ident}", f"ravelin_{name.replace('-', '_')}_{ident}"
+    df.repartition(n, *by).write.option("path", path).option("compression", "zstd").bucketBy(n, *by).sortBy(*(sort or by)).saveAsTable(table)
+    _written.append((spark, path))
+    back = spark.table(table)
+    back._ravelin_path, back._ravelin_table = path, table
+    return back
+
+
 def discard(*tables: DataFrame) -> None:
-    """Delete tables that materialize() wrote, once everything read from them is written itself."""
+    """Delete tables that materialize() or bucketed() wrote, once everything read from them is written itself."""
     for df in tables:
         entry = (df.sparkSession, df._ravelin_path)
         if entry in _written:
             _written.remove(entry)
+            if hasattr(df, "_ravelin_table"):
+                df.sparkSession.sql(f"DROP TABLE IF EXISTS {df._ravelin_table}")
             _delete(*entry)
 
 
