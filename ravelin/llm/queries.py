@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, line_dedup, pii, secrets, sequences, simhash, suffix_dedup, toxicity
+from . import cohorts, decontamination, exact_dedup, licenses, line_dedup, pii, secrets, sequences, simhash, suffix_dedup, toxicity, vector_codes
 from .common import table
 
 
@@ -46,12 +46,27 @@ def op10_suffix_dedup(spark, sf_dir):
     return suffix_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_license_scan(spark, sf_dir):
+    return licenses.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_cohort_retention(spark, sf_dir):
+    return cohorts.retention(table(spark, sf_dir, "clicks"), table(spark, sf_dir, "clients"))
+
+
+def op13_vector_codes(spark, sf_dir):
+    return vector_codes.digest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_secret_scan, op3_line_dedup, op4_best_fit_packing, op5_simhash_near_dedup,
         op6_decontamination, op7_exact_dedup, op8_token_output, op9_pii, op10_suffix_dedup,
+        op11_license_scan, op12_cohort_retention, op13_vector_codes,
     )
 }
 
-ORACLES = {"op2_secret_scan": secrets.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {
+    "op2_secret_scan": secrets.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op12_cohort_retention": cohorts.ORACLE, "op13_vector_codes": vector_codes.ORACLE,
+}

@@ -20,4 +20,4 @@ def test_queries_are_registered():
     import __spark_entry__ as e
 
     names = e.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
