@@ -1,18 +1,22 @@
-"""Removal of repeated passages of lines (DataFrame functions only).
+"""Removal of repeated passages of lines by content-defined chunks (DataFrame functions only).
 
-passage_dedup() is what the query and the pipeline use. A text is split at line feeds, and each
-two neighbouring lines are a pair. A pair that stood earlier, in (doc_id, text, line) order, is
-removed, so a passage of two or more lines that stood earlier goes whole whatever its neighbours
-are. Passages are found without choosing cuts, so none is missed. A pair that overlaps the first
-one of its kind (a line said three times) stays, and the first place of any line always stays.
+A text is split at line feeds. A rolling hash runs over the hashes of each two neighbouring lines. A
+place is a boundary where its rolling hash is the least of some two neighbouring places (the first and the last
+place of a text are boundaries too). So boundaries follow the lines alone, whatever stands further away, and no two
+places in a row are passed over. The chunks of a boundary are its two lines, and these with the
+line before and with the line behind.
 
-line_dedup() removes whole chunks only. A rolling hash over the hashes of the last three lines
-chooses the chunk ends; chunks of two or more lines that occur again in any document are removed,
-all but the first occurrence in (doc_id, position) order. A shared passage that is not cut alike
-in both places stays.
+A chunk that stood earlier, in (doc_id, text, line) order, is repeated. Hashes only choose what is
+compared: chunks are repeated because their bytes equal. A passage of three or more lines that two texts share holds a
+boundary in both, its chunks leave no line of it uncovered, and the three-line chunks
+reach its first and last line; so it is found whole whatever its neighbours are. One of two lines is found where
+its rolling hash is a boundary in both texts, in about half of all cases.
 
-In both, hashes only choose what is compared: lines are removed because their bytes equal those
-of earlier ones. Cuts go back to their row by doc_id and a hash of its text.
+Repeated chunks that overlap or touch are one passage. A passage goes if it holds CONTENT letters and digits or more; blank
+lines, rules, braces and the like stay. A chunk that overlaps the first one of its kind (a line
+said three times) stays, and so does the first place of any line.
+
+Cuts go back to their row by doc_id and a hash of its text.
 
 Defined cases: a null text stays null and has no lines; an empty text is one empty line and
 stays; rows that repeat a doc_id and its text are one document (what is first in one is first in all),
@@ -22,133 +26,106 @@ columns, whatever their names, are carried; an empty table gives an empty result
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, materialize, small_or_plain
-
-#: A chunk ends where the rolling hash is divisible by this: chunks have so many lines on average.
-MEAN_LINES = 3
-#: Lines under the rolling hash.
-SPAN = 3
-#: Multiplier of the rolling polynomial.
-BASE = 1_000_003
-#: Broadcast limit for repeated chunk hashes (8 bytes each).
-BROADCAST_KEYS = 500_000
-
-
-def _bounded(docs: DataFrame) -> DataFrame:
-    """doc_id, text_h (a hash of the text), lines, cuts: cuts are (start, end) line numbers, end exclusive."""
-    lines = docs.select("doc_id", F.xxhash64("text").alias("text_h"), F.split("text", "\n", -1).alias("lines"))
-    hashes = lines.withColumn("h", F.transform("lines", lambda x: F.xxhash64(x) % F.lit(2**31 - 1)))
-    shifted = hashes.withColumn(
-        "roll",
-        F.zip_with(
-            F.zip_with("h", F.slice(F.concat(F.array(F.lit(0).cast("long")), F.col("h")), F.lit(1), F.size("h")),
-                       lambda a, b: a + b * BASE),
-            F.slice(F.concat(F.array_repeat(F.lit(0).cast("long"), 2), F.col("h")), F.lit(1), F.size("h")),
-            lambda a, b: (a % F.lit(2**31 - 1)) + (b * BASE % F.lit(2**31 - 1)) * BASE % F.lit(2**31 - 1),
-        ),
-    )
-    ends = shifted.select(
-        "doc_id",
-        "text_h",
-        "lines",
-        F.array_distinct(
-            F.concat(
-                F.array_compact(F.transform("roll", lambda r, i: F.when(F.pmod(r, F.lit(MEAN_LINES)) == 0, i + 1))),
-                F.array(F.size("lines")),
-            )
-        ).alias("ends"),
-    )
-    return ends.select(
-        "doc_id",
-        "text_h",
-        "lines",
-        F.arrays_zip(
-            F.slice(F.concat(F.array(F.lit(0)), F.col("ends")), F.lit(1), F.size("ends")).alias("start"),
-            F.col("ends").alias("end"),
-        ).alias("cuts"),
-    )
-
+from .common import discard, free_name, materialize, small_or_plain
 
-def line_chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, text_h, start, end (line numbers, end exclusive), chunk: the chunks of every text."""
-    return (
-        _bounded(docs)
-        .select("doc_id", "text_h", "lines", F.explode_outer("cuts").alias("cut"))
-        .select(
-            "doc_id",
-            "text_h",
-            F.col("cut.start").alias("start"),
-            F.col("cut.end").alias("end"),
-            F.array_join(F.slice("lines", F.col("cut.start") + 1, F.col("cut.end") - F.col("cut.start")), "\n").alias("chunk"),
-        )
-    )
+#: Modulus and multiplier of the rolling hash.
+MODULUS, BASE = 2**31 - 1, 1_000_003
+#: Letters and digits that a passage must hold to be removed.
+CONTENT = 40
+#: Broadcast limits for repeated chunk hashes (8 bytes each), and for texts with cuts and their cuts.
+BROADCAST_KEYS, BROADCAST_TEXTS, BROADCAST_CUTS = 500_000, 50_000, 200_000
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, text_h, start, end of every chunk occurrence to remove."""
-    multi = line_chunks(docs).where("end - start > 1").withColumn("h", F.xxhash64("chunk"))
-    keys = materialize(multi.groupBy("h").count().where("count > 1").select("h"), "line-keys")
-    keys = small_or_plain(keys, keys.count(), BROADCAST_KEYS)
-    likely = multi.join(keys, "h", "left_semi")
-    # Written first, so that both sides of the join are plain exchanges and a hot chunk can be split.
-    classes = materialize(
-        likely.groupBy("h", "chunk")
-        .agg(F.min(F.struct("doc_id", "text_h", "start")).alias("first"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
-        .select("h", "chunk", "first"),
-        "line-classes",
-    )
-    return (
-        likely.join(classes, ["h", "chunk"])
-        .where(~F.struct("doc_id", "text_h", "start").eqNullSafe(F.col("first")))
-        .select("doc_id", "text_h", "start", "end")
-    )
+def _shifted(a: str, by: int) -> Column:
+    """Array a moved one place on (1) or back (-1), null where it opens."""
+    n = F.greatest(F.size(a) - 1, F.lit(0))
+    gap = F.array(F.lit(None))
+    return F.concat(gap, F.slice(a, F.lit(1), n)) if by > 0 else F.concat(F.slice(a, F.lit(2), n), gap)
 
 
-def line_pairs(docs: DataFrame) -> DataFrame:
-    """doc_id, text_h (a hash of the text), start, h, pair: each two neighbouring lines of every text."""
-    lines = docs.select("doc_id", F.xxhash64("text").alias("text_h"), F.split("text", "\n", -1).alias("lines"))
+def boundaries(docs: DataFrame) -> DataFrame:
+    """doc_id, text_h (a hash of the text), start, a, b (the two lines of a boundary), before, after (the lines around them or null)."""
+    text = docs.select("doc_id", F.xxhash64("text").alias("text_h"), F.split("text", "\n", -1).alias("lines"))
+    # The generators keep what they give from being computed again for each use below.
+    pinned = lambda df, *columns: df.select(F.explode(F.array(F.struct(*columns))).alias("r")).select("r.*")
     n = F.greatest(F.size("lines") - 1, F.lit(0))
-    both = F.arrays_zip(F.slice("lines", F.lit(1), n).alias("a"), F.slice("lines", F.lit(2), n).alias("b"))
-    # Pairs and not lines go through the generator: no row carries its whole text.
-    return lines.select("doc_id", "text_h", F.posexplode(both).alias("start", "p")).select(
-        "doc_id", "text_h", "start", F.xxhash64("p.a", "p.b").alias("h"), F.concat_ws("\n", "p.a", "p.b").alias("pair")
-    )
+    hashed = pinned(text, "doc_id", "text_h", "lines", F.transform("lines", lambda x: F.xxhash64(x) % MODULUS).alias("h"))
+    roll = F.zip_with(F.slice("h", F.lit(1), n), F.slice("h", F.lit(2), n), lambda x, y: F.pmod(x * BASE + y, F.lit(MODULUS)))
+    rolled = pinned(hashed, "doc_id", "text_h", "lines", roll.alias("roll"))
+    each = F.arrays_zip(
+        F.slice("lines", F.lit(1), n).alias("a"), F.slice("lines", F.lit(2), n).alias("b"),
+        _shifted("lines", 1).alias("before"), F.slice("lines", F.lit(3), n).alias("after"),
+        F.col("roll").alias("roll"), _shifted("roll", 1).alias("left"), _shifted("roll", -1).alias("right"),
+    )
+    # Places and not lines go through the last generator: no row carries its whole text.
+    places = rolled.where(F.size("roll") > 0).select("doc_id", "text_h", F.posexplode(F.slice(each, F.lit(1), F.size("roll"))).alias("start", "p"))
+    least = (F.col("p.roll") <= F.col("p.left")) | (F.col("p.roll") <= F.col("p.right"))
+    return places.where(F.coalesce(least, F.lit(True))).select("doc_id", "text_h", "start", "p.a", "p.b", "p.before", "p.after")
 
 
-def repeated_pairs(docs: DataFrame) -> DataFrame:
-    """doc_id, text_h, start of every pair of lines to remove."""
-    pairs = line_pairs(docs)
-    keys = materialize(pairs.groupBy("h").count().where("count > 1").select("h"), "pair-keys")
+def repeated_chunks(docs: DataFrame) -> DataFrame:
+    """doc_id, text_h, start, n (lines) of every chunk to remove."""
+    found = boundaries(docs).withColumn("h", F.xxhash64("a", "b"))
+    keys = materialize(found.groupBy("h").count().where("count > 1").select("h"), "line-keys")
     keys = small_or_plain(keys, keys.count(), BROADCAST_KEYS)
-    likely = pairs.join(keys, "h", "left_semi")
+    likely = found.join(keys, "h", "left_semi")
+    chunk = lambda start, *lines: F.struct(F.lit(len(lines)).alias("n"), F.lit(start).alias("from"), F.concat_ws("\n", *lines).alias("chunk"))
+    variants = F.array(
+        chunk(0, "a", "b"), F.when(F.col("before").isNotNull(), chunk(-1, "before", "a", "b")), F.when(F.col("after").isNotNull(), chunk(0, "a", "b", "after"))
+    )
+    # Chunks of one boundary are told apart by where they begin beside it.
+    chunks = likely.select("doc_id", "text_h", "start", F.explode(F.array_compact(variants)).alias("c")).select(
+        "doc_id", "text_h", (F.col("start") + F.col("c.from")).alias("start"), "c.n", "c.chunk", F.xxhash64("c.n", "c.chunk").alias("h")
+    )
+    # Written first, so that both sides of the join are plain exchanges and a hot chunk can be split.
     classes = materialize(
-        likely.groupBy("h", "pair")
-        .agg(F.min(F.struct("doc_id", "text_h", "start")).alias("first"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
-        .select("h", "pair", "first"),
-        "pair-classes",
+        chunks.groupBy("h", "n", "chunk")
+        .agg(F.min(F.struct("doc_id", "text_h", "start")).alias("first"), F.count(F.lit(1)).alias("m"))
+        .where("m > 1")
+        .select("h", "n", "chunk", "first"),
+        "line-classes",
     )
     here = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_h") == F.col("first.text_h"))
-    return (
-        likely.join(classes, ["h", "pair"])
-        .where(~here | (F.col("start") - F.col("first.start") >= 2))
-        .select("doc_id", "text_h", "start")
+    gone = (
+        chunks.join(classes, ["h", "n", "chunk"])
+        .where(~here | (F.col("start") - F.col("first.start") >= F.col("n")))
+        .select("doc_id", "text_h", "start", "n")
     )
+    gone = materialize(gone, "line-repeats")
+    discard(classes)
+    return gone
+
+
+def line_dedup(docs: DataFrame, count: str | None = None) -> DataFrame:
+    """docs with the repeated passages taken out of text; count names a column for the number of passages taken."""
+    repeats = repeated_chunks(docs)
+    lines = repeats.select("doc_id", "text_h", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("line"))
+    covered = lines.groupBy("doc_id", "text_h").agg(F.sort_array(F.collect_set("line")).alias("s"))  # a text's own lines at most
+    begins = F.filter("s", lambda x, k: (k == 0) | (x - F.get("s", k - 1) > 1))
+    ends = F.transform(F.filter("s", lambda x, k: (k == F.size("s") - 1) | (F.get("s", k + 1) - x > 1)), lambda x: x + 1)
+    gone = materialize(covered.select(F.col("doc_id").alias("id"), "text_h", F.arrays_zip(begins.alias("start"), ends.alias("end")).alias("gone")), "line-cuts")
+    discard(repeats)
+    size = gone.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("gone")), F.lit(0)).alias("cuts")).first()
+    if size["cuts"] <= BROADCAST_CUTS:
+        gone = small_or_plain(gone, size["n"], BROADCAST_TEXTS)
+    same = docs["doc_id"].eqNullSafe(gone["id"]) & (F.xxhash64(docs["text"]) == gone["text_h"])
+    return _without(docs, gone, same, count)
 
 
 def _without(docs: DataFrame, gone: DataFrame, same, count: str | None) -> DataFrame:
-    """docs without the line ranges of gone(.., gone: array of (start, end)) in text; count names a
-    column for the number of ranges, if wanted."""
-    cuts = gone["gone"]
+    """docs without the line ranges of gone(.., gone: array of (start, end)) that hold enough."""
     lines, number = free_name(docs, "lines"), free_name(docs, "gone")
-    # The lines go through a generator so that they are split once and not in the lambda below.
+    own = [docs[c] for c in docs.columns]
+    # Lines and ranges go through generators so that they are computed once and not in the lambdas below.
     split = docs.join(gone, same, "left").select(
-        *[docs[c] for c in docs.columns], cuts.alias(number), F.explode(F.array(F.when(cuts.isNotNull(), F.split(docs["text"], "\n", -1)))).alias(lines)
+        *own, gone["gone"].alias(number), F.explode(F.array(F.when(gone["gone"].isNotNull(), F.split(docs["text"], "\n", -1)))).alias(lines)
     )
+    passage = lambda r: F.array_join(F.slice(lines, r["start"] + 1, r["end"] - r["start"]), "\n")
+    enough = F.filter(number, lambda r: F.length(F.regexp_replace(passage(r), r"[^\p{L}\p{N}]+", "")) >= CONTENT)
+    cut = split.select(*docs.columns, lines, F.explode(F.array(F.when(F.size(enough) > 0, enough))).alias(number))
     stays = F.arrays_zip(
         F.concat(F.array(F.lit(0)), F.col(f"{number}.end")).alias("start"),
         F.concat(F.col(f"{number}.start"), F.array(F.size(lines))).alias("end"),
@@ -156,36 +133,12 @@ def _without(docs: DataFrame, gone: DataFrame, same, count: str | None) -> DataF
     kept = F.array_join(F.flatten(F.transform(stays, lambda r: F.slice(lines, r["start"] + 1, r["end"] - r["start"]))), "\n")
     text = F.when(F.col(number).isNull(), F.col("text")).otherwise(kept)
     removed = F.coalesce(F.when(F.col(number).isNotNull(), F.size(number)), F.lit(0)).cast("long")
-    return split.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], *([removed.alias(count)] if count else []))
-
-
-def passage_dedup(docs: DataFrame, count: str | None = None) -> DataFrame:
-    """docs with the repeated passages taken out of text; count names a column for the number of line ranges taken."""
-    starts = repeated_pairs(docs).groupBy("doc_id", "text_h").agg(F.sort_array(F.collect_set("start")).alias("s"))
-    # Pairs that overlap or touch are one range.
-    begins = F.filter("s", lambda x, k: (k == 0) | (x - F.get("s", k - 1) > 2))
-    ends = F.transform(F.filter("s", lambda x, k: (k == F.size("s") - 1) | (F.get("s", k + 1) - x > 2)), lambda x: x + 2)
-    gone = starts.select(
-        F.col("doc_id").alias("id"), "text_h", F.arrays_zip(begins.alias("start"), ends.alias("end")).alias("gone")
-    )
-    same = docs["doc_id"].eqNullSafe(gone["id"]) & (F.xxhash64(docs["text"]) == gone["text_h"])
-    return _without(docs, gone, same, count)
-
-
-def line_dedup(docs: DataFrame, count: str | None = None) -> DataFrame:
-    """docs with the repeated chunks taken out of text; count names a column for their number."""
-    gone = (
-        repeated_chunks(docs)
-        .groupBy(F.col("doc_id").alias("id"), "text_h")
-        .agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("gone"))
-    )
-    same = docs["doc_id"].eqNullSafe(gone["id"]) & (F.xxhash64(docs["text"]) == gone["text_h"])
-    return _without(docs, gone, same, count)
+    return cut.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], *([removed.alias(count)] if count else []))
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_removed, n_lines_kept, kept_sha256."""
-    out = passage_dedup(docs.select("doc_id", "text"), count="n_removed")
+    out = line_dedup(docs.select("doc_id", "text"), count="n_removed")
     return out.select(
         "doc_id",
         "n_removed",
