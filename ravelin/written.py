@@ -63,6 +63,20 @@ def discard(*tables: DataFrame) -> None:
             _delete(*entry)
 
 
+def written_so_far() -> int:
+    """A mark for discard_since()."""
+    return len(_written)
+
+
+def discard_since(mark: int, *keep: DataFrame) -> None:
+    """Delete the tables written since the mark but for those in keep. Only for steps whose result is
+    written itself, or read from keep alone."""
+    paths = {df._ravelin_path for df in keep}
+    for entry in [x for x in _written[mark:] if x[1] not in paths]:
+        _written.remove(entry)
+        _delete(*entry)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
