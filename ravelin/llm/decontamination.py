@@ -8,9 +8,15 @@ overlapping bands of 2 * (k + 1) diagonals, a band below the bound is dropped, a
 are verified by an alignment that moves within the band and k diagonals on either side, where its
 ends may lie.
 
-q is 16 where an item's length and edits leave a useful bound, else the largest of 8, 4, 2 and 1
-that leaves any bound. A bitmap over hashed q-grams, of a
-size that follows the items alone, passes over the rest of a text at a few operations a byte.
+Items often share their wording. A q-gram of more than COMMON items is common, and common ones are not looked
+up: of an item's c common places a match can save c at most, so it shares at least its bound less c of the others.
+q is the largest of QS that leaves such a bound. Items for which none does (nearly all of them
+is shared) are looked up whole, with the largest q that leaves any bound; there, places of a text
+with equal surroundings on either side are taken once, since the first of them finds what the others would.
+
+A bitmap over hashed q-grams, of a size that follows the items alone, passes over the rest of a text at a few
+operations a byte. Before a band is aligned, the 4-grams that the item and the stretch have in common are
+counted against their bound, and once a place is known only better ones are aligned.
 
 The items travel to every task. They are a reference set, not corpus data; should they exceed
 BLOCK_BYTES they are taken in blocks of that size, each against all texts.
@@ -30,15 +36,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..shipping import ship
 from .common import text_or_empty
 
 #: Edits allowed, as a share of an item's bytes.
 EDITS = 0.08
-LONG_Q, SHORT_Q = 16, 8
-#: For items whose bound fails at SHORT_Q; at q = 1 it holds for any item longer than its edits.
-LEAST_QS = (4, 2, 1)
+#: q and the least bound it is taken for, common q-grams left out.
+QS = ((16, 16), (8, 1), (6, 1), (5, 4), (4, 4))
+#: The same for items that are looked up whole; at q = 1 the bound holds for any item longer than its edits.
+WHOLE_QS = ((16, 16), (8, 1), (4, 1), (2, 1), (1, 1))
+#: Items that may share a q-gram before it counts as common.
+COMMON = 32
+#: q of the count before an alignment.
+CLOSE_Q = 4
 #: Bytes of items that are searched for together: an index takes some 100 times as much of a worker's
 #: memory at most (a bitmap of 64 cells for a q-gram, and 48 bytes).
 BLOCK_BYTES = 2 << 20
@@ -68,18 +80,28 @@ def _grams(data: np.ndarray, q: int) -> np.ndarray:
     return code[:n] * np.uint64(0xD6E8FEB86659FD93)
 
 
+def _common(items: list[bytes], q: int) -> np.ndarray:
+    """Codes of the q-grams that more than COMMON items hold, sorted."""
+    held = [np.unique(_grams(np.frombuffer(t, np.uint8), q)) for t in items]
+    code, n = np.unique(np.concatenate(held) if held else np.empty(0, np.uint64), return_counts=True)
+    return code[n > COMMON]
+
+
 class QGramIndex:
-    """Items of one q: where their q-grams stand, and the bounds."""
+    """Items of one q: where their q-grams stand, but for common ones, and the bounds."""
 
-    def __init__(self, q: int, items: list[tuple[int, bytes]], edits: float):
-        self.q, self.items = q, items
+    def __init__(self, q: int, items: list[tuple[int, bytes]], edits: float, common: np.ndarray, around: int = 0):
+        """around: bytes on either side within which equal places of a text are taken once (0: all are taken)."""
+        self.q, self.items, self.around = q, items, around
         self.length = np.array([len(t) for _, t in items], np.int64)
         self.k = (self.length * edits).astype(np.int64)
-        self.need = self.length - q + 1 - self.k * q
         codes = [_grams(np.frombuffer(t, np.uint8), q) for _, t in items]
         code = np.concatenate(codes) if codes else np.empty(0, np.uint64)
         item = np.repeat(np.arange(len(items)), [len(c) for c in codes])
         place = np.concatenate([np.arange(len(c)) for c in codes]) if codes else np.empty(0, np.int64)
+        shared = np.isin(code, common)
+        self.need = self.length - q + 1 - self.k * q - np.bincount(item[shared], minlength=len(items))
+        code, item, place = code[~shared], item[~shared], place[~shared]
         order = np.argsort(code, kind="stable")
         self.code, self.item, self.place = code[order], item[order], place[order]
         self.distinct, self.first = np.unique(self.code, return_index=True)
@@ -100,6 +122,14 @@ class QGramIndex:
         at, row = at[real], row[real]
         if not len(at):
             return []
+        if self.around:
+            text, seen, keep = data.tobytes(), set(), []
+            for k, p in enumerate(at.tolist()):
+                window = (text[max(0, p - self.around) : p + self.around], min(p, self.around))
+                if window not in seen:
+                    seen.add(window)
+                    keep.append(k)
+            at, row = at[keep], row[keep]
         n = self.count[row]
         entry = np.repeat(self.first[row] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
         item, diagonal = self.item[entry], np.repeat(at, n) - self.place[entry]
@@ -113,6 +143,20 @@ class QGramIndex:
         item, band = item[good], band[good]
         return list(zip(item.tolist(), ((band - 1) * (self.k[item] + 1) - self.length[item]).tolist(), strict=True))
 
+    def close(self, item: int, data: np.ndarray, low: int, high: int, most: int) -> bool:
+        """Whether the item and data on diagonals low to high have enough 4-grams in common for most edits."""
+        m = int(self.length[item])
+        need = m - CLOSE_Q + 1 - CLOSE_Q * most
+        if need <= 0:
+            return True
+        own = _grams(np.frombuffer(self.items[item][1], np.uint8), CLOSE_Q)
+        there = np.unique(_grams(data[max(0, low) : max(0, high + m)], CLOSE_Q))
+        if not len(there):
+            return False
+        row = np.searchsorted(there, own)
+        row[row == len(there)] = 0
+        return int((there[row] == own).sum()) >= need
+
 
 def banded_distance(item: bytes, text: bytes, low: int, high: int, most: int) -> tuple[int, int, int] | None:
     """(edits, start, end) of the best stretch of text for item on diagonals low to high, if within
@@ -162,20 +206,27 @@ def banded_distance(item: bytes, text: bytes, low: int, high: int, most: int) ->
 
 class Searcher:
     def __init__(self, items: list[tuple[int, bytes]], edits: float = EDITS):
-        bounds = ((LONG_Q, 16), (SHORT_Q, 1), *((q, 1) for q in LEAST_QS))
-        by_q: dict[int, list[tuple[int, bytes]]] = {q: [] for q, _ in bounds}
-        for ident, text in items:
-            m = len(text)
-            k = int(m * edits)
-            q = next((q for q, least in bounds if m - q + 1 - k * q >= least), None)
-            if q:
-                by_q[q].append((ident, text))
-        self.indexes = [QGramIndex(q, found, edits) for q, found in by_q.items() if found]
         self.overlap = max([len(t) + 2 * int(len(t) * edits) + 64 for _, t in items], default=0)
+        self.indexes: list[QGramIndex] = []
+        bound = lambda m, q: m - q + 1 - int(m * edits) * q
+        left = [(ident, text) for ident, text in items if text]
+        for q, least in QS:
+            common = _common([t for _, t in items], q) if left else None
+            fit = lambda t, q=q, least=least, common=common: bound(len(t), q) >= least and (
+                bound(len(t), q) - int(np.isin(_grams(np.frombuffer(t, np.uint8), q), common).sum()) >= least)
+            taken = [fit(t) for _, t in left]
+            if any(taken):
+                self.indexes.append(QGramIndex(q, [x for x, f in zip(left, taken, strict=True) if f], edits, common))
+            left = [x for x, f in zip(left, taken, strict=True) if not f]
+        by_q: dict[int, list[tuple[int, bytes]]] = {}
+        for ident, text in left:
+            q = next((q for q, least in WHOLE_QS if bound(len(text), q) >= least), None)
+            if q:
+                by_q.setdefault(q, []).append((ident, text))
+        self.indexes += [QGramIndex(q, found, edits, np.empty(0, np.uint64), self.overlap) for q, found in by_q.items()]
 
-    def find(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(item, edits, start, end) of each item's best place; offsets in the normalised bytes."""
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    def _places(self, text: str, best: dict[tuple[int, int], tuple[int, int, int]]):
+        """Puts each item's best place so far into best, and yields at each change."""
         data = normalise(text)
         whole = np.frombuffer(data, np.uint8)
         step = max(STRETCH, 4 * self.overlap)
@@ -184,13 +235,26 @@ class Searcher:
             bytes_of = cache(part.tobytes)
             for x, index in enumerate(self.indexes):
                 for item, diagonal in index.regions(part):
-                    if best.get((x, item), (1,))[0] == 0:
-                        continue
                     k = int(index.k[item])
-                    found = banded_distance(index.items[item][1], bytes_of(), diagonal - k, diagonal + 2 * (k + 1) + k, k)
-                    if found and ((x, item) not in best or found[0] < best[x, item][0]):
+                    most = best[x, item][0] - 1 if (x, item) in best else k
+                    first, last = diagonal - k, diagonal + 2 * (k + 1) + k
+                    if most < 0 or not index.close(item, part, first, last, most):
+                        continue
+                    found = banded_distance(index.items[item][1], bytes_of(), first, last, most)
+                    if found:
                         best[x, item] = (found[0], found[1] + low, found[2] + low)
-        return sorted((self.indexes[x].items[i][0], *place) for (x, i), place in best.items())
+                        yield
+
+    def find(self, text: str) -> list[tuple[int, int, int, int]]:
+        """(item, edits, start, end) of each item's best place; offsets in the normalised bytes."""
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for _ in self._places(text, best):
+            pass
+        return sorted(((self.indexes[x].items[i][0], *place) for (x, i), place in best.items()), key=lambda p: (p[0] is not None, p))
+
+    def holds(self, text: str) -> bool:
+        """Whether any item is found."""
+        return any(True for _ in self._places(text, {}))
 
 
 def _blocks(items: DataFrame):
@@ -211,7 +275,7 @@ def contamination(docs: DataFrame, items: DataFrame, edits: float = EDITS) -> Da
     """doc_id, item_id, edits, start, end for each document and item found in it."""
     ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    item_kind = items.schema["item_id"].dataType.simpleString()
+    item_kind, item_type = items.schema["item_id"].dataType.simpleString(), to_arrow_type(items.schema["item_id"].dataType)
     schema = f"doc_id {kind}, item_id {item_kind}, edits int, start long, end long"
     base = docs.select("doc_id", text_or_empty().alias("text"))
     found = None
@@ -228,7 +292,7 @@ def contamination(docs: DataFrame, items: DataFrame, edits: float = EDITS) -> Da
                 columns = list(zip(*hits, strict=True)) or [[]] * 4
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(rows, pa.int64())),
-                     pa.array(columns[0]).cast(batch_type(item_kind)), pa.array(columns[1], pa.int32()),
+                     pa.array(columns[0], item_type), pa.array(columns[1], pa.int32()),
                      pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64())],
                     names=["doc_id", "item_id", "edits", "start", "end"],
                 )
@@ -238,10 +302,6 @@ def contamination(docs: DataFrame, items: DataFrame, edits: float = EDITS) -> Da
     return found if found is not None else docs.sparkSession.createDataFrame([], schema)
 
 
-def batch_type(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(kind, pa.int64())
-
-
 def decontaminate(docs: DataFrame, items: DataFrame, edits: float = EDITS) -> DataFrame:
     """docs without the rows that hold an item. Rows are judged where they are; nothing is shuffled."""
     ship(docs.sparkSession)
@@ -252,7 +312,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, edits: float = EDITS) -> Da
         def clean(batches, block=block):
             searcher = Searcher(block, edits)
             for batch in batches:
-                yield batch.filter(pa.array([not searcher.find(t.as_py() or "") for t in batch.column(at)], pa.bool_()))
+                yield batch.filter(pa.array([not searcher.holds(t.as_py() or "") for t in batch.column(at)], pa.bool_()))
 
         out = out.mapInArrow(clean, docs.schema)
     return out

@@ -160,3 +160,62 @@ def test_short_items_are_found():
             assert [(x[0], x[1]) for x in search.find(text)] == [(1, distance(item, text.encode()))], (m, edits)
         assert search.find("0123 456789") == []
     assert D.Searcher([(1, b"")]).find("text") == []
+
+
+@pytest.mark.parametrize("common", [0, 1, 3])
+def test_shared_wording_against_edit_distance(monkeypatch, common):
+    """Items that share an opening, or nearly all they have, with q-grams common from few items on, in texts that repeat themselves."""
+    monkeypatch.setattr(D, "COMMON", common)
+    rng = random.Random(common)
+    opening = "which of the following statements about "
+    tail = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(n))
+    items = [(i, opening + tail(rng.choice([1, 2, 8, 20]))) for i in range(12)] + [(20, opening + "x1"), (21, opening + "x2"), (22, opening + "x2")]
+    search = D.Searcher([(i, D.normalise(t)) for i, t in items])
+    assert sum(len(x.items) for x in search.indexes) == len(items) and any(x.around for x in search.indexes)
+    some = 0
+    for n in range(25):
+        parts = [rng.choice([opening, opening + opening, tail(3), edited(rng, rng.choice(items)[1], rng.randint(0, 4)), rng.choice(items)[1]]) for _ in range(rng.randint(0, 5))]
+        text = " ".join(parts) * rng.choice([1, 1, 3])
+        want = {}
+        for i, t in items:
+            item = D.normalise(t).decode()
+            e = distance(item, D.normalise(text).decode())
+            if e <= int(len(item) * D.EDITS):
+                want[i] = e
+        assert {x[0]: x[1] for x in search.find(text)} == want, n
+        assert search.holds(text) == bool(want)
+        some += len(want)
+    assert some > 30
+
+
+def test_templates_in_time():
+    """2,000 items with one opening against 1 MB of that opening, and a page of other questions that open so."""
+    import time
+
+    rng = random.Random(9)
+    opening = "Which of the following statements about the subject is correct: "
+    tail = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstu") for _ in range(rng.randint(3, 8))) for _ in range(n))
+    for words in (2, 14):
+        items = [(i, opening + tail(words)) for i in range(2000)]
+        search = D.Searcher([(i, D.normalise(t)) for i, t in items])
+        begin = time.perf_counter()
+        got = {x[0]: x[1] for x in search.find(opening * (1_000_000 // len(opening)) + items[7][1])}
+        assert time.perf_counter() - begin < 60, words
+        end = D.normalise(opening + items[7][1]).decode()
+        for i, t in items[:25] + [items[i] for i in got]:  # an occurrence of the opening alone is further off
+            item = D.normalise(t).decode()
+            e = distance(item, end)
+            assert got.get(i) == (e if e <= int(len(item) * D.EDITS) else None), i
+    begin = time.perf_counter()
+    page = "\n".join(f"{k}. {opening}{tail(14)}" for k in range(100))
+    assert search.find(page) == [] and search.find(page + items[3][1])[0][:2] == (3, 0)
+    assert time.perf_counter() - begin < 60
+
+
+def test_ids_of_items_of_other_types(documents, spark):
+    from decimal import Decimal
+
+    docs = documents([(1, "one passage with enough words to be found")])
+    for kind, ident in (("string", "a"), ("smallint", 3), ("decimal(9,2)", Decimal("1.50")), ("binary", b"x"), ("date", None)):
+        items = spark.createDataFrame([(None if ident is None else ident, "passage with enough words")], f"item_id {kind}, text string")
+        assert [r.item_id for r in D.contamination(docs, items).collect()] == [ident]
