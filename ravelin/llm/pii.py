@@ -3,8 +3,9 @@
 The field labels a window of tokens with non-overlapping segments (email, ip, card, phone; all
 else is outside). Its features look at a whole candidate span at once: digit count, grouping,
 separators, checksum, octet range, what stands around it. A dynamic program over segments of
-bounded length finds the best boundaries and types together; training maximises the
-likelihood of complete segmentations with the matching forward and backward sums.
+bounded length finds the best boundaries and types together, holding a few tokens of a window however
+long it is; training maximises the likelihood of complete segmentations with the matching forward and
+backward sums.
 
 No table has labels for this, so the field is trained on sentences generated here, with fixed
 seed: the entity types in many spellings, among dates, versions, amounts and serial numbers.
@@ -26,6 +27,7 @@ import math
 import random
 import re
 from bisect import bisect_left
+from collections import deque
 from functools import cache
 from itertools import accumulate
 
@@ -53,6 +55,8 @@ EPOCHS = 6
 SPAN_TOKENS, SPAN_CHARS = 16, 254
 #: Log-odds that an added segment must reach.
 MARGIN = 3.0
+#: Tokens after which choices are given out.
+SETTLE = 1024
 #: Characters of context on either side of a digit group or an @.
 CONTEXT = 24
 
@@ -197,6 +201,41 @@ def candidates(text: str, a: int, b: int) -> tuple[list[re.Match], list[tuple[in
     return tokens, spans
 
 
+def _starts(near: deque[tuple[str, int, str]]) -> list[int]:
+    """Places in near, in order, at which a span that ends with its last token may start (as candidates() has them)."""
+    out, digits, at = [], 0, False
+    end = near[-1][1] + len(near[-1][0])
+    for i in range(len(near) - 1, -1, -1):
+        part, start, _ = near[i]
+        if "\n" in part or not part.isascii() or end - start > SPAN_CHARS:
+            break
+        if part[0].isdigit():
+            digits += len(part)
+        at |= part in ("@", "at")
+        if (part.isalnum() or part in "+(") and (digits >= 7 or at and i <= len(near) - 3):
+            out.append(i)
+    return out[::-1]
+
+
+def _settled(back: dict[int, tuple[int, int, int, int, float]], ends: set[int]):
+    """Takes out of back, and gives in order, the choices before the last token that the best ways to all ends pass."""
+    while len(ends) > 1:
+        last = max(ends)
+        ends.discard(last)
+        ends.add(back[last][0] if last in back else last - 1)
+    at, out = min(ends), []
+    passed, first = at, min(back, default=at + 1)
+    while at >= first:
+        if at in back:
+            out.append(back[at][1:])
+            at = back[at][0]
+        else:
+            at -= 1
+    for k in [k for k in back if k <= passed]:
+        del back[k]
+    yield from out[::-1]
+
+
 # ---------------------------------------------------------------- the field
 
 
@@ -238,6 +277,36 @@ class SemiMarkov:
                 j -= 1
         return out[::-1]
 
+    def decode(self, text: str, a: int, b: int):
+        """(start, end, kind, score), in characters, of what best() finds in text[a:b]. Spans are scored as the program
+        reaches their end, and choices that all ways on have in common are given out, so that a few tokens are held."""
+        near: deque[tuple[str, int, str]] = deque(maxlen=SPAN_TOKENS)  # the last tokens: text, start, cue before them
+        values: deque[float] = deque([0.0], maxlen=SPAN_TOKENS + 1)
+        back: dict[int, tuple[int, int, int, int, float]] = {}  # by end token: start token, start, end, kind, score
+        cue, n = "", 0
+        for m in TOKEN.finditer(text, a, b):
+            part = m[0]
+            near.append((part, m.start(), cue))
+            n += 1
+            best, choice = values[-1], None
+            if part.isalnum() and part.isascii():
+                for i in _starts(near):
+                    first, start, own_cue = near[i]
+                    features = span_features(text, start, m.end(), own_cue)
+                    for kind, name in enumerate(KINDS):
+                        s = self.score(name, features)
+                        total = values[i - len(near)] + s
+                        if total > best:
+                            best, choice = total, (n - (len(near) - i), start, m.end(), kind, s)
+            values.append(best)
+            if choice:
+                back[n] = choice
+            if part.isalpha():
+                cue = CUES.get(part.lower(), "")
+            if n % SETTLE == 0:
+                yield from _settled(back, set(range(n - SPAN_TOKENS, n + 1)))
+        yield from _settled(back, {n})
+
     def expected(self, n: int, spans) -> list[tuple[int, int, float]]:
         """(span, kind, probability) of every candidate under the field."""
         ends = self.lattice(n, spans)
@@ -344,9 +413,7 @@ def all_spans(text: str, field: SemiMarkov, fixed: list[tuple[int, int, int]]) -
     starts = [x[0] for x in fixed]
     reach = list(accumulate((x[2] for x in fixed), max))  # furthest end of the fixed spans so far
     for a, b in windows(text):
-        tokens, spans = candidates(text, a, b)
-        for i, j, kind, score in field.best(len(tokens), spans):
-            s, e = tokens[i].start(), tokens[j - 1].end()
+        for s, e, kind, score in field.decode(text, a, b):
             before = bisect_left(starts, e)  # fixed spans that begin before its end
             if score >= MARGIN and not (before and reach[before - 1] > s):
                 out.append((s, kind, e))

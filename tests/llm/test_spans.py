@@ -4,6 +4,7 @@ import random
 import re
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from ravelin.llm import pii, secrets
@@ -206,3 +207,39 @@ def test_emails_and_ips_are_those_of_the_patterns():
         assert list(pii.emails(t)) == [m.span() for m in email.finditer(t)], t
         t = "".join(rng.choice("12.. ") for _ in range(rng.randint(0, 40)))
         assert list(pii.ips(t)) == [m.span() for m in ip.finditer(t) if all(int(x) <= 255 for x in m[0].split("."))], t
+
+
+def whole_spans(text, field):
+    """The field's spans from the whole lattice of each window."""
+    out = []
+    for a, b in pii.windows(text):
+        tokens, spans = pii.candidates(text, a, b)
+        out += [(tokens[i].start(), tokens[j - 1].end(), kind, s) for i, j, kind, s in field.best(len(tokens), spans)]
+    return out
+
+
+@pytest.mark.parametrize("settle", [1, 17, 40, 1024])
+def test_decoding_in_passing_equals_the_whole_lattice(monkeypatch, settle):
+    monkeypatch.setattr(pii, "SETTLE", settle)
+    field = pii.SemiMarkov(pii.trained())
+    rng = random.Random(settle)
+    texts = [" ".join(pii._example(rng)[0] for _ in range(rng.randint(1, 12))) for _ in range(25)]
+    texts += ["".join(rng.choice(["4155552671", "12", "-", " ", "(415) ", "+1 ", "a@b.com", "\n", "é", " at ", "x"]) for _ in range(120)) for _ in range(40)]
+    for text in texts:
+        got = [x for a, b in pii.windows(text) for x in field.decode(text, a, b)]
+        assert got == whole_spans(text, field)
+
+
+def test_tables_of_numbers_in_bounded_memory():
+    """A long text of numbers and commas, one window from end to end."""
+    import tracemalloc
+
+    field = pii.SemiMarkov(pii.trained())
+    rng = random.Random(1)
+    text = ",".join(str(rng.randint(10**7, 10**8 - 1)) for _ in range(8_000))
+    assert len(pii.windows(text)) == 1
+    tracemalloc.start()
+    n = sum(1 for _ in field.decode(text, 0, len(text)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1_500_000, (n, peak)
