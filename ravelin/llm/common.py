@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..written import bucketed, discard, drop_materialized, materialize, shared_dir  # noqa: F401
+from ..written import bucketed, discard, discard_since, drop_materialized, materialize, shared_dir, written_so_far  # noqa: F401
 
 #: ASCII white space, as the contracts spell it.
 SPACES = r"[\x20\x09-\x0D]+"

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import golay
 from ..shipping import ship
-from .common import SPACES, materialize, text_or_empty
+from .common import SPACES, discard_since, materialize, release, text_or_empty, written_so_far
 from .components import connected_components
 
 #: Word count of a shingle unless told otherwise.
@@ -98,7 +98,8 @@ def link_fingerprints(distinct: DataFrame) -> DataFrame:
     """distinct(fp) -> a, b: links enough to connect all fingerprints within LINK_BITS; each is verified."""
     ship(distinct.sparkSession)
     keyed = materialize(distinct.select("fp").mapInArrow(_fuzzy_keys, "key long, fp long"), "golay-keys")
-    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Written first, so that both sides of the join are plain exchanges and a hot key can be split.
+    buckets = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "golay-buckets")
     member = materialize(keyed.join(buckets, "key"), "golay-members")
 
     small = member.where(F.col("n") <= BUCKET)
@@ -123,11 +124,14 @@ def link_fingerprints(distinct: DataFrame) -> DataFrame:
 def near_groups(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id reachable) for every row of docs."""
     prints = materialize(fingerprints(docs, words), "fingerprints")
+    release(docs.sparkSession)
+    mark = written_so_far()
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "fp-nodes")
     reach = connected_components(link_fingerprints(nodes)).withColumnRenamed("node", "fp")
     rooted = nodes.join(reach, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     names = materialize(rooted.join(named, "root").select("fp", "component_id"), "fp-components")
+    discard_since(mark, names)
     return prints.join(names, "fp").select("doc_id", "fp", "component_id")
 
 

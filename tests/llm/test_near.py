@@ -200,3 +200,25 @@ def test_near_edges(edge, none):
     assert out.columns == edge.columns
     assert sorted((r.doc_id for r in out.select("doc_id").collect()), key=str) == sorted([1, 3, None, 8, 9], key=str)
     assert near_dedup.keep_one(none).count() == 0
+
+
+def test_recall_at_the_threshold_by_length(spark):
+    """Pairs of similarity 0.80 to 0.85, texts of 50 to 900 shingles: the share that is found."""
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    rows, found = [], {}
+    for n, changes in ((50, 1), (100, 2), (200, 4), (900, 20)):
+        for k in range(60):
+            i = n * 1000 + 2 * k
+            words = [word() for _ in range(n + 4)]
+            other = list(words)
+            step = n // changes
+            for c in range(changes):
+                other[c * step + step // 2] = word()
+            rows += [(i, " ".join(words)), (i + 1, " ".join(other))]
+            a, b = (set(shingles(t, 5)) for _, t in rows[-2:])
+            assert 0.8 <= len(a & b) / len(a | b) <= 0.85
+    keep = {r.doc_id: r.keep_id for r in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for n in (50, 100, 200, 900):
+        found[n] = sum(keep[n * 1000 + 2 * k + 1] == n * 1000 + 2 * k for k in range(60)) / 60
+    assert min(found.values()) >= 0.95 and sum(found.values()) / 4 >= 0.98, found
