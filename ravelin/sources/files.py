@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import html
 import json
 import re
 from collections.abc import Callable
-from html.parser import HTMLParser
-from urllib.parse import urldefrag, urljoin
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +13,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import urls as U
 from ..shipping import ship
+from ..written import materialize
+from . import dom
 
 # ---------------------------------------------------------------- configuration and plugins
 
@@ -133,78 +132,33 @@ def category_labels(spark: SparkSession, root: str) -> DataFrame:
 # ---------------------------------------------------------------- web pages
 
 
-class _Text(HTMLParser):
-    SKIP = {"script", "style", "nav", "header", "footer"}
-
-    def __init__(self):
-        super().__init__()
-        self.skip, self.title, self.in_title = 0, "", False
-        self.stack: list[str] = []
-        self.parts: dict[str, list[str]] = {"main": [], "article": [], "body": [], "": []}
-        self.links: list[str] = []
-
-    def handle_starttag(self, tag, attrs):
-        self.skip += tag in self.SKIP
-        self.in_title |= tag == "title"
-        if tag in ("main", "article", "body"):
-            self.stack.append(tag)
-        if tag == "a":
-            self.links += [v for k, v in attrs if k == "href" and v]
-
-    def handle_endtag(self, tag):
-        if tag in self.SKIP and self.skip:
-            self.skip -= 1
-        self.in_title &= tag != "title"
-        if tag in self.stack:
-            self.stack.remove(tag)
-
-    def handle_data(self, data):
-        if self.in_title:
-            self.title += data
-        elif not self.skip and data.strip():
-            for place in {*self.stack, ""}:
-                self.parts[place].append(data.strip())
-
-
-def parse_page(text: str) -> tuple[str, str, list[str]]:
-    """(title, text of main, article or body, links) of a page."""
-    p = _Text()
-    p.feed(text)
-    body = next((p.parts[k] for k in ("main", "article", "body", "") if p.parts[k]), [])
-    return html.unescape(p.title).strip(), "\n".join(body), p.links
-
-
 def parse_pages(pages: DataFrame) -> DataFrame:
-    """pages(page_id, url, html) -> page_id, url, title, text, links (absolute, without fragments)."""
-    ship(pages.sparkSession)
-
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for pid, url, source in zip(pdf["page_id"], pdf["url"], pdf["html"], strict=True):
-                title, text, links = parse_page(source or "")
-                rows.append((pid, url, title, text, list(dict.fromkeys(urldefrag(urljoin(url or "", x))[0] for x in links))))
-            yield pd.DataFrame(rows, columns=["page_id", "url", "title", "text", "links"])
-
-    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, title string, text string, links array<string>")
+    """pages(page_id, url, html) -> page_id, url, title, text, links (absolute, without fragments, each once)."""
+    return dom.page_documents(pages).select("page_id", "url", "title", "text", F.array_distinct("links").alias("links"))
 
 
 def crawl(pages: DataFrame, start: str, max_pages: int, per_page: int = 20) -> DataFrame:
-    """Breadth-first order over stored pages: url, depth. Each round joins the frontier's links
-    with the pages and leaves out what was visited; only counts reach the driver."""
-    spark = pages.sparkSession
-    links = parse_pages(pages).select("url", F.slice("links", 1, per_page).alias("links")).checkpoint()
-    visited = spark.createDataFrame([(start, 0)], "url string, depth int").join(links.select("url").distinct(), "url", "left_semi").checkpoint()
-    depth = 0
-    while visited.count() < max_pages:
-        edge = visited.where(F.col("depth") == depth)
-        found = edge.join(links, "url").select(F.explode("links").alias("url")).distinct()
-        fresh = found.where(U.is_crawlable(F.col("url"), F.lit(start))).join(links.select("url"), "url", "left_semi").join(visited, "url", "left_anti")
-        fresh = fresh.select("url", F.lit(depth + 1).alias("depth")).checkpoint()
-        if not fresh.limit(1).count():
+    """Breadth-first order over stored pages: url, depth. Of a page's links those that may be crawled count, the
+    first per_page of them. A page comes after those of lower depth, and among its own in the order in which
+    pages before it name it: a place is its parent's place and the link's number. Each round joins the edge's
+    links with the pages and leaves out what was visited; only counts reach the driver."""
+    links = dom.page_documents(pages).select("url", "links")
+    links = links.select("url", F.slice(F.filter("links", lambda x: U.is_crawlable(x, F.lit(start))), 1, per_page).alias("links"))
+    links = materialize(links.dropDuplicates(["url"]), "crawl-links")
+    first = pages.sparkSession.createDataFrame([(start, 0, [0])], "url string, depth int, place array<int>")
+    edge = materialize(first.join(links.select("url"), "url", "left_semi"), "crawl-edge")
+    visited, depth, n = edge, 0, edge.count()
+    while n < max_pages:
+        found = edge.join(links, "url").select("place", F.posexplode("links").alias("k", "url"))
+        found = found.groupBy("url").agg(F.min(F.concat("place", F.array("k"))).alias("place"))
+        fresh = found.join(links.select("url"), "url", "left_semi").join(visited.select("url"), "url", "left_anti")
+        depth += 1
+        edge = materialize(fresh.select("url", F.lit(depth).alias("depth"), "place"), "crawl-edge")
+        more = edge.count()
+        if not more:
             break
-        visited, depth = visited.union(fresh).checkpoint(), depth + 1
-    return visited.orderBy("depth", "url").limit(max_pages)
+        visited, n = visited.unionByName(edge), n + more
+    return visited.orderBy("depth", "place").limit(max_pages).select("url", "depth")
 
 
 def sitemap(spark: SparkSession, text: str, host: str, deny: tuple[str, ...] = ()) -> DataFrame:
