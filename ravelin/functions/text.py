@@ -234,6 +234,16 @@ def frontmatter_json(text: Column) -> Column:
     return read(F.regexp_extract(text, r"(?s)\A---\n(.*?)\n---\n", 1))
 
 
+def frontmatter_variant(text: Column) -> Column:
+    """The whole YAML head as a variant, lists and nested maps kept; read it by path with variant_at. Null where there is none."""
+    return F.try_parse_json(frontmatter_json(text))
+
+
+def variant_at(head: Column, path: str, kind: str = "string") -> Column:
+    """What stands at a path such as $.a.b[0], as kind; null where nothing does or it is of another kind."""
+    return F.try_variant_get(head, path, kind)
+
+
 def l2_normalize(v: Column) -> Column:
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm)).otherwise(F.transform(v, lambda x: x.cast("double")))

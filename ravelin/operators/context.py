@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import re
+from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from ..functions.text import context_tokens
+from ..functions.text import context_tokens, merge_tokens
 from ..shipping import ship
+from ..written import materialize
 
 # ---------------------------------------------------------------- merging of neighbours
 
@@ -53,42 +56,104 @@ def merge_document(hits: list[tuple[int, int]], chunks: dict[int, tuple[str, str
     return out
 
 
-MERGED = "merged_chunk_indices array<int>, merged_chunk_ids array<string>, merged_chunk_count int, auto_merged boolean, text string, hit_rank long"
+MERGED = ["query_id", "doc_id", "merged_chunk_indices", "merged_chunk_ids", "merged_chunk_count", "auto_merged", "text"]
 
 
-def auto_merge(hits: DataFrame, chunks: DataFrame, budget: int = C.MERGE_TOKENS) -> DataFrame:
+def windows(hits: list[tuple[int, int]], cost: dict[int, int], budget: int) -> list[tuple[int, int, int]]:
+    """(first place, last place, best rank) of the windows that merge_document() makes of hits (place, rank)."""
+    ranks: dict[int, int] = {}
+    for place, rank in hits:
+        ranks[place] = min(rank, ranks.get(place, rank))
+    covered: set[int] = set()
+    out = []
+    for place in sorted(ranks):
+        if place in covered:
+            continue
+        low = high = place
+        left, grew = budget - cost[place], True
+        while grew:
+            grew = False
+            for side in (low - 1, high + 1):
+                if side in cost and side not in covered and cost[side] <= left:
+                    left -= cost[side]
+                    low, high, grew = min(low, side), max(high, side), True
+        covered.update(range(low, high + 1))
+        out.append((low, high, min(ranks[i] for i in range(low, high + 1) if i in ranks)))
+    return out
+
+
+def _merged(budget: int):
+    """Rows (query_id, doc_id, place, cost, rank or null) of whole groups, in order -> query_id, doc_id, low, high, hit_rank."""
+
+    def run(batches):
+        held = None  # the group that the next batch may go on with
+        key = lambda r: (r["query_id"], r["doc_id"])
+        schema = None
+
+        def closed(rows: list[dict]) -> list[dict]:
+            cost = {r["place"]: r["cost"] for r in rows}
+            hits = [(r["place"], r["rank"]) for r in rows if r["rank"] is not None]
+            return [{"query_id": rows[0]["query_id"], "doc_id": rows[0]["doc_id"], "low": a, "high": e, "hit_rank": k} for a, e, k in windows(hits, cost, budget)]
+
+        for batch in batches:
+            schema = schema or pa.schema([batch.schema.field("query_id"), batch.schema.field("doc_id"), ("low", pa.int64()), ("high", pa.int64()), ("hit_rank", pa.int64())])
+            out = []
+            for k, group in groupby(batch.to_pylist(), key):
+                rows = list(group)
+                if held and key(held[0]) == k:
+                    held += rows
+                else:
+                    out += closed(held) if held else []
+                    held = rows
+            yield pa.RecordBatch.from_pylist(out, schema)
+        if held:
+            yield pa.RecordBatch.from_pylist(closed(held), schema)
+
+    return run
+
+
+def auto_merge(hits: DataFrame, chunks: DataFrame, budget: int = C.MERGE_TOKENS, tokens: Column | None = None) -> DataFrame:
     """hits(query_id, doc_id, chunk_index, rank[, text]), chunks(doc_id, chunk_index, chunk_id, text)
-    -> windows in the order of their best hit. Only documents with hits take part, and a group
-    is one document under one query."""
+    -> windows in the order of their best hit, as merge_document() makes them of chunks in the order of their index.
+    tokens counts a chunk's text (by default its length in quarters).
+
+    What moves is light: a chunk's place and cost. Sums of costs up to each chunk put it into a bin of the budget's
+    width, and a window around a hit cannot leave the hit's bin and its two neighbours, so a hit meets those
+    chunks alone and not its document. Texts are joined to the finished windows."""
     ship(hits.sparkSession)
+    cost = merge_tokens(F.coalesce("text", F.lit(""))) if tokens is None else tokens
     wanted = hits.select("doc_id").distinct()
-    pieces = chunks.join(wanted, "doc_id", "left_semi").select("doc_id", "chunk_index", "chunk_id", "text")
-    pairs = hits.select("query_id", "doc_id").distinct().join(pieces, "doc_id")
-    text = F.col("text") if "text" in hits.columns else F.lit(None).cast("string")
-    rows = pairs.select("query_id", "doc_id", "chunk_index", "chunk_id", "text", F.lit(None).cast("long").alias("rank")).unionByName(
-        hits.select("query_id", "doc_id", "chunk_index", F.lit(None).cast("string").alias("chunk_id"), text.alias("text"), F.col("rank").cast("long").alias("rank"))
-    )
+    light = chunks.join(wanted, "doc_id", "left_semi").select("doc_id", "chunk_index", cost.cast("long").alias("cost"))
+    order = Window.partitionBy("doc_id").orderBy("chunk_index")
+    before = F.sum("cost").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    light = light.select("doc_id", "chunk_index", "cost", (F.row_number().over(order) - 1).cast("long").alias("place"), F.floor(F.coalesce(before, F.lit(0)) / (budget + 1)).alias("bin"))
+    light = materialize(light, "merge-places")
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        is_hit = pdf["rank"].notna()
-        found = pdf[is_hit]
-        texts = {int(r.chunk_index): (r.chunk_id, r.text or "") for r in pdf[~is_hit].itertuples(index=False)}
-        own = {int(r.chunk_index): r.text for r in found.itertuples(index=False)}
-        windows = merge_document([(int(i), int(r)) for i, r in zip(found["chunk_index"], found["rank"], strict=True)], texts, budget)
-        query_id, doc_id = pdf["query_id"].iloc[0], pdf["doc_id"].iloc[0]
-        return pd.DataFrame(
-            [
-                (query_id, doc_id, w["indices"], [texts[i][0] for i in w["indices"] if i in texts], len(w["indices"]), len(w["indices"]) > 1,
-                 w["text"] if w["text"] is not None else own[w["indices"][0]], w["rank"])
-                for w in windows
-            ],
-            columns=["query_id", "doc_id", *(x.split()[0] for x in MERGED.split(", "))],
-        )
-
-    q, d = (hits.schema[c].dataType.simpleString() for c in ("query_id", "doc_id"))
-    out = rows.groupBy("query_id", "doc_id").applyInPandas(merge, f"query_id {q}, doc_id {d}, {MERGED}")
-    order = Window.partitionBy("query_id").orderBy("hit_rank", "doc_id", F.col("merged_chunk_indices")[0])
-    return out.withColumn("rank", F.row_number().over(order)).drop("hit_rank")
+    text = F.col("text") if "text" in hits.columns else F.lit(None).cast("string")
+    best = hits.groupBy("query_id", "doc_id", "chunk_index").agg(F.min(F.col("rank").cast("long")).alias("rank"), F.min_by(text, "rank").alias("text"))
+    found = best.join(light, ["doc_id", "chunk_index"], "left")
+    placed = materialize(found, "merge-hits")
+    bins = placed.where("bin IS NOT NULL").select("query_id", "doc_id", F.explode(F.array(*[F.col("bin") + i for i in (-1, 0, 1)])).alias("bin")).distinct()
+    near = light.join(bins, ["doc_id", "bin"]).join(placed.select("query_id", "doc_id", "place", "rank"), ["query_id", "doc_id", "place"], "left")
+    rows = near.select("query_id", "doc_id", "place", "cost", "rank").repartition("query_id", "doc_id").sortWithinPartitions("query_id", "doc_id", "place")
+    q, d = (rows.schema[c].dataType.simpleString() for c in ("query_id", "doc_id"))
+    found = rows.mapInArrow(_merged(budget), f"query_id {q}, doc_id {d}, low long, high long, hit_rank long")
+
+    parts = found.select("*", F.explode(F.sequence("low", "high")).alias("place")).join(light.select("doc_id", "place", "chunk_index"), ["doc_id", "place"])
+    parts = parts.join(chunks.select("doc_id", "chunk_index", "chunk_id", "text"), ["doc_id", "chunk_index"])
+    part = F.struct("place", F.col("chunk_index").cast("int").alias("chunk_index"), "chunk_id", F.coalesce("text", F.lit("")).alias("text"))
+    merged = parts.groupBy("query_id", "doc_id", "low", "hit_rank").agg(F.sort_array(F.collect_list(part)).alias("p"))  # chunks of one window
+    merged = merged.select(
+        "query_id", "doc_id", F.col("p.chunk_index").alias("merged_chunk_indices"), F.col("p.chunk_id").alias("merged_chunk_ids"), F.size("p").alias("merged_chunk_count"),
+        (F.size("p") > 1).alias("auto_merged"), F.array_join("p.text", "\n\n").alias("text"), "hit_rank",
+    )
+    alone = placed.where("bin IS NULL").select(
+        "query_id", "doc_id", F.array(F.col("chunk_index").cast("int")).alias("merged_chunk_indices"), F.array().cast("array<string>").alias("merged_chunk_ids"),
+        F.lit(1).alias("merged_chunk_count"), F.lit(False).alias("auto_merged"), "text", F.col("rank").alias("hit_rank"),
+    )
+    out = merged.unionByName(alone)
+    first = Window.partitionBy("query_id").orderBy("hit_rank", "doc_id", F.col("merged_chunk_indices")[0])
+    return out.withColumn("rank", F.row_number().over(first)).select(*MERGED, "rank")
 
 
 # ---------------------------------------------------------------- budgets and order

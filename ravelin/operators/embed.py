@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import WORD
 from ..shipping import ship
+from ..sources.versions import VersionedTable
+from ..written import materialize
 
 DIMENSIONS = 64
 
@@ -68,6 +70,24 @@ def embed(df: DataFrame, key: str, text: Column, load: Callable[[], Embedder], b
     return df.select(*names, text.alias("__text")).mapInPandas(run, f"{kinds}, dense array<double>, embed_ok boolean")
 
 
+def cached_vectors(df: DataFrame, key: str, text: Column, cache: VersionedTable, model: str, load: Callable[[], Embedder] = hashed_embedder, width: int = DIMENSIONS) -> DataFrame:
+    """key, dense, embed_ok of every row. cache(content_hash, model, dense) holds the vectors of texts that were
+    embedded before; each text that it lacks for the model reaches the model once, however many rows have it, and its
+    vector is appended as a new version. A text that fails is not stored and is tried again next time."""
+    spark = df.sparkSession
+    rows = df.select(F.col(key), F.sha2(F.coalesce(text, F.lit("")), 256).alias("content_hash"), F.coalesce(text, F.lit("")).alias("__text"))
+    if cache.current() is None:
+        cache.write(spark.createDataFrame([], "content_hash string, model string, dense array<double>"), "create")
+    known = cache.read().where(F.col("model") == model).select("content_hash", "dense")
+    fresh = rows.join(known.select("content_hash"), "content_hash", "left_anti").groupBy("content_hash").agg(F.first("__text").alias("__text"))
+    made = materialize(embed(fresh, "content_hash", F.col("__text"), load, width=width), "embed-new")
+    good = made.where("embed_ok").select("content_hash", F.lit(model).alias("model"), "dense")
+    if good.limit(1).count():
+        cache.append(good, f"embed {model}")
+    both = known.withColumn("embed_ok", F.lit(True)).unionByName(made)
+    return rows.select(key, "content_hash").join(both, "content_hash").select(key, "dense", "embed_ok")
+
+
 def hashed_vectors(df: DataFrame, key: str, text: Column, carry: tuple[str, ...] = ()) -> DataFrame:
     return embed(df, key, text, hashed_embedder, carry=carry)
 

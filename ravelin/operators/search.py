@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions.text import WORD
 from ..shipping import ship
+from ..written import materialize
 
 #: Query vectors that travel to the tasks at a time.
 QUERY_BLOCK = 4096
 DIGITS = 6
+#: Vectors of a cell that are compared at a time.
+SLICE = 20_000
 #: Broadcast limit for the words of the queries.
 BROADCAST_TOKENS = 500_000
 
@@ -202,20 +205,29 @@ def cell_index(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
 
 
 def cell_topk(queries: DataFrame, index: DataFrame, centres: np.ndarray, k: int, probes: int) -> DataFrame:
-    """Approximate dense_topk over cell_index(): a query meets the vectors of its nearest cells only. Cells
-    are joined, so a large one can be split; products are taken by batch, and the cut to k runs on
-    both sides of the exchange. Recall depends on probes: see the test against dense_topk."""
-    probe = _nearest_cells(queries, "query_id", centres, probes).withColumnRenamed("vector", "q")
-    pairs = index.join(probe, "cell").select("query_id", "id", "q", "vector")
-
-    def score(batches):
-        for batch in batches:
-            if batch.num_rows:
-                a, b = (batch.column(i).values.to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for i in (2, 3))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.round(np.einsum("ij,ij->i", a, b), DIGITS))], names=["query_id", "id", "score"])
-
-    q, d = (pairs.schema[c].dataType.simpleString() for c in ("query_id", "id"))
-    return ranked(pairs.mapInArrow(score, f"query_id {q}, id {d}, score double"), k, F.desc("score"), F.col("id"))
+    """Approximate dense_topk over cell_index(): a query meets the vectors of its nearest cells only. A cell is cut
+    into slices of SLICE vectors or so; each slice takes one matrix product with the queries that probe its cell
+    and gives the k best of each, so no pair becomes a row, and no task holds more than a slice. Recall depends on probes: see the test against dense_topk."""
+    probe = _nearest_cells(queries, "query_id", centres, probes)
+    sizes = materialize(index.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("slices")), "cell-sizes")  # a row for each cell
+    placed = index.join(F.broadcast(sizes), "cell").select("cell", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int").alias("slice"), "id", "vector")
+    asked = probe.join(F.broadcast(sizes), "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "query_id", "vector")
+
+    def score(vectors: pa.Table, asking: pa.Table) -> pa.Table:
+        q, d = asking.column("query_id").type, vectors.column("id").type
+        schema = pa.schema([("query_id", q), ("id", d), ("score", pa.float64())])
+        if not vectors.num_rows or not asking.num_rows:
+            return schema.empty_table()
+        a, b = (np.stack(t.column("vector").combine_chunks().to_numpy(zero_copy_only=False)) for t in (asking, vectors))
+        s = np.round(a @ b.T, DIGITS)
+        at = min(k, s.shape[1]) - 1
+        # Ties at the cut are all kept; the window decides them by id.
+        row, column = np.nonzero(s >= -np.partition(-s, at, axis=1)[:, at][:, None])
+        return pa.table([asking.column("query_id").take(pa.array(row)), vectors.column("id").take(pa.array(column)), pa.array(s[row, column])], schema=schema)
+
+    q, d = queries.schema["query_id"].dataType.simpleString(), index.schema["id"].dataType.simpleString()
+    found = placed.groupBy("cell", "slice").cogroup(asked.groupBy("cell", "slice")).applyInArrow(score, f"query_id {q}, id {d}, score double")
+    return ranked(found, k, F.desc("score"), F.col("id"))
 
 
 def with_fallback(filtered: DataFrame, unfiltered: DataFrame) -> DataFrame:

@@ -147,18 +147,14 @@ fs AS (SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION B
 SELECT query_id, id, score, rank, false AS fallback FROM fs
 UNION ALL SELECT query_id, id, score, rank, true FROM dense WHERE query_id NOT IN (SELECT query_id FROM fs)""")
 def filtered_with_fallback(spark, d):
-    """A filter that finds nothing for some queries: those take the unfiltered hits."""
+    """A filter that finds nothing for some queries: those take the unfiltered hits. Every query wants the label after its
+    own. A label's 31 bits and their complements are the bits of a row, so it holds a query's bits only if the labels are equal."""
     queries, vectors = _query_vectors(spark, d), _vectors(spark, d)
-    wanted = queries.where("label % 3 <> 0").select("query_id", (F.col("label") + 1).alias("wanted"))
-    wide = search.dense_topk(queries, vectors, K)
-    # The filter restricts candidates before ranking: one ranking for each wanted label.
-    filtered = None
-    for label in range(1, 11):
-        part = search.dense_topk(
-            queries.join(wanted.where(F.col("wanted") == label), "query_id", "left_semi"), vectors.where(F.col("label") == label), K
-        )
-        filtered = part if filtered is None else filtered.unionByName(part)
-    return search.with_fallback(filtered, wide)
+    label = F.col("label").cast("long")
+    bit = label + F.shiftleft(F.lit(2**31 - 1) - label, 31)
+    asked = queries.where("label % 3 <> 0").withColumn("label", F.col("label") + 1).select("query_id", "vector", bit.alias("need"))
+    filtered = search.dense_topk(asked, vectors.select("id", "vector", bit.alias("bits")), K)
+    return search.with_fallback(filtered, search.dense_topk(queries, vectors, K))
 
 
 TYPE_SQL = case(
@@ -320,13 +316,14 @@ def candidate_preview(spark, d):
     return search.preview(hits.join(payload, "id").withColumn("vector", F.array(F.lit(1.0))), 3, 80).select("query_id", "id", "rank", "text")
 
 
-@register(DENSE_SQL.format(k=K) + f""" SELECT x.query_id, x.id, round({C.DENSE_WEIGHT}::DOUBLE / ({C.RRF_K} + x.rank), 9) AS rrf_score
-FROM dense x JOIN documents d ON d.doc_id = x.id WHERE d.lang = 'en'""")
+@register(HYBRID + f""" SELECT x.query_id, x.id, x.rrf_score FROM f x JOIN documents d ON d.doc_id = x.id WHERE d.lang = 'en'""")
 def metadata_filtered_rrf(spark, d):
-    dense = search.dense_topk(_query_vectors(spark, d), _vectors(spark, d), K)
+    """Both rankings under a filter, fused; a filter that no row can meet lets nothing through."""
+    dense = search.dense_topk(_query_vectors(spark, d), _vectors(spark, d), 2 * K)
+    sparse = search.sparse_topk(_query_texts(spark, d), _texts(spark, d), 2 * K)
     payload = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang", "source")
-    both = search.filtered_fusion(dense, dense.limit(0), payload, {"lang": ["en", "en"]})
-    nothing = search.filtered_fusion(dense, dense.limit(0), payload, {"lang": ["en", "de"]})  # no row has both
+    both = search.filtered_fusion(dense, sparse, payload, {"lang": ["en", "en"]})
+    nothing = search.filtered_fusion(dense, sparse, payload, {"lang": ["en", "de"]})  # no row has both
     return both.unionByName(nothing).select("query_id", "id", "rrf_score")
 
 
