@@ -106,7 +106,14 @@ def context_block(spark, d):
     return context.context_block(rows)
 
 
-@register()
+WORDS_SQL = r"list_distinct(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_\-/]+'))"
+
+
+@register(DENSE + f""", w AS (SELECT x.query_id, x.id, {WORDS_SQL.format("a.text")} AS q, {WORDS_SQL.format("substring(b.text, 1, 384)")} AS t
+  FROM dense x JOIN documents a ON a.doc_id = x.query_id JOIN documents b ON b.doc_id = x.id),
+r AS (SELECT query_id, id, round(CASE WHEN len(q) > 0 THEN len(list_intersect(q, t)) / len(q)::DOUBLE ELSE 0 END
+  + CASE WHEN len(list_distinct(list_concat(q, t))) > 0 THEN len(list_intersect(q, t)) / len(list_distinct(list_concat(q, t)))::DOUBLE ELSE 0 END, 9)::DOUBLE AS rerank_score FROM w)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, id) AS rank FROM r) WHERE rank <= 5""")
 def rerank_hits(spark, d):
     docs = _docs(spark, d)
     hits = _hits(spark, d).drop("rank").join(docs.select(F.col("doc_id").alias("id"), "text"), "id").join(docs.select(F.col("doc_id").alias("query_id"), F.col("text").alias("query_text")), "query_id")

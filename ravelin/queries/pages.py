@@ -73,3 +73,13 @@ def _by_id():
     from pyspark.sql import Window
 
     return Window.orderBy("page_id")
+
+
+@register("""WITH l AS (SELECT page_id AS uri, unnest([0, 1, 2]) AS position, unnest(['https://h/p' || (page_id % 97)::VARCHAR, 'https://h/private/' || page_id::VARCHAR, 'https://other/' || page_id::VARCHAR]) AS url FROM pages)
+SELECT url, min(uri) AS uri, 0 AS position FROM l WHERE position = 0 GROUP BY url""")
+def sitemap_locations(spark, d):
+    """A sitemap for each page: one location that others share, one denied, one of another host."""
+    n = F.col("page_id").cast("string")
+    loc = lambda *parts: F.concat(F.lit("<url><loc> "), *parts, F.lit(" </loc></url>"))
+    xml = F.concat(loc(F.lit("https://h/p"), (F.col("page_id") % 97).cast("string")), loc(F.lit("https://h/private/"), n), loc(F.lit("https://other/"), n))
+    return files.sitemaps(table(spark, d, "pages").select(F.col("page_id").alias("uri"), xml.alias("xml")), "h", ("/private/",))

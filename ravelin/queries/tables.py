@@ -431,3 +431,26 @@ def latency_p95(spark, d):
 def bounded_cache(spark, d):
     """Lookups of users, a cache of 50 entries for each kind of event."""
     return ops.bounded_cache_replay(_events(spark, d).withColumn("key", F.col("user_id")), "event_type", 50, 86_400.0)
+
+
+LINES = "(SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS text FROM documents)"
+
+
+def _lines(spark, d):
+    return _docs(spark, d).select("doc_id", "lang", F.explode(F.split("text", "\n")).alias("text"))
+
+
+@register(f"""SELECT d.doc_id, coalesce(n, 0) AS n_chunks, CASE WHEN length(d.text) > 0 THEN round(coalesce(c, 0) * 100.0::DOUBLE / length(d.text), 4) ELSE 0 END::DOUBLE AS percent
+FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n, sum(length(text)) AS c FROM {LINES} GROUP BY doc_id) USING (doc_id)""")
+def line_coverage(spark, d):
+    """What the lines of each document, taken as its chunks, carry of its text."""
+    return index.coverage(_docs(spark, d), _lines(spark, d))
+
+
+@register(f"""WITH l AS (SELECT lang, len({words("text")}) AS n FROM {LINES})
+SELECT lang, count(*) AS n, sum(n)::BIGINT AS tokens, round(avg(n), 6)::DOUBLE AS mean, round(count(*) FILTER (WHERE n BETWEEN 8 AND 40) / count(*)::DOUBLE, 6)::DOUBLE AS optimal FROM l GROUP BY lang""")
+def chunk_metrics(spark, d):
+    """Lines as chunks: how many, their words, and the share of them within a range."""
+    from ..functions.text import words as words_of
+
+    return index.chunk_metrics(_lines(spark, d).select("lang", F.size(words_of(F.col("text"))).cast("long").alias("n_tokens")), "lang", 8, 40)

@@ -161,14 +161,18 @@ def crawl(pages: DataFrame, start: str, max_pages: int, per_page: int = 20) -> D
     return visited.orderBy("depth", "place").limit(max_pages).select("url", "depth")
 
 
-def sitemap(spark: SparkSession, text: str, host: str, deny: tuple[str, ...] = ()) -> DataFrame:
-    """position, url of a sitemap's locations on the host, each once, denied prefixes left out."""
-    one = spark.createDataFrame([(text,)], "xml string")
-    each = one.select(F.posexplode(F.regexp_extract_all("xml", F.lit(r"(?s)<loc>\s*(.*?)\s*</loc>"), F.lit(1))).alias("position", "url"))
+def sitemaps(files: DataFrame, host: str, deny: tuple[str, ...] = ()) -> DataFrame:
+    """files(uri, xml) -> url, uri, position of the locations on the host, each where it stands first, denied prefixes left out."""
+    each = files.select("uri", F.posexplode(F.regexp_extract_all("xml", F.lit(r"(?s)<loc>\s*(.*?)\s*</loc>"), F.lit(1))).alias("position", "url"))
     kept = each.where(U.host(F.col("url")) == host)
     for prefix in deny:
         kept = kept.where(~U.path(F.col("url")).startswith(prefix))
-    return kept.groupBy("url").agg(F.min("position").alias("position"))
+    return kept.groupBy("url").agg(F.min(F.struct("uri", "position")).alias("at")).select("url", "at.uri", "at.position")
+
+
+def sitemap(spark: SparkSession, text: str, host: str, deny: tuple[str, ...] = ()) -> DataFrame:
+    """position, url of one sitemap's locations."""
+    return sitemaps(spark.createDataFrame([("", text)], "uri string, xml string"), host, deny).select("url", "position")
 
 
 def reader_pages(texts: DataFrame) -> DataFrame:

@@ -22,6 +22,17 @@ def write_index(points: DataFrame, path: str, *partitions: str) -> None:
     points.sortWithinPartitions("id").write.mode("overwrite").partitionBy(*partitions).parquet(path)
 
 
+def write_bucketed(points: DataFrame, name: str, path: str, key: str = "doc_id", within: str = "chunk_index", buckets: int = 64, blooms: tuple[str, ...] = ("id",)) -> DataFrame:
+    """The index as a table of the catalog, bucketed by key and sorted by (key, within): chunks of a document lie together, and
+    tables with the same buckets meet without an exchange. A scan for one document reads one bucket if
+    spark.sql.sources.bucketing.autoBucketedScan.enabled is off. Each file gets bloom filters for the columns in blooms."""
+    writer = points.repartition(buckets, key).write.mode("overwrite").option("path", path).option("compression", "zstd")
+    for column in blooms:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+    writer.bucketBy(buckets, key).sortBy(key, within).saveAsTable(name)
+    return points.sparkSession.table(name)
+
+
 def clear(points: DataFrame, path: str) -> None:
     """An empty table with the same columns."""
     points.limit(0).write.mode("overwrite").parquet(path)

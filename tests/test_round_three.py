@@ -134,3 +134,28 @@ def test_nested_front_matter_is_read_by_path(spark):
     import json
 
     assert json.loads(back) == {"title": "Guide", "tags": ["a", "b"], "nav": {"order": 3, "parents": [{"name": "Start", "id": 1}, {"name": "Deep"}]}, "draft": False}
+
+
+def test_budgets_hold_by_the_vocabularys_own_count(spark):
+    import os
+
+    from ravelin.functions import vocabulary as V
+
+    path = "/opt/tokenizers/byte_bpe_50k.json"
+    if not os.path.exists(path):
+        pytest.skip("no vocabulary")
+    own = V.loaded(path)
+    count = lambda t: len(own.encode(t or "", add_special_tokens=False).ids)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    counted = docs.withColumn("n", V.vocabulary_tokens(F.col("text"), path)).collect()
+    assert all(r.n == count(r.text) for r in counted)
+    assert spark.createDataFrame([(None,), ("",), ("<|endoftext|>",)], "text string").select(V.vocabulary_tokens(F.col("text"), path).alias("n")).collect()[1].n == 0
+
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("chunk_index", "text")).withColumn("chunk_id", F.concat_ws("#", "doc_id", "chunk_index"))
+    hits = docs.select(F.lit(1).alias("query_id"), "doc_id", F.lit(1).alias("chunk_index"), F.col("doc_id").alias("rank"))
+    merged = context.auto_merge(hits, lines, 120, tokens=V.vocabulary_tokens(F.col("text"), path)).where("auto_merged").collect()
+    assert len(merged) > 20 and all(sum(map(count, r.text.split("\n\n"))) <= 120 for r in merged)
+
+    text = "# Head\n\n" + "\n\n".join("para " * 30 for _ in range(20)) + "\n\n```\n" + "code line\n" * 40 + "```"
+    cut = V.fit_to_vocabulary(spark.createDataFrame([(i, text, m) for i, m in enumerate((0, 1, 7, 100, 640, 700, 10_000))], "id int, text string, max_tokens int"), path).orderBy("id").collect()
+    assert all(count(r.text) <= r.max_tokens for r in cut) and cut[0].text == "" and cut[-1].text == text and len(cut[3].text) > 300 and cut[3].original_length == len(text)
