@@ -127,3 +127,5 @@ LIMITS = ((10, 300), (3, 60))
 BREAKERS = {"llm": (3, 30), "embedding": (5, 60), "search": (3, 30)}
 EXPIRY_DAYS = 30
 BUCKETS = (0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 25.0, 50.0, 100.0)
+# Fixed value: the title of a source that has none.
+SOURCE_TITLE = "Источник"

@@ -244,6 +244,42 @@ def variant_at(head: Column, path: str, kind: str = "string") -> Column:
     return F.try_variant_get(head, path, kind)
 
 
+def heading_path(text: Column) -> Column:
+    """All headings of a text in their order, joined by ' > '."""
+    lines = F.transform(F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n"), strip)
+    names = F.transform(F.filter(lines, lambda x: x.startswith("#")), lambda x: strip(F.regexp_replace(x, r"^#+", "")))
+    return F.array_join(F.filter(names, lambda x: x != ""), " > ")
+
+
+def stem_title(path: Column) -> Column:
+    """A file's name without extension and leading number, dashes and underscores as blanks."""
+    stem = F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"\.[^.]*$", "")
+    return strip(F.regexp_replace(F.regexp_replace(stem, r"^\d+-", ""), "[-_]+", " "))
+
+
+#: What structure counts look for.
+STRUCTURE = (("h2", "\n## "), ("h3", "\n### "), ("tables", "|---|"), ("items", "\n- "), ("fences", "```"))
+
+
+def structure(text: Column) -> Column:
+    """struct of how often each element of STRUCTURE stands in a text."""
+    times = lambda mark: F.floor((F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))) / len(mark)).cast("int")
+    return F.struct(*[F.coalesce(times(mark), F.lit(0)).alias(name) for name, mark in STRUCTURE])
+
+
+def document_head(text: Column, fallback: Column, markdown: Column) -> Column:
+    """struct of what a documentation page says of itself: title (its head's, else its first heading, else the fallback), category,
+    description, sidebar_position, content_type."""
+    head = frontmatter(text)
+    said = lambda k: F.try_element_at(head, F.lit(k))
+    heading = F.regexp_extract(strip_frontmatter(text), r"(?m)^\s*#\s+(.+?)\s*$", 1)
+    return F.struct(
+        F.coalesce(F.nullif(said("title"), F.lit("")), F.nullif(heading, F.lit("")), fallback).alias("title"),
+        said("category").alias("category"), said("description").alias("description"), said("sidebar_position").alias("sidebar_position"),
+        F.when(markdown, "docusaurus_markdown").otherwise("docusaurus_mdx").alias("content_type"),
+    )
+
+
 def l2_normalize(v: Column) -> Column:
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm)).otherwise(F.transform(v, lambda x: x.cast("double")))

@@ -88,3 +88,12 @@ def path_to_url(rel: Column, base: str, prefix: str, all_levels: bool = True) ->
 
 def canonical(url: Column) -> Column:
     return F.regexp_replace(url, "^http://", "https://")
+
+
+def canonical_pages(url: Column, site: str, aliases: dict[str, str]) -> Column:
+    """canonical(), and on the site (https://host) a path of aliases, with or without a slash behind it, is the page it stands for."""
+    plain = canonical(url)
+    out = plain
+    for path_, page in aliases.items():
+        out = F.when(F.regexp_replace(plain, "/+$", "").isin(site + path_.rstrip("/"), site + page.rstrip("/")), F.lit(site + page)).otherwise(out)
+    return out

@@ -271,6 +271,12 @@ def context_block(docs: DataFrame) -> DataFrame:
     return docs.groupBy("query_id").agg(joined(one).alias("context"))
 
 
+def sources_block(found: DataFrame) -> DataFrame:
+    """sources() -> query_id, block: a numbered line for each source."""
+    line = F.struct("place", F.concat(F.col("place").cast("string"), F.lit(". "), F.coalesce("title", F.lit(C.SOURCE_TITLE)), F.lit(": "), F.col("url")).alias("line"))
+    return found.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(line)), lambda x: x["line"]), "\n").alias("block"))
+
+
 def theme_instruction(first: Column, second: Column) -> Column:
     return F.when(
         first.isNotNull() & second.isNotNull(),

@@ -74,6 +74,12 @@ def cache_entries(pages: DataFrame) -> DataFrame:
     return pages.select("url", F.md5("url").alias("file_key"), F.sha2("content", 256).alias("content_hash"), F.length("content").alias("content_length"))
 
 
+def freshness(cache: DataFrame, pages: DataFrame) -> DataFrame:
+    """pages(url, content) with fresh: whether the cache(url, content_hash) holds the page as it is."""
+    held = cache.select("url", F.col("content_hash").alias("__hash"))
+    return pages.join(held, "url", "left").withColumn("fresh", F.coalesce(F.sha2("content", 256) == F.col("__hash"), F.lit(False))).drop("__hash")
+
+
 def ordered_distinct(df: DataFrame, key: str, order: str) -> DataFrame:
     """Each key once, at its first position."""
     return df.groupBy(key).agg(F.min(order).alias(order))

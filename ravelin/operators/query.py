@@ -154,8 +154,15 @@ def theme_scores(queries: DataFrame) -> DataFrame:
     return queries.crossJoin(F.broadcast(themes(queries.sparkSession))).select("query_id", "theme_id", "ord", "domain", "section", "platform", score.alias("score"))
 
 
-def route(queries: DataFrame) -> DataFrame:
-    """One row for each query: primary_theme, themes, top and second score, whether to ask back, whether to filter."""
+def route(queries: DataFrame, mode: str = "heuristic", answers: DataFrame | None = None) -> DataFrame:
+    """One row for each query: primary_theme, themes, top and second score, whether to ask back, whether to filter. mode none
+    routes to no theme; mode llm lays a model's answers(query_id, answer) over the words' routes, where there are any."""
+    if mode == "none":
+        empty = {"primary_theme": F.lit(None).cast("string"), "top_score": F.lit(0.0), "second_score": F.lit(0.0), "themes": F.array().cast("array<string>")}
+        empty |= {f"preferred_{c}": F.lit(None).cast("string") for c in ("domain", "section", "platform")}
+        return queries.select("query_id", *[v.alias(k) for k, v in empty.items()], F.lit(False).alias("ask_back"), F.lit(False).alias("use_filter"))
+    if mode == "llm" and answers is not None:
+        return routing_with_model(route(queries), answers).drop("router")
     s = theme_scores(queries).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "ord")))
     at = lambda r, c: F.max(F.when(F.col("rank") == r, F.col(c)))
     out = s.groupBy("query_id").agg(

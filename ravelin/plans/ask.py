@@ -34,8 +34,10 @@ def candidates(processed: DataFrame, routes: DataFrame, chunks: DataFrame, k: in
         return search.fuse(near, alike).join(limits, "query_id").where(F.col("rank") <= F.col("most")).select("query_id", "id", "rrf_score")
 
     sure = F.col("need") > 0
-    plain = hits(asked.drop("need"), vectors.drop("need"))
-    return search.with_fallback(materialize(hits(asked.where(sure), vectors.where(sure)), "ask-filtered"), plain)
+    filtered = materialize(hits(asked.where(sure), vectors.where(sure)), "ask-filtered")
+    # Only queries that the filter leaves empty, or that have none, are searched without it.
+    left = lambda df: df.drop("need").join(filtered.select("query_id").distinct(), "query_id", "left_anti")
+    return search.with_fallback(filtered, hits(left(asked), left(vectors)))
 
 
 def shown(merged: DataFrame, asked: DataFrame) -> DataFrame:

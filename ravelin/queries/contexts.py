@@ -84,12 +84,15 @@ def context_texts(spark, d):
 WORDS = r"list_distinct(list_filter(regexp_extract_all(lower(q.text), '[\p{L}\p{N}_]+'), lambda w: length(w) >= 4))"
 
 
-@register(DENSE + rf""", h AS (SELECT x.query_id, x.rank, 'https://host/' || d.source || '/' || (d.doc_id % 40)::VARCHAR AS url, substring(d.text, 1, 40) AS title,
+SOURCES = DENSE + rf""", h AS (SELECT x.query_id, x.rank, 'https://host/' || d.source || '/' || (d.doc_id % 40)::VARCHAR AS url, substring(d.text, 1, 40) AS title,
 len(list_filter({WORDS}, lambda w: contains(lower(d.text), w) OR contains(lower(substring(d.text, 1, 40)), w)))::INT AS score
 FROM dense x JOIN documents d ON d.doc_id = x.id JOIN documents q ON q.doc_id = x.query_id),
 f AS (SELECT *, row_number() OVER (PARTITION BY query_id, url ORDER BY rank) AS n FROM h),
 p AS (SELECT query_id, url, title, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank)::INT AS place FROM f WHERE n = 1)
-SELECT query_id, place, url, title, score FROM p WHERE place <= 5""")
+"""
+
+
+@register(SOURCES + "SELECT query_id, place, url, title, score FROM p WHERE place <= 5")
 def sources_list(spark, d):
     docs = _docs(spark, d)
     hits = _hits(spark, d).join(docs.select(F.col("doc_id").alias("id"), "text", "source"), "id")
@@ -98,6 +101,12 @@ def sources_list(spark, d):
     return context.sources(hits.join(asked, "query_id").withColumns({"url": url, "title": F.substring("text", 1, 40)}))
 
 
+@register(SOURCES + "SELECT query_id, string_agg(place::VARCHAR || '. ' || title || ': ' || url, chr(10) ORDER BY place) AS block FROM p WHERE place <= 5 GROUP BY query_id")
+def sources_block(spark, d):
+    """The sources of each query as numbered lines."""
+    return context.sources_block(sources_list(spark, d))
+
+
 @register(DENSE + """SELECT query_id, string_agg('### T' || x.id::VARCHAR || chr(10) || 'https://host/' || d.source || chr(10) || d.text, chr(10) || chr(10) ORDER BY x.rank) AS context
 FROM dense x JOIN documents d ON d.doc_id = x.id GROUP BY query_id""")
 def context_block(spark, d):

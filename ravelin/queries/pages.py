@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import urls as U
+from ..operators import index
 from ..sources import dom, files
 from .base import Registry, q, table
 
@@ -83,3 +85,21 @@ def sitemap_locations(spark, d):
     loc = lambda *parts: F.concat(F.lit("<url><loc> "), *parts, F.lit(" </loc></url>"))
     xml = F.concat(loc(F.lit("https://h/p"), (F.col("page_id") % 97).cast("string")), loc(F.lit("https://h/private/"), n), loc(F.lit("https://other/"), n))
     return files.sitemaps(table(spark, d, "pages").select(F.col("page_id").alias("uri"), xml.alias("xml")), "h", ("/private/",))
+
+
+@register("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'https://h/docs/api/index' WHEN page_id % 3 = 1 THEN regexp_replace(url, '^http://', 'https://') ELSE 'https://h/docs/other/' END AS url FROM pages""")
+def canonical_addresses(spark, d):
+    """Addresses in one form: https, and an index page under one name."""
+    n = F.col("page_id")
+    index_ = F.element_at(F.array(*[F.lit(x) for x in ("http://h/docs/api", "https://h/docs/api/", "https://h/docs/api/index/", "http://h/docs/api/index")]), (n % 4 + 1).cast("int"))
+    url = F.when(n % 3 == 0, index_).when(n % 3 == 1, F.col("url")).otherwise("http://h/docs/other/")
+    return table(spark, d, "pages").select("page_id", U.canonical_pages(url, "https://h", {"/docs/api": "/docs/api/index"}).alias("url"))
+
+
+@register("SELECT page_id, page_id % 3 = 2 AS fresh FROM pages")
+def cache_freshness(spark, d):
+    """A cache that lacks a third of the pages and holds another third as they were."""
+    n = F.col("page_id")
+    pages = table(spark, d, "pages").select("page_id", F.concat(F.lit("https://h/"), n.cast("string")).alias("url"), F.col("html").alias("content"))
+    cached = index.cache_entries(pages.where(n % 3 != 0).withColumn("content", F.when(n % 3 == 1, F.concat("content", F.lit("old"))).otherwise(F.col("content"))))
+    return index.freshness(cached, pages).select("page_id", "fresh")

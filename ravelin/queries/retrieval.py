@@ -299,16 +299,27 @@ def theme_boost(spark, d):
     return boost.add_theme_boost(hits).select("query_id", "id", "boosted_score", "rank")
 
 
-@register("""WITH a AS (SELECT * FROM (VALUES (1, '```json\n[{"theme_id": "sdk_ios", "score": 0.91}]\n```'), (2, '[{"theme_id": "user_faq", "score": 0.4}]'), (3, 'no json')) v(query_id, answer)),
-b AS (SELECT query_id, trim(regexp_replace(answer, '^```[A-Za-z]*\\s*|\\s*```$', '', 'g'), E' \n') AS body FROM a)
-SELECT query_id::BIGINT AS query_id, CASE WHEN json_valid(body) THEN json_extract_string(body, '$[0].theme_id') END AS theme_id,
-CASE WHEN json_valid(body) THEN json_extract_string(body, '$[0].score')::DOUBLE END AS score FROM b""".replace("\\n", "\n").replace("E' \n'", "chr(32) || chr(10)").replace("\\\\", "\\"))
+ANSWERED = ("sdk_ios", "user_faq", "none of them")
+
+
+@register(f"""WITH a AS (SELECT conv_id * 1000 + turn AS query_id, {_pick_sql("turn", ANSWERED)} AS t, (conv_id % 10) / 10.0::DOUBLE AS s, conv_id % 4 AS k FROM conversations WHERE role = 'user')
+SELECT query_id, CASE WHEN k <> 3 THEN t END AS theme_id, CASE WHEN k <> 3 THEN s END AS score FROM a""")
 def llm_routing(spark, d):
-    answers = [(1, '```json\n[{"theme_id": "sdk_ios", "score": 0.91}]\n```'), (2, '[{"theme_id": "user_faq", "score": 0.4}]'), (3, "no json")]
-    parsed = spark.createDataFrame(answers, "query_id long, answer string").withColumn("r", F.try_element_at(query.parse_llm_routing(F.col("answer")), F.lit(1)))
+    """A model's answer for each question of the table: bare, fenced, fenced without a language, or no JSON."""
+    turns = table(spark, d, "conversations").where("role = 'user'")
+    body = F.format_string('[{"theme_id": "%s", "score": %s}]', _pick("turn", ANSWERED), (F.col("conv_id") % 10 / F.lit(10.0)).cast("string"))
+    k = F.col("conv_id") % 4
+    answer = F.when(k == 0, body).when(k == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(k == 2, F.concat(F.lit("```\n"), body, F.lit("\n```"))).otherwise("no json")
+    parsed = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.try_element_at(query.parse_llm_routing(answer), F.lit(1)).alias("r"))
     return parsed.select("query_id", F.col("r.theme_id").alias("theme_id"), F.col("r.score").alias("score"))
 
 
+@register("SELECT conv_id * 1000 + turn AS query_id, NULL::VARCHAR AS primary_theme, 0.0::DOUBLE AS top_score, false AS use_filter FROM conversations WHERE role = 'user'")
+def routing_off(spark, d):
+    turns = table(spark, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
+    return query.route(turns, "none").select("query_id", "primary_theme", "top_score", "use_filter")
+
+
 @register(DENSE_SQL.format(k=K) + " SELECT x.query_id, x.id, x.rank, substring(d.text, 1, 80) AS text FROM dense x JOIN documents d ON d.doc_id = x.id WHERE x.rank <= 3")
 def candidate_preview(spark, d):
     hits = search.dense_topk(_query_vectors(spark, d), _vectors(spark, d), K).select("query_id", "id", F.col("rank").cast("long").alias("rank"))

@@ -256,3 +256,28 @@ def document_metadata(spark, d):
         "doc_id", F.length(t).alias("content_length"), F.size(T.words(t)).alias("word_count"), T.language(t).alias("language"),
         F.coalesce(F.nullif(F.regexp_extract(headed, r"(?m)^\s*#\s+(.+?)\s*$", 1), F.lit("")), F.lit("none")).alias("title"),
     )
+
+
+HEADED = "('## Part ' || source || chr(10) || 'x' || chr(10) || '### Deep' || chr(10) || '|---|' || chr(10) || '- a' || chr(10) || '- b' || chr(10) || '```' || chr(10) || text || chr(10) || '#' || chr(10) || '## End')"
+
+
+@register(f"""WITH v AS (SELECT doc_id, {HEADED} AS v FROM documents)
+SELECT doc_id, array_to_string(list_filter(list_transform(list_filter(list_transform(string_split(regexp_replace(v, '\r\n?', chr(10), 'g'), chr(10)), lambda x: {strip('x')}), lambda x: starts_with(x, '#')),
+  lambda x: {strip("regexp_replace(x, '^#+', '')")}), lambda x: x <> ''), ' > ') AS headings,
+{", ".join(f"((length(v) - length(replace(v, {m}, ''))) // {n})::INT AS {k}" for k, m, n in (("h2", "chr(10) || '## '", 4), ("h3", "chr(10) || '### '", 5), ("tables", "'|---|'", 5), ("items", "chr(10) || '- '", 3), ("fences", "'```'", 3)))} FROM v""")
+def structure_counts(spark, d):
+    """Heading path and structure of every document under some headings, a table, a list and a fence."""
+    text = F.expr(HEADED.replace("chr(10)", "char(10)"))
+    docs = _docs(spark, d).select("doc_id", text.alias("v"))
+    return docs.select("doc_id", T.heading_path(F.col("v")).alias("headings"), T.structure(F.col("v")).alias("s")).select("doc_id", "headings", "s.*")
+
+
+@register("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Doc ' || doc_id::VARCHAR WHEN 1 THEN 'Head ' || source ELSE 'page one ' || doc_id::VARCHAR END AS title,
+CASE WHEN doc_id % 3 < 2 THEN source END AS category, CASE WHEN doc_id % 3 = 0 THEN 'docusaurus_mdx' ELSE 'docusaurus_markdown' END AS content_type FROM documents""")
+def docs_head(spark, d):
+    """Title and category of pages with a titled head, with a head and a heading, and with neither (the file's name then)."""
+    n, body = F.col("doc_id") % 3, F.regexp_replace("text", "#", "")
+    head = F.concat(F.lit("---\n"), F.when(n == 0, F.concat(F.lit('title: "Doc '), F.col("doc_id"), F.lit('"\n'))).otherwise(""), F.lit("category: "), F.col("source"), F.lit("\n---\n"))
+    text = F.when(n == 2, body).otherwise(F.concat(head, F.when(n == 1, F.concat(F.lit("# Head "), F.col("source"), F.lit("\n"))).otherwise(""), body))
+    name = T.stem_title(F.concat(F.lit("a/b/20-page-one_"), F.col("doc_id"), F.lit(".md")))
+    return _docs(spark, d).select("doc_id", T.document_head(text, name, n != 0).alias("h")).select("doc_id", "h.title", "h.category", "h.content_type")
