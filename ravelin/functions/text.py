@@ -60,7 +60,7 @@ def truncate_words(text: Column, most: int) -> Column:
     return F.when(F.size(w) <= most, text).otherwise(F.array_join(F.slice(w, 1, most), " "))
 
 
-# Ordered clean-up rules: (pattern, replacement).
+# Ordered clean-up rules (pattern, replacement).
 WHITESPACE_RULES = ((r"[ \t]+", " "), (r"\n{3,}", "\n\n"))
 MDX_RULES = (
     (r"(?m)^\s*(?:import|export)\b[^\n]*\n", ""),

@@ -166,7 +166,7 @@ def _turns(spark, d):
     t = table(spark, d, "conversations").withColumns({"reply": F.lead("text").over(w), "next_role": F.lead("role").over(w), "before": F.lag("text").over(w)})
     return t.where("role = 'user' AND next_role = 'assistant'").select(
         F.concat_ws("-", "conv_id", "turn").alias("interaction_id"), "conv_id", F.col("text").alias("query"), F.col("reply").alias("response"),
-        F.when(F.col("conv_id") % 4 == 0, F.array().cast("array<string>")).otherwise(F.array_compact(F.array("before", "text", F.substring("reply", 1, 80)))).alias("contexts"),
+        F.when(F.col("conv_id") % 4 == 0, F.array().cast("array<string>")).otherwise(F.array_compact(F.array("before", "text", "reply"))).alias("contexts"),
     )
 
 
@@ -201,7 +201,7 @@ PREC = """CASE WHEN n = 0 THEN 0e0 WHEN len(asked) = 0 THEN round(0.4e0 + base,
  + CASE WHEN relevant > 0 THEN least(0.1e0, relevant / n::DOUBLE * 0.2e0) ELSE 0e0 END), 9) END"""
 SCORED = f"""turns AS (SELECT *, lead(text) OVER w AS reply, lead(role) OVER w AS next_role, lag(text) OVER w AS before FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 raw AS (SELECT conv_id::VARCHAR || '-' || turn::VARCHAR AS interaction_id, conv_id, text AS query, reply AS response,
- CASE WHEN conv_id % 4 = 0 THEN [] ELSE list_filter([before, text, substring(reply, 1, 80)], lambda x: x IS NOT NULL) END::VARCHAR[] AS contexts FROM turns WHERE role = 'user' AND next_role = 'assistant'),
+ CASE WHEN conv_id % 4 = 0 THEN [] ELSE list_filter([before, text, reply], lambda x: x IS NOT NULL) END::VARCHAR[] AS contexts FROM turns WHERE role = 'user' AND next_role = 'assistant'),
 p AS (SELECT *, len(contexts) AS n, {_less(_set('query'))} AS asked, {_set('response')} AS own, list_transform(contexts, lambda c: {_set('c')}) AS sets FROM raw),
 p2 AS (SELECT *, coalesce(list_sum(list_transform(sets, lambda s: len(s))), 0) AS total, coalesce(list_sum(list_transform(sets, lambda s: len(list_intersect(s, own)))), 0) AS matched,
  len(list_filter(contexts, lambda c: length(c) > 10 AND len(list_filter(list_transform(generate_series(1, len({words('lower(c)')}) - 4), lambda i: contains(lower(response), array_to_string({words('lower(c)')}[i:i + 4], ' '))), lambda b: b)) > 0)) AS used,
