@@ -2,25 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions.text import WORD
 from ..shipping import ship
 from ..written import materialize
+from .best import Best
 
-#: Query vectors that travel to the tasks at a time.
-QUERY_BLOCK = 4096
+#: Queries and vectors of one matrix product.
+QUERY_BLOCK, VECTOR_BLOCK = 1024, 4096
+#: Queries that one pass over the rows answers; they travel with the tasks.
+PASS_BYTES = 64 << 20
+HITS = "query_id long, id long, score double"
 DIGITS = 6
 #: Vectors of a cell that are compared at a time.
 SLICE = 20_000
-#: Broadcast limit for the words of the queries.
-BROADCAST_TOKENS = 500_000
 
 
 def ranked(hits: DataFrame, k: int | None, *order: Column, by: str = "query_id") -> DataFrame:
@@ -29,58 +33,64 @@ def ranked(hits: DataFrame, k: int | None, *order: Column, by: str = "query_id")
     return out if k is None else out.where(F.col("rank") <= k)
 
 
+def _passes(rows: Iterator[Row], size: Callable[[Row], int]) -> Iterator[list[Row]]:
+    """Rows in lists of about PASS_BYTES."""
+    block, held = [], 0
+    for row in rows:
+        block.append(row)
+        held += size(row)
+        if held >= PASS_BYTES:
+            yield block
+            block, held = [], 0
+    if block:
+        yield block
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    norm = np.sqrt((x * x).sum(axis=1))
+    return np.divide(x, norm[:, None], out=np.zeros_like(x), where=norm[:, None] > 0)
+
+
+def _joined(parts: list[DataFrame], spark: SparkSession) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], HITS)
+
+
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """queries(query_id, vector[, need]), vectors(id, vector[, bits]) -> query_id, id, score, rank by
     cosine, among the vectors whose bits hold all that a query needs.
 
-    Each block of query vectors (at most QUERY_BLOCK rows are held) meets each batch of vectors
-    in one matrix product; a batch keeps its k best of every query, so what is shuffled does
-    not grow with the vectors but with batches times queries times k. Zero vectors score 0."""
+    A pass over the vectors answers PASS_BYTES of query vectors. Blocks of queries meet blocks of vectors in one
+    matrix product each, and a task keeps its k best of every query, so what is shuffled grows with tasks times
+    queries times k and not with the vectors. Zero vectors score 0; rows without an id or a vector take no part."""
     ship(vectors.sparkSession)
-    found = None
-    block: list = []
     masked = "need" in queries.columns and "bits" in vectors.columns
+    kept = vectors.where("id IS NOT NULL AND vector IS NOT NULL").select("id", "vector", *(["bits"] if masked else []))
 
-    def search(ids: np.ndarray, matrix: np.ndarray, need: np.ndarray | None) -> DataFrame:
-        def score(batches):
+    def search(block: list[Row]) -> DataFrame:
+        names, m = np.array([r["query_id"] for r in block], np.int64), _unit(np.array([r["vector"] for r in block], np.float64))
+        need = np.array([r["need"] for r in block], np.int64) if masked else None
+
+        def run(batches):
+            best = Best(len(names), k)
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                flat = batch.column(1).combine_chunks() if hasattr(batch.column(1), "combine_chunks") else batch.column(1)
-                v = flat.values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-                norm = np.sqrt((v * v).sum(axis=1))
-                v = np.divide(v, norm[:, None], out=np.zeros_like(v), where=norm[:, None] > 0)
-                s = np.round(matrix @ v.T, DIGITS)
-                if need is not None:
-                    bits = batch.column(2).to_numpy(zero_copy_only=False)
-                    s[(bits[None, :] & need[:, None]) != need[:, None]] = -np.inf
+                v = _unit(batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1))
                 own = batch.column(0).to_numpy(zero_copy_only=False)
-                # Ties at the cut are all kept; the window decides them by id.
-                at = min(k, s.shape[1]) - 1
-                edge = -np.partition(-s, at, axis=1)[:, at]
-                q, d = np.nonzero((s >= edge[:, None]) & (s > -np.inf))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(own[d]), pa.array(s[q, d])], names=["query_id", "id", "score"])
-
-        return vectors.select("id", "vector", *(["bits"] if need is not None else [])).mapInArrow(score, "query_id long, id long, score double")
-
-    def flush() -> None:
-        nonlocal found
-        m = np.array([r["vector"] for r in block], np.float64)
-        norm = np.sqrt((m * m).sum(axis=1))
-        m = np.divide(m, norm[:, None], out=np.zeros_like(m), where=norm[:, None] > 0)
-        need = np.array([r["need"] for r in block], np.int64) if masked else None
-        part = search(np.array([r["query_id"] for r in block]), m, need)
-        found = part if found is None else found.unionByName(part)
-        block.clear()
-
-    for row in queries.select("query_id", "vector", *(["need"] if masked else [])).toLocalIterator():
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            flush()
-    if block:
-        flush()
-    if found is None:
-        found = vectors.sparkSession.createDataFrame([], "query_id long, id long, score double")
+                bits = batch.column(2).to_numpy(zero_copy_only=False) if masked else None
+                for j in range(0, len(v), VECTOR_BLOCK):
+                    for i in range(0, len(m), QUERY_BLOCK):
+                        s = np.round(m[i : i + QUERY_BLOCK] @ v[j : j + VECTOR_BLOCK].T, DIGITS)
+                        if masked:
+                            n = need[i : i + QUERY_BLOCK, None]
+                            s[(bits[None, j : j + VECTOR_BLOCK] & n) != n] = -np.inf
+                        best.offer_block(i, s, own[j : j + VECTOR_BLOCK])
+            yield from best.batches(names)
+
+        return kept.mapInArrow(run, HITS)
+
+    asked = queries.where("query_id IS NOT NULL AND vector IS NOT NULL").select("query_id", "vector", *(["need"] if masked else []))
+    found = _joined([search(b) for b in _passes(asked.toLocalIterator(), lambda r: 8 * len(r["vector"]))], vectors.sparkSession)
     return ranked(found, k, F.desc("score"), F.col("id"))
 
 
@@ -100,24 +110,66 @@ def postings(texts: DataFrame, key: str) -> DataFrame:
     return texts.select(key, token.alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
+def _spans(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places first, first + 1, ... of each span of n places, one span after the other."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def _counted(row: np.ndarray, word: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (row, word) with how often each occurs, ordered by row and word."""
+    key, n = np.unique(row.astype(np.int64) * words + word, return_counts=True)
+    return key // words, key % words, n.astype(np.float64)
+
+
 def sparse_topk(queries: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """queries(query_id, text[, need]), texts(id, text[, bits]) -> query_id, id, score, rank by the dot
-    product of term frequencies. Only shared tokens meet; the products are summed before they are
-    shuffled by pair. Words of the texts that no query holds leave before the first exchange where
-    the queries' words are few enough to be broadcast."""
-    q = postings(queries, "query_id").withColumnRenamed("weight", "wq")
-    asked = queries.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("token")).distinct()
-    n = asked.count()
-    if n <= BROADCAST_TOKENS:
-        token = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
-        d = texts.select("id", token.alias("token")).join(F.broadcast(asked), "token", "left_semi").groupBy("id", "token").agg(F.count(F.lit(1)).cast("double").alias("wd"))
-    else:
-        d = postings(texts, "id").withColumnRenamed("weight", "wd")
-    pairs = d.join(q, "token")
-    if "need" in queries.columns and "bits" in texts.columns:
-        pairs = pairs.join(queries.select("query_id", "need"), "query_id").join(texts.select("id", "bits"), "id").where(F.col("bits").bitwiseAND(F.col("need")) == F.col("need"))
-    scores = pairs.groupBy("query_id", "id").agg(F.sum(F.col("wq") * F.col("wd")).alias("score"))
-    return ranked(scores, k, F.desc("score"), F.col("id"))
+    product of term frequencies; texts that share no word with a query are no hits.
+
+    A pass over the texts answers PASS_BYTES of query words. Texts stay where they are read: a batch turns into
+    postings of the words that queries hold, a query is scored only where the largest counts of its words in the
+    batch could reach its k-th best score so far, and a task keeps its k best of every query. No pair becomes a row,
+    and a word that all texts and queries share is no key of a shuffle. Rows without an id or a text take no part."""
+    ship(texts.sparkSession)
+    masked = "need" in queries.columns and "bits" in texts.columns
+    tokens = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)).alias("tokens")
+    kept = texts.where("id IS NOT NULL AND text IS NOT NULL").select("id", tokens, *(["bits"] if masked else []))
+
+    def search(block: list[Row]) -> DataFrame:
+        names = np.array([r["query_id"] for r in block], np.int64)
+        need = np.array([r["need"] for r in block], np.int64) if masked else None
+        words = sorted({w for r in block for w in r["tokens"]})
+        place = {w: i for i, w in enumerate(words)}
+        asker = np.repeat(np.arange(len(block)), [len(r["tokens"]) for r in block])
+        asker, word, weight = _counted(asker, np.array([place[w] for r in block for w in r["tokens"]], np.int64), max(1, len(words)))
+        begin = np.searchsorted(asker, np.arange(len(block) + 1))
+
+        def run(batches):
+            known, best = pa.array(words, pa.string()), Best(len(names), k)
+            for batch in batches:
+                lists = batch.column(1)
+                found = pc.index_in(lists.flatten(), value_set=known)
+                row = pc.list_parent_indices(lists).filter(found.is_valid()).to_numpy(zero_copy_only=False)
+                own, bits = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False) if masked else None
+                for_word, text, n = _counted(found.drop_null().to_numpy(zero_copy_only=False), row, max(1, batch.num_rows))
+                start = np.searchsorted(for_word, np.arange(len(words) + 1))
+                most = np.zeros(len(words))
+                np.maximum.at(most, for_word, n)
+                bound = np.bincount(asker, weights=weight * most[word], minlength=len(names))
+                for i in np.flatnonzero((bound > 0) & (bound >= best.floor)):
+                    own_words = word[begin[i] : begin[i + 1]]
+                    size = start[own_words + 1] - start[own_words]
+                    at = _spans(start[own_words], size)
+                    score = np.bincount(text[at], weights=n[at] * np.repeat(weight[begin[i] : begin[i + 1]], size), minlength=batch.num_rows)
+                    if masked:
+                        score[(bits & need[i]) != need[i]] = 0
+                    best.offer_block(i, np.where(score > 0, score, -np.inf)[None, :], own)
+            yield from best.batches(names)
+
+        return kept.mapInArrow(run, HITS)
+
+    asked = queries.where("query_id IS NOT NULL AND text IS NOT NULL").select("query_id", tokens, *(["need"] if masked else []))
+    found = _joined([search(b) for b in _passes(asked.toLocalIterator(), lambda r: 64 * len(r["tokens"]))], texts.sparkSession)
+    return ranked(found, k, F.desc("score"), F.col("id"))
 
 
 def prune_sparse(postings_: DataFrame, key: str, cap: int = C.SPARSE_CAP, absolute: bool = True) -> DataFrame:
