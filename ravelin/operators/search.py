@@ -238,7 +238,7 @@ def _nearest_cells(df: DataFrame, key: str, centres: np.ndarray, probes: int) ->
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = batch.column(1).values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
             x = x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
             n = min(probes, len(centres))
             cell = np.argpartition(-(x @ centres.T), n - 1, axis=1)[:, :n]
@@ -248,7 +248,7 @@ def _nearest_cells(df: DataFrame, key: str, centres: np.ndarray, probes: int) ->
             )
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, "vector").mapInArrow(run, f"{key} {kind}, vector array<double>, cell int")
+    return df.where(F.col(key).isNotNull() & F.col("vector").isNotNull()).select(key, "vector").mapInArrow(run, f"{key} {kind}, vector array<double>, cell int")
 
 
 def cell_index(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
@@ -256,30 +256,43 @@ def cell_index(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
     return _nearest_cells(vectors, "id", centres, 1)
 
 
+def in_cells(probe: DataFrame, index: DataFrame, scores: Callable[[int, pa.Table, pa.Table], np.ndarray], k: int) -> DataFrame:
+    """probe(query_id, cell, ...), index(id, cell, ...) -> the k best (query_id, id, score) of each slice. scores(cell, asking,
+    rows) is a matrix of both. The rows and the queries of a cell are cut into slices of SLICE or so, and each pair of slices is one
+    group: no pair of rows becomes a row, and no task holds more than two slices and a block of scores."""
+    parts = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias(name))
+    # A row for each cell; their number is that of the centres.
+    sizes = F.broadcast(materialize(parts(index, "slices").join(parts(probe, "shares"), "cell"), "cell-sizes"))
+    place = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    placed = index.join(sizes, "cell").withColumn("slice", place("id", "slices")).withColumn("share", each("shares")).drop("slices", "shares")
+    asked = probe.join(sizes, "cell").withColumn("share", place("query_id", "shares")).withColumn("slice", each("slices")).drop("slices", "shares")
+
+    def run(key: tuple, rows: pa.Table, asking: pa.Table) -> pa.Table:
+        best, cell = Best(asking.num_rows, k), key[0].as_py()
+        own = rows.column("id").to_numpy()
+        for j in range(0, rows.num_rows, VECTOR_BLOCK):
+            for i in range(0, asking.num_rows, QUERY_BLOCK):
+                s = np.round(scores(cell, asking.slice(i, QUERY_BLOCK), rows.slice(j, VECTOR_BLOCK)), DIGITS)
+                best.offer_block(i, s, own[j : j + VECTOR_BLOCK])
+        names = asking.column("query_id").to_numpy()
+        return pa.Table.from_batches(list(best.batches(names)), pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())]))
+
+    return placed.groupBy("cell", "slice", "share").cogroup(asked.groupBy("cell", "slice", "share")).applyInArrow(run, HITS)
+
+
+def stacked(column: pa.ChunkedArray) -> np.ndarray:
+    """A column of lists of one length as a matrix."""
+    flat = column.combine_chunks()
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
+
+
 def cell_topk(queries: DataFrame, index: DataFrame, centres: np.ndarray, k: int, probes: int) -> DataFrame:
-    """Approximate dense_topk over cell_index(): a query meets the vectors of its nearest cells only. A cell is cut
-    into slices of SLICE vectors or so; each slice takes one matrix product with the queries that probe its cell
-    and gives the k best of each, so no pair becomes a row, and no task holds more than a slice. Recall depends on probes: see the test against dense_topk."""
-    probe = _nearest_cells(queries, "query_id", centres, probes)
-    sizes = materialize(index.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("slices")), "cell-sizes")  # a row for each cell
-    placed = index.join(F.broadcast(sizes), "cell").select("cell", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int").alias("slice"), "id", "vector")
-    asked = probe.join(F.broadcast(sizes), "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "query_id", "vector")
-
-    def score(vectors: pa.Table, asking: pa.Table) -> pa.Table:
-        q, d = asking.column("query_id").type, vectors.column("id").type
-        schema = pa.schema([("query_id", q), ("id", d), ("score", pa.float64())])
-        if not vectors.num_rows or not asking.num_rows:
-            return schema.empty_table()
-        a, b = (np.stack(t.column("vector").combine_chunks().to_numpy(zero_copy_only=False)) for t in (asking, vectors))
-        s = np.round(a @ b.T, DIGITS)
-        at = min(k, s.shape[1]) - 1
-        # Ties at the cut are all kept; the window decides them by id.
-        row, column = np.nonzero(s >= -np.partition(-s, at, axis=1)[:, at][:, None])
-        return pa.table([asking.column("query_id").take(pa.array(row)), vectors.column("id").take(pa.array(column)), pa.array(s[row, column])], schema=schema)
-
-    q, d = queries.schema["query_id"].dataType.simpleString(), index.schema["id"].dataType.simpleString()
-    found = placed.groupBy("cell", "slice").cogroup(asked.groupBy("cell", "slice")).applyInArrow(score, f"query_id {q}, id {d}, score double")
-    return ranked(found, k, F.desc("score"), F.col("id"))
+    """Approximate dense_topk over cell_index(): a query meets the vectors of its nearest cells only, by a matrix product for
+    each pair of slices. Recall depends on probes: see the test against dense_topk."""
+    probe = materialize(_nearest_cells(queries, "query_id", centres, probes), "cell-probes")
+    product = lambda cell, asking, rows: stacked(asking.column("vector")) @ stacked(rows.column("vector")).T
+    return ranked(in_cells(probe, index, product, k), k, F.desc("score"), F.col("id"))
 
 
 def with_fallback(filtered: DataFrame, unfiltered: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions.text import merge_tokens
-from ..operators import boost, context, query, search
+from ..operators import boost, codes, context, query, search
 from .base import Registry, case, cell, has_any, q, replaced, rows, strip, table
 
 register = Registry()
@@ -346,6 +346,15 @@ def cell_topk(spark, d):
     return search.cell_topk(_query_vectors(spark, d), search.cell_index(vectors, centres), centres, K, 12)
 
 
+@register()
+def coded_topk(spark, d):
+    """The same over coded vectors; recall is measured in a test."""
+    vectors = _vectors(spark, d)
+    centres = search.cell_centres(vectors, 16)
+    books = codes.residual_books(vectors, centres)
+    return codes.coded_topk(_query_vectors(spark, d), codes.coded_index(vectors, centres, books), vectors, centres, books, K, 13)
+
+
 @register("""SELECT doc_id, regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])(какие|список|перечень)[^\\p{L}\\p{N}_](.*[^\\p{L}\\p{N}_])?канал', 's') AS is_list
 FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Какие есть каналы? ' WHEN 1 THEN 'Список и каналы ' WHEN 2 THEN 'некакие каналы ' ELSE '' END || text AS text FROM documents)""")
 def list_intents(spark, d):

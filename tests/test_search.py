@@ -9,7 +9,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ravelin.operators import search
+from ravelin import catalog
+from ravelin.operators import codes, search
 from ravelin.operators.best import Best
 
 
@@ -103,3 +104,48 @@ def test_what_is_shuffled_does_not_grow_with_batches(spark):
         assert search.dense_topk(queries, vectors, 2000).count() == 6000
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_coded_cells_find_nearly_all(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    centre = rng.normal(0, 1, (30, 24))
+    x = centre[rng.integers(0, 30, 5000)] + rng.normal(0, 0.2, (5000, 24))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
+    queries = vectors.where("id % 20 = 0").withColumnRenamed("id", "query_id")
+    centres = search.cell_centres(vectors, 32)
+    books = codes.residual_books(vectors, centres, 8)
+    index = codes.coded_index(vectors.union(spark.createDataFrame([(9999, None), (None, [1.0] * 24)], vectors.schema)), centres, books).cache()
+    assert index.count() == 5000 and {len(r.code) for r in index.take(50)} == {8}
+    exact = {(r.query_id, r.id, r.score) for r in search.dense_topk(queries, vectors, 10).collect()}
+    found = lambda compare: {(r.query_id, r.id, r.score) for r in codes.coded_topk(queries, index, vectors, centres, books, 10, 4, compare).collect()}
+    near = found(8)
+    assert len({r[:2] for r in exact} & {r[:2] for r in near}) >= 0.9 * len(exact)
+    assert len(near) == len(exact)
+    score = {r[:2]: r[2] for r in exact}
+    assert all(score[r[:2]] == pytest.approx(r[2], abs=2e-6) for r in near if r[:2] in score)
+    # Rows and queries of a cell in slices give what whole cells give.
+    monkeypatch.setattr(search, "SLICE", 40)
+    monkeypatch.setattr(search, "QUERY_BLOCK", 7)
+    assert found(8) == near
+    index.unpersist()
+
+
+def test_codes_of_few_rows_and_uneven_parts(spark):
+    vectors = spark.createDataFrame([(i, [float(i), 1.0, float(-i), 2.0, 0.5]) for i in range(6)] + [(6, [0.0] * 5)], "id long, vector array<double>")
+    centres = search.cell_centres(vectors, 2)
+    books = codes.residual_books(vectors, centres, 2)
+    index = codes.coded_index(vectors, centres, books)
+    queries = vectors.where("id < 6").withColumnRenamed("id", "query_id")
+    got = codes.coded_topk(queries, index, vectors, centres, books, 7, 2)
+    assert keyed(got) == keyed(search.dense_topk(queries, vectors, 7))
+    assert codes.coded_topk(queries.limit(0), index, vectors, centres, books, 3, 2).count() == 0
+    assert codes.coded_topk(queries, index.limit(0), vectors, centres, books, 3, 2).count() == 0
+
+
+@pytest.mark.parametrize("name", ["cell_topk", "coded_topk"])
+def test_recall_of_the_registered_searches(spark, name):
+    d = "/root/testdata/sf0.01"
+    exact = {(r.query_id, r.id) for r in catalog.QUERIES["dense_topk"](spark, d).collect()}
+    near = [(r.query_id, r.id) for r in catalog.QUERIES[name](spark, d).collect()]
+    assert len(near) == len(set(near)) == len(exact)
+    assert len(exact & set(near)) >= 0.9 * len(exact), len(exact & set(near)) / len(exact)
