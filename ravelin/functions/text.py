@@ -128,6 +128,12 @@ def content_refs(text: Column, base: str) -> Column:
     return F.regexp_replace(local, ref.format(r"([^'\"]+)"), "$2 (см. $1)")
 
 
+def repaired_utf8(content: Column) -> Column:
+    """Bytes as text; bytes that are no UTF-8 are dropped."""
+    text = content.cast("string")
+    return F.when(F.is_valid_utf8(text), text).otherwise(F.replace(F.make_valid_utf8(text), F.lit("\ufffd"), F.lit("")))
+
+
 def strip_frontmatter(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\A---\n.*?\n---\n", "")
 

@@ -197,6 +197,41 @@ def max_over_time(samples: DataFrame, value: str, seconds: int, *labels: str) ->
     return samples.withColumn("most", F.max(value).over(Window.partitionBy(*labels).orderBy(at).rangeBetween(-seconds * 1_000_000, 0)))
 
 
+def range_over_time(samples: DataFrame, value: str, width: int, step: int, *labels: str, order: tuple[str, ...] = ()) -> DataFrame:
+    """samples(ts, value, labels) at every multiple of step seconds, over the width seconds before it (the end not included):
+    labels, at, n, total, mean, least, most, last, increase, rate. width is a multiple of step.
+
+    increase is the growth of a counter from the window's first sample to its last, where a fall is a restart from zero; it
+    is not stretched to the window's bounds. rate is increase by second. order decides between samples of one time.
+    Samples without ts or value are left out; null labels are a series of their own; windows without samples have no row.
+
+    Samples meet in panes of one step; a pane is one row, and windows and the growth between panes are made of these, so a series that
+    holds a third of all rows is spread over as many tasks as it has panes."""
+    if step <= 0 or width % step:
+        raise ValueError("width must be a multiple of step")
+    grown = lambda now, before: F.when(now >= before, now - before).otherwise(now)
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = samples.where(F.col("ts").isNotNull() & F.col(value).isNotNull()).select(
+        *labels, F.floor(at / (step * 1_000_000)).cast("long").alias("_pane"), F.struct(at.alias("at"), *order).alias("_at"), F.col(value).cast("double").alias("_v")
+    )
+    within = Window.partitionBy(*labels, "_pane").orderBy("_at")
+    panes = rows.withColumn("_rise", grown(F.col("_v"), F.lag("_v").over(within))).withColumn("_rise", F.when(F.row_number().over(within) > 1, F.col("_rise")).otherwise(0.0))
+    panes = panes.groupBy(*labels, "_pane").agg(
+        F.count("_v").alias("n"), F.sum("_v").alias("total"), F.min("_v").alias("least"), F.max("_v").alias("most"),
+        F.min_by("_v", "_at").alias("_first"), F.max_by("_v", "_at").alias("_last"), F.sum("_rise").alias("_inside"),
+    )
+    before = F.lag("_last").over(Window.partitionBy(*labels).orderBy("_pane"))
+    panes = panes.withColumn("_between", F.when(before.isNull(), 0.0).otherwise(grown(F.col("_first"), before)))
+    ends = F.explode(F.sequence(F.col("_pane") + 1, F.col("_pane") + width // step)).alias("_end")
+    windows = panes.select("*", ends).groupBy(*labels, "_end").agg(
+        F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("least").alias("least"), F.max("most").alias("most"), F.max_by("_last", "_pane").alias("last"),
+        # The growth into the window's first pane belongs to what lies before the window.
+        (F.sum("_inside") + F.sum("_between") - F.min_by("_between", "_pane")).alias("increase"),
+    )
+    end = F.timestamp_micros(F.col("_end") * (step * 1_000_000)).cast(samples.schema["ts"].dataType)
+    return windows.select(*labels, end.alias("at"), "n", "total", (F.col("total") / F.col("n")).alias("mean"), "least", "most", "last", "increase", (F.col("increase") / width).alias("rate"))
+
+
 def histogram_quantile(buckets: DataFrame, q: float, *labels: str) -> DataFrame:
     """buckets(labels, le, n) cumulative as histogram() gives them -> labels, quantile: linear within the
     bucket that reaches the rank, the last finite bound beyond it, null without observations."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import reduce
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -315,6 +316,45 @@ def rerank(hits: DataFrame, top_n: int, most_chars: int = 384, scorer=None) -> D
                   top_n, F.desc("rerank_score"), F.col("id"))
 
 
+class Scorer(Protocol):
+    """Loaded once in a task; scores pairs of a query and a text."""
+
+    def __call__(self, queries: list[str], texts: list[str]) -> np.ndarray: ...
+
+
+def rerank_by_model(hits: DataFrame, load: Callable[[], Scorer], top_n: int, most_chars: int = 384, batch: int = 256) -> DataFrame:
+    """hits(query_id, id, query_text, text, rank, ...) rescored by a model and cut, with rerank_score and reranked. The columns
+    stay. A batch that the model fails on is scored like rerank(), with reranked false; null texts count as empty."""
+    ship(hits.sparkSession)
+
+    def run(batches):
+        model = load()
+        for b in batches:
+            for i in range(0, b.num_rows, batch):
+                part = b.slice(i, batch)
+                queries, texts = ([t or "" for t in part.column(c).to_pylist()] for c in ("query_text", "_text"))
+                try:
+                    score = pa.array(np.asarray(model(queries, texts), np.float64).reshape(part.num_rows))
+                except Exception:  # whatever a model raises, its rows keep a place
+                    score = pa.nulls(part.num_rows, pa.float64())
+                yield pa.RecordBatch.from_arrays([*part.columns, score], names=[*part.schema.names, "_score"])
+
+    cut = hits.withColumn("_text", F.substring("text", 1, most_chars))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema) + ", _score double"
+    scored = cut.mapInArrow(run, schema).withColumn("reranked", F.col("_score").isNotNull())
+    score = F.round(F.coalesce("_score", coverage_score(F.col("query_text"), F.col("_text"))), 9)
+    return ranked(scored.withColumn("rerank_score", score).drop("_text", "_score"), top_n, F.desc("rerank_score"), F.col("id"))
+
+
+def hit_records(hits: DataFrame) -> DataFrame:
+    """hits(query_id, id, score, ...) in the form all searches share: id as text, score 0.0 where there is none, and the other columns as a
+    payload without its nulls."""
+    rest = [c for c in hits.columns if c not in ("query_id", "id", "score")]
+    pairs = [F.struct(F.lit(c).alias("key"), F.col(f"`{c}`").cast("string").alias("value")) for c in rest]
+    payload = F.map_from_entries(F.filter(F.array(*pairs), lambda x: x["value"].isNotNull())) if pairs else F.create_map().cast("map<string,string>")
+    return hits.select("query_id", F.col("id").cast("string").alias("id"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"), payload.alias("payload"))
+
+
 def word_set(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
 

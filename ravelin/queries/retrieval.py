@@ -338,6 +338,16 @@ def metadata_filtered_rrf(spark, d):
     return both.unionByName(nothing).select("query_id", "id", "rrf_score")
 
 
+@register(DENSE_SQL.format(k=K) + " SELECT query_id, id::VARCHAR AS id, CASE WHEN rank % 4 = 0 THEN 0.0 ELSE score END AS score, CASE WHEN rank % 2 = 0 THEN rank::VARCHAR END AS place, (1 + (rank % 2 = 0)::INT)::INT AS n FROM dense")
+def hit_records(spark, d):
+    """Hits in the common form; some have no score, some no place."""
+    rank = F.col("rank")
+    hits = search.dense_topk(_query_vectors(spark, d), _vectors(spark, d), K).select(
+        "query_id", "id", F.when(rank % 4 > 0, F.col("score")).alias("score"), F.when(rank % 2 == 0, rank).alias("place"), F.lit("x").alias("kind")
+    )
+    return search.hit_records(hits).select("query_id", "id", "score", F.try_element_at("payload", F.lit("place")).alias("place"), F.size("payload").alias("n"))
+
+
 @register()
 def cell_topk(spark, d):
     """Approximate dense search of every row divisible by EVERY; recall is measured in a test."""

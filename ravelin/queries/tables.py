@@ -417,6 +417,16 @@ def max_over_hour(spark, d):
     return ops.max_over_time(_events(spark, d), "value", 3600, "event_type", "user_id").select("event_id", "most")
 
 
+@register("""WITH s AS (SELECT event_type, event_id, ts, value, time_bucket(INTERVAL 2 HOUR, ts) + unnest([1, 2, 3, 4]) * INTERVAL 2 HOUR AS e FROM events WHERE ts IS NOT NULL AND value IS NOT NULL),
+l AS (SELECT *, lag(value) OVER (PARTITION BY event_type, e ORDER BY ts, event_id) AS before FROM s)
+SELECT event_type, CAST(e AS VARCHAR) AS end_at, count(*) AS n, round(sum(value), 4) AS total, min(value) AS least, max(value) AS most, arg_max(value, (ts, event_id)) AS last,
+round(sum(CASE WHEN before IS NULL THEN 0 WHEN value >= before THEN value - before ELSE value END), 4) AS increase FROM l GROUP BY event_type, e""")
+def range_functions(spark, d):
+    """Values of events as counters, every two hours over the eight hours before."""
+    found = ops.range_over_time(_events(spark, d), "value", 28_800, 7_200, "event_type", order=("event_id",))
+    return found.select("event_type", F.col("at").cast("string").alias("end_at"), "n", F.round("total", 4).alias("total"), "least", "most", "last", F.round("increase", 4).alias("increase"))
+
+
 @register(f"""WITH b(i, le) AS (VALUES {", ".join(f"({i + 1}, {b}::DOUBLE)" for i, b in enumerate(BOUNDS))}),
 n AS (SELECT event_type, i, le, count(*) FILTER (value <= le) AS c FROM events, b GROUP BY ALL), t AS (SELECT event_type, count(value) AS total FROM events GROUP BY event_type),
 f AS (SELECT event_type, min(i) AS i FROM n JOIN t USING (event_type) WHERE c >= 0.95 * total GROUP BY event_type),

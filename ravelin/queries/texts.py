@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import search
+from ..plans import normalise, steps
 from .base import Registry, case, has_any, q, replaced, strip, table, words
 
 register = Registry()
@@ -281,3 +282,16 @@ def docs_head(spark, d):
     text = F.when(n == 2, body).otherwise(F.concat(head, F.when(n == 1, F.concat(F.lit("# Head "), F.col("source"), F.lit("\n"))).otherwise(""), body))
     name = T.stem_title(F.concat(F.lit("a/b/20-page-one_"), F.col("doc_id"), F.lit(".md")))
     return _docs(spark, d).select("doc_id", T.document_head(text, name, n != 0).alias("h")).select("doc_id", "h.title", "h.category", "h.content_type")
+
+
+@register(rf"""WITH t AS (SELECT doc_id, lang, source, '# Head ' || source || chr(10) || replace(text, '#', '') AS text FROM documents)
+SELECT CASE WHEN doc_id % 3 = 0 THEN 'https://h/docs' ELSE 'https://h/docs/' || lang || '/' || doc_id::VARCHAR END AS canonical_url, doc_id AS n, 'Head ' || source AS title, lang AS category,
+true AS normalized, 'docusaurus' AS normalizer, {strip(replaced(strip(replaced(strip(replaced("text", T.WHITESPACE_RULES)), T.MDX_RULES)), T.WHITESPACE_RULES))} AS body FROM t""")
+def normalised_docs(spark, d):
+    """Every document as the bytes of a documentation page, some of them no UTF-8, through the steps of its normaliser."""
+    head = F.concat(F.lit("---\ncategory: "), "lang", F.lit("\n---\n# Head "), "source", F.lit("\n"), F.replace(F.col("text"), F.lit("#"), F.lit("")))
+    broken = F.when(F.col("doc_id") % 2 == 0, F.unhex(F.lit("FFC3"))).otherwise(F.unhex(F.lit("")))
+    site = F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("https://h/docs/"), "lang", F.lit("/"), "doc_id"))
+    raw = _docs(spark, d).select(F.col("doc_id").alias("n"), F.concat(F.encode(head, "UTF-8"), broken).alias("content"), site.alias("site_url"), F.lit("a/b.md").alias("rel_path"))
+    pages = steps.Pipeline(*normalise.documentation_steps("https://h", "/docs")).run(raw)
+    return pages.select("canonical_url", "n", "head.title", "head.category", "normalized", "normalizer", F.col("text").alias("body"))

@@ -66,13 +66,18 @@ def read(spark: SparkSession, name: str, **options) -> DataFrame:
 
 
 @register("docusaurus")
-def documentation(spark: SparkSession, root: str, site_base: str, prefix: str = "docs", all_levels: bool = True, max_pages: int | None = None) -> DataFrame:
-    """Markdown files under root: uri, rel_path, mtime, content, site_url."""
+def documentation(spark: SparkSession, root: str, site_base: str, prefix: str = "docs", all_levels: bool = True, max_pages: int | None = None,
+                  mapper: Callable[[Column], dict[str, Column]] | None = None) -> DataFrame:
+    """Markdown files under root: uri, rel_path, mtime, content, site_url, file_extension, source, and what mapper makes of
+    rel_path; a mapped null leaves a column of that name as it was. max_pages takes the first by path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{md,mdx}").load(root)
     base = re.sub(r"^\w+:/*", "/", root).rstrip("/")
     rel = F.regexp_replace(F.regexp_replace("path", r"^\w+:/*", "/"), "^" + re.escape(base) + "/", "")
     out = files.select(F.col("path").alias("uri"), rel.alias("rel_path"), F.col("modificationTime").alias("mtime"), F.col("content"))
     out = out.withColumn("site_url", U.path_to_url(F.col("rel_path"), site_base, prefix, all_levels))
+    out = out.withColumns({"file_extension": F.regexp_extract("rel_path", r"(\.[^./]*)$", 1), "source": F.lit("docusaurus")})
+    for name, value in (mapper(F.col("rel_path")) if mapper else {}).items():
+        out = out.withColumn(name, F.coalesce(value, F.col(name)) if name in out.columns else value)
     return out.orderBy("rel_path").limit(max_pages) if max_pages else out
 
 

@@ -20,11 +20,11 @@ def event_stream(spark: SparkSession, path: str, schema, per_trigger: int = 1) -
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def windowed_metrics(stream: DataFrame, width: str = "1 hour", late: str = "10 minutes", *keys: str) -> DataFrame:
-    """n, total and most of value by window; rows later than the watermark are left out."""
+def windowed_metrics(stream: DataFrame, width: str = "1 hour", late: str = "10 minutes", *keys: str, slide: str | None = None) -> DataFrame:
+    """n, total and most of value by window, a new one every slide (width, if none is given); rows later than the watermark are left out."""
     return (
         stream.withWatermark("ts", late)
-        .groupBy(F.window("ts", width).alias("w"), *keys)
+        .groupBy(F.window("ts", width, slide).alias("w"), *keys)
         .agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.max("value").alias("most"))
         .select(F.col("w.start").alias("start"), *keys, "n", "total", "most")
     )
