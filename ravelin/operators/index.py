@@ -118,7 +118,7 @@ def directory_labels(files: DataFrame, labels: DataFrame) -> DataFrame:
 def top_directory_metadata(files: DataFrame, extra: DataFrame) -> DataFrame:
     """files(rel_path, category map), extra(top_dir, extra map): top_level_dir, then extra, then category; the first that has a key wins."""
     top = F.when(F.size(F.split("rel_path", "/")) > 1, F.split_part("rel_path", F.lit("/"), F.lit(1)))
-    joined = files.withColumn("top_dir", top).join(F.broadcast(extra), "top_dir", "left")
+    joined = files.withColumn("top_dir", top).join(extra, "top_dir", "left")
     empty = F.create_map().cast("map<string,string>")
     extra_map, category = F.coalesce("extra", empty), F.coalesce("category", empty)
     own = F.when(F.col("top_dir").isNotNull(), F.create_map(F.lit("top_level_dir"), F.col("top_dir"))).otherwise(empty)

@@ -119,13 +119,6 @@ def validate(requests: DataFrame, blocked: DataFrame | None = None) -> DataFrame
 # ---------------------------------------------------------------- themes
 
 
-def themes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        [(i, *t) for i, t in enumerate(C.THEMES)],
-        "ord int, theme_id string, domain string, section string, platform string, role string",
-    )
-
-
 def keyword_score(low: Column) -> Column:
     """Score of a query against the theme columns."""
     words = lambda column: reduce(
@@ -147,11 +140,14 @@ def user_score() -> Column:
 
 
 def theme_scores(queries: DataFrame) -> DataFrame:
-    """queries(query_id, text[, user_role, user_platform]) against every theme; the nine themes are broadcast."""
-    score = keyword_score(F.lower("text"))
-    if {"user_role", "user_platform"} <= set(queries.columns):
+    """queries(query_id, text[, user_role, user_platform]) against every theme; the nine themes are a literal of the plan."""
+    score, user = keyword_score(F.col("_low")), [c for c in ("user_role", "user_platform") if c in queries.columns]
+    if len(user) == 2:
         score = score + user_score()
-    return queries.crossJoin(F.broadcast(themes(queries.sparkSession))).select("query_id", "theme_id", "ord", "domain", "section", "platform", score.alias("score"))
+    names = ("theme_id", "domain", "section", "platform", "role")
+    each = F.array(*[F.struct(F.lit(i).alias("ord"), *[F.lit(v).cast("string").alias(n) for n, v in zip(names, t, strict=True)]) for i, t in enumerate(C.THEMES)])
+    paired = queries.select("query_id", F.lower("text").alias("_low"), *user, F.inline(each))
+    return paired.select("query_id", "theme_id", "ord", "domain", "section", "platform", score.alias("score"))
 
 
 def route(queries: DataFrame, mode: str = "heuristic", answers: DataFrame | None = None) -> DataFrame:

@@ -96,7 +96,10 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
 
 
 def dense_topk_expression(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """The same by column expressions only, for small query sets: the queries are broadcast."""
+    """The same by column expressions only, for at most QUERY_BLOCK queries, which are counted and broadcast; dense_topk takes any number."""
+    n = queries.limit(QUERY_BLOCK + 1).count()
+    if n > QUERY_BLOCK:
+        raise ValueError(f"more than {QUERY_BLOCK} queries: use dense_topk")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     q = queries.select("query_id", F.col("vector").alias("q")).withColumn("qn", F.sqrt(dot(F.col("q"), F.col("q"))))
     v = vectors.select("id", F.col("vector").alias("v")).withColumn("vn", F.sqrt(dot(F.col("v"), F.col("v"))))

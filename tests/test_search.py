@@ -149,3 +149,11 @@ def test_recall_of_the_registered_searches(spark, name):
     near = [(r.query_id, r.id) for r in catalog.QUERIES[name](spark, d).collect()]
     assert len(near) == len(set(near)) == len(exact)
     assert len(exact & set(near)) >= 0.9 * len(exact), len(exact & set(near)) / len(exact)
+
+
+def test_the_expression_form_refuses_many_queries(spark, monkeypatch):
+    monkeypatch.setattr(search, "QUERY_BLOCK", 3)
+    v = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(4)], "id long, vector array<double>")
+    with pytest.raises(ValueError):
+        search.dense_topk_expression(v.withColumnRenamed("id", "query_id"), v, 1)
+    assert search.dense_topk_expression(v.limit(3).withColumnRenamed("id", "query_id"), v, 1).count() == 3
