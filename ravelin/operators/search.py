@@ -9,7 +9,7 @@ from typing import Protocol
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
@@ -52,8 +52,18 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, norm[:, None], out=np.zeros_like(x), where=norm[:, None] > 0)
 
 
-def _joined(parts: list[DataFrame], spark: SparkSession) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], HITS)
+def _answered(asked: DataFrame, size: Callable[[Row], int], search: Callable[[list[Row]], DataFrame], k: int) -> DataFrame:
+    """The k best of each query, pass by pass. Where there is more than one pass, each one's hits are written before the
+    next is read, so the driver holds two passes of queries at most and no plan grows with their texts or vectors."""
+    written = lambda hits: materialize(ranked(hits, k, F.desc("score"), F.col("id")).drop("rank"), "pass-hits")
+    done, last = [], None
+    for block in _passes(asked.toLocalIterator(), size):
+        if last is not None:
+            done.append(written(last))
+        last = search(block)
+    if last is None:
+        return asked.sparkSession.createDataFrame([], HITS)
+    return reduce(DataFrame.unionByName, [*done, written(last)]) if done else last
 
 
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
@@ -91,7 +101,7 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
         return kept.mapInArrow(run, HITS)
 
     asked = queries.where("query_id IS NOT NULL AND vector IS NOT NULL").select("query_id", "vector", *(["need"] if masked else []))
-    found = _joined([search(b) for b in _passes(asked.toLocalIterator(), lambda r: 8 * len(r["vector"]))], vectors.sparkSession)
+    found = _answered(asked, lambda r: 8 * len(r["vector"]), search, k)
     return ranked(found, k, F.desc("score"), F.col("id"))
 
 
@@ -172,7 +182,7 @@ def sparse_topk(queries: DataFrame, texts: DataFrame, k: int) -> DataFrame:
         return kept.mapInArrow(run, HITS)
 
     asked = queries.where("query_id IS NOT NULL AND text IS NOT NULL").select("query_id", tokens, *(["need"] if masked else []))
-    found = _joined([search(b) for b in _passes(asked.toLocalIterator(), lambda r: 64 * len(r["tokens"]))], texts.sparkSession)
+    found = _answered(asked, lambda r: 64 * len(r["tokens"]), search, k)
     return ranked(found, k, F.desc("score"), F.col("id"))
 
 
