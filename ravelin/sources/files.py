@@ -139,7 +139,7 @@ def category_labels(spark: SparkSession, root: str) -> DataFrame:
 
 def parse_pages(pages: DataFrame) -> DataFrame:
     """pages(page_id, url, html) -> page_id, url, title, text, links (absolute, without fragments, each once)."""
-    return dom.page_documents(pages).select("page_id", "url", "title", "text", F.array_distinct("links").alias("links"))
+    return dom.page_documents(pages, ("title", "text", "links")).select("page_id", "url", "title", "text", F.array_distinct("links").alias("links"))
 
 
 def crawl(pages: DataFrame, start: str, max_pages: int, per_page: int = 20) -> DataFrame:
@@ -147,7 +147,7 @@ def crawl(pages: DataFrame, start: str, max_pages: int, per_page: int = 20) -> D
     first per_page of them. A page comes after those of lower depth, and among its own in the order in which
     pages before it name it: a place is its parent's place and the link's number. Each round joins the edge's
     links with the pages and leaves out what was visited; only counts reach the driver."""
-    links = dom.page_documents(pages).select("url", "links")
+    links = dom.page_documents(pages, ("links",)).select("url", "links")
     links = links.select("url", F.slice(F.filter("links", lambda x: U.is_crawlable(x, F.lit(start))), 1, per_page).alias("links"))
     links = materialize(links.dropDuplicates(["url"]), "crawl-links")
     first = pages.sparkSession.createDataFrame([(start, 0, [0])], "url string, depth int, place array<int>")
