@@ -6,10 +6,11 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..batches import pieces
 from ..functions.text import WORD
 from ..shipping import ship
 from ..sources.versions import VersionedTable
@@ -55,19 +56,18 @@ def embed(df: DataFrame, key: str, text: Column, load: Callable[[], Embedder], b
     ship(df.sparkSession)
     names = [key, *carry]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load()
-        for pdf in batches:
-            for i in range(0, len(pdf), batch):
-                part = pdf.iloc[i : i + batch]
-                try:
-                    dense, ok = model(part["__text"].tolist()), True
-                except Exception:  # one bad batch must not fail the job
-                    dense, ok = np.zeros((len(part), width)), False
-                yield part[names].assign(dense=[v.astype(float).tolist() for v in dense], embed_ok=ok)
+        for part in pieces(batches, batch):
+            try:
+                dense, ok = model(part.column(len(names)).to_pylist()), True
+            except Exception:  # one bad batch must not fail the job
+                dense, ok = np.zeros((part.num_rows, width)), False
+            vectors = pa.array([np.asarray(v, float) for v in dense], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], vectors, pa.array([ok] * part.num_rows)], names=[*names, "dense", "embed_ok"])
 
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
-    return df.select(*names, text.alias("__text")).mapInPandas(run, f"{kinds}, dense array<double>, embed_ok boolean")
+    return df.select(*names, text.alias("__text")).mapInArrow(run, f"{kinds}, dense array<double>, embed_ok boolean")
 
 
 def cached_vectors(df: DataFrame, key: str, text: Column, cache: VersionedTable, model: str, load: Callable[[], Embedder] = hashed_embedder, width: int = DIMENSIONS) -> DataFrame:
