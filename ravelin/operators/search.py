@@ -54,7 +54,8 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def _answered(asked: DataFrame, size: Callable[[Row], int], search: Callable[[list[Row]], DataFrame], k: int) -> DataFrame:
     """The k best of each query, pass by pass. Where there is more than one pass, each one's hits are written before the
-    next is read, so the driver holds two passes of queries at most and no plan grows with their texts or vectors."""
+    next is read, so the driver holds two passes of queries at most and no plan grows with their texts or vectors. What
+    the passes and asked are read from should be files: it is read again for each of them."""
     written = lambda hits: materialize(ranked(hits, k, F.desc("score"), F.col("id")).drop("rank"), "pass-hits")
     done, last = [], None
     for block in _passes(asked.toLocalIterator(), size):
@@ -146,7 +147,8 @@ def sparse_topk(queries: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     ship(texts.sparkSession)
     masked = "need" in queries.columns and "bits" in texts.columns
     tokens = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)).alias("tokens")
-    kept = texts.where("id IS NOT NULL AND text IS NOT NULL").select("id", tokens, *(["bits"] if masked else []))
+    # Every pass reads the words again; written once, they are neither joined, shuffled nor split again for each.
+    kept = materialize(texts.where("id IS NOT NULL AND text IS NOT NULL").select("id", tokens, *(["bits"] if masked else [])), "search-words")
 
     def search(block: list[Row]) -> DataFrame:
         names = np.array([r["query_id"] for r in block], np.int64)
