@@ -342,8 +342,8 @@ def candidate_preview(spark, d):
 @register(HYBRID + f""" SELECT x.query_id, x.id, x.rrf_score FROM f x JOIN documents d ON d.doc_id = x.id WHERE d.lang = 'en'""")
 def metadata_filtered_rrf(spark, d):
     """Both rankings under a filter, fused; a filter that no row can meet lets nothing through."""
-    dense = search.dense_topk(_query_vectors(spark, d), _vectors(spark, d), 2 * K)
-    sparse = search.sparse_topk(_query_texts(spark, d), _texts(spark, d), 2 * K)
+    dense = materialize(search.dense_topk(_query_vectors(spark, d), _vectors(spark, d), 2 * K), "filter-dense")
+    sparse = materialize(search.sparse_topk(_query_texts(spark, d), _texts(spark, d), 2 * K), "filter-sparse")
     payload = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang", "source")
     both = search.filtered_fusion(dense, sparse, payload, {"lang": ["en", "en"]})
     nothing = search.filtered_fusion(dense, sparse, payload, {"lang": ["en", "de"]})  # no row has both
