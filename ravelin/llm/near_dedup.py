@@ -18,6 +18,11 @@ Few shingles make unsteady fingerprints, so texts of SHORT shingles or fewer are
 exactly: two sets of similarity t share one of the n - ceil(t n) + 1 rarest shingles of each, and
 all that share such a shingle are verified as a family is, at any distance of fingerprints.
 
+What fingerprints leave apart is then looked for exactly, among texts of any length: in one order of
+all shingles two sets of similarity t share one of the first n - ceil(t n) + 1 of each, so a shingle that
+stands there in nodes of more than one group gives pairs, of which those that share enough are verified. The order is that of
+the hashes, with shingles that many texts of a sample hold behind all others; the sample decides on the cost only.
+
 Large buckets and families (more than BLOCK nodes or BLOCK_SHINGLES shingles) are first compared
 with up to PIVOTS of their own nodes, a join whose cost is linear. What was found linked with a
 pivot is one group already; the rest, usually nothing, meets all others in cells of a grid, so
@@ -57,6 +62,8 @@ BLOCK, BLOCK_SHINGLES = 1_000, 2_000_000
 PIVOTS = 3
 #: Rows of fingerprints that are compared at a time with those of their cell.
 ROWS = 64
+#: Texts of the sample for common shingles, in how many of them one stands, and how many are known at most.
+SAMPLE_TEXTS, COMMON_TEXTS, MOST_COMMON = 2_000, 3, 100_000
 #: Broadcast limit for document ids.
 BROADCAST_IDS = 500_000
 #: Broadcast limits for pivots, and for the shingles they carry.
@@ -87,6 +94,21 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     return base.select(*names, F.when(n >= 1, many).otherwise(few).alias("shingles"))
 
 
+def _common(docs: DataFrame, words: int) -> np.ndarray:
+    """Hashes of shingles that many texts of a sample hold, ascending."""
+    share = min(1.0, 2 * SAMPLE_TEXTS / max(1, docs.count()))
+    some = shingle_sets(docs.select("text").sample(share, seed=1).limit(SAMPLE_TEXTS), words).select(F.explode(F.array_distinct("shingles")).alias("h"))
+    often = some.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON_TEXTS)
+    return np.sort(often.orderBy(F.desc("n"), "h").limit(MOST_COMMON).select("h").toArrow().column("h").to_numpy().astype(np.int64).view(np.uint64))
+
+
+def prefix(h: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
+    """Of a set of ascending hashes those of which a set of that similarity holds one: the first in the order of all shingles."""
+    n = len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1 if len(h) else 0
+    late = np.isin(h, common)
+    return np.concatenate([h[~late], h[late]])[:n].view(np.int64)
+
+
 def sketch(shingles: np.ndarray, reach: int) -> tuple[int, np.ndarray, np.ndarray, int, np.ndarray | None]:
     """(node, fingerprint words, minima, number of different shingles, these if reach or fewer) of a text's shingle hashes."""
     h = np.unique(shingles.view(np.uint64))
@@ -116,8 +138,8 @@ def _reach(similarity: float) -> int:
     return int(SHORT / similarity + 1e-9)
 
 
-def _sketched(similarity: float):
-    """(doc_id, text_h, shingles) -> node, fingerprint and keys of each row, and the shingles of short ones."""
+def _sketched(similarity: float, common: np.ndarray):
+    """(doc_id, text_h, shingles) -> node, fingerprint, keys and prefix of each row, and the shingles of short ones."""
     reach = _reach(similarity)
 
     def run(batches):
@@ -136,10 +158,11 @@ def _sketched(similarity: float):
                 for r, k in zip(row.tolist(), (((low[row] << 12) | index) << 3 | s).tolist(), strict=True):
                     keys[r].append(k)
             longs = pa.list_(pa.int64())
+            first = [prefix(np.unique(np.asarray(x.values).view(np.uint64)), similarity, common) for x in column]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(node), pa.array([r[3] for r in rows], pa.int64()),
-                 *(pa.array(prints[:, k]) for k in range(WORDS)), pa.array(keys, longs), pa.array([r[4] for r in rows], longs)],
-                names=["doc_id", "text_h", "node", "shingles", *(f"p{k}" for k in range(WORDS)), "keys", "s"],
+                 *(pa.array(prints[:, k]) for k in range(WORDS)), pa.array(keys, longs), pa.array([r[4] for r in rows], longs), pa.array(first, longs)],
+                names=["doc_id", "text_h", "node", "shingles", *(f"p{k}" for k in range(WORDS)), "keys", "s", "prefix"],
             )
 
     return run
@@ -329,6 +352,39 @@ def _short_links(nodes: DataFrame, similarity: float) -> DataFrame:
     return _links(keyed.join(blocks, "key").join(short, "node"), "key", blocks, similarity, 64 * WORDS, "near-short")
 
 
+def _sets(known: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """node, s: the different shingles of the wanted(node, first), whose texts are read again."""
+    wanted = wanted.select("node", "first.*")
+    wanted = small_or_plain(wanted, wanted.count(), BROADCAST_IDS)
+    texts = known.join(wanted, ["doc_id", "text_h"]).select("doc_id", "text_h", "node", "text").dropDuplicates(["doc_id", "text_h"])
+    return shingle_sets(texts.select("node", "text"), words).select("node", F.array_distinct("shingles").alias("s"))
+
+
+def _missed_links(known: DataFrame, nodes: DataFrame, groups: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b): verified links of nodes whose prefixes share a shingle and that groups(node, root) leave apart. All that two
+    sets share stands in both prefixes or behind one of them, so prefixes of similar sets share so many at least; only
+    pairs that do are verified."""
+    mark = written_so_far()
+    rooted = nodes.where(F.col("shingles") > SHORT).join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "shingles", F.explode("prefix").alias("key"))
+    apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    keyed = materialize(rooted.join(apart, "key"), "near-missed-keys")
+    side = lambda x: keyed.select("key", F.col("node").alias(x), F.col("root").alias(f"root_{x}"), F.col("shingles").alias(f"n_{x}"))
+    sized = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")
+    met = side("a").join(side("b"), "key").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & sized)
+    behind = lambda n: F.ceil(similarity * F.col(n) - F.lit(1e-9)) - 1
+    least = similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - F.greatest(behind("n_a"), behind("n_b"))
+    pairs = met.groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least - 1e-6)
+    pairs = materialize(pairs, "near-missed-pairs")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "first"), "node")
+    sets = materialize(_sets(known, materialize(wanted, "near-missed-nodes"), words), "near-missed-sets")
+    of = lambda x: sets.select(F.col("node").alias(x), F.col("s").alias(f"s_{x}"))
+    both = F.size(F.array_intersect("s_a", "s_b"))
+    links = pairs.join(of("a"), "a").join(of("b"), "b").where(both >= similarity * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
+    links = materialize(links, "near-missed-links")
+    discard_since(mark, links)
+    return links
+
+
 def _groups(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text_h, node of every row with a doc_id; node, keep: the smallest (doc_id, text_h) of its group)."""
     spark = docs.sparkSession
@@ -338,7 +394,8 @@ def _groups(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame,
     prints = [f"p{k}" for k in range(WORDS)]
     sketches = materialize(
         shingle_sets(known, words).mapInArrow(
-            _sketched(similarity), f"doc_id {kind}, text_h long, node long, shingles long, {', '.join(f'{p} long' for p in prints)}, keys array<long>, s array<long>"
+            _sketched(similarity, _common(known, words)),
+            f"doc_id {kind}, text_h long, node long, shingles long, {', '.join(f'{p} long' for p in prints)}, keys array<long>, s array<long>, prefix array<long>",
         ),
         "near-sketches",
     )
@@ -346,7 +403,7 @@ def _groups(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame,
     nodes = materialize(
         sketches.groupBy("node").agg(
             F.min(F.struct("doc_id", "text_h")).alias("first"), *[F.min(p).alias(p) for p in prints], F.min("shingles").alias("shingles"),
-            F.min("keys").alias("keys"), F.min("s").alias("s"),
+            F.min("keys").alias("keys"), F.min("s").alias("s"), F.min("prefix").alias("prefix"),
         ),
         "near-nodes",
     )
@@ -368,15 +425,12 @@ def _groups(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame,
 
     families = connected_components(near).withColumnRenamed("root", "family")
     discard(near)
-    members = families.join(nodes.drop("keys", "s"), "node")
+    members = families.join(nodes.drop("keys", "s", "prefix"), "node")
     sizes = members.groupBy("family").agg(
         F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks")
     )
     members = materialize(members.join(sizes, "family"), "near-families")
-    wanted = members.select("node", "first.*")
-    wanted = small_or_plain(wanted, wanted.count(), BROADCAST_IDS)
-    texts = known.join(wanted, ["doc_id", "text_h"]).select("doc_id", "text_h", "node", "text").dropDuplicates(["doc_id", "text_h"])
-    sets = shingle_sets(texts.select("node", "text"), words).select("node", F.array_distinct("shingles").alias("s"))
+    sets = _sets(known, members, words)
     whole = members.select("family", "node", *prints, "blocks", "shingles").join(sets, "node")
     links = _links(whole, "family", members, similarity, MOST_BITS, "near-family").unionByName(_short_links(nodes, similarity))
     links = materialize(links, "near-links")
@@ -384,7 +438,10 @@ def _groups(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame,
     release(spark)
 
     groups = connected_components(links)
-    discard(links)
+    missed = _missed_links(known, nodes, groups, words, similarity)
+    if missed.limit(1).count():
+        groups = connected_components(links.unionByName(missed))
+    discard(links, missed)
     rooted = nodes.join(groups, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     keep = rooted.groupBy("root").agg(F.min("first").alias("keep"))
     keepers = materialize(rooted.join(keep, "root").select("node", "keep"), "near-keep")

@@ -222,3 +222,11 @@ def test_recall_at_the_threshold_by_length(spark):
     for n in (50, 100, 200, 900):
         found[n] = sum(keep[n * 1000 + 2 * k + 1] == n * 1000 + 2 * k for k in range(60)) / 60
     assert min(found.values()) >= 0.95 and sum(found.values()) / 4 >= 0.98, found
+
+
+def test_links_that_fingerprints_miss_are_found(documents, monkeypatch):
+    """Without any bits of difference the fingerprints find next to nothing; every group is found all the same."""
+    monkeypatch.setattr(near_dedup, "MOST_BITS", 0)
+    pairs = list(enumerate(make_texts(random.Random(13), 60)))
+    got = {r.doc_id: r.keep_id for r in near_dedup.near_groups(documents(pairs)).collect()}
+    assert got == brute_groups(pairs, 5, 0.8)
