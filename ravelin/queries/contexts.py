@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import chunking, context, embed, search
 from ..plans.ask import ask
 from ..sources import files
+from ..written import materialize
 from .base import Registry, table
 from .retrieval import DENSE_SQL, K, _query_vectors, _vectors
 
@@ -144,10 +145,9 @@ def model_lengths(spark, d):
 @register()
 def ask_batch(spark, d):
     """The benchmark items as queries over all documents, one chunk each."""
-    docs = _docs(spark, d)
-    vectors = embed.hashed_vectors(docs, "doc_id", F.col("text")).select("doc_id", "dense")
-    rows = docs.join(vectors, "doc_id").select(
+    # Many steps read the chunks: they are embedded once, their columns carried along, and written.
+    rows = embed.hashed_vectors(_docs(spark, d), "doc_id", F.col("text"), ("text", "source")).select(
         F.col("doc_id").alias("id"), "doc_id", F.lit(0).alias("chunk_index"), F.concat_ws("#", "doc_id", F.lit(0)).alias("chunk_id"), "text", "dense",
         F.substring("text", 1, 40).alias("title"), F.concat(F.lit("https://host/"), "source", F.lit("/"), "doc_id").alias("url"), "source",
     )
-    return ask(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), rows)
+    return ask(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), materialize(rows, "ask-chunks"))
