@@ -20,7 +20,10 @@ all that share such a shingle are verified as a family is, at any distance of fi
 
 What fingerprints leave apart is then looked for exactly, among texts of any length: in one order of
 all shingles two sets of similarity t share one of the first n - ceil(t n) + 1 of each, so a shingle that
-stands there in nodes of more than one group gives pairs, of which those that share enough are verified. The order is that of
+stands there in nodes of more than one group is a bucket, whose pairs are compared inside its task. A node carries the parity of how
+many of its shingles fall on each bit of a string about as long as its set: two such strings differ in no more bits than the sets in
+shingles, so a pair that differs in too many is not similar. What is left joins buckets to families as fingerprints do, and
+their pairs are verified by the sets. Rows grow with members, not with pairs. The order is that of
 the hashes, with shingles that many texts of a sample hold behind all others; the sample decides on the cost only.
 
 Large buckets and families (more than BLOCK nodes or BLOCK_SHINGLES shingles) are first compared
@@ -60,6 +63,10 @@ SHORT = 12
 BLOCK, BLOCK_SHINGLES = 1_000, 2_000_000
 #: Nodes that all others of a large bucket or family are compared with before pairs are.
 PIVOTS = 3
+#: Nodes of a bucket of prefixes that are compared as one block; they come without sets.
+PREFIX_BLOCK = 4_000
+#: Nodes of small buckets of prefixes that are compared at a time.
+SMALL_ROWS = 8_192
 #: Rows of fingerprints that are compared at a time with those of their cell.
 ROWS = 64
 #: Texts of the sample for common shingles, in how many of them one stands, and how many are known at most.
@@ -109,6 +116,14 @@ def prefix(h: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
     return np.concatenate([h[~late], h[late]])[:n].view(np.int64)
 
 
+def parity(h: np.ndarray) -> bytes:
+    """For each bit of a power of two of at least len(h) bits whether an odd number of the hashes falls on it."""
+    bits = 1 << max(6, int(len(h) - 1).bit_length())
+    with np.errstate(over="ignore"):
+        at = (_mixed(h, WORDS + SEGMENTS) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
 def sketch(shingles: np.ndarray, reach: int) -> tuple[int, np.ndarray, np.ndarray, int, np.ndarray | None]:
     """(node, fingerprint words, minima, number of different shingles, these if reach or fewer) of a text's shingle hashes."""
     h = np.unique(shingles.view(np.uint64))
@@ -158,11 +173,13 @@ def _sketched(similarity: float, common: np.ndarray):
                 for r, k in zip(row.tolist(), (((low[row] << 12) | index) << 3 | s).tolist(), strict=True):
                     keys[r].append(k)
             longs = pa.list_(pa.int64())
-            first = [prefix(np.unique(np.asarray(x.values).view(np.uint64)), similarity, common) for x in column]
+            sets = [np.unique(np.asarray(x.values).view(np.uint64)) for x in column]
+            first = [prefix(h, similarity, common) for h in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(node), pa.array([r[3] for r in rows], pa.int64()),
-                 *(pa.array(prints[:, k]) for k in range(WORDS)), pa.array(keys, longs), pa.array([r[4] for r in rows], longs), pa.array(first, longs)],
-                names=["doc_id", "text_h", "node", "shingles", *(f"p{k}" for k in range(WORDS)), "keys", "s", "prefix"],
+                 *(pa.array(prints[:, k]) for k in range(WORDS)), pa.array(keys, longs), pa.array([r[4] for r in rows], longs), pa.array(first, longs),
+                 pa.array([parity(h) for h in sets], pa.binary())],
+                names=["doc_id", "text_h", "node", "shingles", *(f"p{k}" for k in range(WORDS)), "keys", "s", "prefix", "parity"],
             )
 
     return run
@@ -360,28 +377,162 @@ def _sets(known: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return shingle_sets(texts.select("node", "text"), words).select("node", F.array_distinct("shingles").alias("s"))
 
 
+def possible(n: np.ndarray, root: np.ndarray, strings: list[bytes], similarity: float):
+    """Pairs (i, j) of places, in arrays, whose roots differ and whose sets of n shingles may be similar by their sizes and parities.
+    The longer of two strings is folded to the shorter one's length."""
+    size = np.array([len(x) // 8 for x in strings])
+    for words in np.unique(size).tolist():
+        own = np.flatnonzero(size == words)
+        own = own[np.argsort(n[own], kind="stable")]
+        longer = np.flatnonzero((size > words) & (n <= n[own[-1]] / similarity + 1e-6))
+        folded = [np.bitwise_xor.reduce(np.frombuffer(strings[i], np.uint64).reshape(-1, words)) for i in longer.tolist()]
+        rows = np.concatenate([own, longer])
+        bits = np.vstack([np.frombuffer(b"".join(strings[i] for i in own.tolist()), np.uint64).reshape(-1, words), *folded])
+        for at in range(0, len(own), ROWS):
+            a, b = rows[at : at + ROWS][: len(own) - at], rows[at + 1 :]
+            most = (n[a, None] + n[None, b]) * ((1 - similarity) / (1 + similarity)) + 1e-6
+            small, large = np.minimum(n[a, None], n[None, b]), np.maximum(n[a, None], n[None, b])
+            good = (root[a, None] != root[None, b]) & (small >= similarity * large)
+            good &= np.arange(len(b))[None] >= np.arange(len(a))[:, None]  # each pair once
+            there = np.flatnonzero(good.any(axis=0))
+            if not len(there):
+                continue
+            part, rest = bits[at : at + len(a)], bits[at + 1 :][there]
+            distance = np.zeros((len(a), len(there)), np.int32)
+            for w in range(words):
+                distance += np.bitwise_count(part[:, w, None] ^ rest[None, :, w])
+            x, y = np.nonzero(good[:, there] & (distance <= most[:, there]))
+            if len(x):
+                yield a[x], b[there[y]]
+
+
+def possible_in(cell: np.ndarray, n: np.ndarray, root: np.ndarray, strings: list[bytes], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The same pairs of many small cells at once; rows of a cell stand together."""
+    size, found = np.array([len(x) // 8 for x in strings]), []
+    for step in range(1, len(cell)):
+        a = np.flatnonzero(cell[:-step] == cell[step:])
+        if not len(a):
+            break
+        b = a + step
+        good = (root[a] != root[b]) & (np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]))
+        found.append((a[good], b[good]))
+    a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+    a, b = np.where(size[a] <= size[b], a, b), np.where(size[a] <= size[b], b, a)
+    most, keep = (n[a] + n[b]) * ((1 - similarity) / (1 + similarity)) + 1e-6, np.zeros(len(a), bool)
+    for words, longer in {*zip(size[a].tolist(), size[b].tolist(), strict=True)}:
+        for at in np.array_split(np.flatnonzero((size[a] == words) & (size[b] == longer)), 1 + len(a) * longer // (1 << 20)):
+            if len(at):
+                x, y = (np.frombuffer(b"".join(strings[i] for i in side[at].tolist()), np.uint64) for side in (a, b))
+                y = np.bitwise_xor.reduce(y.reshape(len(at), -1, words), axis=1)
+                keep[at] = np.bitwise_count(x.reshape(len(at), words) ^ y).sum(axis=1, dtype=np.int64) <= most[at]
+    return a[keep], b[keep]
+
+
+def _joined(label: np.ndarray, pairs, similar=None):
+    """Trees of label joined along the pairs that are similar; yields the pairs that joined two."""
+    for a, b in pairs:
+        for begin in range(0, len(a), 4096):
+            x, y = a[begin : begin + 4096], b[begin : begin + 4096]
+            apart = label[x] != label[y]
+            for i, j in zip(x[apart].tolist(), y[apart].tolist(), strict=True):
+                if label[i] != label[j] and (similar is None or similar(i, j)):
+                    label[label == label[j]] = label[i]
+                    yield i, j
+
+
+def _possible(similarity: float):
+    """Cells of buckets of prefixes -> links of nodes that may be similar; nodes without such a pair give none. Small cells are
+    compared many at a time."""
+
+    def small(held):
+        table = pa.concat_tables(held).combine_chunks()
+        node, root, n = (table.column(c).to_numpy() for c in ("node", "root", "shingles"))
+        cell = np.repeat(np.arange(len(held)), [len(t) for t in held])
+        a, b = possible_in(cell, n, root, table.column("parity").to_pylist(), similarity)
+        return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
+
+    def run(batches):
+        held, rows = [], 0
+        for cell in _cells(batches):
+            if len(cell) <= ROWS:
+                held.append(cell)
+                rows += len(cell)
+                if rows >= SMALL_ROWS:
+                    yield small(held)
+                    held, rows = [], 0
+                continue
+            node, root, n = (cell.column(c).to_numpy() for c in ("node", "root", "shingles"))
+            label = np.arange(len(node))
+            if root.min() != root.max():
+                for _ in _joined(label, possible(n, root, cell.column("parity").to_pylist(), similarity)):
+                    pass
+            links = _star(node, label)
+            if links:
+                yield links
+        if held:
+            yield small(held)
+
+    return run
+
+
+def _similar_apart(similarity: float):
+    """Cells of families -> the links of nodes with similar sets that join groups."""
+
+    def run(batches):
+        for cell in _cells(batches):
+            node, root, n = (cell.column(c).to_numpy() for c in ("node", "root", "shingles"))
+            sets = cell.column("s").combine_chunks()
+            values, bounds = sets.values.to_numpy(), sets.offsets.to_numpy()
+
+            def similar(i, j, values=values, bounds=bounds):
+                a, b = values[bounds[i] : bounds[i + 1]], values[bounds[j] : bounds[j + 1]]
+                both = shared(a, b)
+                return both >= similarity * (len(a) + len(b) - both)
+
+            label = np.unique(root, return_inverse=True)[1]
+            found = list(_joined(label, possible(n, root, cell.column("parity").to_pylist(), similarity), similar))
+            if found:
+                x, y = np.array(found).T
+                yield pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[y])], names=["a", "b"])
+
+    return run
+
+
+def _met(rows: DataFrame, group: str, blocks: DataFrame) -> DataFrame:
+    """Cells of rows(group, node, ...), where each pair of a group of more than one of its blocks(group, blocks) meets."""
+    rows, large, hits = rows.join(blocks, group), None, None
+    if blocks.where("blocks > 1").limit(1).count():
+        large = materialize(rows.where("blocks > 1"), "near-missed-large")
+        hits = rows.sparkSession.createDataFrame([], f"{group} long, node long, tie long")
+    return cells(rows.where("blocks = 1"), group, large, hits)
+
+
 def _missed_links(known: DataFrame, nodes: DataFrame, groups: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(a, b): verified links of nodes whose prefixes share a shingle and that groups(node, root) leave apart. All that two
-    sets share stands in both prefixes or behind one of them, so prefixes of similar sets share so many at least; only
-    pairs that do are verified."""
-    mark = written_so_far()
-    rooted = nodes.where(F.col("shingles") > SHORT).join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "shingles", F.explode("prefix").alias("key"))
-    apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    keyed = materialize(rooted.join(apart, "key"), "near-missed-keys")
-    side = lambda x: keyed.select("key", F.col("node").alias(x), F.col("root").alias(f"root_{x}"), F.col("shingles").alias(f"n_{x}"))
-    sized = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")
-    met = side("a").join(side("b"), "key").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & sized)
-    behind = lambda n: F.ceil(similarity * F.col(n) - F.lit(1e-9)) - 1
-    least = similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - F.greatest(behind("n_a"), behind("n_b"))
-    pairs = met.groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least - 1e-6)
-    pairs = materialize(pairs, "near-missed-pairs")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "first"), "node")
-    sets = materialize(_sets(known, materialize(wanted, "near-missed-nodes"), words), "near-missed-sets")
-    of = lambda x: sets.select(F.col("node").alias(x), F.col("s").alias(f"s_{x}"))
-    both = F.size(F.array_intersect("s_a", "s_b"))
-    links = pairs.join(of("a"), "a").join(of("b"), "b").where(both >= similarity * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
-    links = materialize(links, "near-missed-links")
+    """(a, b): verified links of nodes whose prefixes share a shingle and that groups(node, root) leave apart."""
+    mark, spark = written_so_far(), nodes.sparkSession
+    long = nodes.where(F.col("shingles") > SHORT)
+    rooted = materialize(long.join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "shingles", "parity", "prefix"), "near-missed-rooted")
+    release(spark)
+    keys = rooted.select(F.explode("prefix").alias("key"), "node", "root")
+    apart = keys.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high")
+    apart = materialize(apart.select("key", F.ceil(F.col("n") / PREFIX_BLOCK).cast("int").alias("blocks")), "near-missed-apart")
+    release(spark)
+    keyed = materialize(keys.select("key", "node").join(apart.select("key"), "key"), "near-missed-keys")
+    release(spark)
+    carried = keyed.join(rooted.drop("prefix"), "node").select("key", "node", "root", "shingles", "parity")
+    near = materialize(_met(carried, "key", apart).mapInArrow(_possible(similarity), "a long, b long").distinct(), "near-missed-pairs")
+    discard(apart, keyed)
+    release(spark)
+
+    families = connected_components(near).withColumnRenamed("root", "family")
+    members = families.join(rooted.drop("prefix"), "node").join(nodes.select("node", "first"), "node")
+    members = materialize(members, "near-missed-nodes")
+    blocks = members.groupBy("family").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    whole = members.drop("first").join(_sets(known, members, words), "node").select("family", "node", "root", "shingles", "parity", "s")
+    links = _met(whole, "family", materialize(blocks, "near-missed-blocks")).mapInArrow(_similar_apart(similarity), "a long, b long")
+    links = materialize(links.distinct(), "near-missed-links")
     discard_since(mark, links)
+    release(spark)
     return links
 
 
@@ -395,7 +546,7 @@ def _groups(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame,
     sketches = materialize(
         shingle_sets(known, words).mapInArrow(
             _sketched(similarity, _common(known, words)),
-            f"doc_id {kind}, text_h long, node long, shingles long, {', '.join(f'{p} long' for p in prints)}, keys array<long>, s array<long>, prefix array<long>",
+            f"doc_id {kind}, text_h long, node long, shingles long, {', '.join(f'{p} long' for p in prints)}, keys array<long>, s array<long>, prefix array<long>, parity binary",
         ),
         "near-sketches",
     )
@@ -403,10 +554,12 @@ def _groups(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame,
     nodes = materialize(
         sketches.groupBy("node").agg(
             F.min(F.struct("doc_id", "text_h")).alias("first"), *[F.min(p).alias(p) for p in prints], F.min("shingles").alias("shingles"),
-            F.min("keys").alias("keys"), F.min("s").alias("s"), F.min("prefix").alias("prefix"),
+            F.min("keys").alias("keys"), F.min("s").alias("s"), F.min("prefix").alias("prefix"), F.min("parity").alias("parity"),
         ),
         "near-nodes",
     )
+    rows = materialize(sketches.select("doc_id", "text_h", "node"), "near-rows")
+    discard(sketches)
     mark = written_so_far()
     keyed = nodes.select(F.explode("keys").alias("key"), "node", *prints)
     buckets = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-buckets")
@@ -420,12 +573,12 @@ def _groups(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame,
     if hits is not None:
         near = near.unionByName(hits.where("tie <> node").select(F.col("tie").alias("a"), F.col("node").alias("b")))
     near = materialize(near.distinct(), "near-pairs")
-    discard_since(mark, sketches, nodes, near)
+    discard_since(mark, near)
     release(spark)
 
     families = connected_components(near).withColumnRenamed("root", "family")
     discard(near)
-    members = families.join(nodes.drop("keys", "s", "prefix"), "node")
+    members = families.join(nodes.drop("keys", "s", "prefix", "parity"), "node")
     sizes = members.groupBy("family").agg(
         F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks")
     )
@@ -446,7 +599,7 @@ def _groups(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame,
     keep = rooted.groupBy("root").agg(F.min("first").alias("keep"))
     keepers = materialize(rooted.join(keep, "root").select("node", "keep"), "near-keep")
     discard(nodes)
-    return sketches.select("doc_id", "text_h", "node"), keepers
+    return rows, keepers
 
 
 def near_groups(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:

@@ -230,3 +230,24 @@ def test_links_that_fingerprints_miss_are_found(documents, monkeypatch):
     pairs = list(enumerate(make_texts(random.Random(13), 60)))
     got = {r.doc_id: r.keep_id for r in near_dedup.near_groups(documents(pairs)).collect()}
     assert got == brute_groups(pairs, 5, 0.8)
+
+
+def test_parities_never_exclude_a_similar_pair(monkeypatch):
+    """Both forms of the comparison let the same pairs through, all similar ones of different roots among them."""
+    rng = np.random.default_rng(5)
+    sets = []
+    for n in (13, 60, 70, 127, 130, 500):
+        base = rng.integers(0, 1 << 63, n, np.uint64)
+        for change in (0.02, 0.1, 0.11, 0.3, 0.6):
+            other = base.copy()
+            other[: int(change * n)] = rng.integers(0, 1 << 63, int(change * n), np.uint64)
+            sets.append(np.unique(other[: n - int(change * 10)]))
+    n, strings = np.array([len(s) for s in sets]), [near_dedup.parity(s) for s in sets]
+    root = np.arange(len(sets)) // 2
+    whole = {tuple(sorted(p)) for a, b in near_dedup.possible(n, root, strings, 0.8) for p in zip(a.tolist(), b.tolist(), strict=True)}
+    a, b = near_dedup.possible_in(np.zeros(len(sets), int), n, root, strings, 0.8)
+    assert whole == {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist(), strict=True)}
+    both = lambda i, j: len(np.intersect1d(sets[i], sets[j]))
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if root[i] != root[j]]
+    similar = {(i, j) for i, j in pairs if both(i, j) >= 0.8 * (n[i] + n[j] - both(i, j))}
+    assert similar and similar <= whole and len(whole) < len(pairs) / 2
