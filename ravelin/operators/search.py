@@ -188,6 +188,25 @@ def sparse_topk(queries: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     return ranked(found, k, F.desc("score"), F.col("id"))
 
 
+def pruned_postings(texts: DataFrame, key: str, cap: int = C.SPARSE_CAP) -> DataFrame:
+    """prune_sparse(postings(texts, key), key, cap) of texts(key, text). A text whose key no other row has is counted and cut in its
+    own row, so its words are not shuffled; rows that share a key (or have none) are, and the keys that repeat."""
+    again = texts.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | F.col(key).isNull()).select(F.col(key).alias("_again"))
+    again = materialize(again, "repeated-keys")
+    marked = texts.select(key, "text").join(again, F.col(key).eqNullSafe(F.col("_again")), "left")
+    words = F.array_sort(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
+    # The generators keep the lists from being built again for each of their uses.
+    once = lambda df, **cols: df.select(F.explode(F.array(F.struct(key, *[c.alias(n) for n, c in cols.items()]))).alias("r")).select("r.*")
+    rows = once(marked.where("_again IS NULL AND " + f"`{key}` IS NOT NULL AND text IS NOT NULL"), w=words)
+    first = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: (i == 0) | (F.get("w", i) != F.get("w", i - 1)))
+    rows = once(rows.where(F.size("w") > 0), w=F.col("w"), first=first)
+    counted = lambda i, j: F.struct((i - F.coalesce(F.get("first", j + 1), F.size("w"))).alias("less"), F.get("w", i).alias("token"))
+    kept = rows.select(key, F.explode(F.slice(F.array_sort(F.transform("first", counted)), 1, cap)).alias("p"))
+    single = kept.select(key, F.col("p.token").alias("token"), (-F.col("p.less")).cast("double").alias("weight"))
+    shared = marked.where(f"_again IS NOT NULL OR `{key}` IS NULL").select(key, "text")
+    return single.unionByName(prune_sparse(postings(shared, key), key, cap))
+
+
 def prune_sparse(postings_: DataFrame, key: str, cap: int = C.SPARSE_CAP, absolute: bool = True) -> DataFrame:
     """Zero weights dropped, the cap heaviest tokens of each row kept (by absolute weight unless told otherwise)."""
     weight = F.abs("weight") if absolute else F.col("weight")

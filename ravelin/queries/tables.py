@@ -101,7 +101,7 @@ def ordered_distinct_urls(spark, d):
 @register(r"""WITH t AS (SELECT doc_id, token, count(*)::DOUBLE AS weight FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_\-/]+')) AS token FROM documents) GROUP BY ALL)
 SELECT doc_id, token, weight FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY abs(weight) DESC, token) AS n FROM t) WHERE n <= 1000""")
 def sparse_prune(spark, d):
-    return search.prune_sparse(search.postings(_docs(spark, d), "doc_id"), "doc_id")
+    return search.pruned_postings(_docs(spark, d), "doc_id")
 
 
 @register("""SELECT vec_id, round(sqrt(list_sum(list_transform(u, lambda x: x * x))), 6)::DOUBLE AS norm, round(u[1], 9)::DOUBLE AS first FROM

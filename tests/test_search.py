@@ -157,3 +157,14 @@ def test_the_expression_form_refuses_many_queries(spark, monkeypatch):
     with pytest.raises(ValueError):
         search.dense_topk_expression(v.withColumnRenamed("id", "query_id"), v, 1)
     assert search.dense_topk_expression(v.limit(3).withColumnRenamed("id", "query_id"), v, 1).count() == 3
+
+
+def test_pruned_postings_are_those_of_all_rows_of_a_key(spark):
+    """Repeated and null keys are counted together; ties go by the token; texts that repeat no key are not shuffled."""
+    rows = [(1, "b a a c"), (2, "x x y"), (2, "y y z"), (None, "q r"), (None, "r"), (3, ""), (4, None), (5, "é e E -")]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    for cap in (1, 2, 1000):
+        got = sorted(map(str, search.pruned_postings(texts, "doc_id", cap).collect()))
+        assert got == sorted(map(str, search.prune_sparse(search.postings(texts, "doc_id"), "doc_id", cap).collect()))
+    plan = search.pruned_postings(texts.where("doc_id = 1"), "doc_id", 2)
+    assert {(r.token, r.weight) for r in plan.collect()} == {("a", 2.0), ("b", 1.0)}
