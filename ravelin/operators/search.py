@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from ..batches import pieces
 from ..functions import constants as C
 from ..functions.text import WORD
 from ..shipping import ship
@@ -19,13 +20,19 @@ from ..written import materialize
 from .best import Best
 
 #: Queries and vectors of one matrix product.
-QUERY_BLOCK, VECTOR_BLOCK = 1024, 4096
+QUERY_BLOCK, VECTOR_BLOCK = 512, 2048
 #: Queries that one pass over the rows answers; they travel with the tasks.
 PASS_BYTES = 64 << 20
+#: Queries of one pass times the hits kept of each: a task holds some three times so many rows.
+PASS_HITS = 1 << 19
+#: Texts of a batch that are turned into postings at a time.
+TEXT_ROWS = 2_048
 HITS = "query_id long, id long, score double"
 DIGITS = 6
 #: Vectors of a cell that are compared at a time.
-SLICE = 20_000
+SLICE = 8_000
+#: Vectors that are given a row for each of their cells at a time.
+PROBE_ROWS = 1_024
 
 
 def ranked(hits: DataFrame, k: int | None, *order: Column, by: str = "query_id") -> DataFrame:
@@ -34,13 +41,13 @@ def ranked(hits: DataFrame, k: int | None, *order: Column, by: str = "query_id")
     return out if k is None else out.where(F.col("rank") <= k)
 
 
-def _passes(rows: Iterator[Row], size: Callable[[Row], int]) -> Iterator[list[Row]]:
-    """Rows in lists of about PASS_BYTES."""
+def _passes(rows: Iterator[Row], size: Callable[[Row], int], k: int = 1) -> Iterator[list[Row]]:
+    """Rows in lists of about PASS_BYTES, and of no more hits than PASS_HITS."""
     block, held = [], 0
     for row in rows:
         block.append(row)
         held += size(row)
-        if held >= PASS_BYTES:
+        if held >= PASS_BYTES or len(block) * k >= PASS_HITS:
             yield block
             block, held = [], 0
     if block:
@@ -58,7 +65,7 @@ def _answered(asked: DataFrame, size: Callable[[Row], int], search: Callable[[li
     the passes and asked are read from should be files: it is read again for each of them."""
     written = lambda hits: materialize(ranked(hits, k, F.desc("score"), F.col("id")).drop("rank"), "pass-hits")
     done, last = [], None
-    for block in _passes(asked.toLocalIterator(), size):
+    for block in _passes(asked.toLocalIterator(), size, k):
         if last is not None:
             done.append(written(last))
         last = search(block)
@@ -161,7 +168,8 @@ def sparse_topk(queries: DataFrame, texts: DataFrame, k: int) -> DataFrame:
 
         def run(batches):
             known, best = pa.array(words, pa.string()), Best(len(names), k)
-            for batch in batches:
+            # Rows are bounded, not bytes alone: each piece costs a bound for every query.
+            for batch in (b.slice(i, TEXT_ROWS) for b in batches for i in range(0, b.num_rows, TEXT_ROWS)):
                 lists = batch.column(1)
                 found = pc.index_in(lists.flatten(), value_set=known)
                 row = pc.list_parent_indices(lists).filter(found.is_valid()).to_numpy(zero_copy_only=False)
@@ -265,21 +273,24 @@ def cell_centres(vectors: DataFrame, cells: int, sample: int = 20_000, rounds: i
     return centres
 
 
+def _lists(x: np.ndarray) -> pa.ListArray:
+    """The rows of a matrix as lists, without a Python object for each."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+
+
 def _nearest_cells(df: DataFrame, key: str, centres: np.ndarray, probes: int) -> DataFrame:
     """key, vector (scaled to length 1), cell: a row for each of the nearest cells."""
     ship(df.sparkSession)
 
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in pieces(batches, PROBE_ROWS):
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
             x = x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
             n = min(probes, len(centres))
             cell = np.argpartition(-(x @ centres.T), n - 1, axis=1)[:, :n]
             row = np.repeat(np.arange(len(x)), n)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row)), pa.array(list(x[row]), pa.list_(pa.float64())), pa.array(cell.ravel().astype(np.int32))], names=[key, "vector", "cell"]
+                [batch.column(0).take(pa.array(row)), _lists(x[row]), pa.array(cell.ravel().astype(np.int32))], names=[key, "vector", "cell"]
             )
 
     kind = df.schema[key].dataType.simpleString()

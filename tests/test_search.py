@@ -168,3 +168,16 @@ def test_pruned_postings_are_those_of_all_rows_of_a_key(spark):
         assert got == sorted(map(str, search.prune_sparse(search.postings(texts, "doc_id"), "doc_id", cap).collect()))
     plan = search.pruned_postings(texts.where("doc_id = 1"), "doc_id", 2)
     assert {(r.token, r.weight) for r in plan.collect()} == {("a", 2.0), ("b", 1.0)}
+
+
+def test_passes_are_bounded_by_the_hits_they_keep(monkeypatch):
+    monkeypatch.setattr(search, "PASS_HITS", 100)
+    assert [len(x) for x in search._passes(iter(range(25)), lambda r: 1, 10)] == [10, 10, 5]
+    assert [len(x) for x in search._passes(iter(range(25)), lambda r: 1, 1)] == [25]
+
+
+def test_probes_of_more_rows_than_a_piece_are_whole(spark):
+    vectors = spark.createDataFrame([(i, [float(i + 1), 1.0]) for i in range(3000)], "query_id long, vector array<double>").coalesce(1)
+    found = search._nearest_cells(vectors, "query_id", np.eye(2), 2).mapInArrow(lambda bs: bs, "query_id long, vector array<double>, cell int")
+    assert found.count() == 6000
+    assert search._lists(np.arange(6.0).reshape(3, 2)).to_pylist() == [[0.0, 1.0], [2.0, 3.0], [4.0, 5.0]]
