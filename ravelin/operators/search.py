@@ -354,11 +354,12 @@ def search_weights(page_type: Column, complexity: Column, density: Column) -> tu
     return dense, F.round(1 - dense, 1)
 
 
-def rerank(hits: DataFrame, top_n: int, most_chars: int = 384, scorer=None) -> DataFrame:
+def rerank(hits: DataFrame, top_n: int, most_chars: int = 384, scorer=None, ties: Column | None = None) -> DataFrame:
     """hits(query_id, id, query_text, text) rescored and cut. The default scorer is the share of
-    query words in the text's first characters plus the Jaccard similarity of both."""
+    query words in the text's first characters plus the Jaccard similarity of both. Equal scores stand
+    in the order of ties, if given, then of id."""
     return ranked(hits.withColumn("rerank_score", F.round((scorer or coverage_score)(F.col("query_text"), F.substring("text", 1, most_chars)), 9)),
-                  top_n, F.desc("rerank_score"), F.col("id"))
+                  top_n, F.desc("rerank_score"), *([] if ties is None else [ties]), F.col("id"))
 
 
 class Scorer(Protocol):

@@ -16,8 +16,9 @@ from ..written import discard, materialize
 
 
 def candidates(processed: DataFrame, routes: DataFrame, chunks: DataFrame, k: int | None) -> DataFrame:
-    """query_id, id, rrf_score: hybrid search with the k of each query's strategy, under the filter of its
-    theme where routing is sure of one, without it where that leaves nothing."""
+    """query_id, id, rrf_score: hybrid search, both branches at twice the k of each query's strategy, under the filter of
+    its theme where routing is sure of one, without it where that leaves nothing. All fused hits: they are cut to k when
+    they are boosted."""
     columns = set(chunks.columns)
     need = query.filter_bit(F.col("use_filter"), F.col("primary_theme"))
     most = F.lit(k) if k else F.col("k")
@@ -31,7 +32,7 @@ def candidates(processed: DataFrame, routes: DataFrame, chunks: DataFrame, k: in
     def hits(q: DataFrame, v: DataFrame) -> DataFrame:
         near = search.dense_topk(v, dense, 2 * widest).join(limits, "query_id").where(F.col("rank") <= 2 * F.col("most"))
         alike = search.sparse_topk(q, texts, 2 * widest).join(limits, "query_id").where(F.col("rank") <= 2 * F.col("most"))
-        return search.fuse(near, alike).join(limits, "query_id").where(F.col("rank") <= F.col("most")).select("query_id", "id", "rrf_score")
+        return search.fuse(near, alike).select("query_id", "id", "rrf_score")
 
     sure = F.col("need") > 0
     filtered = materialize(hits(asked.where(sure), vectors.where(sure)), "ask-filtered")
@@ -59,21 +60,21 @@ def ask(queries: DataFrame, chunks: DataFrame, k: int | None = None) -> DataFram
     status no_results. k overrides the number of candidates of the strategies.
 
     In order: process, route, search with the theme's filter and without where it leaves nothing,
-    boost, theme boost, rerank, merge neighbours (if the strategy says so), fit the context, answer,
-    and take out addresses that are no source."""
+    boost and cut to k, theme boost, rerank (equal scores in the order of the boosts), merge neighbours
+    (if the strategy says so), fit the context, answer, and take out addresses that are no source."""
     processed = materialize(query.process(queries), "ask-queries")
     routes = materialize(query.route(processed.select("query_id", "text")), "ask-routes")
     payload = chunks.drop("dense")
     found = candidates(processed, routes, chunks, k).join(payload, "id")
-    found = found.join(processed.select("query_id", "page_boosts", "group_boosts", "rerank_top_n", "auto_merge", F.col("text").alias("query_text")), "query_id")
+    found = found.join(processed.select("query_id", "page_boosts", "group_boosts", "rerank_top_n", "auto_merge", (F.lit(k) if k else F.col("k")).alias("most"), F.col("text").alias("query_text")), "query_id")
     found = found.join(routes.select("query_id", "primary_theme", "themes", "preferred_domain", "preferred_section", "preferred_platform", F.col("top_score").alias("theme_score")), "query_id")
-    hits = boost.boost(found.withColumn("score", F.col("rrf_score")), F.col("score")).drop("rank")
+    hits = boost.boost(found.withColumn("score", F.col("rrf_score")), F.col("score")).where(F.col("rank") <= F.col("most")).drop("rank")
     for c in ("domain", "section", "platform", "role"):
         if c not in payload.columns:
             payload = payload.withColumn(c, F.lit(None).cast("string"))
     themed = query.theme_of(payload, "id")
-    hits = boost.add_theme_boost(hits.join(themed, "id")).drop("rank")
-    best = search.rerank(hits, max(s[2] for s in C.STRATEGIES)).where(F.col("rank") <= F.col("rerank_top_n"))
+    hits = boost.add_theme_boost(hits.join(themed, "id")).withColumnRenamed("rank", "boosted_rank")
+    best = search.rerank(hits, max(s[2] for s in C.STRATEGIES), ties=F.col("boosted_rank")).where(F.col("rank") <= F.col("rerank_top_n"))
     best = materialize(best.select("query_id", "doc_id", "chunk_index", "rank", "text", "auto_merge"), "ask-hits")
 
     merged = context.auto_merge(best.where("auto_merge").select("query_id", "doc_id", "chunk_index", "rank", "text"), payload.select("doc_id", "chunk_index", "chunk_id", "text"))

@@ -1,6 +1,9 @@
 import duckdb
 
 from ravelin.catalog import ORACLES, QUERIES
+from ravelin.operators import query
+from ravelin.operators.embed import hashed_embedder
+from ravelin.plans.ask import ask
 from ravelin.sources import dom
 
 
@@ -23,3 +26,22 @@ def test_text_that_no_markup_divides_is_one_piece():
     assert dom.parse("a<!-- c -->b<?p x>c</i>d").text("|") == "a|b|c|d"
     assert dom.parse("&quot &copy=1 &amp").text() == '" ©=1 &' and dom.parse("&quot &copy;=1 &amp", whole=True).text() == "&quot ©=1 &"
     assert dom.links(dom.parse('<a href="/?a=1&copy=2&amp;b">x</a>', whole=True), "https://h/") == ["https://h/?a=1&copy=2&b"]
+
+
+def test_boosts_decide_what_ask_keeps_and_the_order_of_equal_scores(spark):
+    def chunk(i, text, page_type, section, platform):
+        return (i, f"d{i}", 0, f"d{i}#0", text, [float(x) for x in hashed_embedder()([text])[0]], f"T{i}", f"https://h/{i}", page_type, "sdk_docs", section, platform, "integrator")
+
+    schema = "id long, doc_id string, chunk_index int, chunk_id string, text string, dense array<double>, title string, url string, page_type string, domain string, section string, platform string, role string"
+    chunks = lambda rows: spark.createDataFrame(rows, schema)
+    asked = lambda text: spark.createDataFrame([(1, text)], "query_id long, text string")
+    # The first row is the better hit; a page type makes up for it before hits are cut to k.
+    rows = [chunk(1, "alpha beta gamma delta", None, None, None), chunk(2, "alpha beta gamma delta epsilon", "overview", None, None)]
+    assert [ask(asked("alpha beta gamma delta"), chunks([*rows[:1], (*rows[1][:8], kind, *rows[1][9:])]), 1).first().sources for kind in (None, "overview")] == [["https://h/1"], ["https://h/2"]]
+    # Two equal texts: the one of the query's theme comes first.
+    rows = [chunk(1, "call ios or android", None, "sdk", "ios"), chunk(2, "call ios or android", None, "sdk", "android")]
+    question = asked("call ios or android")
+    route = query.route(question).first()
+    assert route.primary_theme == "sdk_android" and not route.use_filter
+    context = ask(question, chunks(rows)).first().context
+    assert context.index("https://h/2") < context.index("https://h/1")
