@@ -1,10 +1,12 @@
 import duckdb
+from pyspark.sql import functions as F
 
 from ravelin.catalog import ORACLES, QUERIES
-from ravelin.operators import query
+from ravelin.operators import boost, query
 from ravelin.operators.embed import hashed_embedder
 from ravelin.plans.ask import ask
 from ravelin.sources import dom
+from tests.conftest import TESTDATA
 
 
 def test_main_content_agrees_with_its_sql_on_odd_pages(spark, tmp_path):
@@ -45,3 +47,23 @@ def test_boosts_decide_what_ask_keeps_and_the_order_of_equal_scores(spark):
     assert route.primary_theme == "sdk_android" and not route.use_filter
     context = ask(question, chunks(rows)).first().context
     assert context.index("https://h/2") < context.index("https://h/1")
+
+
+def test_theme_boost_sorts_no_hits_and_ranks_runs_across_batches(spark):
+    plan = QUERIES["theme_boost"](spark, TESTDATA)._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("Join")]
+    assert "Sort " not in above and "Window" not in above and "Exchange" not in above
+    # Runs of 1 to 400 rows, with ties, over batches of 7 rows and tasks that cut no run.
+    rows = spark.range(30).select(F.col("id").alias("query_id"), F.explode(F.sequence(F.lit(0), F.when(F.col("id") == 7, 400).otherwise(F.col("id") % 9)))
+                                  .alias("i")).select("query_id", (F.col("i") * 37 % 401).alias("id"), ((F.col("i") * 7 + F.col("query_id")) % 5 / F.lit(5.0)).alias("score"))
+    hits = rows.withColumns({"boosted_score": F.col("score"), "theme_id": F.lit("a"), "primary_theme": F.lit("b"), "themes": F.array(F.lit("b"), F.lit("a"))})
+    names = ("query_id", "id", "boosted_score", "rank")
+    want = sorted(tuple(r) for r in boost.add_theme_boost(hits).select(*names).collect())
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("7", "1", batch):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            assert sorted(map(tuple, boost.ranked_in_place(boost.theme_boosted(hits)).collect())) == want and len(want) > 500
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    assert boost.ranked_in_place(boost.theme_boosted(hits.limit(0))).count() == 0
