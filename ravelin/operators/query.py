@@ -174,21 +174,24 @@ def route(queries: DataFrame, mode: str = "heuristic", answers: DataFrame | None
     )
 
 
-def theme_of(docs: DataFrame, key: str) -> DataFrame:
-    """docs(key, domain, section, platform, role) -> key, theme_id: the first theme that agrees in
-    every field both sides have (sdk_platform stands in for an empty platform). Themes are few, so
-    they are an expression, not a join."""
+def theme_id(columns: set[str]) -> Column:
+    """Of columns domain, section, platform and role: the first theme that agrees in every field both sides have
+    (sdk_platform stands in for an empty platform). Themes are few, so they are an expression, not a join."""
     out = None
-    columns = set(docs.columns)
     fields_of = {c: platform_of(columns) if c == "platform" else F.col(c) for c in ("domain", "section", "platform", "role")}
-    for theme_id, *fields in C.THEMES:
+    for theme, *fields in C.THEMES:
         agrees = F.lit(True)
         for name, value in zip(("domain", "section", "platform", "role"), fields, strict=True):
             own = F.lower(F.coalesce(fields_of[name], F.lit("")))
             if value:
                 agrees = agrees & ((own == "") | (own == value))
-        out = F.when(agrees, theme_id) if out is None else out.when(agrees, theme_id)
-    return docs.select(key, out.alias("theme_id"))
+        out = F.when(agrees, theme) if out is None else out.when(agrees, theme)
+    return out
+
+
+def theme_of(docs: DataFrame, key: str) -> DataFrame:
+    """docs(key, domain, section, platform, role) -> key, theme_id."""
+    return docs.select(key, theme_id(set(docs.columns)).alias("theme_id"))
 
 
 def theme_label(theme_id: Column) -> Column:

@@ -14,6 +14,13 @@ from ..operators import boost, context, query, search
 from ..operators.embed import hashed_vectors
 from ..written import discard, materialize
 
+#: Rows of hits that are broadcast to the chunks, so that texts stay where they are; more are joined by a shuffle of both.
+BROADCAST_HITS = 200_000
+
+
+def _few(hits: DataFrame) -> DataFrame:
+    return F.broadcast(hits) if hits.count() <= BROADCAST_HITS else hits
+
 
 def candidates(processed: DataFrame, routes: DataFrame, chunks: DataFrame, k: int | None) -> DataFrame:
     """query_id, id, rrf_score: hybrid search, both branches at twice the k of each query's strategy, under the filter of
@@ -65,27 +72,30 @@ def ask(queries: DataFrame, chunks: DataFrame, k: int | None = None) -> DataFram
     processed = materialize(query.process(queries), "ask-queries")
     routes = materialize(query.route(processed.select("query_id", "text")), "ask-routes")
     payload = chunks.drop("dense")
-    found = candidates(processed, routes, chunks, k).join(payload, "id")
-    found = found.join(processed.select("query_id", "page_boosts", "group_boosts", "rerank_top_n", "auto_merge", (F.lit(k) if k else F.col("k")).alias("most"), F.col("text").alias("query_text")), "query_id")
-    found = found.join(routes.select("query_id", "primary_theme", "themes", "preferred_domain", "preferred_section", "preferred_platform", F.col("top_score").alias("theme_score")), "query_id")
-    hits = boost.boost(found.withColumn("score", F.col("rrf_score")), F.col("score")).where(F.col("rank") <= F.col("most")).drop("rank")
     for c in ("domain", "section", "platform", "role"):
         if c not in payload.columns:
             payload = payload.withColumn(c, F.lit(None).cast("string"))
-    themed = query.theme_of(payload, "id")
-    hits = boost.add_theme_boost(hits.join(themed, "id")).withColumnRenamed("rank", "boosted_rank")
+    payload = payload.withColumn("theme_id", query.theme_id(set(payload.columns)))
+    fused = materialize(candidates(processed, routes, chunks, k), "ask-fused")
+    found = _few(fused).join(payload, "id")
+    found = found.join(processed.select("query_id", "page_boosts", "group_boosts", "rerank_top_n", "auto_merge", (F.lit(k) if k else F.col("k")).alias("most"), F.col("text").alias("query_text")), "query_id")
+    found = found.join(routes.select("query_id", "primary_theme", "themes", "preferred_domain", "preferred_section", "preferred_platform", F.col("top_score").alias("theme_score")), "query_id")
+    hits = boost.boost(found.withColumn("score", F.col("rrf_score")), F.col("score")).where(F.col("rank") <= F.col("most")).drop("rank")
+    hits = boost.add_theme_boost(hits).withColumnRenamed("rank", "boosted_rank")
     best = search.rerank(hits, max(s[2] for s in C.STRATEGIES), ties=F.col("boosted_rank")).where(F.col("rank") <= F.col("rerank_top_n"))
     best = materialize(best.select("query_id", "doc_id", "chunk_index", "rank", "text", "auto_merge"), "ask-hits")
 
-    merged = context.auto_merge(best.where("auto_merge").select("query_id", "doc_id", "chunk_index", "rank", "text"), payload.select("doc_id", "chunk_index", "chunk_id", "text"))
+    near = payload.join(_few(best.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "chunk_index", "chunk_id", "text", "title", "url", "theme_id")
+    near = materialize(near, "ask-near")
+    merged = context.auto_merge(best.where("auto_merge").select("query_id", "doc_id", "chunk_index", "rank", "text"), near.select("doc_id", "chunk_index", "chunk_id", "text"))
     single = best.where("NOT auto_merge").select("query_id", "doc_id", "text", "rank")
     merged = merged.select("query_id", "doc_id", "text", "rank").unionByName(single)
-    about = payload.join(themed, "id").groupBy("doc_id").agg(F.min_by(F.struct("title", "url", "theme_id"), "chunk_index").alias("p"))
+    about = near.groupBy("doc_id").agg(F.min_by(F.struct("title", "url", "theme_id"), "chunk_index").alias("p"))
     merged = merged.join(about, "doc_id").select("query_id", "doc_id", "text", "rank", "p.title", "p.url", query.theme_label(F.col("p.theme_id")).alias("theme_label"))
 
     merged = materialize(merged, "ask-merged")
     docs = materialize(shown(merged, processed.select("query_id", F.col("text").alias("query_text"))), "ask-documents")
-    discard(merged, best)
+    discard(merged, best, near, fused)
     links = context.sources(docs).groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "url"))), lambda x: x["url"]).alias("sources"))
     first, second = (query.theme_label(F.try_element_at("themes", F.lit(i))) for i in (1, 2))
     told = routes.select("query_id", context.theme_instruction(first, second).alias("theme_instruction"))
